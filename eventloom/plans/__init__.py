@@ -1,7 +1,7 @@
 """All registered queries."""
 
-from . import scalars, sources
+from . import joins, scalars, sources
 from .registry import QUERIES, SQL
 
 flagship = QUERIES["s19_coverage"]
-__all__ = ["QUERIES", "SQL", "flagship", "scalars", "sources"]
+__all__ = ["QUERIES", "SQL", "flagship", "joins", "scalars", "sources"]
