@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .textcols import passes, python_path, runs, split_words, stored, text_buffer
+from .textcols import joined_words, passes, python_path, runs, split_words, stored, text_buffer
 
 SHINGLE, BUDGET, SEED = 3, 3, 42
 #: Fingerprints that agree on a 16-bit block meet in one group; larger groups are dealt out once more by a second block of 12 bits.
@@ -32,11 +32,7 @@ def fingerprints(column: pa.Array) -> np.ndarray:
     n, doc_at = len(words.values), words.doc_offsets
     if not n:
         return np.zeros(len(column), np.uint64)
-    at = np.frombuffer(words.values.buffers()[1], np.int64)[: n + 1]
-    size = np.diff(at)
-    joined = np.full(at[-1] + n, 32, np.uint8)
-    joined[np.arange(at[-1]) + np.repeat(np.arange(n), size)] = np.frombuffer(words.values.buffers()[2], np.uint8)[: at[-1]]
-    start, end = at[:-1] + np.arange(n), at[1:] + np.arange(n)
+    joined, start, end = joined_words(words)
     count = np.diff(doc_at)
     shingles = np.where(count >= SHINGLE, count - SHINGLE + 1, np.minimum(count, 1))
     doc = np.repeat(np.arange(len(count)), shingles)

@@ -14,12 +14,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcols import Words, passes, python_path, runs, split_words, text_buffer
+from .textcols import Words, joined_words, passes, python_path, runs, split_words, text_buffer
 
 #: Words of a window, and of the runs inside it among which the one with the smallest hash is its minimiser.
 WINDOW, SUB = 13, 3
 #: Text that one batch of documents holds, and text of super-k-mers that one bucket is meant to hold.
-BATCH_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+BATCH_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 #: A task deals out to this many buckets at a time; more buckets are reached in several levels, so that packed pieces stay large.
 FAN_OUT = 1024
 _ZSTD = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))
@@ -42,13 +42,8 @@ class _Pieces:
     def __init__(self, text: pa.Array):
         self.words: Words = (words := split_words(*text_buffer(text)))
         n, at = len(words.values), words.doc_offsets
-        ends = np.frombuffer(words.values.buffers()[1], np.int64)[: n + 1] if n else np.zeros(1, np.int64)
-        size = np.diff(ends)
-        joined = np.full(ends[-1] + n, 32, np.uint8)
-        if n:
-            joined[np.arange(ends[-1]) + np.repeat(np.arange(n), size)] = np.frombuffer(words.values.buffers()[2], np.uint8)[: ends[-1]]
         #: word i is joined[start[i]:end[i]]; one space stands behind each word
-        self.joined, self.start, self.end = joined, ends[:-1] + np.arange(n), ends[1:] + np.arange(n)
+        self.joined, self.start, self.end = joined_words(words)
         count = np.diff(at)
         windows = np.maximum(count - WINDOW + 1, 0)
         self.doc = np.repeat(np.arange(len(count)), windows)

@@ -46,17 +46,32 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def split_words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    space = _IS_SPACE[data]
-    before = np.ones(len(data), bool)
-    before[1:] = space[:-1]
-    before[offsets[:-1][offsets[:-1] < len(data)]] = True
-    solid = ~space
-    starts = np.flatnonzero(solid & before)
-    ends = np.append(np.cumsum(solid)[starts] - 1 if len(starts) else np.zeros(0, np.int64), solid.sum())
-    values = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[solid]))])
+    solid = ~_IS_SPACE[data]
+    edge = np.empty(len(data), bool)
+    borders = offsets[(offsets > 0) & (offsets < len(data))]
+    edge[:1], edge[1:] = True, ~solid[:-1]
+    edge[borders] = True
+    starts = np.flatnonzero(solid & edge)
+    edge[-1:], edge[:-1] = True, ~solid[1:]
+    edge[borders - 1] = True
+    sizes = np.flatnonzero(solid & edge) + 1 - starts
+    values = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(0, np.cumsum(sizes))), pa.py_buffer(data[solid])])
     return Words(values, np.searchsorted(starts, offsets), starts, offsets)
 
 
+def joined_words(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends): all words with one space behind each, and where each word begins and ends there."""
+    n = len(words.values)
+    at = np.frombuffer(words.values.buffers()[1], np.int64)[: n + 1]
+    start, end = at[:-1] + np.arange(n), at[1:] + np.arange(n)
+    joined = np.full(int(at[-1]) + n, 32, np.uint8)
+    letters = np.ones(len(joined), bool)
+    letters[end] = False
+    if n:
+        joined[letters] = np.frombuffer(words.values.buffers()[2], np.uint8)[: at[-1]]
+    return joined, start, end
+
+
 def words_of(column: pa.Array) -> Words:
     return split_words(*text_buffer(column))
 
