@@ -1,7 +1,7 @@
 """All registered queries."""
 
-from . import joins, scalars, sources, windows
+from . import aggregates, joins, scalars, sources, windows
 from .registry import QUERIES, SQL
 
 flagship = QUERIES["s19_coverage"]
-__all__ = ["QUERIES", "SQL", "flagship", "joins", "scalars", "sources", "windows"]
+__all__ = ["QUERIES", "SQL", "aggregates", "flagship", "joins", "scalars", "sources", "windows"]

@@ -14,7 +14,9 @@ from .panels import bars, panel, rounded
 from .registry import BARS, EV, PANEL, query
 
 _W = "WINDOW w AS (PARTITION BY symbol ORDER BY slot)"
-_BY = Window.partitionBy("symbol").orderBy("slot")
+def _by():
+    return Window.partitionBy("symbol").orderBy("slot")
+
 
 
 @query("w01_row_returns", f"WITH {BARS} SELECT symbol, slot, round(c / lag(c, 1) OVER w - 1, 6) AS r1, round(c / lag(c, 5) OVER w - 1, 6) AS r5 FROM bars {_W}")
@@ -84,7 +86,7 @@ def w10(spark, d):
 
 @query("w11_cumulative_vwap", f"WITH {BARS} SELECT symbol, slot, round(sum(qv) OVER w / nullif(sum(v) OVER w, 0), 6) AS vwap, round(c / (sum(qv) OVER w / nullif(sum(v) OVER w, 0)) - 1, 6) + 0.0 AS gap FROM bars {_W}")
 def w11(spark, d):
-    vwap = F.sum("qv").over(_BY) / F.nullif(F.sum("v").over(_BY), F.lit(0))
+    vwap = F.sum("qv").over(_by()) / F.nullif(F.sum("v").over(_by()), F.lit(0))
     # adding zero turns a negative zero into a plain one
     return bars(spark, d).select("symbol", "slot", F.round(vwap, 6).alias("vwap"), (F.round(F.col("c") / vwap - 1, 6) + 0.0).alias("gap"))
 
@@ -209,7 +211,7 @@ def w30(spark, d):
 @query("w31_spikes_and_flips", f"WITH {BARS}, f AS (SELECT symbol, slot, v / nullif(lag(v) OVER w, 0) - 1.0 AS dv, c - o AS x, lag(c - o) OVER w AS y FROM bars {_W}) SELECT symbol, slot, coalesce(dv >= 1.5, false) AS spike, coalesce(x * y < 0, false) AS flip FROM f WHERE dv >= 1.5 OR x * y < 0")
 def w31(spark, d):
     x = F.col("c") - F.col("o")
-    f = bars(spark, d).select("symbol", "slot", (F.col("v") / F.nullif(F.lag("v").over(_BY), F.lit(0)) - 1).alias("dv"), (x * F.lag(x).over(_BY)).alias("xy"))
+    f = bars(spark, d).select("symbol", "slot", (F.col("v") / F.nullif(F.lag("v").over(_by()), F.lit(0)) - 1).alias("dv"), (x * F.lag(x).over(_by())).alias("xy"))
     return f.where("dv >= 1.5 OR xy < 0").select("symbol", "slot", F.coalesce(F.col("dv") >= 1.5, F.lit(False)).alias("spike"), F.coalesce(F.col("xy") < 0, F.lit(False)).alias("flip"))
 
 
@@ -229,7 +231,7 @@ def w33(spark, d):
 
 @query("w34_non_overlapping", f"WITH {BARS} SELECT symbol, slot FROM (SELECT symbol, slot, row_number() OVER w - 1 AS i FROM bars {_W}) WHERE i % 5 = 0")
 def w34(spark, d):
-    return bars(spark, d).select("symbol", "slot", (F.row_number().over(_BY) - 1).alias("i")).where("i % 5 = 0").select("symbol", "slot")
+    return bars(spark, d).select("symbol", "slot", (F.row_number().over(_by()) - 1).alias("i")).where("i % 5 = 0").select("symbol", "slot")
 
 
 @query("w35_regime", f"WITH {BARS}, m AS (SELECT slot, avg(c) AS c FROM bars GROUP BY 1), r AS (SELECT slot, CASE WHEN c / lag(c, 4) OVER (ORDER BY slot) - 1 > 0.05 THEN 2 WHEN c / lag(c, 4) OVER (ORDER BY slot) - 1 < -0.05 THEN 0 ELSE 1 END AS regime FROM m) SELECT event_id, regime FROM (SELECT event_id, us // 21600000000 - 1 AS slot FROM ev) e ASOF LEFT JOIN r ON e.slot >= r.slot")
@@ -246,7 +248,7 @@ def w35(spark, d):
 @query("w36_entry_lag_stress", f"WITH {BARS}, l AS (SELECT symbol, slot, {', '.join(f'lead(c, {k + 4}) OVER w / lead(c, {k}) OVER w - 1 AS r{k}' for k in (0, 1, 2, 5))} FROM bars {_W}), v AS (SELECT * FROM l WHERE r5 IS NOT NULL), u AS (" + " UNION ALL ".join(f"SELECT {k} AS lag, r{k} AS r FROM v" for k in (0, 1, 2, 5)) + ") SELECT lag, count(*) AS n, round(avg(r), 6) AS mean FROM u GROUP BY 1")
 def w36(spark, d):
     lags = (0, 1, 2, 5)
-    at = lambda k: F.lead("c", k).over(_BY) if k else F.col("c")
+    at = lambda k: F.lead("c", k).over(_by()) if k else F.col("c")
     v = bars(spark, d).select(*((at(k + 4) / at(k) - 1).alias(f"r{k}") for k in lags)).where("r5 IS NOT NULL")
     long = v.select(F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"r{k}").alias("r")) for k in lags))).alias("x")).select("x.*")
     return rounded(long.groupBy("lag").agg(F.count("*").alias("n"), F.avg("r").alias("mean")))
@@ -301,7 +303,7 @@ def w41(spark, d):
 
 @query("w43_rule_entries", f"WITH {BARS}, x AS (SELECT symbol, slot, c / lag(c) OVER w - 1 AS r1, c > max(h) OVER a AS brk, v / nullif(lag(v) OVER w, 0)::DOUBLE AS vr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY slot), a AS (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) SELECT symbol, slot, 'burst' AS rule FROM x WHERE r1 >= 1 AND coalesce(vr >= 1, true) UNION ALL SELECT symbol, slot, 'breakout' FROM x WHERE brk AND coalesce(vr >= 1, true) UNION ALL SELECT symbol, slot, 'crash' FROM x WHERE r1 <= -0.7")
 def w43(spark, d):
-    x = bars(spark, d).select("symbol", "slot", B.change("c", "symbol", "slot", 1).alias("r1"), (F.col("c") > F.max("h").over(B.by_rows("symbol", "slot", -10, -1))).alias("brk"), (F.col("v") / F.nullif(F.lag("v").over(_BY), F.lit(0))).alias("vr"))
+    x = bars(spark, d).select("symbol", "slot", B.change("c", "symbol", "slot", 1).alias("r1"), (F.col("c") > F.max("h").over(B.by_rows("symbol", "slot", -10, -1))).alias("brk"), (F.col("v") / F.nullif(F.lag("v").over(_by()), F.lit(0))).alias("vr"))
     busy = F.coalesce(F.col("vr") >= 1, F.lit(True))
     rules = {"burst": (F.col("r1") >= 1) & busy, "breakout": F.col("brk") & busy, "crash": F.col("r1") <= -0.7}
     return x.select("symbol", "slot", F.explode(F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in rules.items())), lambda r: r.isNotNull())).alias("rule"))
