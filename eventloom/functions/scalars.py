@@ -75,7 +75,7 @@ def round_trip_cost(atr: Column, scale: float = 1.0) -> Column:
     return out
 
 
-def net(raw: Column, cost: Column, side: int) -> Column:
+def net(raw: Column, cost: Column, side: int | Column) -> Column:
     return side * raw - cost
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.detect import first_per
 from ..sources import merge, tables
-from .panels import STEP, bars, rounded
+from .panels import bars, rounded
 from .registry import BARS, EV, ORD, query
 
 
@@ -173,5 +173,3 @@ def k06(spark, d):
         F.max_by("event_id", F.struct("price", F.negate("event_id"))).alias("high_id"), F.min_by("event_id", F.struct("price", "event_id")).alias("low_id"), F.max("price").alias("high"), F.min("price").alias("low")
     )
 
-
-assert STEP == 21_600_000_000
