@@ -19,10 +19,12 @@ from .textcols import Words, joined_words, passes, python_path, runs, split_word
 #: Words of a window, and of the runs inside it among which the one with the smallest hash is its minimiser.
 WINDOW, SUB = 13, 3
 #: Text that one batch of documents holds, and text of super-k-mers that one bucket is meant to hold.
-BATCH_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+BATCH_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+#: Text of a batch that travels in one row.
+ROW_BYTES = 1 << 20
 #: A task deals out to this many buckets at a time; more buckets are reached in several levels, so that packed pieces stay large.
 FAN_OUT = 1024
-_ZSTD = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))
+_ZSTD = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
 
 
 def _pack(table: pa.Table | pa.RecordBatch) -> bytes:
@@ -32,7 +34,7 @@ def _pack(table: pa.Table | pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _unpack(packed: bytes) -> pa.Table:
+def _unpack(packed: pa.Buffer) -> pa.Table:
     return pa.ipc.open_stream(packed).read_all()
 
 
@@ -80,14 +82,14 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]
     """(number, rows): consecutive rows with about BATCH_BYTES of text. The number tells task and place, so a second reading gives the same."""
     held, size, number = [], 0, TaskContext.get().partitionId() << 32
     for batch in batches:
-        for part in passes(batch, "__text", BATCH_BYTES // 8):
+        for part in passes(batch, "__text", ROW_BYTES):
             held.append(part)
             size += part.column("__text").nbytes
             if size >= BATCH_BYTES:
-                yield number, pa.Table.from_batches(held).combine_chunks()
+                yield number, pa.Table.from_batches(held)
                 held, size, number = [], 0, number + 1
     if held:
-        yield number, pa.Table.from_batches(held).combine_chunks()
+        yield number, pa.Table.from_batches(held)
 
 
 def _ids(table: pa.Table) -> np.ndarray:
@@ -200,8 +202,8 @@ def _process(docs: DataFrame, finish, schema: str) -> DataFrame:
         def split(batches):
             held, size, number = [], 0, TaskContext.get().partitionId() << 32
             for batch in batches:
-                for packed in batch.column("packed").to_pylist():
-                    held.append(_unpack(packed))
+                for packed in batch.column("packed"):
+                    held.append(_unpack(packed.as_buffer()))
                     size += held[-1].nbytes
                     if size >= 8 * BATCH_BYTES:
                         yield from _deal(number, pa.concat_tables(held), level, levels, buckets)
@@ -216,7 +218,7 @@ def _process(docs: DataFrame, finish, schema: str) -> DataFrame:
             bucket = rows.column("bucket").to_numpy()
             bounds = np.append(np.flatnonzero(np.diff(bucket, prepend=-1) != 0), len(bucket)).tolist()
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                found = _shared_windows(pa.concat_tables(_unpack(x) for x in rows.column("packed").slice(a, b - a).to_pylist()).combine_chunks())
+                found = _shared_windows(pa.concat_tables(_unpack(x.as_buffer()) for x in rows.column("packed").slice(a, b - a)).combine_chunks())
                 if found is not None:
                     batch = found.column("batch").to_numpy()
                     order = np.argsort(batch, kind="stable")
@@ -227,27 +229,32 @@ def _process(docs: DataFrame, finish, schema: str) -> DataFrame:
 
     def whole(batches):
         for number, table in _batches(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([0], pa.int64()), pa.array([_pack(table)], pa.binary())], ["batch", "part", "packed"])
+            for k, rows in enumerate(table.to_batches()):
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([k - (1 << 20)], pa.int64()), pa.array([_pack(rows)], pa.binary())], ["batch", "part", "packed"])
 
     def apply(batches):
         def done(rows, found):
             pieces = _Pieces(rows.column("__text").combine_chunks())
             kind = pieces.distinct()[0] if found else np.zeros(0, np.int64)
-            yield from finish(rows, _kept(pieces, _flags(pieces, kind, _ids(rows), found)))
+            yield from finish(rows.combine_chunks(), _kept(pieces, _flags(pieces, kind, _ids(rows), found)))
 
-        rows, found, now = None, [], None
+        # parts below zero are the documents, the others the answers to them
+        rows, found, now = [], [], None
         for batch in batches:
-            for number, part, packed in zip(*(batch.column(c).to_pylist() for c in ("batch", "part", "packed")), strict=True):
-                if part == 0:
-                    if rows is not None:
-                        yield from done(rows, found)
-                    rows, found, now = _unpack(packed), [], number
-                elif number != now:
+            for number, part, packed in zip(*(batch.column(c) for c in ("batch", "part", "packed")), strict=True):
+                number, part = number.as_py(), part.as_py()
+                if number != now:
+                    if rows:
+                        yield from done(pa.concat_tables(rows), found)
+                    rows, found, now = [], [], number
+                if part < 0:
+                    rows.append(_unpack(packed.as_buffer()))
+                elif not rows:
                     raise RuntimeError("the documents came in another order when they were read again; give a stored table")
                 else:
-                    found.append(_unpack(packed))
-        if rows is not None:
-            yield from done(rows, found)
+                    found.append(_unpack(packed.as_buffer()))
+        if rows:
+            yield from done(pa.concat_tables(rows), found)
 
     packed = docs.select("__id", "__text").mapInArrow(first_level, "bucket long, number long, packed binary")
     for level in range(1, levels):
