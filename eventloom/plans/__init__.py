@@ -1,7 +1,7 @@
 """All registered queries."""
 
-from . import aggregates, crosssections, joins, scalars, sources, windows
+from . import aggregates, crosssections, joins, scalars, sources, streams, windows
 from .crosssections import flagship
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "aggregates", "crosssections", "flagship", "joins", "scalars", "sources", "windows"]
+__all__ = ["QUERIES", "SQL", "aggregates", "crosssections", "flagship", "joins", "scalars", "sources", "streams", "windows"]
