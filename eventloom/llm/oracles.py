@@ -59,8 +59,7 @@ j{_d} AS (SELECT host, t, s{_d}, CASE WHEN s{_d} = '' THEN '' WHEN kids > 8 AND
     ELSE '/' || s{_d} END AS part FROM k{_d} JOIN p{_d} USING (host, t)),
 c{_d} AS (SELECT host, s1, s2, s3, n, b, l, t || part AS t FROM c{_d - 1} JOIN j{_d} USING (host, t, s{_d})),"""
 URLS += """
-g AS (SELECT (coalesce(sum(b), 0) + 1.0::DOUBLE) / (coalesce(sum(l), 0) + 2.0::DOUBLE) AS g FROM c3),
-q AS (SELECT host, t, (sum(b) + 4.0::DOUBLE * any_value(g)) / (sum(l) + 4.0::DOUBLE) AS purity FROM c3, g GROUP BY host, t),
+q AS (SELECT host, t, (sum(b) + 2.0::DOUBLE) / (sum(l) + 4.0::DOUBLE) AS purity FROM c3 GROUP BY host, t),
 m AS (SELECT host, s1, s2, s3, purity FROM c3 JOIN q USING (host, t))
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict FROM s LEFT JOIN m USING (host, s1, s2, s3)
 """
