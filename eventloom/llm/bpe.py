@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textcols import python_path
+from .textcols import prepare_workers
 from .tokens import ChunkEncoder, encoded_parts, load_ranks, rank_encoder
 
 
@@ -22,7 +22,7 @@ def _tools(path: str, pattern: str) -> tuple[ChunkEncoder, dict[int, bytes]]:
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and the ids of each whole text (array of int); null texts are empty. `path` must be readable on every worker."""
-    python_path(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = _tools(path, pattern)
@@ -34,7 +34,7 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def decoded(encodings: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and the bytes that `ids` stand for; null ids are empty, an id outside the file is an error."""
-    python_path(encodings.sparkSession)
+    prepare_workers(encodings.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, tokens = _tools(path, pattern)
@@ -46,7 +46,7 @@ def decoded(encodings: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, encoded and decoded in one pass."""
-    python_path(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tokens = _tools(path, pattern)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textcols import python_path, runs, stored
+from .textcols import prepare_workers, runs, stored
 
 #: Rows of a shard, of a leaf of its tree and of a block of queries; shards that one task searches one after the other.
 SHARD_ROWS, LEAF_ROWS, BLOCK_ROWS, CHAIN = 4096, 256, 512, 16
@@ -136,7 +136,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     every block visits every shard, CHAIN shards in one task, where the k-th score found so far prunes the next trees. Ids must be unique.
     """
     spark = vectors.sparkSession
-    python_path(spark)
+    prepare_workers(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "vec_id long, size int, vector binary"
     points = stored(vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_quantised, schema))

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcols import python_path, stored
+from .textcols import prepare_workers, stored
 from .tokens import ChunkEncoder, encoded_parts, library_encoder
 
 LENGTH, END_ID = 2048, 1
@@ -76,7 +76,7 @@ def packed(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
     merged at the end, whole windows at a time. Ids of sequences are unique, not consecutive; repeated rows are packed each.
     """
     spark = docs.sparkSession
-    python_path(spark)
+    prepare_workers(spark)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcols import passes, python_path
+from .textcols import passes, prepare_workers
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fields of a segment and of a cluster that is decoded at once (longer clusters are cut between words); documents that weights are learnt from.
@@ -199,7 +199,7 @@ def learn(examples: list[tuple[list[tuple[int, int, str]], list[tuple[int, int,
 
 def fit(docs: DataFrame, rows: int = FIT_DOCS) -> dict[str, list[float]]:
     """Weights from the clusters of at most `rows` documents, those with the smallest hash of doc_id."""
-    python_path(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     chosen = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

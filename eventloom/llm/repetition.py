@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textcols import _IS_SPACE, Words, passes, python_path, split_words, text_buffer
+from .textcols import _IS_SPACE, Words, passes, prepare_workers, split_words, text_buffer
 
 #: A repeat counts from LEAST words on; repeats may cover MAX_COVERED of a document's words, and the longest may have MAX_LONGEST words.
 LEAST, MAX_COVERED, MAX_LONGEST = 8, 0.3, 300
@@ -131,7 +131,7 @@ def repetition_rules(docs: DataFrame, max_covered: float = MAX_COVERED, max_long
     n_covered: words in repeated substrings of LEAST or more words; longest_repeat: words of the longest; n_maximal: how many there are. A text
     is kept if it doesn't fail the base rules and stays within both limits. Null texts have no words and fail.
     """
-    python_path(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "longest_repeat", "n_maximal"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

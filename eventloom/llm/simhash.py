@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .textcols import joined_words, passes, python_path, runs, split_words, stored, text_buffer
+from .textcols import joined_words, passes, prepare_workers, runs, split_words, stored, text_buffer
 
 SHINGLE, BUDGET, SEED = 3, 3, 42
 #: Fingerprints that agree on a 16-bit block meet in one group; larger groups are dealt out once more by a second block of 12 bits.
@@ -163,7 +163,7 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     component_id is the smallest doc_id reachable over links. Null and wordless texts have fingerprint 0 and are linked like any other. Rows
     repeated with one doc_id each get their row. Null ids are passed over: such a row gets the id of its group, null if that has none.
     """
-    python_path(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     prints = stored(docs.select("doc_id", "text").mapInArrow(_fingerprint_rows, "doc_id long, fp long"))
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
     found = components(links(nodes.where("node IS NOT NULL")))

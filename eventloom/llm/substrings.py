@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcols import Words, joined_words, passes, python_path, runs, split_words, text_buffer
+from .textcols import Words, joined_words, passes, prepare_workers, runs, split_words, text_buffer
 
 #: Words of a window, and of the runs inside it among which the one with the smallest hash is its minimiser.
 WINDOW, SUB = 13, 3
@@ -178,7 +178,7 @@ def _kept(pieces: _Pieces, gone: np.ndarray) -> Iterator[tuple[int, int, bytes]]
 def _process(docs: DataFrame, finish, schema: str) -> DataFrame:
     """Runs the exchange and gives finish(rows of a batch, iterator of _kept) to the result; docs has __id and __text."""
     spark = docs.sparkSession
-    python_path(spark)
+    prepare_workers(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     volume = docs.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     buckets = max(tasks, math.ceil(3 * volume / BUCKET_BYTES))

@@ -110,11 +110,17 @@ def runs(batches: Iterator[pa.RecordBatch], key: str, least_rows: int = 20_000)
         yield pa.Table.from_batches(held)
 
 
-def python_path(spark: SparkSession) -> None:
-    """Lets this session's Python workers import the package from where the driver has it (a cluster installs it or gets --py-files)."""
+def prepare_workers(spark: SparkSession) -> None:
+    """Settings for this session's Python workers, which live from task to task; what is set already stays.
+
+    They import the package from where the driver has it (a cluster installs it or gets --py-files), and give freed arrays back to the system
+    instead of keeping the memory of their largest task.
+    """
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in (have := env.get("PYTHONPATH", "")).split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+    for name, value in (("MALLOC_MMAP_THRESHOLD_", "16000000"), ("MALLOC_TRIM_THRESHOLD_", "64000000"), ("MALLOC_ARENA_MAX", "2"), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
+        env.setdefault(name, value)
 
 
 def shared_folder(spark: SparkSession) -> str:

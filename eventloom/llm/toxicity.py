@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textcols import Words, passes, python_path, split_words, text_buffer
+from .textcols import Words, passes, prepare_workers, split_words, text_buffer
 
 #: Hashed feature space: 2 ** BITS coordinates, so weights never exceed 2 MB.
 BITS = 18
@@ -90,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows:
     A document with several labels counts as toxic if one says so; null labels are ignored; without labels there are no weights, and every
     score is 0.5. `rows` bounds what is broadcast and what the one fitting task reads.
     """
-    python_path(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     chosen = chosen if usable is None else chosen.where(usable)
     chosen = chosen.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label")).withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(rows)
@@ -101,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows:
 
 def scorer(spark: SparkSession, weights: dict[int, float]) -> Callable[[pa.Array], np.ndarray]:
     """A function from a text column to scores; the weights travel as one broadcast of at most 2 ** BITS doubles."""
-    python_path(spark)
+    prepare_workers(spark)
     dense = np.zeros(1 << BITS)
     dense[list(weights)] = list(weights.values())
     sent = spark.sparkContext.broadcast(dense)
