@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcols import Words, joined_words, passes, prepare_workers, runs, split_words, text_buffer
+from .textcols import Words, joined_words, passes, prepare_workers, runs, split_words, stored, text_buffer
 
 #: Words of a window, and of the runs inside it among which the one with the smallest hash is its minimiser.
 WINDOW, SUB = 13, 3
@@ -22,6 +22,9 @@ WINDOW, SUB = 13, 3
 BATCH_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 #: Text of a batch that travels in one row.
 ROW_BYTES = 1 << 20
+#: A minimiser is frequent if it has this share of all pieces or, with few buckets, a quarter of a bucket's; its windows travel each alone, by a
+#: hash of all their words. So at most 2 / FREQUENT minimisers are broadcast.
+FREQUENT = 1e-4
 #: A task deals out to this many buckets at a time; more buckets are reached in several levels, so that packed pieces stay large.
 FAN_OUT = 1024
 _ZSTD = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
@@ -39,9 +42,12 @@ def _unpack(packed: pa.Buffer) -> pa.Table:
 
 
 class _Pieces:
-    """The super-k-mers of consecutive documents: maximal runs of windows of a document whose minimiser is the same."""
+    """The super-k-mers of consecutive documents: maximal runs of windows of a document whose minimiser is the same.
 
-    def __init__(self, text: pa.Array):
+    Windows of the minimisers in `frequent` (sorted) are keyed by all their words instead, which makes each a piece of its own.
+    """
+
+    def __init__(self, text: pa.Array, frequent: np.ndarray):
         self.words: Words = (words := split_words(*text_buffer(text)))
         n, at = len(words.values), words.doc_offsets
         #: word i is joined[start[i]:end[i]]; one space stands behind each word
@@ -66,6 +72,12 @@ class _Pieces:
             least = np.minimum(least[:-step], least[step:])
             width += step
         mini = least[first]
+        if len(frequent):
+            alone = np.flatnonzero(frequent[np.minimum(np.searchsorted(frequent, mini), len(frequent) - 1)] == mini)
+            whole = np.zeros(len(alone), np.uint64)
+            for k in range(WINDOW):
+                whole = (whole ^ (whole >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25) + own[first[alone] + k]
+            mini[alone] = (whole ^ (whole >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         new = np.flatnonzero((np.diff(self.doc, prepend=-1) != 0) | np.append(True, mini[1:] != mini[:-1]))
         #: first word, number of windows, minimiser and document of each piece
         self.first, self.length, self.mini, self.doc = first[new], np.diff(np.append(new, len(first))), mini[new], self.doc[new]
@@ -175,18 +187,43 @@ def _kept(pieces: _Pieces, gone: np.ndarray) -> Iterator[tuple[int, int, bytes]]
         yield int(at[d + 1] - at[d]), r, (part[keep[edges[d] : edges[d + 1]]] if r else part)[:-1].tobytes()
 
 
+def _frequent(docs: DataFrame, tasks: int) -> tuple[int, np.ndarray]:
+    """(buckets, sorted frequent minimisers) of all documents, by one pass that counts the pieces of each batch.
+
+    Batches report a minimiser from half of its share on, so what is frequent overall is reported by those that hold at least half of it.
+    """
+
+    def counts(batches):
+        for batch in batches:
+            for part in passes(batch, "__text", BATCH_BYTES):
+                mini = _Pieces(part.column("__text"), np.zeros(0, np.uint64)).mini
+                values, n = np.unique(mini, return_counts=True)
+                keep = n >= max(2, FREQUENT / 2 * len(mini))
+                size = len(mini)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(0, values[keep].view(np.int64))), pa.array(np.append(size, n[keep])), pa.array(np.append(part.column("__text").nbytes, np.zeros(keep.sum(), np.int64)))], ["mini", "n", "bytes"])
+
+    found = stored(docs.select("__text").mapInArrow(counts, "mini long, n long, bytes long").groupBy("mini").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")))
+    total = found.where("mini = 0").first()
+    if total is None:
+        return tasks, np.zeros(0, np.uint64)
+    buckets = max(tasks, math.ceil(3 * total.bytes / BUCKET_BYTES))
+    share = max(FREQUENT, 1 / (4 * buckets))
+    rows = found.where((F.col("mini") != 0) & (F.col("n") >= share / 2 * total.n)).select("mini").collect()
+    return buckets, np.sort(np.array([r.mini for r in rows], np.int64).view(np.uint64))
+
+
 def _process(docs: DataFrame, finish, schema: str) -> DataFrame:
     """Runs the exchange and gives finish(rows of a batch, iterator of _kept) to the result; docs has __id and __text."""
     spark = docs.sparkSession
     prepare_workers(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    volume = docs.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
-    buckets = max(tasks, math.ceil(3 * volume / BUCKET_BYTES))
+    buckets, frequent = _frequent(docs, tasks)
+    frequent = spark.sparkContext.broadcast(frequent)
     levels = max(1, math.ceil(math.log(buckets, FAN_OUT)))
 
     def first_level(batches):
         for number, table in _batches(batches):
-            pieces = _Pieces(table.column("__text").combine_chunks())
+            pieces = _Pieces(table.column("__text").combine_chunks(), frequent.value)
             if not len(pieces.first):
                 continue
             kind, words = pieces.distinct()
@@ -234,7 +271,7 @@ def _process(docs: DataFrame, finish, schema: str) -> DataFrame:
 
     def apply(batches):
         def done(rows, found):
-            pieces = _Pieces(rows.column("__text").combine_chunks())
+            pieces = _Pieces(rows.column("__text").combine_chunks(), frequent.value)
             kind = pieces.distinct()[0] if found else np.zeros(0, np.int64)
             yield from finish(rows.combine_chunks(), _kept(pieces, _flags(pieces, kind, _ids(rows), found)))
 
