@@ -200,7 +200,7 @@ def learn(examples: list[tuple[list[tuple[int, int, str]], list[tuple[int, int,
 def fit(docs: DataFrame, rows: int = FIT_DOCS) -> dict[str, list[float]]:
     """Weights from the clusters of at most `rows` documents, those with the smallest hash of doc_id."""
     prepare_workers(docs.sparkSession)
-    chosen = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

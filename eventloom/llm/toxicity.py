@@ -19,7 +19,7 @@ BITS = 18
 THRESHOLD = 0.7
 #: The classifier is fitted on at most this many labelled rows, those with the smallest hash of doc_id.
 FIT_ROWS = 16_000
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 1.0, 1.0, 6.0, 0.5
+EPOCHS, ALPHA, BETA, L1, L2 = 4, 2.0, 1.0, 10.0, 0.2
 
 #: A-Z to lower case; ASCII signs separate words.
 _FOLD = np.arange(256, dtype=np.uint8)
