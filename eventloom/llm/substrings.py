@@ -71,7 +71,9 @@ class _Pieces:
             step = min(width, wide - width)
             least = np.minimum(least[:-step], least[step:])
             width += step
-        mini = least[first]
+        # smallest hashes crowd near zero, and buckets are ranges of the key: mixed once more, keys are even again
+        mini = least[first] * np.uint64(0xFF51AFD7ED558CCD)
+        mini ^= mini >> np.uint64(33)
         if len(frequent):
             alone = np.flatnonzero(frequent[np.minimum(np.searchsorted(frequent, mini), len(frequent) - 1)] == mini)
             whole = np.zeros(len(alone), np.uint64)
