@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .textcols import prepare_workers, runs, stored
 
-#: Rows of a shard, of a leaf of its tree and of a block of queries; shards that one task searches one after the other.
-SHARD_ROWS, LEAF_ROWS, BLOCK_ROWS, CHAIN = 4096, 256, 512, 16
+#: Rows of a shard, of a leaf of its tree and of a block of queries.
+SHARD_ROWS, LEAF_ROWS, BLOCK_ROWS = 8192, 256, 512
 SCALE = 256
 
 
@@ -66,64 +66,71 @@ class _Tree:
         self.low, self.high = np.array([n[0] for n in nodes]), np.array([n[1] for n in nodes])
         self.range, self.right = [(n[2], n[3]) for n in nodes], [n[4] for n in nodes]
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, best: list[list[tuple]], k: int) -> None:
-        """Improves best[q], a heap of (score, -vec_id) of at most k, for each query; its least score is the bound from which on nodes count."""
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(query, vec_id, score) of the k best points of each query, nodes with the highest bounds first.
+
+        least: a score that k points are known to reach; only points at or above it count, and it prunes nodes from the start.
+        """
         kind = _exact(self.points, queries)
         q, points = queries.astype(kind), self.points.astype(kind)
         bounds = np.maximum(q, 0) @ self.high.astype(kind).T + np.minimum(q, 0) @ self.low.astype(kind).T
         for i in range(len(q)):
-            top, bound, me = best[i], bounds[i], query_ids[i]
+            top: list[tuple[int, int]] = []
+            bound, me, limit = bounds[i], query_ids[i], int(least[i])
             open_nodes = [(-bound[0], 0)]
             while open_nodes:
                 most, node = heapq.heappop(open_nodes)
-                if len(top) == k and -most < top[0][0]:
+                if -most < limit:
                     break
                 if self.right[node] >= 0:
                     for child in (node + 1, self.right[node]):
-                        if len(top) < k or bound[child] >= top[0][0]:
+                        if bound[child] >= limit:
                             heapq.heappush(open_nodes, (-bound[child], child))
                     continue
                 a, b = self.range[node]
                 scores = points[a:b] @ q[i]
-                for x in np.flatnonzero(scores >= top[0][0]) if len(top) == k else range(b - a):
+                for x in np.flatnonzero(scores >= limit):
                     if (other := self.ids[a + x]) != me:
                         entry = (int(scores[x]), -int(other))
                         if len(top) < k:
                             heapq.heappush(top, entry)
                         elif entry > top[0]:
                             heapq.heapreplace(top, entry)
+                        if len(top) == k:
+                            limit = max(limit, top[0][0])
+            yield from ((int(me), -v, s) for s, v in top)
 
 
-def _search(k: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, queries, best = None, None, None, []
+#: Below every score: what a query knows before its first shard.
+NOTHING = -(1 << 62)
 
-        def result():
-            pairs = [(int(q), -v, s) for q, top in zip(ids, best, strict=True) for s, v in top]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*pairs, strict=True)) or [()] * 3)], ["query_id", "vec_id", "score"])
 
+def _search(k: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, tree = None, None
         for batch in batches:
-            for key, size, shard_ids, shard, block_ids, block in zip(*(batch.column(c).to_pylist() for c in ("key", "size", "ids", "points", "query_ids", "queries")), strict=True):
-                if key != now:
-                    if now is not None:
-                        yield result()
-                    now, ids, queries = key, np.array(block_ids), np.frombuffer(block, np.int64).reshape(len(block_ids), size)
-                    best = [[] for _ in block_ids]
-                _Tree(np.array(shard_ids), np.frombuffer(shard, np.int64).reshape(len(shard_ids), size)).search(ids, queries, best, k)
-        if now is not None:
-            yield result()
+            for now, size, ids, body, least in zip(*(batch.column(c) for c in ("place", "size", "ids", "body", "least")), strict=True):
+                numbers = ids.values.to_numpy()
+                vectors = np.frombuffer(body.as_buffer(), np.int64).reshape(len(numbers), size.as_py())
+                if not least.is_valid:
+                    place, tree = now.as_py(), _Tree(numbers, vectors)
+                elif now.as_py() == place:
+                    found = list(zip(*tree.search(numbers, vectors, k, least.values.to_numpy()), strict=True)) or [()] * 3
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["query_id", "vec_id", "score"])
 
     return rows
 
 
-def _gathered(ids: str, points: str):
+def _gathered(queries: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "place"):
             place = table.column("place").combine_chunks().to_numpy()
             bounds = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)]
             own, size, vector = table.column("vec_id").to_numpy(), table.column("size").to_numpy(), table.column("vector").to_pylist()
             cut = list(zip(bounds[:-1], bounds[1:], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([int(place[a]) for a, _ in cut], pa.int64()), pa.array([int(size[a]) for a, _ in cut], pa.int32()), pa.array([own[a:b].tolist() for a, b in cut], pa.list_(pa.int64())), pa.array([b"".join(vector[a:b]) for a, b in cut], pa.binary())], ["place", "size", ids, points])
+            known = table.column("least").to_pylist() if queries else None
+            least = pa.array([known[a:b] if queries else None for a, b in cut], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([int(place[a]) for a, _ in cut], pa.int64()), pa.array([int(size[a]) for a, _ in cut], pa.int32()), pa.array([own[a:b].tolist() for a, b in cut], pa.list_(pa.int64())), pa.array([b"".join(vector[a:b]) for a, b in cut], pa.binary()), least], ["place", "size", "ids", "body", "least"])
 
     return rows
 
@@ -132,8 +139,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score: for each row of `queries` the k rows of `vectors` (vec_id, embedding) with the highest integer scores.
 
     Components x count as floor(256 * x). Vectors that are null, hold null or non-finite components or have no id take no part, and only vectors
-    of one length meet. A query's own id is left out; ties go to the smaller vec_id. Shards and query blocks are dealt out by hash of the id;
-    every block visits every shard, CHAIN shards in one task, where the k-th score found so far prunes the next trees. Ids must be unique.
+    of one length meet. A query's own id is left out; ties go to the smaller vec_id. Ids must be unique.
+
+    Candidates form shards and queries blocks, both by hash of the id. Each shard's tree is built in one task, once for each of two rounds: first
+    every block visits one shard, which gives a k-th score for each query; with that as bound, every block then visits every shard.
     """
     spark = vectors.sparkSession
     prepare_workers(spark)
@@ -142,18 +151,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     points = stored(vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_quantised, schema))
     asked = stored(queries.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_quantised, schema))
 
-    def placed(df: DataFrame, rows: int, ids: str, body: str) -> tuple[DataFrame, int]:
+    def gathered(df: DataFrame, rows: int, queries: bool) -> tuple[DataFrame, int]:
         n = max(1, math.ceil(df.count() / rows))
-        # the place holds the vector's length too, so that only vectors of one length share a shard
+        # the place holds the vector's length too, so that only vectors of one length meet
         place = F.col("size").cast("long") * (1 << 32) + F.pmod(F.xxhash64("vec_id"), F.lit(n))
         dealt = df.withColumn("place", place).repartition(min(n, 10 * tasks), "place").sortWithinPartitions("place", "vec_id")
-        return dealt.mapInArrow(_gathered(ids, body), f"place long, size int, {ids} array<long>, {body} binary"), n
-
-    shards, n = placed(points, SHARD_ROWS, "ids", "points")
-    blocks, m = placed(asked, BLOCK_ROWS, "query_ids", "queries")
-    visits = blocks.select(F.col("place").alias("block"), "size", "query_ids", "queries", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard"))
-    visits = visits.select("block", "query_ids", "queries", (F.col("size").cast("long") * (1 << 32) + F.col("shard")).alias("place"), F.concat_ws(":", "block", F.floor(F.col("shard") / CHAIN)).alias("key"))
-    pairs = shards.join(visits, "place").select("key", "place", "size", "ids", "points", "query_ids", "queries")
-    found = pairs.repartition(max(1, min(math.ceil(n / CHAIN) * m, 10 * tasks)), "key").sortWithinPartitions("key", "place").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+        return dealt.mapInArrow(_gathered(queries), "place long, size int, ids array<long>, body binary, least array<long>"), n
+
+    shards, n = gathered(points, SHARD_ROWS, False)
+    shards = stored(shards)
+
+    def visited(blocks: DataFrame) -> DataFrame:
+        both = shards.unionByName(blocks).repartition(min(n, 10 * tasks), "place")
+        # a shard has no bounds, and nulls come first
+        return both.sortWithinPartitions("place", F.asc_nulls_first("least")).mapInArrow(_search(k), "query_id long, vec_id long, score long")
+
+    at = lambda shard: F.col("size").cast("long") * (1 << 32) + shard
+    blocks, _ = gathered(asked.withColumn("least", F.lit(NOTHING)), BLOCK_ROWS, True)
+    first = visited(blocks.withColumn("place", at(F.pmod(F.xxhash64("place"), F.lit(n)))))
+    known = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(NOTHING)).alias("least"))
+    bounded = asked.join(known.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(NOTHING)))
+    blocks, _ = gathered(stored(bounded), BLOCK_ROWS, True)
+    found = visited(blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("place", at(F.col("shard"))).drop("shard"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
