@@ -1,0 +1,257 @@
+"""Near-duplicates by the exact Jaccard similarity of their word shingles: candidates by prefixes, linked without all pairs of a group.
+
+Two sets of n shingles or more that are alike by SIMILARITY share one of the first n // 5 + 1 of either, in whatever order all sets have in
+common (rare shingles first, here). So documents that share no such shingle never meet, and no link is missed.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .components import components
+from .simhash import _LOWER
+from .textcols import passes, prepare_workers, runs, split_words, stored, text_buffer
+
+#: Documents are linked if their sets of SHINGLE words are alike by SIMILARITY, a fraction.
+SHINGLE, SIMILARITY = 5, (4, 5)
+#: In a group of documents with one prefix shingle, each meets so many that follow it; larger groups are looked at again, across components.
+NEXT = 4
+#: Postings that travel in one go and that a bucket is meant to hold.
+DEAL_ROWS, BUCKET_ROWS = 1 << 20, 1 << 20
+#: Of one document in SAMPLE the shingles are counted, and those seen FREQUENT times and more (at most MOST of them) come last in the order.
+SAMPLE, FREQUENT, MOST = 8, 3, 100_000
+#: Bits of a document's parity map, of which two sets differ in no more than they have shingles that are not in both.
+BITS = 1024
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
+
+
+def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, offsets): the sorted distinct shingle hashes (uint64) of each text, in lower case.
+
+    A text under SHINGLE words is one shingle, a text without words the shingle 0.
+    """
+    data, offsets = text_buffer(column)
+    words = split_words(_LOWER[data], offsets)
+    n, at = len(words.values), words.doc_offsets
+    count = np.diff(at)
+    coded = words.values.dictionary_encode()
+    own = np.append(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))[coded.indices.to_numpy()], np.uint64(0))
+    shingles = np.maximum(count - SHINGLE + 1, 1)
+    doc = np.repeat(np.arange(len(count)), shingles)
+    first = np.arange(len(doc)) - np.repeat(np.cumsum(shingles) - shingles, shingles) + at[doc]
+    h = np.zeros(len(doc), np.uint64)
+    for k in range(SHINGLE):
+        live = first + k < at[doc + 1]
+        h = np.where(live, _mixed(h) + own[np.minimum(first + k, n)], h)
+    h = _mixed(h ^ (h >> np.uint64(32)))
+    h ^= h >> np.uint64(31)
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], np.append(0, np.cumsum(np.bincount(doc[new], minlength=len(count))))
+
+
+def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, shingles, offsets, node): node is a hash of the set, so equal sets are one node."""
+    for batch in batches:
+        for part in passes(batch):
+            values, at = shingle_sets(part.column("text"))
+            raw, ends = values.tobytes(), (8 * at).tolist()
+            node = np.frombuffer(b"".join(hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(ends[:-1], ends[1:], strict=True)), np.int64)
+            yield part, values, at, node
+
+
+def _node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, values, at, node in _set_rows(batches):
+        doc = np.repeat(np.arange(len(node)), np.diff(at))
+        count = np.zeros(len(node) * BITS, np.uint8)
+        np.add.at(count, doc * BITS + (values % np.uint64(BITS)).astype(np.int64), np.uint8(1))
+        bits = pa.array([x.tobytes() for x in np.packbits(count.reshape(-1, BITS) & 1, axis=1)], pa.binary())
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node), pa.array(np.diff(at)), bits], ["doc_id", "node", "n", "bits"])
+
+
+def _whole_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, values, at, node in _set_rows(batches):
+        sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.diff(at)), sets], ["node", "n", "shingles"])
+
+
+def _sampled_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, values, _, _ in _set_rows(batches):
+        found, n = np.unique(values.view(np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["shingle", "n"])
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin, and the end."""
+    n = len(keys[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.append(np.flatnonzero(new), n)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> pa.RecordBatch:
+    """Pairs, each once, whose sizes let them be alike."""
+    fit = SIMILARITY[1] * np.minimum(size_a, size_b) >= SIMILARITY[0] * np.maximum(size_a, size_b)
+    both = np.unique(np.stack([np.minimum(a, b)[fit], np.maximum(a, b)[fit]], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
+
+
+def _groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Postings (shingle, node, n), each once and in order, and where their groups begin."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    rows = rows[_starts(rows[:, 0], rows[:, 1])[:-1]]
+    return rows, _starts(rows[:, 0])
+
+
+def _first_pairs(rows: np.ndarray) -> pa.RecordBatch:
+    """Pairs of each document with the NEXT that follow it in its groups: all pairs of a group of NEXT + 1 and fewer."""
+    rows, starts = _groups(rows)
+    end = np.repeat(starts[1:], np.diff(starts))
+    found = [(i, i + k) for k in range(1, NEXT + 1) for i in [np.flatnonzero(np.arange(len(rows)) + k < end)]]
+    i, j = (np.concatenate([f[x] for f in found]) for x in (0, 1))
+    return _pairs(rows[i, 1], rows[j, 1], rows[i, 2], rows[j, 2])
+
+
+def _large(rows: np.ndarray) -> np.ndarray:
+    rows, starts = _groups(rows)
+    return rows[np.repeat(np.diff(starts) > NEXT + 1, np.diff(starts))]
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for table in runs(batches, "bucket", 1):
+        bucket, packed = table.column("bucket").to_numpy(), table.column("packed")
+        starts = _starts(bucket).tolist()
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            yield np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 3) for x in packed.slice(a, b - a)])
+
+
+def _met_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First pairs (u, v), and the postings (shingle, u as node, v as n) of larger groups."""
+    for rows in _buckets(batches):
+        u, v = _first_pairs(rows).columns
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), u, v], ["shingle", "u", "v"])
+        rows = _large(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(3)], ["shingle", "u", "v"])
+
+
+def _cross_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of a group whose documents are in different components, some documents at a time."""
+    for table in runs(batches, "shingle"):
+        shingle, node, n, root = (table.column(c).to_numpy() for c in ("shingle", "node", "n", "root"))
+        starts = _starts(shingle).tolist()
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            if (root[a:b] == root[a]).all():
+                continue
+            step = max(1, (1 << 20) // (b - a))
+            for c in range(a, b, step):
+                i, j = np.nonzero((root[c : min(c + step, b), None] != root[None, a:b]) & (node[c : min(c + step, b), None] < node[None, a:b]))
+                i, j = i + c, j + a
+                if len(i):
+                    yield _pairs(node[i], node[j], n[i], n[j])
+
+
+def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose parity maps let them be alike."""
+    for batch in batches:
+        if batch.num_rows:
+            maps = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("b_u", "b_v")]
+            apart = np.bitwise_count(maps[0] ^ maps[1]).sum(1, dtype=np.int64)
+            fit = (SIMILARITY[0] + SIMILARITY[1]) * apart <= (SIMILARITY[1] - SIMILARITY[0]) * (batch.column("n_u").to_numpy() + batch.column("n_v").to_numpy())
+            yield batch.select(["u", "v"]).filter(pa.array(fit))
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Of pairs (u, v) of nodes those whose sets are alike; only documents whose parity maps let them be in one are read."""
+    one = lambda x: prints.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"b_{x}"))
+    pairs = stored(pairs.distinct().join(one("u"), "u").join(one("v"), "v").mapInArrow(_fit_rows, "u long, v long"))
+    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    ids = prints.join(nodes, "node").select("doc_id").distinct()
+    sets = stored(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_whole_rows, "node long, n long, shingles array<long>"))
+    one = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}"))
+    both, (p, q) = F.size(F.array_intersect("s_u", "s_v")), SIMILARITY
+    return pairs.join(one("u"), "u").join(one("v"), "v").where((p + q) * both >= p * (F.col("n_u") + F.col("n_v"))).select("u", "v").distinct()
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id for every row of `docs` (doc_id, text) with an id.
+
+    component_id is the smallest doc_id that can be reached over pairs of texts with a Jaccard similarity of SIMILARITY and more. Null and
+    wordless texts are alike.
+    """
+    spark = docs.sparkSession
+    prepare_workers(spark)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    prints = stored(docs.mapInArrow(_node_rows, "doc_id long, node long, n long, bits binary"))
+    nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    total = nodes.agg(F.sum(F.floor(F.col("n") / SIMILARITY[1]) + 1)).first()[0] or 0
+    buckets = max(tasks, math.ceil(total / BUCKET_ROWS))
+    seen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(_sampled_rows, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    seen = stored(seen.where(F.col("n") >= FREQUENT))
+    least, so_far = FREQUENT, 0
+    for r in sorted(seen.groupBy("n").count().collect(), reverse=True):
+        so_far += r["count"]
+        if so_far > MOST:
+            least = r.n + 1
+            break
+    often = spark.sparkContext.broadcast(np.sort(np.array([r.shingle for r in seen.where(F.col("n") >= least).collect()], np.int64)))
+
+    def deal(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(rows)
+        bucket = (rows[:, 0].view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = rows[order], bucket[order]
+        starts = _starts(bucket)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[starts[:-1]].astype(np.int64)), pa.array([rows[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], ["bucket", "packed"])
+
+    def prefixes(batches):
+        held, size, late = [], 0, often.value
+        for _, values, at, node in _set_rows(batches):
+            values, n = values.view(np.int64), np.diff(at)
+            doc = np.repeat(np.arange(len(n)), n)
+            last = late[np.minimum(np.searchsorted(late, values), len(late) - 1)] == values if len(late) else np.zeros(len(values), bool)
+            order = np.lexsort((values, last, doc))
+            kept = order[np.arange(len(order)) - at[doc] <= (n // SIMILARITY[1])[doc]]
+            held.append(np.stack([values[kept], node[doc[kept]], n[doc[kept]]], 1))
+            size += len(kept)
+            if size >= DEAL_ROWS:
+                yield from deal(held)
+                held, size = [], 0
+        if size:
+            yield from deal(held)
+
+    # of documents with equal sets one is enough
+    own = docs.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi")
+    packed = own.select("doc_id", "text").mapInArrow(prefixes, "bucket long, packed binary")
+    met = stored(packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_met_rows, "shingle long, u long, v long"))
+    edges = stored(_alike(met.where("shingle IS NULL").select("u", "v"), docs, nodes))
+    large = met.where("shingle IS NOT NULL").select("shingle", F.col("u").alias("node"), F.col("v").alias("n"))
+    found = components(edges)
+    rooted = large.join(found, "node", "left").select("shingle", "node", "n", F.coalesce("component", "node").alias("root"))
+    cross = rooted.repartition(tasks, "shingle").sortWithinPartitions("shingle").mapInArrow(_cross_rows, "u long, v long")
+    more = stored(_alike(cross, docs, nodes))
+    found = components(edges.unionByName(more)) if more.head(1) else found
+    roots = stored(nodes.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("root")))
+    ids = roots.join(roots.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
+    return prints.join(ids, "node").select("doc_id", "component_id")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """`docs` without the documents that have a linked one with a smaller doc_id; all columns stay, and so do rows without an id."""
+    gone = similar_groups(docs).where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
