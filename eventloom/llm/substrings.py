@@ -93,12 +93,18 @@ class _Pieces:
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """(number, rows): consecutive rows with about BATCH_BYTES of text. The number tells task and place, so a second reading gives the same."""
+    """(number, rows): consecutive rows with about BATCH_BYTES of text. The number tells task and place, so a second reading gives the same.
+
+    Borders depend on the rows and their bytes of text alone, not on where Arrow batches end, which other columns shift.
+    """
     held, size, number = [], 0, TaskContext.get().partitionId() << 32
     for batch in batches:
-        for part in passes(batch, "__text", ROW_BYTES):
-            held.append(part)
-            size += part.column("__text").nbytes
+        ends, at = text_buffer(batch.column("__text"))[1], 0
+        while at < batch.num_rows:
+            to = min(int(np.searchsorted(ends, ends[at] + BATCH_BYTES - size)), batch.num_rows)
+            held.append(batch.slice(at, to - at))
+            size += int(ends[to] - ends[at])
+            at = to
             if size >= BATCH_BYTES:
                 yield number, pa.Table.from_batches(held)
                 held, size, number = [], 0, number + 1
@@ -268,7 +274,7 @@ def _process(docs: DataFrame, finish, schema: str) -> DataFrame:
 
     def whole(batches):
         for number, table in _batches(batches):
-            for k, rows in enumerate(table.to_batches()):
+            for k, rows in enumerate(part for rows in table.to_batches() for part in passes(rows, "__text", ROW_BYTES)):
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([k - (1 << 20)], pa.int64()), pa.array([_pack(rows)], pa.binary())], ["batch", "part", "packed"])
 
     def apply(batches):

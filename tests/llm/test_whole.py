@@ -2,7 +2,7 @@
 
 import random
 
-from eventloom.llm import neardup
+from eventloom.llm import neardup, substrings
 
 from .test_texts import WORD
 
@@ -41,3 +41,26 @@ def test_near_duplicates_are_all_pairs_at_the_similarity(spark):
     want, pairs = brute_kept(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r.doc_id for r in neardup.deduplicated(docs).collect()} == want and pairs > 40 and len(want) < len(rows) - 30
+
+
+def test_substring_batches_do_not_depend_on_other_columns(spark):
+    rng = random.Random(3)
+    vocabulary = [f"word{k}" for k in range(5000)]
+    shared = [rng.choices(vocabulary, k=20) for _ in range(50)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=3000) + shared[i % 50] + rng.choices(vocabulary, k=rng.randrange(1500))), i) for i in range(400)]
+    first, want = set(), {}
+    for i, text, _ in rows:
+        w, gone = text.split(), set()
+        own = [tuple(w[k : k + 13]) for k in range(len(w) - 12)]
+        for k, x in enumerate(own):
+            if x in first:
+                gone |= set(range(k, k + 13))
+        first |= set(own)
+        want[i] = " ".join(x for k, x in enumerate(w) if k not in gone)
+    docs = substrings.stored(spark.createDataFrame(rows, "doc_id long, text string, other long").coalesce(1))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "300000")
+    try:
+        got = {r.doc_id: r.text for r in substrings.without_repeats(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert sum(len(t) for _, t, _ in rows) > 2 * substrings.BATCH_BYTES and got == want
