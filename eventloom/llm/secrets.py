@@ -56,10 +56,10 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(row, doc_id, start, end) of weak candidates with the rest of a credential within `scope` characters.
 
     That is an access key, or an identifier and an endpoint. Candidates inside a base span or an endpoint stay away. Each candidate looks into
-    the piece of text that it starts in and the two beside it, so a row meets at most what three pieces can hold.
+    all pieces of text from `scope` before its start to `scope` behind its end, so a row meets at most what those can hold.
     """
     weak = parts.where((F.col("kind") == _KIND["weak"]) & F.col("holds"))
-    weak = weak.select("row", "doc_id", "start", "end", F.explode(F.array(*(F.floor(F.col("start") / scope) + i for i in (-1, 0, 1)))).alias("piece"))
+    weak = weak.select("row", "doc_id", "start", "end", F.explode(F.sequence(F.floor((F.col("start") - 1) / scope) - 1, F.floor(F.col("end") / scope) + 1)).alias("piece"))
     others = parts.where((F.col("kind") != _KIND["weak"]) & F.col("holds"))
     others = others.select("row", F.col("kind").alias("other"), F.col("start").alias("low"), F.col("end").alias("high"), F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor((F.col("end") - 1) / scope))).alias("piece"))
     near = weak.join(others, ["row", "piece"]).where((F.col("low") <= F.col("end") + scope) & (F.col("high") >= F.col("start") - scope))

@@ -2,7 +2,7 @@
 
 import random
 
-from eventloom.llm import neardup, substrings
+from eventloom.llm import neardup, secrets, substrings
 
 from .test_texts import WORD
 
@@ -64,3 +64,25 @@ def test_substring_batches_do_not_depend_on_other_columns(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     assert sum(len(t) for _, t, _ in rows) > 2 * substrings.BATCH_BYTES and got == want
+
+
+def test_linked_secrets_do_not_depend_on_the_offset(spark):
+    weak, scope, rng, rows = secrets._KIND["weak"], 100, random.Random(1), []
+    kinds = {n: secrets._KIND[n] for n in ("access", "ident", "endpoint", "assign")}
+    for row in range(600):
+        start = rng.randrange(700)
+        end = start + rng.choice((20, 40, 250))
+        rows.append((row, row, weak, start, end, True))
+        for n, k in kinds.items():
+            if rng.random() < 0.5:
+                low = rng.choice((start - scope - 10, start - scope - 11, end + scope, end + scope + 1, end + 60, start + 210))
+                rows.append((row, row, k, max(0, low), max(0, low) + 10, True))
+    want = set()
+    for row, _, k, start, end, _ in rows:
+        if k == weak:
+            near = {o[2] for o in rows if o[0] == row and o[2] != weak and o[3] <= end + scope and o[4] >= start - scope}
+            free = all(o[4] <= start or end <= o[3] for o in rows if o[0] == row and o[2] != weak)
+            if free and (kinds["access"] in near or {kinds["ident"], kinds["endpoint"]} <= near):
+                want.add((row, row, start, end))
+    parts = spark.createDataFrame(rows, "row long, doc_id long, kind int, start long, end long, holds boolean")
+    assert {tuple(r) for r in secrets.linked(parts, scope).collect()} == want and 50 < len(want) < 500
