@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .textcols import passes, prepare_workers
 
 KINDS = ("email", "ip", "card", "phone")
-#: Fields of a segment and of a cluster that is decoded at once (longer clusters are cut between words); documents that weights are learnt from.
+#: Fields of a segment, and of an example that weights are learnt from (longer clusters give several; they are decoded whole); documents of examples.
 MAX_FIELDS, CLUSTER_FIELDS, FIT_DOCS, EPOCHS = 24, 400, 600, 4
 #: A span beyond the base ones is reported if it scores this much above leaving its fields alone.
 MARGIN = 2.0
@@ -76,14 +76,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def clusters(text: str) -> Iterator[tuple[int, list[tuple[int, int, str]]]]:
-    """(offset, fields) of the stretches that can hold entities."""
+def clusters(text: str, most: int | None = None) -> Iterator[tuple[int, list[tuple[int, int, str]]]]:
+    """(offset, fields) of the stretches that can hold entities, with at most `most` fields each."""
     if not _ANCHOR.search(text):
         return
     for m in _CLUSTER.finditer(text) if len(text) < 1 << 16 else _clusters_of_long(text):
         fields = [(m.start() + f.start(), m.start() + f.end(), f.group()) for f in _FIELD.finditer(m.group())]
-        for a in range(0, len(fields), CLUSTER_FIELDS):
-            yield fields[a][0], fields[a : a + CLUSTER_FIELDS]
+        for a in range(0, len(fields), most or len(fields)):
+            yield fields[a][0], fields[a : a + (most or len(fields))]
 
 
 class _Stretch:
@@ -206,7 +206,7 @@ def fit(docs: DataFrame, rows: int = FIT_DOCS) -> dict[str, list[float]]:
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 base = base_spans(text or "")
-                for _, fields in clusters(text or ""):
+                for _, fields in clusters(text or "", CLUSTER_FIELDS):
                     gold = _labels(fields, base)
                     yield pa.RecordBatch.from_arrays([pa.array([fields[0][0]], pa.int64()), pa.array(["".join(f[2] for f in fields)]), pa.array([[x for g in gold for x in g]], pa.list_(pa.int64()))], ["start", "text", "gold"])
 

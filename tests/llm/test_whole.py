@@ -2,7 +2,9 @@
 
 import random
 
-from eventloom.llm import neardup, secrets, substrings
+import pytest
+
+from eventloom.llm import neardup, pii, secrets, substrings
 
 from .test_texts import WORD
 
@@ -86,3 +88,11 @@ def test_linked_secrets_do_not_depend_on_the_offset(spark):
                 want.add((row, row, start, end))
     parts = spark.createDataFrame(rows, "row long, doc_id long, kind int, start long, end long, holds boolean")
     assert {tuple(r) for r in secrets.linked(parts, scope).collect()} == want and 50 < len(want) < 500
+
+
+@pytest.mark.parametrize("lead", range(192, 202))
+def test_personal_data_across_long_clusters(lead):
+    field = pii.Field({})
+    field.scores = lambda span: [0.0, 5.0 if span == "10-20-30-40" else 0.0, 0.0, 0.0]
+    text = "7 " * lead + "10-20-30-40" + " 7" * 300
+    assert pii.all_spans(text, field)[1] == [(2 * lead, 1, 2 * lead + 11)]
