@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Quote suffixes that are cut from symbols, and the one that is put back.
 PAIR_SUFFIXES, SUFFIX, LONGEST = ("USDT", "USDC", "USD", "PERP"), "USDT", 12
 #: Fixed values: (largest ATR percent below which a tier holds, round-trip cost in percent), and the cost above.
-COST_TIERS, COST_TOP = ((1.5, 0.14), (3.0, 0.24)), 0.44
+COST_TIERS, COST_TOP = ((1.5, 0.14), (3.0, 0.94)), 1.34
 
 
 def symbol(v: Column) -> Column:
@@ -27,8 +27,8 @@ def swap_symbol(v: Column) -> Column:
 
 
 def as_millis(v: Column, median: Column) -> Column:
-    """Epoch milliseconds; the unit of the column is told by its median (1e9 to 2e10 means seconds)."""
-    return F.when(median.between(1e9, 2e10), v * 1000).otherwise(v)
+    """Epoch milliseconds; the unit of the column is told by its median (from 1e9 to below 2e10 means seconds)."""
+    return F.when((median >= 1e9) & (median < 2e10), v * 1000).otherwise(v)
 
 
 def number(v: Column, blank: Column | None = None) -> Column:
@@ -84,6 +84,22 @@ def filled(px: Column, half_spread: Column, side: int, entry: bool) -> Column:
     return px * (1 + half_spread * (side if entry else -side))
 
 
+def finite(c: Column) -> Column:
+    """c, null where it is null, NaN or infinite."""
+    return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
+
+
+def share(a: Column | str, b: Column | str) -> Column:
+    """a / b; null where b is zero or either is null, NaN or infinite."""
+    a, b = (finite(F.col(x) if isinstance(x, str) else x) for x in (a, b))
+    return F.try_divide(a, b)
+
+
+def ret(a: Column | str, b: Column | str) -> Column:
+    """The return from price b to price a, guarded like share."""
+    return share(a, b) - 1
+
+
 def ratio(a: Column, b: Column, default: float | None = None) -> Column:
     """a / b; the default where b is zero or something is null."""
     r = F.try_divide(a, b)

@@ -25,7 +25,7 @@ def normal_p(t: Column) -> Column:
 
 def summary(x: str) -> list[Column]:
     c = F.col(x)
-    return [F.count(c).alias("n"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.avg(F.when(c.isNotNull(), (c > 0).cast("double"))).alias("win")]
+    return [F.count(c).alias("n"), F.avg(c).alias("mean"), F.avg(F.when(c.isNotNull(), (c > 0).cast("double"))).alias("win")]
 
 
 def one_sample_t(x: str, when_flat: Column | None = None) -> Column:
@@ -34,6 +34,12 @@ def one_sample_t(x: str, when_flat: Column | None = None) -> Column:
     return F.when(sd > 0, F.avg(x) / (sd / F.sqrt(F.count(x)))).otherwise(F.lit(None).cast("double") if when_flat is None else when_flat)
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's r of the rows that have both; null where one doesn't vary."""
+    x, y = (F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(c)) for c in (a, b))
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y)))
+
+
 def clustered_t(df: DataFrame, cells: list[str], cluster: str, x: str) -> DataFrame:
     """Per cell n, clusters, mean and cluster-robust t: the mean over sqrt(sum over clusters of squared residual sums) / n."""
     per = df.where(F.col(x).isNotNull()).groupBy(*cells, cluster).agg(F.sum(x).alias("__s"), F.count(x).alias("__n"))

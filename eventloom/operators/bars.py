@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import ret, share
+
 MINUTE, HOUR, DAY = 60_000_000, 3_600_000_000, 86_400_000_000
 
 
@@ -24,18 +26,18 @@ def by_rows(key: str, at: str, low: int, high: int):
 
 def change(c: str, key: str, at: str, n: int) -> Column:
     """Return over n rows back."""
-    return F.col(c) / F.lag(c, n).over(Window.partitionBy(key).orderBy(at)) - 1
+    return ret(c, F.lag(c, n).over(Window.partitionBy(key).orderBy(at)))
 
 
 def forward(c: str, key: str, at: str, n: int) -> Column:
     """Return over the next n rows, null beyond the end."""
-    return F.lead(c, n).over(Window.partitionBy(key).orderBy(at)) / F.col(c) - 1
+    return ret(F.lead(c, n).over(Window.partitionBy(key).orderBy(at)), c)
 
 
 def excursions(key: str, at: str, n: int) -> tuple[Column, Column]:
     """Most favourable and most adverse move from the close within the next n rows, for a long position."""
     w = by_rows(key, at, 1, n)
-    return F.max("h").over(w) / F.col("c") - 1, F.min("l").over(w) / F.col("c") - 1
+    return ret(F.max("h").over(w), "c"), ret(F.min("l").over(w), "c")
 
 
 def full(value: Column, w, n: int) -> Column:
@@ -58,7 +60,7 @@ def true_range(key: str, at: str) -> Column:
 def with_atr(bars: DataFrame, key: str, at: str, n: int) -> DataFrame:
     """atr: mean true range of n rows as a share of the close."""
     w = by_rows(key, at, -n + 1, 0)
-    return bars.withColumn("__tr", true_range(key, at)).withColumn("atr", full(F.avg("__tr").over(w) / F.col("c"), w, n)).drop("__tr")
+    return bars.withColumn("__tr", true_range(key, at)).withColumn("atr", full(share(F.avg("__tr").over(w), "c"), w, n)).drop("__tr")
 
 
 def with_rsi(bars: DataFrame, key: str, at: str, n: int) -> DataFrame:

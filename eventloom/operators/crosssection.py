@@ -41,10 +41,10 @@ def turnover(legs: DataFrame, period: str, name: str) -> DataFrame:
 
 
 def rank_correlation(df: DataFrame, by: list[str], a: str, b: str, least: int) -> DataFrame:
-    from ..functions.stats import with_average_ranks
+    from ..functions.stats import correlation, with_average_ranks
 
     r = with_average_ranks(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), by, [a, b])
-    return r.groupBy(*by).agg(F.count("*").alias("n"), F.corr(f"rank_{a}", f"rank_{b}").alias("ic")).where(F.col("n") >= least)
+    return r.groupBy(*by).agg(F.count("*").alias("n"), correlation(f"rank_{a}", f"rank_{b}").alias("ic")).where(F.col("n") >= least)
 
 
 def demeaned(c: str, by: list[str]) -> Column:

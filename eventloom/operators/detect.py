@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def finite(c: Column) -> Column:
-    """c, null where it is null, NaN or infinite."""
-    return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
+from ..functions.scalars import finite
 
 
 def change_over(price: Column, key: str, at: str, window: int) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import ret
+
 
 def paths(bars: DataFrame, key: str, slot: str, n: int, hit: Column) -> DataFrame:
     """For each bar that is a hit, the next n bars of its key by row: (key, entry slot, entry close, offset, h, l, c).
@@ -18,9 +20,9 @@ def paths(bars: DataFrame, key: str, slot: str, n: int, hit: Column) -> DataFram
 
 def first_touch(path: DataFrame, key: str, take: float, stop: float, side: int = 1) -> DataFrame:
     """Exit of each entry: stop (looked at first within a bar), take, or time at the last close; result signed by side."""
-    good = F.col("h") / F.col("px") - 1 if side > 0 else 1 - F.col("l") / F.col("px")
-    bad = 1 - F.col("l") / F.col("px") if side > 0 else F.col("h") / F.col("px") - 1
-    moves = path.select(key, "entry", "offset", good.alias("good"), bad.alias("bad"), (side * (F.col("c") / F.col("px") - 1)).alias("end"))
+    good = ret("h", "px") if side > 0 else -ret("l", "px")
+    bad = -ret("l", "px") if side > 0 else ret("h", "px")
+    moves = path.select(key, "entry", "offset", good.alias("good"), bad.alias("bad"), (side * (ret("c", "px"))).alias("end"))
     per = moves.groupBy(key, "entry").agg(F.min(F.when(F.col("good") >= take, F.col("offset"))).alias("t"), F.min(F.when(F.col("bad") >= stop, F.col("offset"))).alias("s"), F.max_by("end", "offset").alias("end"), F.max("offset").alias("last"))
     stopped = F.col("s").isNotNull() & (F.col("t").isNull() | (F.col("s") <= F.col("t")))
     return per.select(
@@ -35,7 +37,7 @@ def trailing(path: DataFrame, key: str, activate: float, giveback: float, stop:
     the stop exits before that; otherwise the close after `hold` bars. Entries with a shorter path and no exit are left out.
     """
     w = Window.partitionBy(key, "entry").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    rows = path.withColumn("best", F.max(F.col("h") / F.col("px") - 1).over(w)).withColumn("now", F.col("c") / F.col("px") - 1)
+    rows = path.withColumn("best", F.max(ret("h", "px")).over(w)).withColumn("now", ret("c", "px"))
     lock = F.col("best") * (1 - giveback)
     why = F.when(F.col("now") <= -stop, "stop").when((F.col("best") >= activate) & (F.col("now") <= lock), "trail").when(F.col("offset") == hold, "time")
     return rows.withColumn("why", why).where("why IS NOT NULL").groupBy(key, "entry").agg(F.min_by(F.struct(F.col("why").alias("status"), F.col("offset").alias("held"), F.col("now").alias("result")), "offset").alias("x")).select(key, "entry", "x.*")
@@ -46,7 +48,7 @@ def tiered(path: DataFrame, key: str, tiers: list[tuple[float, float]], stop: Co
     waits for `grace` bars and for `confirmed`, and is booked at the floor. stop: a column of the path, as a positive share.
     """
     w = Window.partitionBy(key, "entry").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    rows = path.withColumn("best", F.max(F.col("h") / F.col("px") - 1).over(w)).withColumn("now", F.col("c") / F.col("px") - 1)
+    rows = path.withColumn("best", F.max(ret("h", "px")).over(w)).withColumn("now", ret("c", "px"))
     give = F.lit(None).cast("double")
     for gain, back in sorted(tiers):
         give = F.when(F.col("best") >= gain, F.lit(back)).otherwise(give)

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
-from ..functions.scalars import bucket
+from ..functions.scalars import bucket, ret, share
 from ..operators import bars as B
+from ..operators.ranks import quantiles, with_weight_before
 from ..sources import tables
 from .panels import bars, panel, rounded
 from .registry import BARS, EV, PANEL, query
@@ -31,7 +32,10 @@ def uniform_sql(*parts: str) -> str:
 
 @query("a01_cell_summary", f"WITH {P1} SELECT wt, count(*) AS n, round(avg(f1), 6) AS mean, round(median(f1), 6) AS median, round(avg((f1 > 0)::INT), 6) AS win FROM p GROUP BY 1 HAVING count(*) >= 5")
 def a01(spark, d):
-    return rounded(panel(spark, d).groupBy("wt").agg(*S.summary("f1")).where("n >= 5"))
+    # a kind holds a fifth of all rows, so its median is not left to one task
+    p = panel(spark, d).select("wt", "f1")
+    g = p.groupBy("wt").agg(*S.summary("f1")).where("n >= 5")
+    return rounded(g.join(quantiles(p, ["wt"], "f1", [0.5], ["median"]), "wt").select("wt", "n", "mean", "median", "win"))
 
 
 @query("a02_one_sample_t", f"WITH {P1} SELECT symbol, count(*) AS n, round(CASE WHEN stddev_samp(f1) > 0 THEN avg(f1) / (stddev_samp(f1) / sqrt(count(*))) END, 5) AS t FROM p GROUP BY 1")
@@ -49,7 +53,7 @@ def a04(spark, d):
     return S.cluster_mean_t(returns(spark, d), ["wt"], "day", "f1").select("wt", "clusters", F.round("mean", 6).alias("mean"), F.round("t", 5).alias("t"))
 
 
-_CELLS = "WITH " + P1 + f", c AS (SELECT wt, symbol % 10 AS tier, count(*) AS n, avg(ln(1 + f1)) / (stddev_samp(ln(1 + f1)) / sqrt(count(*))) AS t FROM p GROUP BY ALL HAVING count(*) >= 30), z AS (SELECT *, round({erfc_sql('abs(t) / sqrt(2.0)')}, 6) AS pv FROM c)"
+_CELLS = "WITH " + P1 + f", c AS (SELECT wt, symbol % 10 AS tier, count(*) AS n, avg(x) / nullif(stddev_samp(x) / sqrt(count(x)), 0) AS t FROM (SELECT *, ln(nullif(1 + f1, 0)) AS x FROM p) GROUP BY ALL HAVING count(*) >= 30), z AS (SELECT *, round({erfc_sql('abs(t) / sqrt(2.0)')}, 6) AS pv FROM c)"
 
 
 def cells(spark, d):
@@ -94,17 +98,17 @@ def a09(spark, d):
 
 
 @query("a10_block_bootstrap", f"""WITH {P1}, s AS (SELECT wt, day, avg(f1) AS x FROM p GROUP BY ALL), i AS (SELECT *, row_number() OVER (PARTITION BY wt ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY wt) AS n FROM s),
-k AS (SELECT DISTINCT wt, n, rep, b FROM i, range(1, 51) r(rep), range(0, 6) q(b)), st AS (SELECT *, floor({uniform_sql("'block'", 'rep', 'b', 'wt')} * n)::BIGINT AS a FROM k), pk AS (SELECT wt, rep, (a + o) % n AS i FROM st, range(0, 5) z(o)),
+k AS (SELECT wt, n, rep, unnest(range(0, (n + 4) // 5)) AS b FROM (SELECT DISTINCT wt, n FROM i), range(1, 51) r(rep)), st AS (SELECT *, floor({uniform_sql("'block'", 'rep', 'b', 'wt')} * n)::BIGINT AS a FROM k), pk AS (SELECT wt, rep, (a + o) % n AS i FROM st, range(0, 5) z(o) WHERE b * 5 + o < n),
 m AS (SELECT wt, rep, avg(x) AS m FROM pk JOIN i USING (wt, i) GROUP BY ALL), e AS (SELECT wt, any_value(n) AS n, corr(x, l) AS rho FROM (SELECT *, lag(x) OVER (PARTITION BY wt ORDER BY i) AS l FROM i) GROUP BY 1)
 SELECT wt, round(avg((m <= 0)::INT), 6) AS p, round(any_value(least(n, n / greatest(1 + 2 * rho, 1e-9))), 4) AS n_eff FROM m JOIN e USING (wt) GROUP BY 1""")
 def a10(spark, d):
-    # a series of day means per kind: blocks of five days from hashed starts, joined by index
+    # a series of day means per kind: blocks of five days from hashed starts, as many as fill the series' length, joined by index
     s = returns(spark, d).groupBy("wt", "day").agg(F.avg("f1").alias("x"))
     w = Window.partitionBy("wt")
     i = s.select("wt", "x", (F.row_number().over(w.orderBy("day")) - 1).alias("i"), F.count("*").over(w).alias("n"), F.lag("x").over(w.orderBy("day")).alias("l"))
-    sizes = i.groupBy("wt").agg(F.max("n").alias("n"), F.corr("x", "l").alias("rho"))
-    starts = sizes.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(50)))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(5))))
-    at = starts.withColumn("a", F.floor(S.uniform(F.lit("block"), "rep", "b", "wt") * F.col("n"))).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(4)))).select("wt", "rep", ((F.col("a") + F.col("o")) % F.col("n")).alias("i"))
+    sizes = i.groupBy("wt").agg(F.max("n").alias("n"), S.correlation("x", "l").alias("rho"))
+    starts = sizes.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(50)))).withColumn("b", F.explode(F.sequence(F.lit(0), ((F.col("n") + 4) / 5).cast("int") - 1)))
+    at = starts.withColumn("a", F.floor(S.uniform(F.lit("block"), "rep", "b", "wt") * F.col("n"))).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(4)))).where("b * 5 + o < n").select("wt", "rep", ((F.col("a") + F.col("o")) % F.col("n")).alias("i"))
     m = at.join(i.select("wt", "i", "x"), ["wt", "i"]).groupBy("wt", "rep").agg(F.avg("x").alias("m"))
     out = m.groupBy("wt").agg(F.avg((F.col("m") <= 0).cast("int")).alias("p")).join(sizes, "wt")
     return out.select("wt", F.round("p", 6).alias("p"), F.round(F.least(F.col("n"), F.col("n") / F.greatest(1 + 2 * F.col("rho"), F.lit(1e-9))), 4).alias("n_eff"))
@@ -135,16 +139,16 @@ def a12(spark, d):
     return rounded(o.groupBy("rep").agg(spread.alias("spread")))
 
 
-@query("a13_max_t_over_cells", f"WITH {P1}, {_flips_sql('day', 100, 'maxt', 'wt || (symbol % 3)::VARCHAR')}, z AS (SELECT rep, max(abs(total / norm)) AS mx FROM t GROUP BY 1) SELECT a.cell, round(a.total / a.norm, 5) AS t, round((sum((b.mx >= abs(a.total / a.norm) - 1e-9)::INT) + 1) / 101.0, 6) AS p FROM t a JOIN z b ON a.rep = 0 AND b.rep > 0 GROUP BY ALL")
+@query("a13_max_t_over_cells", f"WITH {P1}, {_flips_sql('day', 100, 'maxt', 'wt || (symbol % 3)::VARCHAR')}, z AS (SELECT rep, max(abs(total / nullif(norm, 0))) AS mx FROM t GROUP BY 1) SELECT a.cell, round(a.total / nullif(a.norm, 0), 5) AS t, round((sum((b.mx >= abs(a.total / nullif(a.norm, 0)) - 1e-9)::INT) + 1) / 101.0, 6) AS p FROM t a JOIN z b ON a.rep = 0 AND b.rep > 0 GROUP BY ALL")
 def a13(spark, d):
     p = returns(spark, d).withColumn("cell", F.concat("wt", (F.col("symbol") % 3).cast("string")))
-    t = S.sign_flips(p, ["cell"], "day", "f1", 100, "maxt").withColumn("t", F.col("total") / F.col("norm"))
+    t = S.sign_flips(p, ["cell"], "day", "f1", 100, "maxt").withColumn("t", F.try_divide("total", "norm"))
     null = t.where("rep > 0").groupBy("rep").agg(F.max(F.abs("t")).alias("mx"))  # a row per replicate
     x = t.where("rep = 0").select("cell", "t").crossJoin(F.broadcast(null))
     return x.groupBy("cell", "t").agg(F.round((F.count_if(F.col("mx") >= F.abs("t") - 1e-9) + 1) / 101.0, 6).alias("p")).select("cell", F.round("t", 5).alias("t"), "p")
 
 
-@query("a15_placebo_times", f"WITH {EV}, e AS (SELECT event_id, symbol, us, price, unnest([0, -2, 2]) AS shift FROM ev WHERE wt = 'purchase'), t AS (SELECT *, us + shift * 86400000000 AS t0 FROM e), x AS (SELECT t.*, a.price AS p0 FROM t ASOF LEFT JOIN ev a ON t.symbol = a.symbol AND t.t0 >= a.us), y AS (SELECT x.*, b.price AS p1 FROM (SELECT *, t0 + 86400000000 AS t1 FROM x) x ASOF LEFT JOIN ev b ON x.symbol = b.symbol AND x.t1 >= b.us) SELECT shift, count(*) AS n, round(avg(p1 / p0 - 1), 6) AS mean FROM y WHERE p0 IS NOT NULL GROUP BY 1")
+@query("a15_placebo_times", f"WITH {EV}, e AS (SELECT event_id, symbol, us, price, unnest([0, -2, 2]) AS shift FROM ev WHERE wt = 'purchase'), t AS (SELECT *, us + shift * 86400000000 AS t0 FROM e), x AS (SELECT t.*, a.price AS p0 FROM t ASOF LEFT JOIN ev a ON t.symbol = a.symbol AND t.t0 >= a.us), y AS (SELECT x.*, b.price AS p1 FROM (SELECT *, t0 + 86400000000 AS t1 FROM x) x ASOF LEFT JOIN ev b ON x.symbol = b.symbol AND x.t1 >= b.us) SELECT shift, count(*) AS n, round(avg(p1 / nullif(p0, 0) - 1), 6) AS mean FROM y WHERE p0 IS NOT NULL GROUP BY 1")
 def a15(spark, d):
     from ..operators.asof import asof
 
@@ -153,7 +157,7 @@ def a15(spark, d):
     q = t.select("symbol", "us", "price")
     x = asof(e.withColumn("us", F.col("own") + F.col("shift") * B.DAY), q, "symbol", "us", ["price"], known="k0", prefix="a_").withColumn("us", F.col("us") + B.DAY)
     y = asof(x, q, "symbol", "us", ["price"], known="k1", prefix="b_").where("a_price IS NOT NULL")
-    return rounded(y.groupBy("shift").agg(F.count("*").alias("n"), F.avg(F.col("b_price") / F.col("a_price") - 1).alias("mean")))
+    return rounded(y.groupBy("shift").agg(F.count("*").alias("n"), F.avg(ret("b_price", "a_price")).alias("mean")))
 
 
 _LOO = "WITH " + P1 + ", g AS (SELECT wt, day, sum(f1) AS s, count(*) AS n FROM p GROUP BY ALL), r AS (SELECT *, (sum(s) OVER (PARTITION BY wt) - s) / nullif(sum(n) OVER (PARTITION BY wt) - n, 0) AS rest FROM g)"
@@ -198,7 +202,7 @@ def a21(spark, d):
 @query("a22_imputation_bounds", f"WITH {PANEL}, q AS (SELECT least(quantile_cont(f1, 0.01), -0.5) AS worst FROM panel), s AS (SELECT wt, unnest(['dropped', 'zero', 'worst']) AS scenario, f1, worst FROM panel, q) SELECT wt, scenario, count(CASE WHEN scenario = 'dropped' THEN f1 ELSE 1 END) AS n, round(avg(CASE scenario WHEN 'dropped' THEN f1 WHEN 'zero' THEN coalesce(f1, 0) ELSE coalesce(f1, worst) END), 6) AS mean FROM s GROUP BY ALL")
 def a22(spark, d):
     p = panel(spark, d).select("wt", "f1")
-    q = p.agg(F.least(F.percentile("f1", F.lit(0.01)), F.lit(-0.5)).alias("worst"))  # one row
+    q = quantiles(p, [], "f1", [0.01], ["low"]).select(F.least("low", F.lit(-0.5)).alias("worst"))  # one row
     fills = F.array(*(F.struct(F.lit(n).alias("scenario"), v.alias("x")) for n, v in (("dropped", F.col("f1")), ("zero", F.coalesce("f1", F.lit(0.0))), ("worst", F.coalesce("f1", "worst")))))
     s = p.crossJoin(F.broadcast(q)).select("wt", F.explode(fills).alias("s")).select("wt", "s.*")
     return rounded(s.groupBy("wt", "scenario").agg(F.count("x").alias("n"), F.avg("x").alias("mean")))
@@ -206,9 +210,10 @@ def a22(spark, d):
 
 @query("a23_distribution_profile", f"WITH {P1} SELECT wt, round(quantile_cont(f1, 0.05), 6) AS p5, round(quantile_cont(f1, 0.25), 6) AS p25, round(quantile_cont(f1, 0.5), 6) AS p50, round(quantile_cont(f1, 0.75), 6) AS p75, round(quantile_cont(f1, 0.95), 6) AS p95, round(avg((f1 > 0)::INT), 6) AS positive FROM p GROUP BY 1")
 def a23(spark, d):
-    points = (0.05, 0.25, 0.5, 0.75, 0.95)
-    g = returns(spark, d).groupBy("wt").agg(F.percentile("f1", F.array(*map(F.lit, points))).alias("q"), F.avg((F.col("f1") > 0).cast("int")).alias("positive"))
-    return rounded(g.select("wt", *(F.col("q")[i].alias(f"p{int(100 * x)}") for i, x in enumerate(points)), "positive"))
+    points, names = [0.05, 0.25, 0.5, 0.75, 0.95], ["p5", "p25", "p50", "p75", "p95"]
+    p = returns(spark, d).select("wt", "f1")
+    g = p.groupBy("wt").agg(F.avg((F.col("f1") > 0).cast("int")).alias("positive"))
+    return rounded(quantiles(p, ["wt"], "f1", points, names).join(g, "wt").select("wt", *names, "positive"))
 
 
 @query("a24_trimmed_and_winsorised", f"WITH {P1}, r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY f1, event_id) AS r, floor(count(*) OVER (PARTITION BY day) * 0.05) AS cut, count(*) OVER (PARTITION BY day) AS n FROM p), q AS (SELECT day, quantile_cont(f1, 0.1) AS a, quantile_cont(f1, 0.9) AS b FROM p GROUP BY 1) SELECT day, round(avg(f1) FILTER (r > cut AND r <= n - cut), 6) AS trimmed, round(avg(least(greatest(f1, a), b)), 6) AS winsorised FROM r JOIN q USING (day) GROUP BY 1")
@@ -227,27 +232,27 @@ _RANKED = P1 + ", k AS (SELECT day, rank() OVER (PARTITION BY day ORDER BY k) +
 @query("a25_spearman_by_day", f"WITH {_RANKED} SELECT day, count(*) AS n, round(corr(a, b), 6) AS ic FROM k GROUP BY 1 HAVING count(*) >= 6")
 def a25(spark, d):
     r = S.with_average_ranks(returns(spark, d), ["day"], ["k", "f1"])
-    return rounded(r.groupBy("day").agg(F.count("*").alias("n"), F.corr("rank_k", "rank_f1").alias("ic")).where("n >= 6"))
+    return rounded(r.groupBy("day").agg(F.count("*").alias("n"), S.correlation("rank_k", "rank_f1").alias("ic")).where("n >= 6"))
 
 
 @query("a26_mean_rank_ic", f"WITH {_RANKED}, i AS (SELECT day, corr(a, b) AS ic FROM k GROUP BY 1 HAVING count(*) >= 6) SELECT count(*) AS days, round(avg(ic), 6) AS mean_ic, round(avg(ic) / (stddev_samp(ic) / sqrt(count(*))), 5) AS t FROM i")
 def a26(spark, d):
     r = S.with_average_ranks(returns(spark, d), ["day"], ["k", "f1"])
-    i = r.groupBy("day").agg(F.count("*").alias("n"), F.corr("rank_k", "rank_f1").alias("ic")).where("n >= 6")
+    i = r.groupBy("day").agg(F.count("*").alias("n"), S.correlation("rank_k", "rank_f1").alias("ic")).where("n >= 6")
     return i.agg(F.count("*").alias("days"), F.round(F.avg("ic"), 6).alias("mean_ic"), F.round(S.one_sample_t("ic"), 5).alias("t"))
 
 
 @query("a27_regression", f"WITH {P1} SELECT wt, round(corr(f1, k), 6) AS r, round(regr_slope(f1, k), 6) AS slope, round(regr_intercept(f1, k), 6) AS intercept, round(regr_r2(f1, k), 6) AS r2 FROM p GROUP BY 1")
 def a27(spark, d):
     g = returns(spark, d).groupBy("wt")
-    return rounded(g.agg(F.corr("f1", "k").alias("r"), F.regr_slope("f1", "k").alias("slope"), F.regr_intercept("f1", "k").alias("intercept"), F.regr_r2("f1", "k").alias("r2")))
+    return rounded(g.agg(S.correlation("f1", "k").alias("r"), F.regr_slope("f1", "k").alias("slope"), F.regr_intercept("f1", "k").alias("intercept"), F.regr_r2("f1", "k").alias("r2")))
 
 
-_MKT = BARS + ", r AS (SELECT symbol, slot, c / o - 1 AS x FROM bars), s AS (SELECT slot, sum(x) AS t, count(*) AS n FROM r GROUP BY 1), y AS (SELECT symbol, slot, x, (t - x) / (n - 1) AS m FROM r JOIN s USING (slot) WHERE n >= 10)"
+_MKT = BARS + ", r AS (SELECT symbol, slot, c/ nullif(o, 0) - 1 AS x FROM bars), s AS (SELECT slot, sum(x) AS t, count(*) AS n FROM r GROUP BY 1), y AS (SELECT symbol, slot, x, (t - x) / (n - 1) AS m FROM r JOIN s USING (slot) WHERE n >= 10)"
 
 
 def market(spark, d):
-    r = bars(spark, d).select("symbol", "slot", (F.col("c") / F.col("o") - 1).alias("x"))
+    r = bars(spark, d).select("symbol", "slot", (ret("c", "o")).alias("x"))
     s = r.groupBy("slot").agg(F.sum("x").alias("t"), F.count("*").alias("n")).where("n >= 10")
     return r.join(s, "slot").select("symbol", "slot", "x", ((F.col("t") - F.col("x")) / (F.col("n") - 1)).alias("m"))
 
@@ -266,9 +271,9 @@ def a30(spark, d):
     return g.agg(F.round(F.avg("x"), 6).alias("raw"), F.round(F.avg(F.col("x") - F.col("m")), 6).alias("beta_one"), F.round(F.avg(F.col("x") - F.col("beta") * F.col("m")), 5).alias("own_beta"))
 
 
-@query("a31_market_mean", f"WITH {BARS} SELECT slot, count(*) AS names, round(avg(c / o - 1), 6) AS market FROM bars GROUP BY 1")
+@query("a31_market_mean", f"WITH {BARS} SELECT slot, count(*) AS names, round(avg(c/ nullif(o, 0) - 1), 6) AS market FROM bars GROUP BY 1")
 def a31(spark, d):
-    return rounded(bars(spark, d).groupBy("slot").agg(F.count("*").alias("names"), F.avg(F.col("c") / F.col("o") - 1).alias("market")))
+    return rounded(bars(spark, d).groupBy("slot").agg(F.count("*").alias("names"), F.avg(ret("c", "o")).alias("market")))
 
 
 @query("a32_lead_lag", f"WITH {_MKT}, l AS (SELECT symbol, m, x AS x0, lead(x, 1) OVER w AS x1, lead(x, 2) OVER w AS x2 FROM y WINDOW w AS (PARTITION BY symbol ORDER BY slot)), u AS (SELECT symbol, unnest([0, 1, 2]) AS lag, m, unnest([x0, x1, x2]) AS x FROM l), c AS (SELECT symbol, lag, count(x) AS n, corr(m, x) AS r FROM u WHERE x IS NOT NULL GROUP BY ALL HAVING count(x) >= 20) SELECT lag, sum(n)::BIGINT AS n, round(sum(n * r) / sum(n), 6) AS pooled FROM c GROUP BY 1")
@@ -278,7 +283,7 @@ def a32(spark, d):
     y = y.withColumns({"x0": F.col("x"), "x1": F.lead("x", 1).over(w), "x2": F.lead("x", 2).over(w)})
     leads = F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"x{k}").alias("x")) for k in (0, 1, 2)))
     u = y.select("symbol", "m", F.explode(leads).alias("l")).select("symbol", "m", "l.*").where("x IS NOT NULL")
-    c = u.groupBy("symbol", "lag").agg(F.count("x").alias("n"), F.corr("m", "x").alias("r")).where("n >= 20")
+    c = u.groupBy("symbol", "lag").agg(F.count("x").alias("n"), S.correlation("m", "x").alias("r")).where("n >= 20")
     return rounded(c.groupBy("lag").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("r")) / F.sum("n")).alias("pooled")))
 
 
@@ -303,52 +308,56 @@ def a40(spark, d):
     return rounded(bars(spark, d), 4).select("symbol", "slot", *(F.col(c) for c in ("o", "h", "l", "c", "v", "qv", "trades", "taker_v", "taker_qv")))
 
 
-@query("a41_session_panel", f"WITH {EV}, d AS (SELECT symbol, us // 86400000000 AS day, count(*) AS n, arg_min(price, us) AS open, arg_max(price, us) AS close, arg_min(price, us) FILTER (us % 86400000000 >= 43200000000) AS noon, sum(price * k) AS qv FROM ev GROUP BY ALL HAVING count(*) >= 2) SELECT symbol, day, open, close, noon, round(qv, 4) AS qv, round(close / open - 1, 6) AS r_open_close, round(open / lag(close) OVER w - 1, 6) AS overnight FROM d WINDOW w AS (PARTITION BY symbol ORDER BY day)")
+@query("a41_session_panel", f"WITH {EV}, d AS (SELECT symbol, us // 86400000000 AS day, count(*) AS n, arg_min(price, us) AS open, arg_max(price, us) AS close, arg_min(price, us) FILTER (us % 86400000000 >= 43200000000) AS noon, sum(price * k) AS qv FROM ev GROUP BY ALL HAVING count(*) >= 2) SELECT symbol, day, open, close, noon, round(qv, 4) AS qv, round(close / nullif(open, 0) - 1, 6) AS r_open_close, round(open / nullif(lag(close) OVER w, 0) - 1, 6) AS overnight FROM d WINDOW w AS (PARTITION BY symbol ORDER BY day)")
 def a41(spark, d):
     t = tables.ticks(spark, d)
     late = F.when(F.col("us") % B.DAY >= 12 * B.HOUR, F.col("us"))
     s = t.groupBy("symbol", F.floor(F.col("us") / B.DAY).alias("day")).agg(F.count("*").alias("n"), F.min_by("price", "us").alias("open"), F.max_by("price", "us").alias("close"), F.min_by("price", late).alias("noon"), F.round(F.sum(F.col("price") * F.col("k")), 4).alias("qv")).where("n >= 2")
     w = Window.partitionBy("symbol").orderBy("day")
-    return s.select("symbol", "day", "open", "close", "noon", "qv", F.round(F.col("close") / F.col("open") - 1, 6).alias("r_open_close"), F.round(F.col("open") / F.lag("close").over(w) - 1, 6).alias("overnight"))
+    return s.select("symbol", "day", "open", "close", "noon", "qv", F.round(ret("close", "open"), 6).alias("r_open_close"), F.round(ret("open", F.lag("close").over(w)), 6).alias("overnight"))
 
 
 _EQ = P1 + ", s AS (SELECT wt, day, sum(f1) AS r FROM p GROUP BY ALL), c AS (SELECT *, sum(r) OVER w AS eq, row_number() OVER w AS i FROM s WINDOW w AS (PARTITION BY wt ORDER BY day)), k AS (SELECT *, greatest(0.0, max(eq) OVER (PARTITION BY wt ORDER BY day)) AS peak FROM c)"
 
 
-@query("a44_equity_statistics", f"WITH {_EQ} SELECT wt, count(*) AS n, round(sum(r), 5) AS total, round(max(peak - eq), 5) AS drawdown, round(avg(r) / stddev_samp(r) * sqrt(count(*)), 5) AS sharpe, round(max(r), 5) AS best, round(min(r), 5) AS worst FROM k GROUP BY 1")
+@query("a44_equity_statistics", f"WITH {_EQ} SELECT wt, count(*) AS n, round(sum(r), 5) AS total, round(max(peak - eq), 5) AS drawdown, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(count(*)), 5) AS sharpe, round(max(r), 5) AS best, round(min(r), 5) AS worst FROM k GROUP BY 1")
 def a44(spark, d):
     s = returns(spark, d).groupBy("wt", "day").agg(F.sum("f1").alias("r"))
     w = Window.partitionBy("wt").orderBy("day")
     k = s.withColumn("eq", F.sum("r").over(w)).withColumn("peak", F.greatest(F.lit(0.0), F.max("eq").over(w)))
-    return rounded(k.groupBy("wt").agg(F.count("*").alias("n"), F.sum("r").alias("total"), F.max(F.col("peak") - F.col("eq")).alias("drawdown"), (F.avg("r") / F.stddev_samp("r") * F.sqrt(F.count("*"))).alias("sharpe"), F.max("r").alias("best"), F.min("r").alias("worst")), 5)
+    return rounded(k.groupBy("wt").agg(F.count("*").alias("n"), F.sum("r").alias("total"), F.max(F.col("peak") - F.col("eq")).alias("drawdown"), (F.try_divide(F.avg("r"), F.stddev_samp("r")) * F.sqrt(F.count("*"))).alias("sharpe"), F.max("r").alias("best"), F.min("r").alias("worst")), 5)
 
 
 @query("a45_concurrent_positions", f"WITH {EV}, m AS (SELECT wt, us AS t0, 1 AS d FROM ev UNION ALL SELECT wt, us + 86400000000, -1 FROM ev), s AS (SELECT wt, sum(d) OVER (PARTITION BY wt ORDER BY t0, d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open FROM m) SELECT wt, max(open)::BIGINT AS most FROM s GROUP BY 1")
 def a45(spark, d):
-    # opens and closes are summed per instant first; closes come before opens at the same one
+    # opens and closes are summed per instant first; closes come before opens at the same one. A day's balance is carried over as one row, so the
+    # running sums are those of a kind's day, never of a kind
     t = tables.ticks(spark, d)
     moves = t.select("wt", F.col("us").alias("at"), F.lit(1).alias("d")).unionByName(t.select("wt", (F.col("us") + B.DAY).alias("at"), F.lit(-1).alias("d")))
     g = moves.groupBy("wt", "at", "d").agg(F.sum("d").alias("n"))
-    open_now = F.sum("n").over(Window.partitionBy("wt").orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0))
-    return g.select("wt", open_now.alias("open")).groupBy("wt").agg(F.max("open").alias("most"))
+    g = g.withColumn("day", F.floor(F.col("at") / B.DAY))
+    days = g.groupBy("wt", "day").agg(F.sum("n").alias("net"))
+    days = days.select("wt", "day", (F.sum("net").over(Window.partitionBy("wt").orderBy("day")) - F.col("net")).alias("start"))
+    within = F.sum("n").over(Window.partitionBy("wt", "day").orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0))
+    peaks = g.select("wt", "day", within.alias("open")).groupBy("wt", "day").agg(F.max("open").alias("open"))
+    return peaks.join(days, ["wt", "day"]).groupBy("wt").agg(F.max(F.col("start") + F.col("open")).alias("most"))
 
 
 @query("a46_composite_score", f"WITH {BARS}, g AS (SELECT symbol, sum(v)::BIGINT AS v, sum(trades)::BIGINT AS t FROM bars GROUP BY 1), r AS (SELECT *, dense_rank() OVER (ORDER BY v) AS rv, dense_rank() OVER (ORDER BY t) AS rt FROM g) SELECT symbol, round(0.6 * (rv - 1) / nullif((SELECT max(rv) FROM r) - 1, 0) + 0.4 * (rt - 1) / nullif((SELECT max(rt) FROM r) - 1, 0), 6) AS score FROM r")
 def a46(spark, d):
-    # ranks over distinct values: they are ranked alone, a row per value, and joined back
+    # ranks over distinct values: they are ranked alone, a row per value and slice by slice, and joined back
     g = bars(spark, d).groupBy("symbol").agg(F.sum("v").alias("v"), F.sum("trades").alias("t"))
     for c in ("v", "t"):
-        values = g.select(c).distinct()
-        ranked = values.withColumn("__r", F.row_number().over(Window.orderBy(c)) - 1).withColumn("__m", F.count("*").over(Window.partitionBy()) - 1)
-        g = g.join(ranked.select(c, F.coalesce(F.try_divide("__r", "__m"), F.lit(0.5)).alias(f"p_{c}")), c)
+        ranked = with_weight_before(g.select(c).distinct().withColumn("__one", F.lit(1)), [], c, "__one")
+        g = g.join(ranked.select(c, F.coalesce(F.try_divide(F.col("__before"), F.col("__total") - 1), F.lit(0.5)).alias(f"p_{c}")), c)
     return rounded(g.select("symbol", (0.6 * F.col("p_v") + 0.4 * F.col("p_t")).alias("score")))
 
 
-@query("a47_activity_metrics", f"WITH {BARS}, r AS (SELECT *, row_number() OVER w AS i, abs(c / lag(c) OVER w - 1) AS m FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY slot)), k AS (SELECT symbol, (i - 1) // 10 AS chunk, max(h) / min(l) - 1 AS range, count(*) FILTER (m >= 0.5) AS big, sum(v) AS v FROM r GROUP BY ALL) SELECT symbol, round(max(range), 5) AS max_range, sum(big)::BIGINT AS big_moves, arg_max(v, chunk)::BIGINT AS last_volume FROM k GROUP BY 1")
+@query("a47_activity_metrics", f"WITH {BARS}, r AS (SELECT *, row_number() OVER w AS i, abs(c / nullif(lag(c) OVER w, 0) - 1) AS m FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY slot)), k AS (SELECT symbol, (i - 1) // 10 AS chunk, max(h) / nullif(min(l), 0) - 1 AS range, count(*) FILTER (m >= 0.5) AS big, sum(v) AS v FROM r GROUP BY ALL) SELECT symbol, round(max(range), 5) AS max_range, sum(big)::BIGINT AS big_moves, arg_max(v, chunk)::BIGINT AS last_volume FROM k GROUP BY 1")
 def a47(spark, d):
     w = Window.partitionBy("symbol").orderBy("slot")
-    r = bars(spark, d).select("symbol", "h", "l", "v", F.floor((F.row_number().over(w) - 1) / 10).alias("chunk"), F.abs(F.col("c") / F.lag("c").over(w) - 1).alias("m"))
-    k = r.groupBy("symbol", "chunk").agg((F.max("h") / F.min("l") - 1).alias("range"), F.count_if(F.col("m") >= 0.5).alias("big"), F.sum("v").alias("v"))
+    r = bars(spark, d).select("symbol", "h", "l", "v", F.floor((F.row_number().over(w) - 1) / 10).alias("chunk"), F.abs(ret("c", F.lag("c").over(w))).alias("m"))
+    k = r.groupBy("symbol", "chunk").agg(ret(F.max("h"), F.min("l")).alias("range"), F.count_if(F.col("m") >= 0.5).alias("big"), F.sum("v").alias("v"))
     return rounded(k.groupBy("symbol").agg(F.max("range").alias("max_range"), F.sum("big").alias("big_moves"), F.max_by("v", "chunk").alias("last_volume")), 5)
 
 
@@ -451,24 +460,24 @@ def a56(spark, d):
     return rounded(x.groupBy("symbol").agg(F.when(v < 0, 2 * F.sqrt(-v)).otherwise(0.0).alias("spread")), 4)
 
 
-@query("a57_reconciliation", f"WITH {EV}, a AS (SELECT wt, sum(price) AS x FROM ev GROUP BY 1), b AS (SELECT event_type AS wt, round(sum(value) * CASE WHEN event_type = 'view' THEN 1.2 ELSE 1.01 END, 2) AS target FROM events GROUP BY 1) SELECT wt, round(x / target - 1, 5) AS diff, abs(x / target - 1) <= 0.1 AS ok FROM a JOIN b USING (wt)")
+@query("a57_reconciliation", f"WITH {EV}, a AS (SELECT wt, sum(price) AS x FROM ev GROUP BY 1), b AS (SELECT event_type AS wt, round(sum(value) * CASE WHEN event_type = 'view' THEN 1.2 ELSE 1.01 END, 2) AS target FROM events GROUP BY 1) SELECT wt, round(x / nullif(target, 0) - 1, 5) AS diff, abs(x / nullif(target, 0) - 1) <= 0.1 AS ok FROM a JOIN b USING (wt)")
 def a57(spark, d):
     a = tables.ticks(spark, d).groupBy("wt").agg(F.sum("price").alias("x"))
     target = tables.read(spark, d, "events").groupBy(F.col("event_type").alias("wt")).agg(F.sum("value").alias("s")).select("wt", F.round(F.col("s") * F.when(F.col("wt") == "view", 1.2).otherwise(1.01), 2).alias("target"))
-    diff = F.col("x") / F.col("target") - 1
+    diff = ret("x", "target")
     return rounded(a.join(target, "wt").select("wt", diff.alias("diff"), (F.abs(diff) <= 0.1).alias("ok")), 5)
 
 
-@query("a59_capture", f"WITH {BARS}, x AS (SELECT symbol, lead(c, 8) OVER w / c - 1 AS f, max(h) OVER a / c - 1 AS mfe FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY slot), a AS (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING)) SELECT symbol, round(avg(f) / nullif(avg(mfe), 0), 5) AS capture, round(avg((f <= 0 AND mfe > 0)::INT), 5) AS gave_back FROM x WHERE f IS NOT NULL GROUP BY 1")
+@query("a59_capture", f"WITH {BARS}, x AS (SELECT symbol, lead(c, 8) OVER w / nullif(c, 0) - 1 AS f, max(h) OVER a / nullif(c, 0) - 1 AS mfe FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY slot), a AS (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING)) SELECT symbol, round(avg(f) / nullif(avg(mfe), 0), 5) AS capture, round(avg((f <= 0 AND mfe > 0)::INT), 5) AS gave_back FROM x WHERE f IS NOT NULL GROUP BY 1")
 def a59(spark, d):
     x = bars(spark, d).select("symbol", B.forward("c", "symbol", "slot", 8).alias("f"), B.excursions("symbol", "slot", 8)[0].alias("mfe")).where("f IS NOT NULL")
     return rounded(x.groupBy("symbol").agg((F.avg("f") / F.nullif(F.avg("mfe"), F.lit(0.0))).alias("capture"), F.avg(((F.col("f") <= 0) & (F.col("mfe") > 0)).cast("int")).alias("gave_back")), 5)
 
 
-@query("a60_liquidity_profile", f"WITH {BARS} SELECT slot % 4 AS session, CASE WHEN symbol % 3 = 0 THEN 'big' ELSE 'small' END AS tier, count(*) AS bars, round(median((h - l) / c), 6) AS range, round(avg(v), 4) AS volume FROM bars GROUP BY ALL")
+@query("a60_liquidity_profile", f"WITH {BARS} SELECT slot % 4 AS session, CASE WHEN symbol % 3 = 0 THEN 'big' ELSE 'small' END AS tier, count(*) AS bars, round(median((h - l)/ nullif(c, 0)), 6) AS range, round(avg(v), 4) AS volume FROM bars GROUP BY ALL")
 def a60(spark, d):
     g = bars(spark, d).groupBy((F.col("slot") % 4).alias("session"), F.when(F.col("symbol") % 3 == 0, "big").otherwise("small").alias("tier"))
-    return g.agg(F.count("*").alias("bars"), F.round(F.median((F.col("h") - F.col("l")) / F.col("c")), 6).alias("range"), F.round(F.avg("v"), 4).alias("volume"))
+    return g.agg(F.count("*").alias("bars"), F.round(F.median(share(F.col("h") - F.col("l"), "c")), 6).alias("range"), F.round(F.avg("v"), 4).alias("volume"))
 
 
 @query("a61_leaderboard_pivot", f"WITH {P1} SELECT symbol % 10 AS family, {', '.join(f'round(avg(f1) FILTER (wt = {chr(39)}{w}{chr(39)}), 6) AS {w}' for w in ('click', 'error', 'purchase', 'signup', 'view'))} FROM p GROUP BY 1")
@@ -488,7 +497,7 @@ def a62(spark, d):
 
 @query("a63_concentration_grade", f"WITH {P1}, g AS (SELECT wt, symbol, sum(greatest(f1, 0)) AS s FROM p GROUP BY ALL) SELECT wt, round(max(s) / sum(s), 6) AS top_share, CASE WHEN max(s) / sum(s) <= 0.05 THEN 'A' WHEN max(s) / sum(s) <= 0.2 THEN 'B' ELSE 'C' END AS grade FROM g GROUP BY 1")
 def a63(spark, d):
-    g = returns(spark, d).groupBy("wt", "symbol").agg(F.sum(F.greatest("f1", F.lit(0.0))).alias("s")).groupBy("wt").agg((F.max("s") / F.sum("s")).alias("top_share"))
+    g = returns(spark, d).groupBy("wt", "symbol").agg(F.sum(F.greatest("f1", F.lit(0.0))).alias("s")).groupBy("wt").agg(F.try_divide(F.max("s"), F.sum("s")).alias("top_share"))
     return rounded(g.withColumn("grade", F.when(F.col("top_share") <= 0.05, "A").when(F.col("top_share") <= 0.2, "B").otherwise("C")))
 
 
@@ -576,5 +585,6 @@ def a78(spark, d):
 def a79(spark, d):
     h = F.explode(F.array(*(F.struct(F.lit(i).alias("horizon"), F.lit(s).alias("side"), (s * F.col(f"f{i}")).alias("f")) for i in (1, 3) for s in (1, -1))))
     u = panel(spark, d).select("wt", h.alias("h")).select("wt", "h.*").where("f IS NOT NULL")
-    g = u.groupBy("wt", "horizon", "side").agg(F.count("*").alias("n"), F.percentile("f", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    return rounded(g.select("wt", "horizon", "side", "n", *(F.col("q")[i].alias(f"q{i + 1}") for i in range(3))))
+    cells, names = ["wt", "horizon", "side"], ["q1", "q2", "q3"]
+    q = quantiles(u, cells, "f", [0.25, 0.5, 0.75], names)
+    return rounded(u.groupBy(*cells).agg(F.count("*").alias("n")).join(q, cells).select(*cells, "n", *names))

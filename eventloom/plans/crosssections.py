@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
-from ..functions.scalars import net, round_trip_cost
+from ..functions.scalars import net, ret, round_trip_cost
 from ..operators import bars as B
 from ..operators import crosssection as X
 from .panels import bars, cross_section, panel, rounded
@@ -66,20 +66,33 @@ def a67(spark, d):
     return rounded(X.spread(X.with_legs(e, ["m"], "s", "score", 3, 9), ["m"], "res").select("m", "spread"), 5)
 
 
-@query("a68_leave_one_name_out", f"""WITH {XS}, v AS (SELECT xs.*, dr.x AS dropped FROM xs, (SELECT unnest(range(1, 9)) AS x) dr WHERE f1 IS NOT NULL AND s <> dr.x), r AS (SELECT *, count(*) OVER (PARTITION BY dropped, m) AS names, row_number() OVER (PARTITION BY dropped, m ORDER BY score, s) AS lo, row_number() OVER (PARTITION BY dropped, m ORDER BY score DESC, s) AS hi FROM v),
+@query("a68_leave_one_name_out", f"""WITH {XS}, w AS (SELECT * FROM xs WHERE f1 IS NOT NULL), v AS (SELECT w.*, dr.x AS dropped FROM w, (SELECT DISTINCT s AS x FROM w) dr WHERE s <> dr.x), r AS (SELECT *, count(*) OVER (PARTITION BY dropped, m) AS names, row_number() OVER (PARTITION BY dropped, m ORDER BY score, s) AS lo, row_number() OVER (PARTITION BY dropped, m ORDER BY score DESC, s) AS hi FROM v),
 d AS (SELECT dropped, m, avg(f1) FILTER (hi <= names // 3) - avg(f1) FILTER (hi > names // 3 AND lo <= names // 3) AS sp FROM r WHERE names >= 9 GROUP BY ALL) SELECT dropped, count(*) AS months, round(avg(sp), 6) AS spread FROM d GROUP BY 1""")
 def a68(spark, d):
-    # eight names are dropped in turn and the legs formed anew
-    v = valid(spark, d).withColumn("dropped", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(8).cast("long")))).where("s <> dropped")
-    sp = X.spread(X.with_legs(v, ["dropped", "m"], "s", "score", 3, 9), ["dropped", "m"], "f1")
-    return rounded(sp.groupBy("dropped").agg(F.count("*").alias("months"), F.avg("spread").alias("spread")))
+    """Every name is dropped in turn and the legs formed anew.
+
+    Without a name, each leg of its months is that of the ranks up to k, or up to k + 1 less the name where it was among them. So two sums per
+    month and leg, and the totals over all months, give every name's result without a copy of the table per name.
+    """
+    w = Window.partitionBy("m")
+    r = valid(spark, d).select("s", "m", "f1", F.count("*").over(w).alias("n"), F.row_number().over(w.orderBy(F.desc("score"), "s")).alias("hi"), F.row_number().over(w.orderBy("score", "s")).alias("lo"))
+    r = r.withColumns({"k": F.floor(F.col("n") / 3), "j": F.floor((F.col("n") - 1) / 3)})
+    top = lambda rank, to: F.coalesce(F.sum(F.when(F.col(rank) <= to, F.col("f1"))), F.lit(0.0))
+    months = r.groupBy("m", "n", "k", "j").agg(*(top(rank, F.col(c) + extra).alias(f"{rank}_{c}{extra}") for rank in ("hi", "lo") for c, extra in (("k", 0), ("j", 0), ("j", 1))))
+    months = months.withColumn("whole", F.when(F.col("n") >= 9, F.try_divide(F.col("hi_k0") - F.col("lo_k0"), F.col("k"))))
+    leg = lambda rank: F.when(F.col(rank) <= F.col("j"), F.col(f"{rank}_j1") - F.col("f1")).otherwise(F.col(f"{rank}_j0"))
+    own = r.join(months.drop("n", "k", "j"), "m").withColumn("without", F.when(F.col("n") >= 10, F.try_divide(leg("hi") - leg("lo"), F.col("j"))))
+    per = own.groupBy(F.col("s").alias("dropped")).agg(*(f(c).alias(f"{n}_{c}") for c in ("whole", "without") for n, f in (("n", F.count), ("t", lambda c: F.coalesce(F.sum(c), F.lit(0.0))))))
+    every = months.agg(F.count("whole").alias("n"), F.sum("whole").alias("t"))  # one row
+    x = per.crossJoin(F.broadcast(every)).withColumn("months", F.col("n") - F.col("n_whole") + F.col("n_without")).where("months > 0")
+    return rounded(x.select("dropped", "months", ((F.col("t") - F.col("t_whole") + F.col("t_without")) / F.col("months")).alias("spread")))
 
 
 @query("a75_demeaned_correlation", f"WITH {XS}, v AS (SELECT *, count(*) OVER (PARTITION BY m) AS names FROM xs WHERE f1 IS NOT NULL), e AS (SELECT score - avg(score) OVER (PARTITION BY m) AS a, f1 - avg(f1) OVER (PARTITION BY m) AS b FROM v WHERE names >= 6) SELECT count(*) AS n, round(corr(a, b), 6) AS r FROM e")
 def a75(spark, d):
     v = valid(spark, d).withColumn("names", F.count("*").over(Window.partitionBy("m"))).where("names >= 6")
     e = v.select(X.demeaned("score", ["m"]).alias("a"), X.demeaned("f1", ["m"]).alias("b"))
-    return rounded(e.agg(F.count("*").alias("n"), F.corr("a", "b").alias("r")))
+    return rounded(e.agg(F.count("*").alias("n"), S.correlation("a", "b").alias("r")))
 
 
 @query("a76_score_difference", f"""WITH {XS}, u AS (SELECT s, m, f1, unnest(['score', 'alt']) AS which, unnest([score, alt]) AS x FROM xs WHERE f1 IS NOT NULL), r AS (SELECT *, count(*) OVER (PARTITION BY which, m) AS names, row_number() OVER (PARTITION BY which, m ORDER BY x, s) AS lo, row_number() OVER (PARTITION BY which, m ORDER BY x DESC, s) AS hi FROM u),
@@ -91,18 +104,18 @@ def a76(spark, d):
     return rounded(p.withColumn("diff", F.col("score") - F.col("alt")))
 
 
-@query("a29_leave_one_out_market_beta", f"WITH {BARS}, r AS (SELECT symbol, slot, c / o - 1 AS x, trades FROM bars), s AS (SELECT slot, sum(x) AS t, count(*) AS n FROM r GROUP BY 1) SELECT symbol, count(*) AS n, round(regr_slope(x, (t - x) / (n - 1)), 5) AS beta FROM r JOIN s USING (slot) WHERE n >= 10 AND trades < 3 GROUP BY 1 HAVING count(*) >= 20")
+@query("a29_leave_one_out_market_beta", f"WITH {BARS}, r AS (SELECT symbol, slot, c/ nullif(o, 0) - 1 AS x, trades FROM bars), s AS (SELECT slot, sum(x) AS t, count(*) AS n FROM r GROUP BY 1) SELECT symbol, count(*) AS n, round(regr_slope(x, (t - x) / (n - 1)), 5) AS beta FROM r JOIN s USING (slot) WHERE n >= 10 AND trades < 3 GROUP BY 1 HAVING count(*) >= 20")
 def a29(spark, d):
-    r = bars(spark, d).select("symbol", "slot", (F.col("c") / F.col("o") - 1).alias("x"), "trades")
+    r = bars(spark, d).select("symbol", "slot", (ret("c", "o")).alias("x"), "trades")
     s = r.groupBy("slot").agg(F.sum("x").alias("t"), F.count("*").alias("k")).where("k >= 10")
     # busy slots are events; betas come from the quiet ones
     y = r.join(s, "slot").where("trades < 3").groupBy("symbol")
     return rounded(y.agg(F.count("*").alias("n"), F.regr_slope("x", (F.col("t") - F.col("x")) / (F.col("k") - 1)).alias("beta")).where("n >= 20"), 5)
 
 
-_STUDY = BARS + """, m AS (SELECT *, c / lag(c) OVER w - 1 AS r1, lead(c, 4) OVER w / c - 1 AS f4, max(h) OVER a / c - 1 AS mfe, min(l) OVER a / c - 1 AS mae FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY slot), a AS (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)),
+_STUDY = BARS + """, m AS (SELECT *, c / nullif(lag(c) OVER w, 0) - 1 AS r1, lead(c, 4) OVER w / nullif(c, 0) - 1 AS f4, max(h) OVER a / nullif(c, 0) - 1 AS mfe, min(l) OVER a / nullif(c, 0) - 1 AS mae FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY slot), a AS (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)),
 e AS (SELECT *, CASE WHEN r1 > 0 THEN 'up' ELSE 'down' END AS kind, slot // 4 AS day FROM m WHERE abs(r1) >= 0.3 AND f4 IS NOT NULL),
-s AS (SELECT *, unnest([1, -1]) AS side FROM e), n AS (SELECT *, side * f4 * 100 - CASE WHEN abs(r1) < 1.5 THEN 0.14 WHEN abs(r1) < 3.0 THEN 0.24 ELSE 0.44 END AS net FROM s),
+s AS (SELECT *, unnest([1, -1]) AS side FROM e), n AS (SELECT *, side * f4 * 100 - CASE WHEN abs(r1) < 1.5 THEN 0.14 WHEN abs(r1) < 3.0 THEN 0.94 ELSE 1.34 END AS net FROM s),
 g AS (SELECT kind, side, day, sum(net) AS gs, count(*) AS gn FROM n GROUP BY ALL), t AS (SELECT kind, side, sum(gs) / sum(gn) AS mean, sum(gn)::BIGINT AS n, count(*) AS days FROM g GROUP BY ALL),
 z AS (SELECT kind, side, sqrt(sum(pow(gs - gn * mean, 2))) AS spread, min((mean * n - gs) / nullif(n - gn, 0)) AS worst FROM g JOIN t USING (kind, side) GROUP BY ALL),
 q AS (SELECT kind, side, median(net) AS med, avg((net > 0)::INT) AS win, avg(mfe) AS mfe, avg(mae) AS mae FROM n GROUP BY ALL)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import ret
 from ..operators import bars as B
 from ..operators.asof import asof, asof_chain, first_after, prefix_sum_at
 from ..operators.detect import first_per
@@ -64,7 +65,7 @@ def j05(spark, d):
 _FILL = f"""WITH {_SIDES}, t AS (SELECT symbol, us, price FROM ev WHERE wt = 'click'), a AS (SELECT event_id, e.symbol, e.us, t.us AS in_at, t.price AS in_px FROM e ASOF LEFT JOIN t ON e.symbol = t.symbol AND e.us < t.us),
 b AS (SELECT event_id, a.us, in_at, in_px, t.us AS out_at, t.price AS out_px, a.in_at + 172800000000 AS target FROM a ASOF LEFT JOIN t ON a.symbol = t.symbol AND a.in_at + 172800000000 <= t.us)
 SELECT event_id, CASE WHEN in_at IS NULL THEN 'no entry' WHEN in_at - us > 172800000000 THEN 'late entry' WHEN out_at IS NULL THEN 'no exit' WHEN out_at - target > 172800000000 THEN 'late exit' WHEN in_px <= 0 THEN 'bad price' ELSE 'filled' END AS status,
-round(CASE WHEN in_at - us <= 172800000000 AND out_at - target <= 172800000000 THEN out_px / in_px - 1 END, 6) AS ret FROM b"""
+round(CASE WHEN in_at - us <= 172800000000 AND out_at - target <= 172800000000 THEN out_px / nullif(in_px, 0) - 1 END, 6) AS ret FROM b"""
 
 
 def fills(spark, d):
@@ -74,7 +75,7 @@ def fills(spark, d):
     b = first_after(a, t.withColumnRenamed("us", "target"), "symbol", "target", ["price"], known="at", prefix="out_")
     late_in, late_out = F.col("in_at") - F.col("us") > 2 * DAY, F.col("out_at") - F.col("target") > 2 * DAY
     status = F.when(F.col("in_at").isNull(), "no entry").when(late_in, "late entry").when(F.col("out_at").isNull(), "no exit").when(late_out, "late exit").when(F.col("in_price") <= 0, "bad price").otherwise("filled")
-    return b.select("event_id", status.alias("status"), F.when(~late_in & ~late_out, F.col("out_price") / F.col("in_price") - 1).alias("ret"))
+    return b.select("event_id", status.alias("status"), F.when(~late_in & ~late_out, ret("out_price", "in_price")).alias("ret"))
 
 
 @query("j06_fill_pairs", _FILL)
@@ -125,12 +126,12 @@ def j12(spark, d):
     return tables.read(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name", "r_name")
 
 
-@query("j13_next_global_period", f"WITH {BARS}, g AS (SELECT symbol, slot // 4 AS day, arg_max(c, slot) AS c FROM bars GROUP BY ALL), n AS (SELECT day, lead(day) OVER (ORDER BY day) AS nxt FROM (SELECT DISTINCT day FROM g)) SELECT g.symbol, g.day, round(x.c / g.c - 1, 6) AS ret FROM g JOIN n USING (day) LEFT JOIN g x ON x.symbol = g.symbol AND x.day = n.nxt")
+@query("j13_next_global_period", f"WITH {BARS}, g AS (SELECT symbol, slot // 4 AS day, arg_max(c, slot) AS c FROM bars GROUP BY ALL), n AS (SELECT day, lead(day) OVER (ORDER BY day) AS nxt FROM (SELECT DISTINCT day FROM g)) SELECT g.symbol, g.day, round(x.c / nullif(g.c, 0) - 1, 6) AS ret FROM g JOIN n USING (day) LEFT JOIN g x ON x.symbol = g.symbol AND x.day = n.nxt")
 def j13(spark, d):
     g = bars(spark, d).groupBy("symbol", F.floor(F.col("slot") / 4).alias("day")).agg(F.max_by("c", "slot").alias("c"))
     calendar = g.select("day").distinct().withColumn("nxt", F.lead("day").over(Window.orderBy("day")))  # a row per day
     later = g.select("symbol", F.col("day").alias("nxt"), F.col("c").alias("then"))
-    return rounded(g.join(calendar, "day").join(later, ["symbol", "nxt"], "left").select("symbol", "day", (F.col("then") / F.col("c") - 1).alias("ret")))
+    return rounded(g.join(calendar, "day").join(later, ["symbol", "nxt"], "left").select("symbol", "day", (ret("then", "c")).alias("ret")))
 
 
 @query("j14_event_path_windows", f"WITH {EV}, e AS (SELECT event_id, symbol, us FROM ev WHERE wt = 'signup'), p AS (SELECT e.event_id, (x.us - e.us) // 86400000000 AS day, x.price FROM e JOIN ev x ON e.symbol = x.symbol AND x.us BETWEEN e.us - 172800000000 AND e.us + 172800000000) SELECT event_id, count(*) AS n, round(avg(price), 6) AS mean FROM p GROUP BY 1 HAVING count(*) >= 3")
@@ -141,13 +142,13 @@ def j14(spark, d):
     return rounded(path.groupBy("event_id").agg(F.count("*").alias("n"), F.avg("price").alias("mean")).where("n >= 3"))
 
 
-_UNIVERSE = f"WITH {BARS}, r AS (SELECT symbol, slot, c / o - 1 AS ret FROM bars), e AS (SELECT event_id, symbol, us // 21600000000 AS slot FROM ev WHERE k >= 95), s AS (SELECT slot, sum(ret) AS total, count(*) AS n FROM r GROUP BY 1)"
+_UNIVERSE = f"WITH {BARS}, r AS (SELECT symbol, slot, c/ nullif(o, 0) - 1 AS ret FROM bars), e AS (SELECT event_id, symbol, us // 21600000000 AS slot FROM ev WHERE k >= 95), s AS (SELECT slot, sum(ret) AS total, count(*) AS n FROM r GROUP BY 1)"
 
 
 @query("j15_event_against_universe", _UNIVERSE + " SELECT event_id, round((total - coalesce(r.ret, 0)) / (n - (r.ret IS NOT NULL)::INT), 6) AS others, n - (r.ret IS NOT NULL)::INT AS names FROM e JOIN s USING (slot) LEFT JOIN r ON r.symbol = e.symbol AND r.slot = e.slot WHERE n - (r.ret IS NOT NULL)::INT >= 5")
 def j15(spark, d):
     # sums per slot first, then each event takes itself out
-    r = bars(spark, d).select("symbol", "slot", (F.col("c") / F.col("o") - 1).alias("ret"))
+    r = bars(spark, d).select("symbol", "slot", (ret("c", "o")).alias("ret"))
     e = tables.ticks(spark, d).where("k >= 95").select("event_id", "symbol", F.floor(F.col("us") / (6 * HOUR)).alias("slot"))
     x = e.join(r.groupBy("slot").agg(F.sum("ret").alias("total"), F.count("*").alias("n")), "slot").join(r, ["symbol", "slot"], "left")
     names = F.col("n") - F.col("ret").isNotNull().cast("int")
@@ -156,7 +157,7 @@ def j15(spark, d):
 
 @query("j16_leave_one_out_market", _UNIVERSE.replace(", e AS (SELECT event_id, symbol, us // 21600000000 AS slot FROM ev WHERE k >= 95)", "") + " SELECT symbol, slot, round(ret - (total - ret) / (n - 1), 6) AS excess FROM r JOIN s USING (slot) WHERE n >= 4")
 def j16(spark, d):
-    r = bars(spark, d).select("symbol", "slot", (F.col("c") / F.col("o") - 1).alias("ret"))
+    r = bars(spark, d).select("symbol", "slot", (ret("c", "o")).alias("ret"))
     s = r.groupBy("slot").agg(F.sum("ret").alias("total"), F.count("*").alias("n")).where("n >= 4")
     return rounded(r.join(s, "slot").select("symbol", "slot", (F.col("ret") - (F.col("total") - F.col("ret")) / (F.col("n") - 1)).alias("excess")))
 
@@ -188,11 +189,11 @@ def j19(spark, d):
     return t.groupBy("name").agg(F.count("*").alias("n"), F.round(F.sum("price"), 4).alias("total"))
 
 
-@query("j20_last_two_values", f"WITH {_SIDES}, q2 AS (SELECT symbol, us, price, lag(price) OVER (PARTITION BY symbol ORDER BY us) AS before FROM q) SELECT event_id, price, before, round(price / before - 1, 6) AS chg FROM e ASOF LEFT JOIN q2 ON e.symbol = q2.symbol AND e.us >= q2.us")
+@query("j20_last_two_values", f"WITH {_SIDES}, q2 AS (SELECT symbol, us, price, lag(price) OVER (PARTITION BY symbol ORDER BY us) AS before FROM q) SELECT event_id, price, before, round(price / nullif(before, 0) - 1, 6) AS chg FROM e ASOF LEFT JOIN q2 ON e.symbol = q2.symbol AND e.us >= q2.us")
 def j20(spark, d):
     e, q = sides(spark, d)
     q = q.withColumn("before", F.lag("price").over(Window.partitionBy("symbol").orderBy("us")))
-    return rounded(asof(e, q, "symbol", "us", ["price", "before"]).select("event_id", "price", "before", (F.col("price") / F.col("before") - 1).alias("chg")))
+    return rounded(asof(e, q, "symbol", "us", ["price", "before"]).select("event_id", "price", "before", (ret("price", "before")).alias("chg")))
 
 
 @query("j21_paired_days", f"WITH {PANEL}, a AS (SELECT day, avg(f1) AS m FROM panel WHERE k >= 80 GROUP BY 1), b AS (SELECT day, avg(f1) AS m FROM panel WHERE k < 20 GROUP BY 1) SELECT day, round(a.m - b.m, 6) AS excess FROM a JOIN b USING (day)")

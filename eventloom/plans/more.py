@@ -9,7 +9,6 @@ from ..functions import scalars as S
 from ..functions import stats
 from ..operators import bars as B
 from ..operators import outcomes as O
-from ..operators.detect import finite
 from ..sources import tables
 from .aggregates import P1, returns, uniform_sql
 from .panels import bars, panel, rounded
@@ -59,12 +58,12 @@ def p27(spark, d):
     return tables.ticks(spark, d).join(c, "symbol", "left").select("event_id", F.when(F.col("k") == 0, 0.0).otherwise(F.round(F.try_divide(F.col("k"), F.col("c_acctbal")) * 100, 6)).alias("ratio"))
 
 
-@query("p32_cleaning", f"WITH {EV}, z AS (SELECT symbol, avg((k % 10 = 0)::INT) AS zeros FROM ev GROUP BY 1) SELECT event_id, CASE WHEN k % 10 = 0 AND zeros > 0.1 THEN NULL ELSE k % 10 END AS value FROM ev JOIN z USING (symbol) WHERE abs(ln(price / 100)) <= 3")
+@query("p32_cleaning", f"WITH {EV}, z AS (SELECT symbol, avg((k % 10 = 0)::INT) AS zeros FROM ev GROUP BY 1) SELECT event_id, CASE WHEN k % 10 = 0 AND zeros > 0.1 THEN NULL ELSE k % 10 END AS value FROM ev JOIN z USING (symbol) WHERE abs(ln(nullif(price, 0) / 100)) <= 3")
 def p32(spark, d):
     # a zero counts as missing for symbols that have many; extreme logarithms go
     w = Window.partitionBy("symbol")
     x = tables.ticks(spark, d).withColumn("v", F.col("k") % 10).withColumn("zeros", F.avg((F.col("v") == 0).cast("int")).over(w))
-    return x.where(F.abs(finite(F.log(F.col("price") / 100))) <= 3).select("event_id", F.when((F.col("v") == 0) & (F.col("zeros") > 0.1), F.lit(None)).otherwise(F.col("v")).alias("value"))
+    return x.where(F.abs(S.finite(F.log(F.col("price") / 100))) <= 3).select("event_id", F.when((F.col("v") == 0) & (F.col("zeros") > 0.1), F.lit(None)).otherwise(F.col("v")).alias("value"))
 
 
 _SHUFFLE = P1 + f""", b AS (SELECT day, event_id, f1, k, unnest(range(0, 31)) AS rep FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY rep, day ORDER BY event_id) AS i, row_number() OVER (PARTITION BY rep, day ORDER BY CASE WHEN rep = 0 THEN 0 ELSE {uniform_sql("'within'", 'rep', 'event_id')} END, event_id) AS j FROM b),
@@ -90,7 +89,7 @@ def a39(spark, d):
     return tables.ticks(spark, d).select("event_id", n(B.MINUTE).alias("minute_count"), n(B.HOUR).alias("hour_count"))
 
 
-_EXT = f"WITH {BARS}, x AS (SELECT symbol, slot, lead(c, 8) OVER w / c - 1 AS f, max(h) OVER a / c - 1 AS mfe FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY slot), a AS (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING))"
+_EXT = f"WITH {BARS}, x AS (SELECT symbol, slot, lead(c, 8) OVER w / nullif(c, 0) - 1 AS f, max(h) OVER a / nullif(c, 0) - 1 AS mfe FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY slot), a AS (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING))"
 
 
 @query("w42_one_sided_lock", _EXT + " SELECT symbol, slot, round(CASE WHEN mfe >= 0.5 THEN 0.5 ELSE f END, 6) AS result FROM x WHERE f IS NOT NULL")
@@ -110,7 +109,7 @@ def w44(spark, d):
 _CONFIG = "(VALUES ('fast', 0.2, 0.2), ('slow', 1.0, 0.5)) cfg(name, take, stop)"
 
 
-@query("f08_pluggable_exits", f"WITH {BARS}, r AS (SELECT *, row_number() OVER w AS i FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY slot)), p AS (SELECT a.symbol, a.slot AS entry, b.i - a.i AS off, b.h / a.c - 1 AS up, 1 - b.l / a.c AS down FROM r a JOIN r b ON a.symbol = b.symbol AND b.i > a.i AND b.i <= a.i + 12 WHERE a.trades >= 3), m AS (SELECT name, symbol, entry, min(off) FILTER (up >= take) AS t, min(off) FILTER (down >= stop) AS s FROM p, {_CONFIG} GROUP BY ALL) SELECT name, CASE WHEN s IS NOT NULL AND (t IS NULL OR s <= t) THEN 'stop' WHEN t IS NOT NULL THEN 'take' ELSE 'time' END AS status, count(*) AS n FROM m GROUP BY ALL")
+@query("f08_pluggable_exits", f"WITH {BARS}, r AS (SELECT *, row_number() OVER w AS i FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY slot)), p AS (SELECT a.symbol, a.slot AS entry, b.i - a.i AS off, b.h / nullif(a.c, 0) - 1 AS up, 1 - b.l / nullif(a.c, 0) AS down FROM r a JOIN r b ON a.symbol = b.symbol AND b.i > a.i AND b.i <= a.i + 12 WHERE a.trades >= 3), m AS (SELECT name, symbol, entry, min(off) FILTER (up >= take) AS t, min(off) FILTER (down >= stop) AS s FROM p, {_CONFIG} GROUP BY ALL) SELECT name, CASE WHEN s IS NOT NULL AND (t IS NULL OR s <= t) THEN 'stop' WHEN t IS NOT NULL THEN 'take' ELSE 'time' END AS status, count(*) AS n FROM m GROUP BY ALL")
 def f08(spark, d):
     # exits come as parameter rows; the paths are made once
     path = O.paths(bars(spark, d), "symbol", "slot", 12, F.col("trades") >= 3)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import ret
 from ..operators import bars as B
 from ..sources import tables
 
@@ -20,15 +21,15 @@ def bars(spark: SparkSession, folder: str, step: int = STEP) -> DataFrame:
 def panel(spark: SparkSession, folder: str) -> DataFrame:
     """Ticks as alerts with their day and the returns to the next and third next tick of the symbol."""
     w = Window.partitionBy("symbol").orderBy("us", "event_id")
-    return tables.ticks(spark, folder).select("*", F.floor(F.col("us") / B.DAY).alias("day"), (F.lead("price").over(w) / F.col("price") - 1).alias("f1"), (F.lead("price", 3).over(w) / F.col("price") - 1).alias("f3"))
+    return tables.ticks(spark, folder).select("*", F.floor(F.col("us") / B.DAY).alias("day"), ret(F.lead("price").over(w), "price").alias("f1"), ret(F.lead("price", 3).over(w), "price").alias("f3"))
 
 
 def cross_section(spark: SparkSession, folder: str) -> DataFrame:
     """Supplier by month: two scores, a price and its change to the supplier's next month."""
     cents = lambda c: F.sum(F.round(F.col(c) * 100).cast("long"))
     months = tables.read(spark, folder, "lineitem").groupBy(F.col("l_suppkey").alias("s"), (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("m"))
-    months = months.agg(cents("l_discount").alias("sd"), cents("l_tax").alias("st"), F.count("*").alias("n"), (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("px"))
-    f1 = F.lead("px").over(Window.partitionBy("s").orderBy("m")) / F.col("px") - 1
+    months = months.agg(cents("l_discount").alias("sd"), cents("l_tax").alias("st"), F.count("*").alias("n"), F.try_divide(F.sum("l_extendedprice"), F.sum("l_quantity")).alias("px"))
+    f1 = ret(F.lead("px").over(Window.partitionBy("s").orderBy("m")), "px")
     return months.select("s", "m", "n", (F.col("sd").cast("double") / F.col("n")).alias("score"), (F.col("st").cast("double") / F.col("n")).alias("alt"), "px", f1.alias("f1"))
 
 

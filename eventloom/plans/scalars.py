@@ -19,7 +19,7 @@ def p01(spark, d):
     return tables.read(spark, d, "part").select("p_partkey", S.symbol(F.col("p_brand")).alias("symbol"), S.swap_symbol(F.concat("p_brand", F.lit("-USDT-SWAP"))).alias("swap"))
 
 
-@query("p03_time_units", f"WITH {EV}, s AS (SELECT event_id, us // 1000000 AS t FROM ev) SELECT event_id, CASE WHEN (SELECT median(t) FROM s) BETWEEN 1e9 AND 2e10 THEN t * 1000 ELSE t END AS ms FROM s")
+@query("p03_time_units", f"WITH {EV}, s AS (SELECT event_id, us // 1000000 AS t FROM ev) SELECT event_id, CASE WHEN (SELECT median(t) FROM s) BETWEEN 1e9 AND 2e10 - 1 THEN t * 1000 ELSE t END AS ms FROM s")
 def p03(spark, d):
     s = tables.ticks(spark, d).select("event_id", F.floor(F.col("us") / 1_000_000).alias("t"))
     # one row, so the broadcast has a fixed size
@@ -103,7 +103,7 @@ def p17(spark, d):
     return tables.ticks(spark, d).groupBy(S.bucket(F.col("price"), [10, 50, 200]).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-_COST = "CASE WHEN coalesce({0}, 0) < 1.5 THEN {1} * 0.14 WHEN {0} < 3.0 THEN {1} * 0.24 ELSE {1} * 0.44 END"
+_COST = "CASE WHEN coalesce({0}, 0) < 1.5 THEN {1} * 0.14 WHEN {0} < 3.0 THEN {1} * 0.94 ELSE {1} * 1.34 END"
 
 
 @query("p18_costs_and_net", f"WITH {PANEL} SELECT event_id, round(f1 * 100 - {_COST.format('k / 20.0', '1.0')}, 6) AS net_long, round(-f1 * 100 - {_COST.format('k / 20.0', '1.0')}, 6) AS net_short, round(price * (1 + k / 10000.0), 6) AS bought, round(price * (1 - k / 10000.0), 6) AS sold FROM panel")
@@ -155,11 +155,11 @@ def p28(spark, d):
     ))
 
 
-@query("p30_candles", f"WITH {BARS} SELECT symbol, slot, round((h - greatest(o, c)) / c, 6) AS upper_wick, round(c / o - 1, 6) AS body, round((h - l) / c, 6) AS range, round(coalesce(taker_v::DOUBLE / nullif(v, 0), 0.5), 6) AS taker_share, CASE WHEN l > 0 AND h > 0 THEN round((h - l) / ((h + l) / 2) * 10000, 4) ELSE 0 END AS spread_bp FROM bars")
+@query("p30_candles", f"WITH {BARS} SELECT symbol, slot, round((h - greatest(o, c))/ nullif(c, 0), 6) AS upper_wick, round(c/ nullif(o, 0) - 1, 6) AS body, round((h - l)/ nullif(c, 0), 6) AS range, round(coalesce(taker_v::DOUBLE / nullif(v, 0), 0.5), 6) AS taker_share, CASE WHEN l > 0 AND h > 0 THEN round((h - l) / ((h + l) / 2) * 10000, 4) ELSE 0 END AS spread_bp FROM bars")
 def p30(spark, d):
     bp = F.when((F.col("l") > 0) & (F.col("h") > 0), F.round((F.col("h") - F.col("l")) / ((F.col("h") + F.col("l")) / 2) * 10000, 4)).otherwise(0.0)
     b = bars(spark, d)
-    return rounded(b.select("symbol", "slot", ((F.col("h") - F.greatest("o", "c")) / F.col("c")).alias("upper_wick"), (F.col("c") / F.col("o") - 1).alias("body"), ((F.col("h") - F.col("l")) / F.col("c")).alias("range"), S.ratio(F.col("taker_v"), F.col("v"), 0.5).alias("taker_share"), bp.alias("spread_bp")))
+    return rounded(b.select("symbol", "slot", S.share(F.col("h") - F.greatest("o", "c"), "c").alias("upper_wick"), (S.ret("c", "o")).alias("body"), S.share(F.col("h") - F.col("l"), "c").alias("range"), S.ratio(F.col("taker_v"), F.col("v"), 0.5).alias("taker_share"), bp.alias("spread_bp")))
 
 
 @query("p33_surprise", "SELECT p_partkey, round((p_retailprice - (900 + p_size)) / nullif(abs(900 + p_size), 0), 6) AS surprise FROM part")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import ret
 from ..operators.detect import first_per
 from ..sources import merge, tables
 from .panels import bars, rounded
@@ -143,9 +144,9 @@ def k01(spark, d):
     return bars(spark, d).groupBy("symbol").agg(F.round(F.sum("qv"), 4).alias("qv"), F.sum("trades").alias("trades")).orderBy(F.desc("qv"), F.desc("trades"), "symbol")
 
 
-@query("k02_global_top", f"WITH {BARS} SELECT symbol, n, round(m, 6) AS m FROM (SELECT symbol, count(*) AS n, avg(c / o - 1) AS m FROM bars GROUP BY 1 HAVING count(*) >= 20) ORDER BY m DESC, symbol LIMIT 15")
+@query("k02_global_top", f"WITH {BARS} SELECT symbol, n, round(m, 6) AS m FROM (SELECT symbol, count(*) AS n, avg(c/ nullif(o, 0) - 1) AS m FROM bars GROUP BY 1 HAVING count(*) >= 20) ORDER BY m DESC, symbol LIMIT 15")
 def k02(spark, d):
-    return rounded(bars(spark, d).groupBy("symbol").agg(F.count("*").alias("n"), F.avg(F.col("c") / F.col("o") - 1).alias("m")).where("n >= 20").orderBy(F.desc("m"), "symbol").limit(15))
+    return rounded(bars(spark, d).groupBy("symbol").agg(F.count("*").alias("n"), F.avg(ret("c", "o")).alias("m")).where("n >= 20").orderBy(F.desc("m"), "symbol").limit(15))
 
 
 @query("k03_top_per_group", f"WITH {BARS}, g AS (SELECT slot // 28 AS week, symbol, sum(v)::BIGINT AS v FROM bars GROUP BY ALL) SELECT week, symbol, v FROM (SELECT *, row_number() OVER (PARTITION BY week ORDER BY v DESC, symbol) AS r FROM g) WHERE r <= 5")
@@ -160,9 +161,9 @@ def k04(spark, d):
     return first_per(g, ["day"], [F.desc("qv"), F.col("symbol")], 10)
 
 
-@query("k05_top_movers", f"WITH {BARS}, m AS (SELECT symbol, slot, c / lag(c, 4) OVER (PARTITION BY symbol ORDER BY slot) - 1 AS chg FROM bars), l AS (SELECT symbol, arg_max(chg, slot) AS chg FROM m GROUP BY 1) SELECT symbol, round(chg, 6) AS chg FROM l WHERE chg IS NOT NULL ORDER BY chg DESC, symbol LIMIT 20")
+@query("k05_top_movers", f"WITH {BARS}, m AS (SELECT symbol, slot, c / nullif(lag(c, 4) OVER (PARTITION BY symbol ORDER BY slot), 0) - 1 AS chg FROM bars), l AS (SELECT symbol, arg_max(chg, slot) AS chg FROM m GROUP BY 1) SELECT symbol, round(chg, 6) AS chg FROM l WHERE chg IS NOT NULL ORDER BY chg DESC, symbol LIMIT 20")
 def k05(spark, d):
-    chg = F.col("c") / F.lag("c", 4).over(Window.partitionBy("symbol").orderBy("slot")) - 1
+    chg = ret("c", F.lag("c", 4).over(Window.partitionBy("symbol").orderBy("slot")))
     last = bars(spark, d).withColumn("chg", chg).groupBy("symbol").agg(F.max_by("chg", "slot").alias("chg")).where("chg IS NOT NULL")
     return rounded(last.orderBy(F.desc("chg"), "symbol").limit(20))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import ret
 from ..operators.bars import DAY, HOUR
 from ..sources import tables
 from ..streaming import runs as R
@@ -15,12 +16,12 @@ _CLOSED = "(SELECT max(us) FROM ev) - 7200000000"
 
 
 def stream(spark, d):
-    # a glob, as a stream source wants files of a folder
-    return R.event_stream(spark, f"{d}/events.parque[t]")
+    # a glob, as a stream source wants files of a folder; replayed in order of time
+    return R.event_stream(spark, R.in_order(spark, f"{d}/events.parque[t]"))
 
 
 def _ladder_change(us):
-    return f"round((price / arg_max(price, us) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND {us} PRECEDING) - 1) * 100, 4)"
+    return f"round((price / nullif(arg_max(price, us) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND {us} PRECEDING), 0) - 1) * 100, 4)"
 
 
 @query("t01_streaming_ladder_with_cooldown", f"""WITH {EV}, c AS (SELECT *, {_ladder_change(6 * HOUR)} AS a, {_ladder_change(DAY)} AS b, {_ladder_change(3 * DAY)} AS e FROM ev),
@@ -37,7 +38,7 @@ def t03(spark, d):
     return R.drain(R.enriched(stream(spark, d).select("event_id", "symbol"), static, "symbol"))
 
 
-@query("t04_sliding_change", f"WITH {EV}, w AS (SELECT *, unnest([us // 21600000000, us // 21600000000 - 1, us // 21600000000 - 2, us // 21600000000 - 3]) * 21600000000 AS start FROM ev) SELECT symbol, start, count(*) AS n, round(CASE WHEN count(*) >= 2 THEN arg_max(price, us) / arg_min(price, us) - 1 END, 6) AS change FROM w GROUP BY ALL HAVING start + 86400000000 <= {_CLOSED}")
+@query("t04_sliding_change", f"WITH {EV}, w AS (SELECT *, unnest([us // 21600000000, us // 21600000000 - 1, us // 21600000000 - 2, us // 21600000000 - 3]) * 21600000000 AS start FROM ev) SELECT symbol, start, count(*) AS n, round(CASE WHEN count(*) >= 2 THEN arg_max(price, us) / nullif(arg_min(price, us), 0) - 1 END, 6) AS change FROM w GROUP BY ALL HAVING start + 86400000000 <= {_CLOSED}")
 def t04(spark, d):
     out = R.drain(R.change_over_snapshots(stream(spark, d), "24 hours", "6 hours", _LAG))
     return out.select("symbol", "start", "n", F.round("change", 6).alias("change"))
@@ -61,14 +62,14 @@ def t08(spark, d):
     return R.repaired(stream(spark, d).select("symbol", day, "us"), table, ["symbol", "day"])
 
 
-@query("t09_maturity_gate", f"WITH {EV}, e AS (SELECT event_id, symbol, us, price FROM ev WHERE wt = 'purchase' AND us + 259200000000 <= (SELECT max(us) FROM ev)) SELECT e.event_id, round(x.price / e.price - 1, 6) AS ret FROM (SELECT *, us + 172800000000 AS target FROM e) e ASOF LEFT JOIN ev x ON e.symbol = x.symbol AND e.target <= x.us")
+@query("t09_maturity_gate", f"WITH {EV}, e AS (SELECT event_id, symbol, us, price FROM ev WHERE wt = 'purchase' AND us + 259200000000 <= (SELECT max(us) FROM ev)) SELECT e.event_id, round(x.price / nullif(e.price, 0) - 1, 6) AS ret FROM (SELECT *, us + 172800000000 AS target FROM e) e ASOF LEFT JOIN ev x ON e.symbol = x.symbol AND e.target <= x.us")
 def t09(spark, d):
     from ..operators.asof import first_after
 
     t = tables.ticks(spark, d)
     now = t.agg(F.max("us")).first()[0] or 0
     e = t.where((F.col("wt") == "purchase") & (F.col("us") + 3 * DAY <= now)).select("event_id", "symbol", F.col("price").alias("px"), (F.col("us") + 2 * DAY).alias("us"))
-    return first_after(e, t.select("symbol", "us", "price"), "symbol", "us", ["price"]).select("event_id", F.round(F.col("price") / F.col("px") - 1, 6).alias("ret"))
+    return first_after(e, t.select("symbol", "us", "price"), "symbol", "us", ["price"]).select("event_id", F.round(ret("price", "px"), 6).alias("ret"))
 
 
 @query("t10_heartbeat", f"WITH {EV} SELECT count(*) AS n, max(us) AS newest FROM ev")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import ret
 from ..operators import bars as B
 from ..operators import detect as D
 from ..operators import outcomes as O
 from ..operators.asof import asof, first_after
+from ..operators.ranks import quantiles
 from ..sources import tables
 from .panels import bars, panel, rounded
 from .registry import BARS, EV, PANEL, query
@@ -19,13 +21,13 @@ def _by():
 
 
 
-@query("w01_row_returns", f"WITH {BARS} SELECT symbol, slot, round(c / lag(c, 1) OVER w - 1, 6) AS r1, round(c / lag(c, 5) OVER w - 1, 6) AS r5 FROM bars {_W}")
+@query("w01_row_returns", f"WITH {BARS} SELECT symbol, slot, round(c / nullif(lag(c, 1) OVER w, 0) - 1, 6) AS r1, round(c / nullif(lag(c, 5) OVER w, 0) - 1, 6) AS r5 FROM bars {_W}")
 def w01(spark, d):
     return rounded(bars(spark, d).select("symbol", "slot", B.change("c", "symbol", "slot", 1).alias("r1"), B.change("c", "symbol", "slot", 5).alias("r5")))
 
 
 def _change_sql(name, us):
-    return f"round((price / arg_max(price, us) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND {us} PRECEDING) - 1) * 100, 4) AS {name}"
+    return f"round((price / nullif(arg_max(price, us) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND {us} PRECEDING), 0) - 1) * 100, 4) AS {name}"
 
 
 @query("w02_time_anchored_change", f"WITH {EV} SELECT event_id, {_change_sql('d1', 86400000000)}, {_change_sql('d3', 259200000000)} FROM ev")
@@ -61,15 +63,15 @@ def w05(spark, d):
     return rounded(bars(spark, d).select("symbol", "slot", B.z_score("v", "symbol", "slot", 20, with_current=True).alias("z20"), B.z_score("v", "symbol", "slot", 30, with_current=False).alias("z30")), 5)
 
 
-@query("w06_breakouts", f"WITH {BARS} SELECT symbol, slot, CASE WHEN count(*) OVER a = 20 THEN max(h) OVER a END AS high20, CASE WHEN count(*) OVER a = 20 THEN c > max(h) OVER a END AS breakout, round(c / max(h) OVER b - 1, 6) AS from_high, round(c / min(l) OVER b - 1, 6) AS from_low FROM bars WINDOW a AS (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), b AS (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 28 PRECEDING AND CURRENT ROW)")
+@query("w06_breakouts", f"WITH {BARS} SELECT symbol, slot, CASE WHEN count(*) OVER a = 20 THEN max(h) OVER a END AS high20, CASE WHEN count(*) OVER a = 20 THEN c > max(h) OVER a END AS breakout, round(c / nullif(max(h) OVER b, 0) - 1, 6) AS from_high, round(c / nullif(min(l) OVER b, 0) - 1, 6) AS from_low FROM bars WINDOW a AS (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), b AS (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 28 PRECEDING AND CURRENT ROW)")
 def w06(spark, d):
     a, b = B.by_rows("symbol", "slot", -20, -1), B.by_rows("symbol", "slot", -28, 0)
     high = B.full(F.max("h").over(a), a, 20)
-    return rounded(bars(spark, d).select("symbol", "slot", high.alias("high20"), (F.col("c") > high).alias("breakout"), (F.col("c") / F.max("h").over(b) - 1).alias("from_high"), (F.col("c") / F.min("l").over(b) - 1).alias("from_low")))
+    return rounded(bars(spark, d).select("symbol", "slot", high.alias("high20"), (F.col("c") > high).alias("breakout"), ret("c", F.max("h").over(b)).alias("from_high"), ret("c", F.min("l").over(b)).alias("from_low")))
 
 
 @query("w08_atr_and_rsi", f"""WITH {BARS}, t AS (SELECT *, greatest(h - l, abs(h - coalesce(lag(c) OVER w, c)), abs(l - coalesce(lag(c) OVER w, c))) AS tr, c - lag(c) OVER w AS d FROM bars {_W})
-SELECT symbol, slot, round(CASE WHEN count(*) OVER a = 10 THEN avg(tr) OVER a / c END, 6) AS atr, round(CASE WHEN count(d) OVER a < 10 THEN 50 WHEN sum(greatest(-d, 0)) OVER a = 0 THEN 100 ELSE 100 - 100 / (1 + sum(greatest(d, 0)) OVER a / sum(greatest(-d, 0)) OVER a) END, 5) AS rsi
+SELECT symbol, slot, round(CASE WHEN count(*) OVER a = 10 THEN avg(tr) OVER a / nullif(c, 0) END, 6) AS atr, round(CASE WHEN count(d) OVER a < 10 THEN 50 WHEN sum(greatest(-d, 0)) OVER a = 0 THEN 100 ELSE 100 - 100 / (1 + sum(greatest(d, 0)) OVER a / sum(greatest(-d, 0)) OVER a) END, 5) AS rsi
 FROM t WINDOW a AS (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
 def w08(spark, d):
     b = B.with_rsi(B.with_atr(bars(spark, d), "symbol", "slot", 10), "symbol", "slot", 10)
@@ -84,24 +86,24 @@ def w10(spark, d):
     return rounded(b.select("symbol", "slot", "ema_5", "ema_12", F.when(F.abs(F.col("ema_5") - F.col("ema_12")) >= 1e-6, F.col("ema_5") > F.col("ema_12")).alias("above")), 5)
 
 
-@query("w11_cumulative_vwap", f"WITH {BARS} SELECT symbol, slot, round(sum(qv) OVER w / nullif(sum(v) OVER w, 0), 6) AS vwap, round(c / (sum(qv) OVER w / nullif(sum(v) OVER w, 0)) - 1, 6) + 0.0 AS gap FROM bars {_W}")
+@query("w11_cumulative_vwap", f"WITH {BARS} SELECT symbol, slot, round(sum(qv) OVER w / nullif(sum(v) OVER w, 0), 6) AS vwap, round(c / nullif(sum(qv) OVER w / nullif(sum(v) OVER w, 0), 0) - 1, 6) + 0.0 AS gap FROM bars {_W}")
 def w11(spark, d):
     vwap = F.sum("qv").over(_by()) / F.nullif(F.sum("v").over(_by()), F.lit(0))
     # adding zero turns a negative zero into a plain one
-    return bars(spark, d).select("symbol", "slot", F.round(vwap, 6).alias("vwap"), (F.round(F.col("c") / vwap - 1, 6) + 0.0).alias("gap"))
+    return bars(spark, d).select("symbol", "slot", F.round(vwap, 6).alias("vwap"), (F.round(ret("c", vwap), 6) + 0.0).alias("gap"))
 
 
-@query("w12_forward_and_excursions", f"WITH {BARS} SELECT symbol, slot, round(lead(c, 4) OVER w / c - 1, 6) AS f4, round(max(h) OVER a / c - 1, 6) AS mfe, round(min(l) OVER a / c - 1, 6) AS mae FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY slot), a AS (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING)")
+@query("w12_forward_and_excursions", f"WITH {BARS} SELECT symbol, slot, round(lead(c, 4) OVER w / nullif(c, 0) - 1, 6) AS f4, round(max(h) OVER a / nullif(c, 0) - 1, 6) AS mfe, round(min(l) OVER a / nullif(c, 0) - 1, 6) AS mae FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY slot), a AS (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING)")
 def w12(spark, d):
     mfe, mae = B.excursions("symbol", "slot", 8)
     return rounded(bars(spark, d).select("symbol", "slot", B.forward("c", "symbol", "slot", 4).alias("f4"), mfe.alias("mfe"), mae.alias("mae")))
 
 
-@query("w13_forward_by_time", f"WITH {EV} SELECT e.event_id, round(CASE WHEN x.us - e.target <= 86400000000 THEN x.price / e.price - 1 END, 6) AS f2d FROM (SELECT *, us + 172800000000 AS target FROM ev) e ASOF LEFT JOIN ev x ON e.symbol = x.symbol AND e.target <= x.us")
+@query("w13_forward_by_time", f"WITH {EV} SELECT e.event_id, round(CASE WHEN x.us - e.target <= 86400000000 THEN x.price / nullif(e.price, 0) - 1 END, 6) AS f2d FROM (SELECT *, us + 172800000000 AS target FROM ev) e ASOF LEFT JOIN ev x ON e.symbol = x.symbol AND e.target <= x.us")
 def w13(spark, d):
     t = tables.ticks(spark, d).select("event_id", "symbol", "price", "us")
     e = t.select("event_id", "symbol", F.col("price").alias("px"), (F.col("us") + 2 * B.DAY).alias("us"))
-    return rounded(first_after(e, t, "symbol", "us", ["price"], tolerance=B.DAY).select("event_id", (F.col("price") / F.col("px") - 1).alias("f2d")))
+    return rounded(first_after(e, t, "symbol", "us", ["price"], tolerance=B.DAY).select("event_id", (ret("price", "px")).alias("f2d")))
 
 
 @query("w15_trailing_counts", f"""WITH {EV} SELECT event_id, count(*) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING) AS n24h, us - lag(us) OVER (PARTITION BY symbol ORDER BY us) AS since,
@@ -126,12 +128,13 @@ def w17(spark, d):
 def w18(spark, d):
     # bounds come from the development part alone and are frozen; they are a row per kind
     t = tables.ticks(spark, d)
-    bounds = t.where("us < 1705363200000000").groupBy("wt").agg(F.percentile("price", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    above = sum(((F.col("price") > F.col("q")[i]).cast("int") for i in range(3)), F.lit(1))
+    names = ["q1", "q2", "q3"]
+    bounds = quantiles(t.where("us < 1705363200000000"), ["wt"], "price", [0.25, 0.5, 0.75], names)
+    above = sum(((F.col("price") > F.col(q)).cast("int") for q in names), F.lit(1))
     return t.join(bounds, "wt").groupBy("wt", above.alias("bin")).agg(F.count("*").alias("n"))
 
 
-_WAVES = f"WITH {BARS}, m AS (SELECT *, c / lag(c) OVER w - 1 AS r FROM bars {_W}), h AS (SELECT *, CASE WHEN slot - lag(slot) OVER w > 4 THEN 1 ELSE 0 END AS new FROM m WHERE abs(r) >= 0.5 {_W}), g AS (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY slot) AS wave FROM h)"
+_WAVES = f"WITH {BARS}, m AS (SELECT *, c / nullif(lag(c) OVER w, 0) - 1 AS r FROM bars {_W}), h AS (SELECT *, CASE WHEN slot - lag(slot) OVER w > 4 THEN 1 ELSE 0 END AS new FROM m WHERE abs(r) >= 0.5 {_W}), g AS (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY slot) AS wave FROM h)"
 
 
 def waves(spark, d):
@@ -145,7 +148,7 @@ def w19(spark, d):
     return rounded(g.agg(F.min("slot").alias("start"), F.max("slot").alias("end"), F.count("*").alias("n"), F.max_by("slot", F.abs("r")).alias("peak"), F.max_by("r", F.abs("r")).alias("peak_r")))
 
 
-@query("w20_wave_context", _WAVES + ", x AS (SELECT symbol, slot, avg(v) OVER (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) / nullif(avg(v) OVER (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 15 PRECEDING AND 6 PRECEDING), 0) AS build, lead(c, 4) OVER w / c - 1 AS after FROM bars " + _W + ") SELECT symbol, wave::BIGINT AS wave, round(arg_min(build, slot), 6) AS build, round(arg_max(after, slot), 6) AS after FROM g JOIN x USING (symbol, slot) GROUP BY ALL")
+@query("w20_wave_context", _WAVES + ", x AS (SELECT symbol, slot, avg(v) OVER (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) / nullif(avg(v) OVER (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 15 PRECEDING AND 6 PRECEDING), 0) AS build, lead(c, 4) OVER w / nullif(c, 0) - 1 AS after FROM bars " + _W + ") SELECT symbol, wave::BIGINT AS wave, round(arg_min(build, slot), 6) AS build, round(arg_max(after, slot), 6) AS after FROM g JOIN x USING (symbol, slot) GROUP BY ALL")
 def w20(spark, d):
     near, far = B.by_rows("symbol", "slot", -5, -1), B.by_rows("symbol", "slot", -15, -6)
     x = bars(spark, d).withColumns({"r": B.change("c", "symbol", "slot", 1), "build": F.avg("v").over(near) / F.nullif(F.avg("v").over(far), F.lit(0.0)), "after": B.forward("c", "symbol", "slot", 4)})
@@ -182,12 +185,12 @@ def w26(spark, d):
 
 
 @query("w27_next_open_and_gaps", f"""WITH {BARS}, g AS (SELECT symbol, slot // 4 AS day, arg_min(o, slot) AS o, arg_max(c, slot) AS c, count(*) AS n FROM bars GROUP BY ALL HAVING count(*) >= 2)
-SELECT symbol, day, lead(o) OVER w AS next_open, round(o / lag(c) OVER w - 1, 6) AS overnight, day - lag(day) OVER w AS gap_days, coalesce(day - lag(day) OVER w >= 3, false) AS long_gap, row_number() OVER w - 1 AS since_first FROM g WINDOW w AS (PARTITION BY symbol ORDER BY day)""")
+SELECT symbol, day, lead(o) OVER w AS next_open, round(o / nullif(lag(c) OVER w, 0) - 1, 6) AS overnight, day - lag(day) OVER w AS gap_days, coalesce(day - lag(day) OVER w >= 3, false) AS long_gap, row_number() OVER w - 1 AS since_first FROM g WINDOW w AS (PARTITION BY symbol ORDER BY day)""")
 def w27(spark, d):
     g = bars(spark, d).groupBy("symbol", F.floor(F.col("slot") / 4).alias("day")).agg(F.min_by("o", "slot").alias("o"), F.max_by("c", "slot").alias("c"), F.count("*").alias("n")).where("n >= 2")
     w = Window.partitionBy("symbol").orderBy("day")
     gap = F.col("day") - F.lag("day").over(w)
-    return rounded(g.select("symbol", "day", F.lead("o").over(w).alias("next_open"), (F.col("o") / F.lag("c").over(w) - 1).alias("overnight"), gap.alias("gap_days"), F.coalesce(gap >= 3, F.lit(False)).alias("long_gap"), (F.row_number().over(w) - 1).alias("since_first")))
+    return rounded(g.select("symbol", "day", F.lead("o").over(w).alias("next_open"), ret("o", F.lag("c").over(w)).alias("overnight"), gap.alias("gap_days"), F.coalesce(gap >= 3, F.lit(False)).alias("long_gap"), (F.row_number().over(w) - 1).alias("since_first")))
 
 
 @query("w29_trailing_percentile", f"WITH {EV} SELECT a.event_id, count(b.us) AS n, round(avg((b.price <= a.price)::INT), 6) AS pct, round((any_value(a.price) - avg(b.price)) / nullif(stddev_samp(b.price), 0), 5) AS z FROM ev a LEFT JOIN ev b ON a.symbol = b.symbol AND b.us >= a.us - 604800000000 AND b.us < a.us GROUP BY 1")
@@ -215,7 +218,7 @@ def w31(spark, d):
     return f.where("dv >= 1.5 OR xy < 0").select("symbol", "slot", F.coalesce(F.col("dv") >= 1.5, F.lit(False)).alias("spike"), F.coalesce(F.col("xy") < 0, F.lit(False)).alias("flip"))
 
 
-@query("w32_squeeze_trigger", f"WITH {BARS}, r AS (SELECT symbol, slot, c / lag(c, 5) OVER w - 1 AS r5 FROM bars {_W}), q AS (SELECT symbol, us // 21600000000 AS slot, max(k) AS k FROM ev WHERE wt = 'view' GROUP BY ALL) SELECT r.symbol, r.slot, CASE WHEN k >= 80 THEN 'long' ELSE 'short' END AS side FROM r ASOF LEFT JOIN q ON r.symbol = q.symbol AND r.slot >= q.slot WHERE (k >= 80 AND r5 <= -0.3) OR (k <= 20 AND r5 >= 0.3)")
+@query("w32_squeeze_trigger", f"WITH {BARS}, r AS (SELECT symbol, slot, c / nullif(lag(c, 5) OVER w, 0) - 1 AS r5 FROM bars {_W}), q AS (SELECT symbol, us // 21600000000 AS slot, max(k) AS k FROM ev WHERE wt = 'view' GROUP BY ALL) SELECT r.symbol, r.slot, CASE WHEN k >= 80 THEN 'long' ELSE 'short' END AS side FROM r ASOF LEFT JOIN q ON r.symbol = q.symbol AND r.slot >= q.slot WHERE (k >= 80 AND r5 <= -0.3) OR (k <= 20 AND r5 >= 0.3)")
 def w32(spark, d):
     r = bars(spark, d).select("symbol", "slot", B.change("c", "symbol", "slot", 5).alias("r5"))
     q = tables.ticks(spark, d).where("wt = 'view'").groupBy("symbol", F.floor(F.col("us") / (6 * B.HOUR)).alias("slot")).agg(F.max("k").alias("k"))
@@ -234,31 +237,31 @@ def w34(spark, d):
     return bars(spark, d).select("symbol", "slot", (F.row_number().over(_by()) - 1).alias("i")).where("i % 5 = 0").select("symbol", "slot")
 
 
-@query("w35_regime", f"WITH {BARS}, m AS (SELECT slot, avg(c) AS c FROM bars GROUP BY 1), r AS (SELECT slot, CASE WHEN c / lag(c, 4) OVER (ORDER BY slot) - 1 > 0.05 THEN 2 WHEN c / lag(c, 4) OVER (ORDER BY slot) - 1 < -0.05 THEN 0 ELSE 1 END AS regime FROM m) SELECT event_id, regime FROM (SELECT event_id, us // 21600000000 - 1 AS slot FROM ev) e ASOF LEFT JOIN r ON e.slot >= r.slot")
+@query("w35_regime", f"WITH {BARS}, m AS (SELECT slot, avg(c) AS c FROM bars GROUP BY 1), r AS (SELECT slot, CASE WHEN c / nullif(lag(c, 4) OVER (ORDER BY slot), 0) - 1 > 0.05 THEN 2 WHEN c / nullif(lag(c, 4) OVER (ORDER BY slot), 0) - 1 < -0.05 THEN 0 ELSE 1 END AS regime FROM m) SELECT event_id, regime FROM (SELECT event_id, us // 21600000000 - 1 AS slot FROM ev) e ASOF LEFT JOIN r ON e.slot >= r.slot")
 def w35(spark, d):
     # the market is a row per slot; events look up the last slot that had ended
     m = bars(spark, d).groupBy("slot").agg(F.avg("c").alias("c"))
-    chg = F.col("c") / F.lag("c", 4).over(Window.orderBy("slot")) - 1
+    chg = ret("c", F.lag("c", 4).over(Window.orderBy("slot")))
     r = m.select(F.lit(0).alias("all"), "slot", F.when(chg > 0.05, 2).when(chg < -0.05, 0).otherwise(1).alias("regime"))
     e = tables.ticks(spark, d).select("event_id", (F.floor(F.col("us") / (6 * B.HOUR)) - 1).alias("slot"))
     slots = asof(e.select(F.lit(0).alias("all"), "slot").distinct(), r, "all", "slot", ["regime"]).select("slot", "regime")
     return e.join(slots, "slot").select("event_id", "regime")
 
 
-@query("w36_entry_lag_stress", f"WITH {BARS}, l AS (SELECT symbol, slot, {', '.join(f'lead(c, {k + 4}) OVER w / lead(c, {k}) OVER w - 1 AS r{k}' for k in (0, 1, 2, 5))} FROM bars {_W}), v AS (SELECT * FROM l WHERE r5 IS NOT NULL), u AS (" + " UNION ALL ".join(f"SELECT {k} AS lag, r{k} AS r FROM v" for k in (0, 1, 2, 5)) + ") SELECT lag, count(*) AS n, round(avg(r), 6) AS mean FROM u GROUP BY 1")
+@query("w36_entry_lag_stress", f"WITH {BARS}, l AS (SELECT symbol, slot, {', '.join(f'lead(c, {k + 4}) OVER w / nullif(lead(c, {k}) OVER w, 0) - 1 AS r{k}' for k in (0, 1, 2, 5))} FROM bars {_W}), v AS (SELECT * FROM l WHERE r5 IS NOT NULL), u AS (" + " UNION ALL ".join(f"SELECT {k} AS lag, r{k} AS r FROM v" for k in (0, 1, 2, 5)) + ") SELECT lag, count(*) AS n, round(avg(r), 6) AS mean FROM u GROUP BY 1")
 def w36(spark, d):
     lags = (0, 1, 2, 5)
     at = lambda k: F.lead("c", k).over(_by()) if k else F.col("c")
-    v = bars(spark, d).select(*((at(k + 4) / at(k) - 1).alias(f"r{k}") for k in lags)).where("r5 IS NOT NULL")
+    v = bars(spark, d).select(*(ret(at(k + 4), at(k)).alias(f"r{k}") for k in lags)).where("r5 IS NOT NULL")
     long = v.select(F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"r{k}").alias("r")) for k in lags))).alias("x")).select("x.*")
     return rounded(long.groupBy("lag").agg(F.count("*").alias("n"), F.avg("r").alias("mean")))
 
 
-@query("w37_median_split", f"WITH {BARS}, m AS (SELECT slot, median(v) AS mid FROM bars GROUP BY 1) SELECT v >= mid AS high, count(*) AS n, round(avg(c / o - 1), 6) AS mean FROM bars JOIN m USING (slot) GROUP BY 1")
+@query("w37_median_split", f"WITH {BARS}, m AS (SELECT slot, median(v) AS mid FROM bars GROUP BY 1) SELECT v >= mid AS high, count(*) AS n, round(avg(c/ nullif(o, 0) - 1), 6) AS mean FROM bars JOIN m USING (slot) GROUP BY 1")
 def w37(spark, d):
     b = bars(spark, d)
     m = b.groupBy("slot").agg(F.median("v").alias("mid"))
-    return rounded(b.join(m, "slot").groupBy((F.col("v") >= F.col("mid")).alias("high")).agg(F.count("*").alias("n"), F.avg(F.col("c") / F.col("o") - 1).alias("mean")))
+    return rounded(b.join(m, "slot").groupBy((F.col("v") >= F.col("mid")).alias("high")).agg(F.count("*").alias("n"), F.avg(ret("c", "o")).alias("mean")))
 
 
 _PATH = f"WITH {BARS}, r AS (SELECT *, row_number() OVER w AS i FROM bars {_W}), p AS (SELECT a.symbol, a.slot AS entry, a.c AS px, b.i - a.i AS off, b.h, b.l, b.c FROM r a JOIN r b ON a.symbol = b.symbol AND b.i > a.i AND b.i <= a.i + 12 WHERE a.trades >= 2)"
@@ -268,14 +271,14 @@ def paths(spark, d):
     return O.paths(bars(spark, d), "symbol", "slot", 12, F.col("trades") >= 2)
 
 
-@query("w38_first_touch", _PATH + """, m AS (SELECT symbol, entry, min(off) FILTER (h / px - 1 >= 0.5) AS t, min(off) FILTER (1 - l / px >= 0.3) AS s, arg_max(c / px - 1, off) AS e, max(off) AS n FROM p GROUP BY ALL)
+@query("w38_first_touch", _PATH + """, m AS (SELECT symbol, entry, min(off) FILTER (h / nullif(px, 0) - 1 >= 0.5) AS t, min(off) FILTER (1 - l / nullif(px, 0) >= 0.3) AS s, arg_max(c / nullif(px, 0) - 1, off) AS e, max(off) AS n FROM p GROUP BY ALL)
 SELECT symbol, entry, CASE WHEN s IS NOT NULL AND (t IS NULL OR s <= t) THEN 'stop' WHEN t IS NOT NULL THEN 'take' ELSE 'time' END AS status, (CASE WHEN s IS NOT NULL AND (t IS NULL OR s <= t) THEN s WHEN t IS NOT NULL THEN t ELSE n END)::INT AS held,
 round(CASE WHEN s IS NOT NULL AND (t IS NULL OR s <= t) THEN -0.3 WHEN t IS NOT NULL THEN 0.5 ELSE e END, 6) AS result FROM m""")
 def w38(spark, d):
     return rounded(O.first_touch(paths(spark, d), "symbol", 0.5, 0.3))
 
 
-_BEST = ", b AS (SELECT *, c / px - 1 AS now, max(h / px - 1) OVER (PARTITION BY symbol, entry ORDER BY off) AS best FROM p)"
+_BEST = ", b AS (SELECT *, c / nullif(px, 0) - 1 AS now, max(h / nullif(px, 0) - 1) OVER (PARTITION BY symbol, entry ORDER BY off) AS best FROM p)"
 
 
 @query("w39_trailing_giveback", _PATH + _BEST + ", x AS (SELECT *, CASE WHEN now <= -0.4 THEN 'stop' WHEN best >= 0.3 AND now <= best * (1 - 0.25) THEN 'trail' WHEN off = 12 THEN 'time' END AS why FROM b) SELECT symbol, entry, arg_min(why, off) AS status, min(off)::INT AS held, round(arg_min(now, off), 6) AS result FROM x WHERE why IS NOT NULL GROUP BY ALL")
@@ -290,7 +293,7 @@ def w40(spark, d):
     return rounded(O.tiered(paths(spark, d), "symbol", [(0.2, 0.4), (0.5, 0.25), (1.0, 0.15)], F.lit(0.35), F.col("h") - F.col("l") > 0, 1, 12))
 
 
-_EXT = f"WITH {BARS}, x AS (SELECT lead(c, 8) OVER w / c - 1 AS f, max(h) OVER a / c - 1 AS mfe, min(l) OVER a / c - 1 AS mae FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY slot), a AS (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING))"
+_EXT = f"WITH {BARS}, x AS (SELECT lead(c, 8) OVER w / nullif(c, 0) - 1 AS f, max(h) OVER a / nullif(c, 0) - 1 AS mfe, min(l) OVER a / nullif(c, 0) - 1 AS mae FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY slot), a AS (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING))"
 
 
 @query("w41_bracket_bounds", _EXT + " SELECT count(*) AS n, round(avg(CASE WHEN mae <= -0.5 THEN -0.5 WHEN mfe >= 1.0 THEN 1.0 ELSE f END), 6) AS worst, round(avg(CASE WHEN mfe >= 1.0 THEN 1.0 WHEN mae <= -0.5 THEN -0.5 ELSE f END), 6) AS best, round(avg(CASE WHEN mfe >= 0.8 THEN 0.8 ELSE f END), 6) AS locked FROM x WHERE f IS NOT NULL")
@@ -301,7 +304,7 @@ def w41(spark, d):
     return rounded(x.agg(F.count("*").alias("n"), both[0].alias("worst"), both[1].alias("best"), F.avg(F.when(F.col("mfe") >= 0.8, 0.8).otherwise(F.col("f"))).alias("locked")))
 
 
-@query("w43_rule_entries", f"WITH {BARS}, x AS (SELECT symbol, slot, c / lag(c) OVER w - 1 AS r1, c > max(h) OVER a AS brk, v / nullif(lag(v) OVER w, 0)::DOUBLE AS vr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY slot), a AS (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) SELECT symbol, slot, 'burst' AS rule FROM x WHERE r1 >= 1 AND coalesce(vr >= 1, true) UNION ALL SELECT symbol, slot, 'breakout' FROM x WHERE brk AND coalesce(vr >= 1, true) UNION ALL SELECT symbol, slot, 'crash' FROM x WHERE r1 <= -0.7")
+@query("w43_rule_entries", f"WITH {BARS}, x AS (SELECT symbol, slot, c / nullif(lag(c) OVER w, 0) - 1 AS r1, c > max(h) OVER a AS brk, v / nullif(lag(v) OVER w, 0)::DOUBLE AS vr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY slot), a AS (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) SELECT symbol, slot, 'burst' AS rule FROM x WHERE r1 >= 1 AND coalesce(vr >= 1, true) UNION ALL SELECT symbol, slot, 'breakout' FROM x WHERE brk AND coalesce(vr >= 1, true) UNION ALL SELECT symbol, slot, 'crash' FROM x WHERE r1 <= -0.7")
 def w43(spark, d):
     x = bars(spark, d).select("symbol", "slot", B.change("c", "symbol", "slot", 1).alias("r1"), (F.col("c") > F.max("h").over(B.by_rows("symbol", "slot", -10, -1))).alias("brk"), (F.col("v") / F.nullif(F.lag("v").over(_by()), F.lit(0))).alias("vr"))
     busy = F.coalesce(F.col("vr") >= 1, F.lit(True))
@@ -309,25 +312,25 @@ def w43(spark, d):
     return x.select("symbol", "slot", F.explode(F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in rules.items())), lambda r: r.isNotNull())).alias("rule"))
 
 
-@query("w45_event_path_mean", f"WITH {BARS}, r AS (SELECT *, row_number() OVER w AS i, c / o - 1 AS ret FROM bars {_W}), p AS (SELECT b.i - a.i AS off, avg(b.ret) AS m FROM r a JOIN r b ON a.symbol = b.symbol AND b.i BETWEEN a.i AND a.i + 5 WHERE a.trades >= 3 GROUP BY 1) SELECT off, round(m, 6) AS mean, round(sum(m) OVER (ORDER BY off), 6) AS path FROM p")
+@query("w45_event_path_mean", f"WITH {BARS}, r AS (SELECT *, row_number() OVER w AS i, c/ nullif(o, 0) - 1 AS ret FROM bars {_W}), p AS (SELECT b.i - a.i AS off, avg(b.ret) AS m FROM r a JOIN r b ON a.symbol = b.symbol AND b.i BETWEEN a.i AND a.i + 5 WHERE a.trades >= 3 GROUP BY 1) SELECT off, round(m, 6) AS mean, round(sum(m) OVER (ORDER BY off), 6) AS path FROM p")
 def w45(spark, d):
     w = B.by_rows("symbol", "slot", 0, 5)
-    hits = bars(spark, d).withColumn("ret", F.col("c") / F.col("o") - 1).withColumn("p", F.collect_list("ret").over(w)).where("trades >= 3")
-    m = hits.select(F.posexplode("p").alias("off", "ret")).groupBy("off").agg(F.avg("ret").alias("m"))
+    hits = bars(spark, d).withColumn("ret", ret("c", "o")).withColumn("p", F.collect_list(F.struct("ret")).over(w)).where("trades >= 3")
+    m = hits.select(F.posexplode("p").alias("off", "x")).groupBy("off").agg(F.avg("x.ret").alias("m"))
     return rounded(m.select("off", F.col("m").alias("mean"), F.sum("m").over(Window.orderBy("off")).alias("path")))  # six rows
 
 
-@query("w46_named_anchor_legs", f"WITH {BARS}, g AS (SELECT symbol, slot // 28 AS week, max(c) FILTER (slot % 28 < 4) AS a, max(c) FILTER (slot % 28 BETWEEN 8 AND 11) AS b, max(c) FILTER (slot % 28 BETWEEN 20 AND 23) AS c FROM bars GROUP BY ALL) SELECT symbol, week, round(b / a - 1, 6) AS leg1, round(c / b - 1, 6) AS leg2, round(c / a - 1, 6) AS whole FROM g")
+@query("w46_named_anchor_legs", f"WITH {BARS}, g AS (SELECT symbol, slot // 28 AS week, max(c) FILTER (slot % 28 < 4) AS a, max(c) FILTER (slot % 28 BETWEEN 8 AND 11) AS b, max(c) FILTER (slot % 28 BETWEEN 20 AND 23) AS c FROM bars GROUP BY ALL) SELECT symbol, week, round(b / a - 1, 6) AS leg1, round(c/ nullif(b, 0) - 1, 6) AS leg2, round(c/ nullif(a, 0) - 1, 6) AS whole FROM g")
 def w46(spark, d):
     part = F.col("slot") % 28
     anchors = {"a": part < 4, "b": part.between(8, 11), "x": part.between(20, 23)}
     g = bars(spark, d).groupBy("symbol", F.floor(F.col("slot") / 28).alias("week")).agg(*(F.max(F.when(when, F.col("c"))).alias(n) for n, when in anchors.items()))
-    return rounded(g.select("symbol", "week", (F.col("b") / F.col("a") - 1).alias("leg1"), (F.col("x") / F.col("b") - 1).alias("leg2"), (F.col("x") / F.col("a") - 1).alias("whole")))
+    return rounded(g.select("symbol", "week", (ret("b", "a")).alias("leg1"), (ret("x", "b")).alias("leg2"), (ret("x", "a")).alias("whole")))
 
 
-@query("w47_horizon_table", f"WITH {PANEL}, h AS (SELECT event_id, symbol, us, price, unnest([1, 2, 4]) AS days FROM panel WHERE wt = 'purchase'), t AS (SELECT *, us + days * 86400000000 AS target FROM h) SELECT t.event_id, days, round(x.price / t.price - 1, 6) AS ret FROM t ASOF LEFT JOIN ev x ON t.symbol = x.symbol AND t.target <= x.us")
+@query("w47_horizon_table", f"WITH {PANEL}, h AS (SELECT event_id, symbol, us, price, unnest([1, 2, 4]) AS days FROM panel WHERE wt = 'purchase'), t AS (SELECT *, us + days * 86400000000 AS target FROM h) SELECT t.event_id, days, round(x.price / nullif(t.price, 0) - 1, 6) AS ret FROM t ASOF LEFT JOIN ev x ON t.symbol = x.symbol AND t.target <= x.us")
 def w47(spark, d):
     t = tables.ticks(spark, d)
     e = t.where("wt = 'purchase'").select("event_id", "symbol", F.col("price").alias("px"), "us", F.explode(F.array(*map(F.lit, (1, 2, 4)))).alias("days"))
     e = e.withColumn("us", F.col("us") + F.col("days") * B.DAY)
-    return rounded(first_after(e, t.select("symbol", "us", "price"), "symbol", "us", ["price"]).select("event_id", "days", (F.col("price") / F.col("px") - 1).alias("ret")))
+    return rounded(first_after(e, t.select("symbol", "us", "price"), "symbol", "us", ["price"]).select("event_id", "days", (ret("price", "px")).alias("ret")))

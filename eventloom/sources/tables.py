@@ -11,13 +11,17 @@ SPLITS = (("dev", "2024-01-01", "2024-01-16"), ("val", "2024-01-16", "2024-01-23
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of a folder, by the suffix of its name: parquet unless it ends in .csv or .json."""
-    kind = name.rpartition(".")[2]
+    """A table of a folder, by the suffix of its name (.csv, .json, .jsonl, .parquet; parquet without one); another suffix is an error."""
+    stem, _, kind = name.rpartition(".")
+    if not stem:
+        return spark.read.parquet(f"{folder}/{name}.parquet")
     if kind == "csv":
         return spark.read.option("header", True).csv(f"{folder}/{name}")
-    if kind == "json":
+    if kind in ("json", "jsonl"):
         return spark.read.json(f"{folder}/{name}")
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    if kind == "parquet":
+        return spark.read.parquet(f"{folder}/{name}")
+    raise ValueError(f"{name} is neither parquet, csv nor json")
 
 
 def micros(column: str | Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import uuid
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,9 +17,11 @@ from ..sources import merge
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir; set here only where it is unset (tests)."""
+    """A new folder name under spark.checkpoint.dir, which driver and executors share; set here only where it is unset and Spark runs locally."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         base = f"file://{tempfile.gettempdir()}/eventloom-checkpoints"
@@ -33,6 +37,18 @@ def event_stream(spark: SparkSession, pattern: str, files_per_batch: int = 1) ->
     return raw.select("event_id", F.col("user_id").alias("symbol"), ts.alias("ts"), F.unix_micros(ts).alias("us"), F.col("value").alias("price"), F.col("event_type").alias("wt"), F.get_json_object("props", "$.k").try_cast("int").alias("k"))
 
 
+def in_order(spark: SparkSession, pattern: str, steps: int = 3) -> str:
+    """A folder with the rows that a path or glob names, in `steps` files of consecutive times that were written in that order.
+
+    A stream reads files by age. Where those of a table overlap in time, the first would move the watermark past rows of later ones.
+    """
+    out = shared_folder(spark)
+    spark.read.parquet(pattern).repartitionByRange(steps, "ts").sortWithinPartitions("ts").write.parquet(f"{out}/parts")
+    for part in sorted(spark.read.parquet(f"{out}/parts").inputFiles(), key=lambda f: f.rpartition("/")[2]):
+        spark.read.parquet(part).coalesce(1).write.mode("append").parquet(f"{out}/replay")
+    return f"{out}/replay"
+
+
 def drain(stream: DataFrame) -> DataFrame:
     """All that an append-mode stream gives for the data that is there, written once per row to the shared folder and read back."""
     spark, out = stream.sparkSession, shared_folder(stream.sparkSession)
@@ -84,8 +100,9 @@ def enriched(stream: DataFrame, static: DataFrame, key: str) -> DataFrame:
 def detector(rungs: list[tuple[str, int, float]], cooldown: int) -> Callable:
     """State function of the price ladder with a cooldown per rung, for applyInPandasWithState by symbol.
 
-    State holds the samples of the longest window and one before it, and the time of the last alert of each rung. Ticks of a batch are taken in
-    order of time; the batch twin is change_over followed by cooled_down.
+    State holds the samples of the longest window and one before it, and the time of the last alert of each rung; as that one sample counts
+    however old it is, a symbol's state never runs out. Ticks of a batch are taken in order of time, those without a finite price are passed
+    over; the batch twin is change_over followed by cooled_down.
     """
     longest = max(w for _, w, _ in rungs)
 
@@ -94,18 +111,20 @@ def detector(rungs: list[tuple[str, int, float]], cooldown: int) -> Callable:
         rows = pd.concat(list(batches)).sort_values("us")
         out = []
         for event_id, us, price in zip(rows.event_id, rows.us, rows.price, strict=True):
+            if price is None or not math.isfinite(price):
+                continue
             at.append(int(us))
             px.append(float(price))
             for i, (name, window, least) in enumerate(rungs):
-                j = next((j for j in range(len(at) - 1, -1, -1) if at[j] <= us - window), None)
-                if j is None or px[j] == 0:
+                j = bisect_right(at, us - window) - 1
+                if j < 0 or px[j] == 0:
                     continue
                 change = (price / px[j] - 1) * 100
                 if abs(round(change, 4)) >= least and (last[i] < 0 or us - last[i] >= cooldown):
                     last[i] = int(us)
                     out.append((int(event_id), key[0], int(us), name))
-            keep = next((j for j in range(len(at) - 1, -1, -1) if at[j] <= us - longest), 0)
-            at, px = at[keep:], px[keep:]
+        keep = max(0, bisect_right(at, at[-1] - longest) - 1) if at else 0
+        at, px = at[keep:], px[keep:]
         state.update((at, px, last))
         yield pd.DataFrame(out, columns=["event_id", "symbol", "us", "rung"])
 

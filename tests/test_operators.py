@@ -115,7 +115,7 @@ def test_symbols_and_buckets(spark):
 
 def test_costs_at_thresholds(spark):
     df = spark.createDataFrame([(None,), (1.4,), (1.5,), (3.0,)], "atr double")
-    assert [r[0] for r in df.select(S.round_trip_cost(F.col("atr"))).collect()] == [0.14, 0.14, 0.24, 0.44]
+    assert [r[0] for r in df.select(S.round_trip_cost(F.col("atr"))).collect()] == [0.14, 0.14, 0.94, 1.34]
 
 
 def test_sessions_follow_daylight_saving(spark):
@@ -170,3 +170,51 @@ def test_no_python_in_plans(spark, data):
     for name in ("flagship_event_study", "j23_asof_chain", "w22_greedy_cooldown", "a09_cluster_bootstrap"):
         plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_returns_of_prices_that_are_no_prices(spark):
+    rows = [(0.0, 1.0), (2.0, 0.0), (2.0, None), (float("nan"), 1.0), (1.0, float("nan")), (float("inf"), 1.0), (1.0, float("inf")), (None, 1.0), (3.0, 2.0)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    assert [r[0] for r in df.select(S.ret("a", "b")).collect()] == [-1.0, *[None] * 7, 0.5]
+    ticks = spark.createDataFrame([(i, "a", i, p) for i, p in enumerate([1.0, 0.0, float("nan"), float("inf"), 2.0, 4.0])], "event_id long, symbol string, us long, price double")
+    bars = B.roll_up(ticks, "symbol", "us", 1, "price", F.lit(1), F.lit(True))
+    assert values(bars.select("slot", B.change("c", "symbol", "slot", 1).alias("r")), "slot", "r")[1:] == [(1, -1.0), (2, None), (3, None), (4, None), (5, 1.0)]
+    path = outcomes.paths(bars, "symbol", "slot", 2, F.lit(True))
+    assert outcomes.first_touch(path, "symbol", 0.5, 0.3).where("entry = 1").first().status == "time"
+
+
+def test_correlation_without_spread_is_null(spark):
+    df = spark.createDataFrame([("a", 1.0, 1.0), ("a", 1.0, 2.0), ("b", 1.0, 1.0), ("b", 2.0, 3.0), ("b", 3.0, None)], "g string, x double, y double")
+    assert values(df.groupBy("g").agg(F.round(stats.correlation("x", "y"), 6).alias("r")).where("g = 'b'"), "r") == [(1.0,)]
+    assert df.groupBy("g").agg(stats.correlation("x", "y").alias("r")).where("g = 'a'").first().r is None
+
+
+def test_quantiles_are_exact(spark):
+    import random
+
+    from eventloom.operators.ranks import quantiles
+
+    r = random.Random(8)
+    rows = [(g, float(r.choice((1, 2, r.randrange(1000))))) for g in "aabbbbbc" for _ in range(60)] + [("d", 5.0), ("e", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {x.g: (x.a, x.b, x.c) for x in quantiles(df, ["g"], "x", [0.0, 0.37, 1.0], ["a", "b", "c"]).collect()}
+    want = {x.g: tuple(x.q) for x in df.where("x IS NOT NULL").groupBy("g").agg(F.percentile("x", F.array(F.lit(0.0), F.lit(0.37), F.lit(1.0))).alias("q")).collect()}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+
+
+def test_replay_of_files_out_of_order(spark, tmp_path, data):
+    from eventloom.plans import streams
+
+    e = spark.read.parquet(f"{data}/events.parquet")
+    e.orderBy(F.xxhash64("event_id")).repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    whole = R_rows(streams.t05(spark, data))
+    assert R_rows(streams.R.drain(streams.R.tumbling_bars(streams.R.event_stream(spark, streams.R.in_order(spark, f"{tmp_path}/events.parquet")), "1 day", "2 hours"))) == whole and whole
+
+
+def R_rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_unknown_suffix(spark, data):
+    with pytest.raises(ValueError):
+        tables.read(spark, data, "events.xlsx")
