@@ -2,8 +2,9 @@
 
 Fields are letters, digits or single signs; only clusters of words with a digit or an at sign can hold entities, and everything between them
 has score zero, so the field is decoded cluster by cluster. A segment of up to MAX_FIELDS fields gets the weights of its features for each
-kind; dynamic programming over segment ends chooses boundaries and kinds together. Weights come from an averaged perceptron over clusters of a
-bounded sample, with the base spans as labels and features that leave out what the base patterns demand, so that other spellings score too.
+kind and of the move from the kind before it; fields outside all entities are segments of one. Dynamic programming over segment ends chooses
+boundaries and kinds together. Weights maximise the conditional likelihood of whole segmentations over clusters of a bounded sample, with the
+base spans as labels and features that leave out what the base patterns demand, so that other spellings score too.
 """
 
 from __future__ import annotations
@@ -20,10 +21,16 @@ from pyspark.sql import functions as F
 from .textcols import passes, prepare_workers
 
 KINDS = ("email", "ip", "card", "phone")
-#: Fields of a segment, and of an example that weights are learnt from (longer clusters give several; they are decoded whole); documents of examples.
-MAX_FIELDS, CLUSTER_FIELDS, FIT_DOCS, EPOCHS = 24, 400, 600, 4
+#: Fields of a segment, and of an example that weights are learnt from (longer clusters give several; they are decoded whole).
+MAX_FIELDS, CLUSTER_FIELDS = 24, 200
+#: Documents that give examples, and examples that are learnt from: those with the smallest hashes.
+FIT_DOCS, FIT_CLUSTERS = 600, 1500
+#: Passes over the examples, step of a feature's first update, and weight decay of a pass.
+EPOCHS, STEP, DECAY = 4, 0.5, 1e-3
 #: A span beyond the base ones is reported if it scores this much above leaving its fields alone.
 MARGIN = 2.0
+#: States of the field: outside, then the kinds. Weights of moves stand under these names, a value for each state to move to.
+_MOVES = ["move outside", *(f"move {k}" for k in KINDS)]
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -106,7 +113,7 @@ def _clusters_of_long(text: str) -> Iterator[_Stretch]:
 
 def span_features(span: str) -> tuple[str, ...]:
     """Features of a whole span: its outline, sizes, signs and checks."""
-    digits = [c for c in span if c.isdigit()]
+    digits = re.sub("[^0-9]", "", span)
     letters = sum(c.isalpha() for c in span)
     groups = re.findall("[0-9]+", span)
     outline = re.sub("[0-9]+", "9", re.sub("[A-Za-z]+", "a", span))
@@ -115,17 +122,27 @@ def span_features(span: str) -> tuple[str, ...]:
         f"digits {min(len(digits), 20)} letters {min(letters, 3)}",
         f"groups {','.join(str(min(len(g), 9)) for g in groups[:8])} letters {min(letters, 1)}",
         f"at {span.count('@')} dots {min(span.count('.'), 6)} groups {min(len(groups), 6)} letters {min(letters, 1)}",
-        f"luhn {12 <= len(digits) <= 19 and luhn(''.join(digits)) if digits else False} letters {min(letters, 1)}",
+        f"luhn {12 <= len(digits) <= 19 and luhn(digits)} letters {min(letters, 1)}",
         f"octets {len(groups) == 4 and all(len(g) < 4 and int(g) < 256 for g in groups)} dots {span.count('.') == 3} letters {min(letters, 1)}",
         f"first {outline[:1]} last {outline[-1:]}",
     )
 
 
+def _bounds(fields: list[tuple[int, int, str]]) -> tuple[list[bool], list[bool], list[int]]:
+    """Whether a segment may begin and may end at each field, and how many fields before each place have a digit or an at sign."""
+    begins = [f[2].isalnum() or f[2] in "+(" for f in fields]
+    marks = [0]
+    for f in fields:
+        marks.append(marks[-1] + (f[2][0] in "0123456789@"))
+    return begins, [f[2].isalnum() for f in fields], marks
+
+
 class Field:
-    """Weights of (feature, kind) and the decoder."""
+    """Weights by feature name (a value per kind) and of moves, and the decoder."""
 
     def __init__(self, weights: dict[str, list[float]]):
         self.weights, self.memo = weights, {}
+        self.move = [weights.get(name, [0.0] * len(_MOVES)) for name in _MOVES]
 
     def scores(self, span: str) -> list[float]:
         if (found := self.memo.get(span)) is None:
@@ -137,38 +154,88 @@ class Field:
         return found
 
     def decode(self, fields: list[tuple[int, int, str]]) -> list[tuple[int, int, int, float]]:
-        """Best (start, kind, end, score) segments: fields outside have score zero, so each segment must earn its place."""
-        n = len(fields)
-        best, back = [0.0] * (n + 1), [None] * (n + 1)
+        """The entities (start, kind, end, gain) of the best segmentation; the gain of each is over leaving its fields outside."""
+        n, states, move, never = len(fields), len(_MOVES), self.move, float("-inf")
         text = "".join(f[2] for f in fields)
         origin = fields[0][0]
-        sizes = [f[1] - origin for f in fields]
-        solid = [f[2].isalnum() or f[2] in "+(" for f in fields]
-        ends = [f[2].isalnum() for f in fields]
-        marks = np.cumsum([0, *(f[2][0] in "0123456789@" for f in fields)]).tolist()
-        for j in range(1, n + 1):
-            best[j] = best[j - 1]
-            if not ends[j - 1]:
-                continue
-            for i in range(max(0, j - MAX_FIELDS), j):
-                # whole words' worth: a segment neither begins nor ends inside letters or digits that go on
-                if not solid[i] or marks[j] == marks[i]:
-                    continue
-                scores = self.scores(text[fields[i][0] - origin : sizes[j - 1]])
-                k = max(range(len(KINDS)), key=scores.__getitem__)
-                if best[i] + scores[k] > best[j]:
-                    best[j], back[j] = best[i] + scores[k], (i, k, scores[k])
-        out, j = [], n
-        while j > 0:
-            if back[j] is None:
-                j -= 1
-                continue
-            i, k, score = back[j]
-            out.append((fields[i][0], k, fields[j - 1][1], score))
-            j = i
+        low, high = [f[0] - origin for f in fields], [f[1] - origin for f in fields]
+        begins, ends, marks = _bounds(fields)
+        # best[j][y]: score of the best segmentation of the first j fields that ends in state y; enter[j][y]: that score and the move on to y
+        best, back, enter, come = [[0.0] + [never] * (states - 1)], [[None] * states], [], []
+        for j in range(n + 1):
+            if j:
+                now, via = [never] * states, [None] * states
+                now[0], via[0] = enter[j - 1][0], (j - 1, come[j - 1][0])
+                if ends[j - 1]:
+                    for i in range(max(0, j - MAX_FIELDS), j):
+                        if begins[i] and marks[j] > marks[i]:
+                            into = enter[i]
+                            for y, score in enumerate(self.scores(text[low[i] : high[j - 1]]), 1):
+                                if into[y] + score > now[y]:
+                                    now[y], via[y] = into[y] + score, (i, come[i][y])
+                best.append(now)
+                back.append(via)
+            live = [y for y in range(states) if best[j][y] > never]
+            come.append([max(live, key=lambda y: best[j][y] + move[y][z]) for z in range(states)] if len(live) > 1 else [0] * states)
+            enter.append([best[j][y] + move[y][z] for z, y in enumerate(come[j])])
+        path, j = [], n
+        y = max(range(states), key=best[n].__getitem__)
+        while j:
+            i, before = back[j][y]
+            path.append((i, j, y, before))
+            j, y = i, before
+        out, after = [], None
+        for i, j, y, before in path:
+            if y:
+                score = self.scores(text[low[i] : high[j - 1]])[y - 1] + move[before][y] - move[before][0] - (j - i - 1) * move[0][0]
+                out.append((fields[i][0], y - 1, fields[j - 1][1], score + (move[y][after] - move[0][after] if after is not None else 0.0)))
+            after = y
         return out[::-1]
 
 
+class Lattice:
+    """All segments that a cluster can have, and sums over all of its segmentations."""
+
+    def __init__(self, fields: list[tuple[int, int, str]], names: dict[str, int]):
+        """names: the number of each feature; new ones are added."""
+        text, origin = "".join(f[2] for f in fields), fields[0][0]
+        begins, ends, marks = _bounds(fields)
+        self.n = len(fields)
+        spans = [(i, j) for j in range(1, self.n + 1) if ends[j - 1] for i in range(max(0, j - MAX_FIELDS), j) if begins[i] and marks[j] > marks[i]]
+        self.place = {(fields[i][0], fields[j - 1][1]): m for m, (i, j) in enumerate(spans)}
+        self.low, self.high = (np.array([x[k] for x in spans], np.int64) for k in (0, 1))
+        rows = [[names.setdefault(f, len(names)) for f in span_features(text[fields[i][0] - origin : fields[j - 1][1] - origin])] for i, j in spans]
+        self.features = np.array(rows, np.int64).reshape(len(spans), len(rows[0]) if rows else 0)
+        #: segments by where they end and by where they begin
+        self.ending, self.starting = ([np.flatnonzero(x == j) for j in range(self.n + 1)] for x in (self.high, self.low))
+
+    def sums(self, scores: np.ndarray, move: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """(log of the sum over all segmentations, probability of each segment and kind, expected number of each move)."""
+        n, states = self.n, len(move)
+        into = np.full((n + 1, states), -np.inf)  # log sums of what comes before a segment of each state, with the move to it
+        onto = np.full((n + 1, states), -np.inf)  # log sums of what comes after a segment of each state that ends there
+        alpha = np.full((n + 1, states), -np.inf)
+        alpha[0, 0] = 0.0
+        for j in range(n + 1):
+            if j:
+                alpha[j, 0] = into[j - 1, 0]
+                if len(m := self.ending[j]):
+                    alpha[j, 1:] = np.logaddexp.reduce(into[self.low[m], 1:] + scores[m], axis=0)
+            into[j] = np.logaddexp.reduce(alpha[j][:, None] + move, axis=0)
+        onto[n] = 0.0
+        total = float(np.logaddexp.reduce(alpha[n]))
+        moves = np.zeros_like(move)
+        for j in range(n - 1, -1, -1):
+            ahead = np.full(states, -np.inf)  # what follows, with the score of the segment that begins here, by its state
+            ahead[0] = onto[j + 1, 0]
+            if len(m := self.starting[j]):
+                ahead[1:] = np.logaddexp.reduce(scores[m] + onto[self.high[m], 1:], axis=0)
+            onto[j] = np.logaddexp.reduce(move + ahead, axis=1)
+            moves += np.exp(alpha[j][:, None] + move + ahead - total)
+        share = np.exp(into[self.low, 1:] + scores + onto[self.high, 1:] - total)
+        return total, share, moves
+
+
 def _labels(fields: list[tuple[int, int, str]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The base spans inside a cluster without overlaps, earlier kinds first."""
     low, high, kept = fields[0][0], fields[-1][1], []
@@ -179,26 +246,44 @@ def _labels(fields: list[tuple[int, int, str]], base: list[tuple[int, int, int]]
 
 
 def learn(examples: list[tuple[list[tuple[int, int, str]], list[tuple[int, int, int]]]]) -> dict[str, list[float]]:
-    """Averaged perceptron over whole segmentations."""
-    now: dict[str, list[float]] = defaultdict(lambda: [0.0] * len(KINDS))
-    total: dict[str, list[float]] = defaultdict(lambda: [0.0] * len(KINDS))
-    step = 1
+    """Weights that maximise the conditional likelihood of the examples' segmentations, by adaptive steps along its gradient."""
+    names: dict[str, int] = {}
+    ready = []
+    for fields, gold in examples:
+        lattice = Lattice(fields, names)
+        # a span that no segment can have, as it begins or ends within other signs, stays outside
+        spans = sorted((lattice.place[s, e], k) for s, k, e in gold if (s, e) in lattice.place)
+        moves, state, at = np.zeros((len(_MOVES), len(_MOVES))), 0, 0
+        for m, k in spans:
+            for y in [0] * int(lattice.low[m] - at) + [k + 1]:
+                moves[state, y] += 1
+                state = y
+            at = lattice.high[m]
+        for _ in range(int(lattice.n - at)):
+            moves[state, 0] += 1
+            state = 0
+        own = np.zeros((len(lattice.low), len(KINDS)))
+        own[[m for m, _ in spans], [k for _, k in spans]] = 1.0
+        ready.append((lattice, own, moves))
+    w, move = np.zeros((len(names), len(KINDS))), np.zeros((len(_MOVES), len(_MOVES)))
+    seen, seen_move = np.full_like(w, 1e-6), np.full_like(move, 1e-6)
     for _ in range(EPOCHS):
-        for fields, gold in examples:
-            field = Field(now)
-            guess = {(s, k, e) for s, k, e, _ in field.decode(fields)}
-            text, origin = "".join(f[2] for f in fields), fields[0][0]
-            for spans, sign in ((set(gold) - guess, 1.0), (guess - set(gold), -1.0)):
-                for s, k, e in spans:
-                    for f in span_features(text[s - origin : e - origin]):
-                        now[f][k] += sign
-                        total[f][k] += sign * step
-            step += 1
-    return {f: [a - b / step for a, b in zip(w, total[f], strict=True)] for f, w in now.items()}
+        for lattice, own, moves in ready:
+            scores = w[lattice.features].sum(1) if len(lattice.low) else np.zeros((0, len(KINDS)))
+            _, share, expected = lattice.sums(scores, move)
+            touched, back = np.unique(lattice.features, return_inverse=True)
+            step = np.zeros((len(touched), len(KINDS)))
+            np.add.at(step, back.reshape(lattice.features.shape), (own - share)[:, None, :])
+            seen[touched] += step**2
+            w[touched] += STEP * step / np.sqrt(seen[touched])
+            seen_move += (moves - expected) ** 2
+            move += STEP * (moves - expected) / np.sqrt(seen_move)
+        w *= 1 - DECAY
+    return {**{f: w[i].tolist() for f, i in names.items() if w[i].any()}, **dict(zip(_MOVES, move.tolist(), strict=True))}
 
 
 def fit(docs: DataFrame, rows: int = FIT_DOCS) -> dict[str, list[float]]:
-    """Weights from the clusters of at most `rows` documents, those with the smallest hash of doc_id."""
+    """Weights from at most FIT_CLUSTERS clusters, those with the smallest hashes, of the `rows` documents with the smallest hash of doc_id."""
     prepare_workers(docs.sparkSession)
     chosen = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
 
@@ -210,8 +295,9 @@ def fit(docs: DataFrame, rows: int = FIT_DOCS) -> dict[str, list[float]]:
                     gold = _labels(fields, base)
                     yield pa.RecordBatch.from_arrays([pa.array([fields[0][0]], pa.int64()), pa.array(["".join(f[2] for f in fields)]), pa.array([[x for g in gold for x in g]], pa.list_(pa.int64()))], ["start", "text", "gold"])
 
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(examples, "start long, text string, gold array<long>").collect()
-    ready = [([(r.start + m.start(), r.start + m.end(), m.group()) for m in _FIELD.finditer(r.text)], [tuple(r.gold[i : i + 3]) for i in range(0, len(r.gold), 3)]) for r in sorted(found, key=lambda r: (r.text, r.start, r.gold))]
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(examples, "start long, text string, gold array<long>")
+    found = found.orderBy(F.xxhash64("text", "start"), "text", "start", "gold").limit(FIT_CLUSTERS).collect()
+    ready = [([(r.start + m.start(), r.start + m.end(), m.group()) for m in _FIELD.finditer(r.text)], [tuple(r.gold[i : i + 3]) for i in range(0, len(r.gold), 3)]) for r in found]
     return learn(ready)
 
 
@@ -227,7 +313,10 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every row; null and empty texts have none, extra columns are ignored."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every row.
+
+    Null and empty texts have none, texts of any length are searched whole, repeated rows each get their row, and extra columns are ignored.
+    """
     import hashlib
 
     weights = docs.sparkSession.sparkContext.broadcast(fit(docs))
