@@ -14,14 +14,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcols import Words, joined_words, passes, prepare_workers, runs, split_words, stored, text_buffer
+from .textcols import Words, joined_words, prepare_workers, runs, split_words, stored, text_buffer
 
 #: Words of a window, and of the runs inside it among which the one with the smallest hash is its minimiser.
 WINDOW, SUB = 13, 3
 #: Text that one batch of documents holds, and text of super-k-mers that one bucket is meant to hold.
 BATCH_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
-#: Text of a batch that travels in one row.
-ROW_BYTES = 1 << 20
 #: A minimiser is frequent if it has this share of all pieces or, with few buckets, a quarter of a bucket's; its windows travel each alone, by a
 #: hash of all their words. So at most 2 / FREQUENT minimisers are broadcast.
 FREQUENT = 1e-4
@@ -92,29 +90,40 @@ class _Pieces:
         return coded.indices.to_numpy(), coded.dictionary
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """(number, rows): consecutive rows with about BATCH_BYTES of text. The number tells task and place, so a second reading gives the same.
+def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (batch, part, packed): consecutive documents with about BATCH_BYTES of text, packed with all their columns, under a number of their own.
 
-    Borders depend on the rows and their bytes of text alone, not on where Arrow batches end, which other columns shift.
+    The numbers are given once, when these rows are stored. All later steps read them there, so answers find their batch whatever the order is
+    in which anything is read.
     """
     held, size, number = [], 0, TaskContext.get().partitionId() << 32
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([-1], pa.int64()), pa.array([_pack(pa.Table.from_batches(held).combine_chunks())], pa.binary())], ["batch", "part", "packed"])
+
     for batch in batches:
-        ends, at = text_buffer(batch.column("__text"))[1], 0
+        ends, at = text_buffer(batch.column("text"))[1], 0
         while at < batch.num_rows:
             to = min(int(np.searchsorted(ends, ends[at] + BATCH_BYTES - size)), batch.num_rows)
             held.append(batch.slice(at, to - at))
             size += int(ends[to] - ends[at])
             at = to
             if size >= BATCH_BYTES:
-                yield number, pa.Table.from_batches(held)
+                yield row()
                 held, size, number = [], 0, number + 1
     if held:
-        yield number, pa.Table.from_batches(held)
+        yield row()
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    for batch in batches:
+        for number, packed in zip(batch.column("batch"), batch.column("packed"), strict=True):
+            yield number.as_py(), _unpack(packed.as_buffer())
 
 
 def _ids(table: pa.Table) -> np.ndarray:
     """Document ids; rows without one come after all others, so nothing is removed on their account."""
-    return table.column("__id").combine_chunks().fill_null(np.iinfo(np.int64).max).to_numpy()
+    return table.column("doc_id").combine_chunks().cast(pa.int64()).fill_null(np.iinfo(np.int64).max).to_numpy()
 
 
 def _deal(number: int, table: pa.Table, level: int, levels: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -195,22 +204,21 @@ def _kept(pieces: _Pieces, gone: np.ndarray) -> Iterator[tuple[int, int, bytes]]
         yield int(at[d + 1] - at[d]), r, (part[keep[edges[d] : edges[d + 1]]] if r else part)[:-1].tobytes()
 
 
-def _frequent(docs: DataFrame, tasks: int) -> tuple[int, np.ndarray]:
+def _frequent(packed: DataFrame, tasks: int) -> tuple[int, np.ndarray]:
     """(buckets, sorted frequent minimisers) of all documents, by one pass that counts the pieces of each batch.
 
     Batches report a minimiser from half of its share on, so what is frequent overall is reported by those that hold at least half of it.
     """
 
     def counts(batches):
-        for batch in batches:
-            for part in passes(batch, "__text", BATCH_BYTES):
-                mini = _Pieces(part.column("__text"), np.zeros(0, np.uint64)).mini
-                values, n = np.unique(mini, return_counts=True)
-                keep = n >= max(2, FREQUENT / 2 * len(mini))
-                size = len(mini)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(0, values[keep].view(np.int64))), pa.array(np.append(size, n[keep])), pa.array(np.append(part.column("__text").nbytes, np.zeros(keep.sum(), np.int64)))], ["mini", "n", "bytes"])
-
-    found = stored(docs.select("__text").mapInArrow(counts, "mini long, n long, bytes long").groupBy("mini").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")))
+        for _, table in _unpacked(batches):
+            text = table.column("text").combine_chunks()
+            mini = _Pieces(text, np.zeros(0, np.uint64)).mini
+            values, n = np.unique(mini, return_counts=True)
+            keep = n >= max(2, FREQUENT / 2 * len(mini))
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(0, values[keep].view(np.int64))), pa.array(np.append(len(mini), n[keep])), pa.array(np.append(text_buffer(text)[1][-1], np.zeros(keep.sum(), np.int64)))], ["mini", "n", "bytes"])
+
+    found = stored(packed.select("batch", "packed").mapInArrow(counts, "mini long, n long, bytes long").groupBy("mini").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")))
     total = found.where("mini = 0").first()
     if total is None:
         return tasks, np.zeros(0, np.uint64)
@@ -221,17 +229,18 @@ def _frequent(docs: DataFrame, tasks: int) -> tuple[int, np.ndarray]:
 
 
 def _process(docs: DataFrame, finish, schema: str) -> DataFrame:
-    """Runs the exchange and gives finish(rows of a batch, iterator of _kept) to the result; docs has __id and __text."""
+    """Runs the exchange and gives finish(rows of a batch, iterator of _kept) to the result; docs has doc_id and text."""
     spark = docs.sparkSession
     prepare_workers(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = stored(docs.mapInArrow(_batched, "batch long, part long, packed binary"))
     buckets, frequent = _frequent(docs, tasks)
     frequent = spark.sparkContext.broadcast(frequent)
     levels = max(1, math.ceil(math.log(buckets, FAN_OUT)))
 
     def first_level(batches):
-        for number, table in _batches(batches):
-            pieces = _Pieces(table.column("__text").combine_chunks(), frequent.value)
+        for number, table in _unpacked(batches):
+            pieces = _Pieces(table.column("text").combine_chunks(), frequent.value)
             if not len(pieces.first):
                 continue
             kind, words = pieces.distinct()
@@ -272,55 +281,47 @@ def _process(docs: DataFrame, finish, schema: str) -> DataFrame:
                     for c, e in zip(cuts[:-1], cuts[1:], strict=True):
                         yield pa.RecordBatch.from_arrays([pa.array([int(batch[c])], pa.int64()), pa.array([int(bucket[a]) + 1], pa.int64()), pa.array([_pack(found.slice(c, e - c).drop_columns("batch"))], pa.binary())], ["batch", "part", "packed"])
 
-    def whole(batches):
-        for number, table in _batches(batches):
-            for k, rows in enumerate(part for rows in table.to_batches() for part in passes(rows, "__text", ROW_BYTES)):
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([k - (1 << 20)], pa.int64()), pa.array([_pack(rows)], pa.binary())], ["batch", "part", "packed"])
-
     def apply(batches):
         def done(rows, found):
-            pieces = _Pieces(rows.column("__text").combine_chunks(), frequent.value)
+            pieces = _Pieces(rows.column("text").combine_chunks(), frequent.value)
             kind = pieces.distinct()[0] if found else np.zeros(0, np.int64)
             yield from finish(rows.combine_chunks(), _kept(pieces, _flags(pieces, kind, _ids(rows), found)))
 
-        # parts below zero are the documents, the others the answers to them
-        rows, found, now = [], [], None
+        # part -1 is the documents, the others are the answers to them
+        rows, found, now = None, [], None
         for batch in batches:
             for number, part, packed in zip(*(batch.column(c) for c in ("batch", "part", "packed")), strict=True):
                 number, part = number.as_py(), part.as_py()
                 if number != now:
-                    if rows:
-                        yield from done(pa.concat_tables(rows), found)
-                    rows, found, now = [], [], number
+                    if rows is not None:
+                        yield from done(rows, found)
+                    rows, found, now = None, [], number
                 if part < 0:
-                    rows.append(_unpack(packed.as_buffer()))
-                elif not rows:
-                    raise RuntimeError("the documents came in another order when they were read again; give a stored table")
+                    rows = _unpack(packed.as_buffer())
                 else:
                     found.append(_unpack(packed.as_buffer()))
-        if rows:
-            yield from done(pa.concat_tables(rows), found)
+        if rows is not None:
+            yield from done(rows, found)
 
-    packed = docs.select("__id", "__text").mapInArrow(first_level, "bucket long, number long, packed binary")
+    packed = docs.select("batch", "packed").mapInArrow(first_level, "bucket long, number long, packed binary")
     for level in range(1, levels):
         packed = packed.repartition(tasks, "bucket", F.expr(f"number % {FAN_OUT}")).mapInArrow(next_level(level), "bucket long, number long, packed binary")
     told = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(answers, "batch long, part long, packed binary")
-    both = docs.mapInArrow(whole, "batch long, part long, packed binary").unionByName(told)
-    return both.repartition(tasks, "batch").sortWithinPartitions("batch", "part").mapInArrow(apply, schema)
+    return docs.unionByName(told).repartition(tasks, "batch").sortWithinPartitions("batch", "part").mapInArrow(apply, schema)
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 for every row of `docs` (doc_id, text; a table that reads alike twice).
+    """doc_id, n_words, n_removed and kept_sha256 for every row of `docs` (doc_id, text; other columns are ignored).
 
-    Null texts have no words. Rows with one id do not remove each other's words; rows without an id lose what any other document has and
+    Null and empty texts have no words; texts of any length count whole. Rows with one id do not remove each other's words; rows without an id lose what any other document has and
     remove nothing from others. Texts under 13 words stay whole.
     """
 
     def finish(rows, kept):
         kept = list(kept)
-        yield pa.RecordBatch.from_arrays([rows.column("__id").combine_chunks(), pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64()), pa.array([hashlib.sha256(k[2]).hexdigest() for k in kept], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id").combine_chunks(), pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64()), pa.array([hashlib.sha256(k[2]).hexdigest() for k in kept], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _process(docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text")), finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _process(docs.select(F.col("doc_id").cast("long"), "text"), finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -340,4 +341,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             columns["n_chars"] = pc.if_else(cut, pc.utf8_length(text).cast(columns["n_chars"].type), columns["n_chars"])
         yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
-    return _process(docs.withColumns({"__id": F.col("doc_id").cast("long"), "__text": F.col("text")}), finish, docs.schema)
+    return _process(docs, finish, docs.schema)
