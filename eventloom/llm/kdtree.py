@@ -1,4 +1,8 @@
-"""Exact top-k inner products: a k-d tree per shard of the candidates, searched best first with a bound that is handed on."""
+"""Exact top-k inner products: a k-d tree per shard of the candidates, searched best first with a bound that is handed on.
+
+Shards are cells of a coarse k-d split of the whole space, so their bounding boxes differ, and a query only travels to shards whose box can hold
+something as good as what it already knows.
+"""
 
 from __future__ import annotations
 
@@ -13,9 +17,14 @@ from pyspark.sql import functions as F
 
 from .textcols import prepare_workers, runs, stored
 
-#: Rows of a shard, of a leaf of its tree and of a block of queries.
-SHARD_ROWS, LEAF_ROWS, BLOCK_ROWS = 8192, 256, 512
+#: Rows of a shard, of a leaf of its tree and of a block of queries, and shards whose boxes a block of queries meets in one go.
+SHARD_ROWS, LEAF_ROWS, BLOCK_ROWS, BOXES = 8192, 256, 512, 512
+#: Rows that the coarse split is cut by, those with the smallest hash of the id, and rows of them that a cell has at least; cells that would need
+#: more shards are dealt out by hash. Vector lengths that get a split of their own, the most frequent; others are dealt out by hash alone.
+SAMPLE, CELL_ROWS, LENGTHS = 8192, 16, 16
 SCALE = 256
+#: Vectors whose squared length reaches this take no part: below it no score exceeds a long.
+NORM = 2.0**62
 
 
 def _quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -26,15 +35,24 @@ def _quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = np.repeat(np.arange(len(lists)), np.where(lists.is_valid().to_numpy(zero_copy_only=False), size, 0))
         bad = np.bincount(row[~np.isfinite(value)], minlength=len(lists)) > 0
         good = lists.is_valid().to_numpy(zero_copy_only=False) & ~bad & batch.column("vec_id").is_valid().to_numpy(zero_copy_only=False)
-        whole = np.floor(SCALE * np.where(np.isfinite(value), value, 0)).astype(np.int64)
+        scaled = np.floor(SCALE * np.where(np.isfinite(value), value, 0))
+        good &= np.bincount(row, scaled**2, minlength=len(lists)) < NORM
         ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(lists))))
-        raw = whole.tobytes()
+        whole = np.where(np.repeat(good, np.diff(ends)), scaled, 0).astype(np.int64)
         at = np.flatnonzero(good)
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)), pa.array((ends[at + 1] - ends[at]).astype(np.int32)), pa.array([raw[8 * a : 8 * b] for a, b in zip(ends[at].tolist(), ends[at + 1].tolist(), strict=True)], pa.binary())], ["vec_id", "size", "vector"])
+        vectors = [_bytes(whole[a:b]) for a, b in zip(ends[at].tolist(), ends[at + 1].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)), pa.array((ends[at + 1] - ends[at]).astype(np.int32)), pa.array(vectors, pa.binary())], ["vec_id", "size", "vector"])
+
+
+def _bytes(numbers: np.ndarray) -> bytes:
+    """Integers in the narrowest of three widths that holds them."""
+    most = int(np.abs(numbers).max(initial=0))
+    return numbers.astype(np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.int64).tobytes()
 
 
-def _matrix(vectors: list[bytes], size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(vectors), np.int64).reshape(len(vectors), size)
+def _matrix(body: bytes, rows: int, size: int) -> np.ndarray:
+    kind = {2: np.int16, 4: np.int32}.get(len(body) // max(1, rows * size), np.int64)
+    return np.frombuffer(body, kind).astype(np.int64).reshape(rows, size)
 
 
 def _exact(points: np.ndarray, queries: np.ndarray) -> type:
@@ -111,7 +129,7 @@ def _search(k: int):
         for batch in batches:
             for now, size, ids, body, least in zip(*(batch.column(c) for c in ("place", "size", "ids", "body", "least")), strict=True):
                 numbers = ids.values.to_numpy()
-                vectors = np.frombuffer(body.as_buffer(), np.int64).reshape(len(numbers), size.as_py())
+                vectors = _matrix(body.as_py(), len(numbers), size.as_py())
                 if not least.is_valid:
                     place, tree = now.as_py(), _Tree(numbers, vectors)
                 elif now.as_py() == place:
@@ -121,57 +139,170 @@ def _search(k: int):
     return rows
 
 
+_BLOCK = "place long, size int, ids array<long>, body binary, least array<long>"
+
+
+def _block(place: int, ids: list[int], vectors: np.ndarray, least: list[int] | None) -> tuple:
+    return place, vectors.shape[1], ids, _bytes(vectors), least
+
+
+def _rows(blocks: list[tuple]) -> pa.RecordBatch:
+    place, size, ids, body, least = list(zip(*blocks, strict=True)) or [()] * 5
+    kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((place, size, ids, body, least), kinds, strict=True)], ["place", "size", "ids", "body", "least"])
+
+
 def _gathered(queries: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "place"):
             place = table.column("place").combine_chunks().to_numpy()
             bounds = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)]
-            own, size, vector = table.column("vec_id").to_numpy(), table.column("size").to_numpy(), table.column("vector").to_pylist()
-            cut = list(zip(bounds[:-1], bounds[1:], strict=True))
+            own, size, vector = table.column("vec_id").to_pylist(), table.column("size").to_pylist(), table.column("vector").to_pylist()
             known = table.column("least").to_pylist() if queries else None
-            least = pa.array([known[a:b] if queries else None for a, b in cut], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([int(place[a]) for a, _ in cut], pa.int64()), pa.array([int(size[a]) for a, _ in cut], pa.int32()), pa.array([own[a:b].tolist() for a, b in cut], pa.list_(pa.int64())), pa.array([b"".join(vector[a:b]) for a, b in cut], pa.binary()), least], ["place", "size", "ids", "body", "least"])
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                points = np.stack([_matrix(v, 1, size[a])[0] for v in vector[a:b]])
+                yield _rows([_block(int(place[a]), own[a:b], points, known[a:b] if queries else None)])
 
     return rows
 
 
+class _Split:
+    """A k-d split of a sample into cells: node i sends a vector to its right child if component axis[i] is above value[i]."""
+
+    def __init__(self, sample: np.ndarray, cells: int):
+        self.axis, self.value, self.left, self.right, self.cells = [], [], [], [], 0
+
+        def build(rows: np.ndarray, cells: int) -> int:
+            """The number of the node, or -1 - number of the cell."""
+            spread = rows.max(0) - rows.min(0) if rows.size else np.zeros(1)
+            axis = int(spread.argmax())
+            cut = np.partition(rows[:, axis], (len(rows) - 1) // 2)[(len(rows) - 1) // 2] if rows.size else 0
+            high = rows[:, axis] > cut if rows.size else np.zeros(0, bool)
+            if cells < 2 or len(rows) < 2 * CELL_ROWS or not high.any():
+                self.cells += 1
+                return -self.cells
+            node = len(self.axis)
+            for column, x in ((self.axis, axis), (self.value, cut), (self.left, 0), (self.right, 0)):
+                column.append(x)
+            self.left[node] = build(rows[~high], (cells + 1) // 2)
+            self.right[node] = build(rows[high], cells // 2)
+            return node
+
+        self.root = build(sample, cells)
+        self.axis, self.value, self.left, self.right = (np.array(x, np.int64) for x in (self.axis, self.value, self.left, self.right))
+
+    def cell(self, vectors: np.ndarray) -> np.ndarray:
+        at = np.full(len(vectors), self.root)
+        while (live := np.flatnonzero(at >= 0)).size:
+            node = at[live]
+            at[live] = np.where(vectors[live, self.axis[node]] > self.value[node], self.right[node], self.left[node])
+        return -1 - at
+
+
+def _boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each shard the tight bounding box, as a block of two rows whose ids name the shard."""
+    for batch in batches:
+        out = []
+        for place, size, ids, body in zip(*(batch.column(c).to_pylist() for c in ("place", "size", "ids", "body")), strict=True):
+            points = _matrix(body, len(ids), size)
+            out.append(_block(place, [place, place], np.stack([points.min(0), points.max(0)]), None))
+        yield _rows(out)
+
+
+def _routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block of queries and each shard of its place the queries that the shard's box may hold something for."""
+    now, boxes, held = None, None, []
+    for batch in batches:
+        for place, size, ids, body, least in zip(*(batch.column(c).to_pylist() for c in ("place", "size", "ids", "body", "least")), strict=True):
+            if place != now:
+                now, boxes, held = place, None, []
+            vectors = _matrix(body, len(ids), size)
+            if least is None:
+                held.append((ids[0], vectors))
+                continue
+            if boxes is None and held:
+                boxes = [h[0] for h in held], np.stack([h[1][0] for h in held]), np.stack([h[1][1] for h in held])
+            if boxes is None:
+                continue
+            shards, low, high = boxes
+            kind = _exact(np.concatenate([low, high]), vectors)
+            q = vectors.astype(kind)
+            reach = (np.maximum(q, 0) @ high.astype(kind).T + np.minimum(q, 0) @ low.astype(kind).T) >= np.array(least, kind)[:, None]
+            for k, shard in enumerate(shards):
+                if len(hit := np.flatnonzero(reach[:, k])):
+                    yield _rows([_block(shard, [ids[i] for i in hit], vectors[hit], [least[i] for i in hit])])
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id and score: for each row of `queries` the k rows of `vectors` (vec_id, embedding) with the highest integer scores.
+    """query_id, rank, vec_id and score: for each id of `queries` the k rows of `vectors` (vec_id, embedding) with the highest integer scores.
 
-    Components x count as floor(256 * x). Vectors that are null, hold null or non-finite components or have no id take no part, and only vectors
-    of one length meet. A query's own id is left out; ties go to the smaller vec_id. Ids must be unique.
+    Components x count as floor(256 * x). Vectors that are null, hold null or non-finite components or have no id take no part, nor do those
+    whose squared integer length reaches NORM; only vectors of one length meet. Of rows with one id the one with the smallest vector counts, on
+    both sides, so repeated rows count once. A query's own id is left out; ties go to the smaller vec_id. Other columns are ignored.
 
-    Candidates form shards and queries blocks, both by hash of the id. Each shard's tree is built in one task, once for each of two rounds: first
-    every block visits one shard, which gives a k-th score for each query; with that as bound, every block then visits every shard.
+    A coarse k-d split, cut by a sample, deals candidates into shards; each shard's tree is built in one task, once for each of two rounds. First
+    every query visits the shard of its own cell, which gives it a k-th score. With that as bound it is held against the boxes of all shards, in
+    blocks, and visits those that can hold something.
     """
     spark = vectors.sparkSession
     prepare_workers(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = "vec_id long, size int, vector binary"
-    points = stored(vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_quantised, schema))
-    asked = stored(queries.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_quantised, schema))
-
-    def gathered(df: DataFrame, rows: int, queries: bool) -> tuple[DataFrame, int]:
-        n = max(1, math.ceil(df.count() / rows))
-        # the place holds the vector's length too, so that only vectors of one length meet
-        place = F.col("size").cast("long") * (1 << 32) + F.pmod(F.xxhash64("vec_id"), F.lit(n))
-        dealt = df.withColumn("place", place).repartition(min(n, 10 * tasks), "place").sortWithinPartitions("place", "vec_id")
-        return dealt.mapInArrow(_gathered(queries), "place long, size int, ids array<long>, body binary, least array<long>"), n
-
-    shards, n = gathered(points, SHARD_ROWS, False)
-    shards = stored(shards)
-
-    def visited(blocks: DataFrame) -> DataFrame:
-        both = shards.unionByName(blocks).repartition(min(n, 10 * tasks), "place")
+
+    def quantised(df: DataFrame) -> DataFrame:
+        rows = df.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_quantised, "vec_id long, size int, vector binary")
+        return stored(rows.groupBy("vec_id").agg(F.min(F.struct("size", "vector")).alias("v")).select("vec_id", "v.*"))
+
+    points, asked = quantised(vectors), quantised(queries)
+    lengths = points.groupBy("size").count().orderBy(F.desc("count"), "size").limit(LENGTHS).collect()
+    total = points.count()
+    splits, most = {}, max(1, math.ceil((total - sum(r["count"] for r in lengths)) / SHARD_ROWS))
+    rest = most
+    for r in lengths:
+        shards = math.ceil(r["count"] / SHARD_ROWS)
+        sample = points.where(F.col("size") == r["size"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect() if shards > 1 else []
+        split = _Split(np.stack([_matrix(x.vector, 1, r["size"])[0] for x in sample]) if sample else np.zeros((0, r["size"]), np.int64), shards)
+        splits[r["size"]] = split, max(1, math.ceil(shards / split.cells))
+        most = max(most, split.cells * splits[r["size"]][1])
+    sent = spark.sparkContext.broadcast(splits)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row with its place: the length, so that only vectors of one length meet, and the shard."""
+        for batch in batches:
+            size, ids, shard = batch.column("size").to_numpy(), batch.column("vec_id").to_numpy(), np.zeros(batch.num_rows, np.int64)
+            for n in np.unique(size).tolist():
+                own = np.flatnonzero(size == n)
+                split, ways = sent.value.get(n, (None, rest))
+                if split is not None and n:
+                    body = batch.column("vector").take(pa.array(own)).to_pylist()
+                    shard[own] = split.cell(np.stack([_matrix(v, 1, n)[0] for v in body])) * ways
+                mixed = ids[own].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+                shard[own] += ((mixed >> np.uint64(32)) % np.uint64(ways)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((size.astype(np.int64) << 32) + shard)], [*batch.schema.names, "place"])
+
+    def gathered(df: DataFrame, queries: bool) -> DataFrame:
+        placed = df.repartition(max(1, min(most, 10 * tasks)), "place").sortWithinPartitions("place", "vec_id")
+        return placed.mapInArrow(_gathered(queries), _BLOCK)
+
+    def blocks(df: DataFrame) -> DataFrame:
+        n = max(1, math.ceil(df.count() / BLOCK_ROWS))
+        return gathered(df.withColumn("place", F.col("size").cast("long") * (1 << 32) + F.pmod(F.xxhash64("vec_id"), F.lit(n))), True)
+
+    shards = stored(gathered(points.mapInArrow(dealt, "vec_id long, size int, vector binary, place long"), False))
+
+    def visited(some: DataFrame) -> DataFrame:
+        both = shards.unionByName(some).repartition(max(1, min(most, 10 * tasks)), "place")
         # a shard has no bounds, and nulls come first
         return both.sortWithinPartitions("place", F.asc_nulls_first("least")).mapInArrow(_search(k), "query_id long, vec_id long, score long")
 
-    at = lambda shard: F.col("size").cast("long") * (1 << 32) + shard
-    blocks, _ = gathered(asked.withColumn("least", F.lit(NOTHING)), BLOCK_ROWS, True)
-    first = visited(blocks.withColumn("place", at(F.pmod(F.xxhash64("place"), F.lit(n)))))
-    known = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(NOTHING)).alias("least"))
-    bounded = asked.join(known.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(NOTHING)))
-    blocks, _ = gathered(stored(bounded), BLOCK_ROWS, True)
-    found = visited(blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("place", at(F.col("shard"))).drop("shard"))
+    own = asked.mapInArrow(dealt, "vec_id long, size int, vector binary, place long").withColumn("least", F.lit(NOTHING))
+    known = visited(gathered(own, True)).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(NOTHING)).alias("least"))
+    bounded = stored(asked.join(known.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(NOTHING))))
+    # boxes lie in groups of BOXES; a block of queries is held against each group of its length
+    groups = max(1, math.ceil(most / BOXES))
+    chunk = lambda c: F.col("size").cast("long") * (1 << 32) + c
+    boxes = shards.mapInArrow(_boxes, _BLOCK).withColumn("place", chunk(F.pmod(F.xxhash64("place"), F.lit(groups))))
+    spread = blocks(bounded).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("place", chunk(F.col("chunk"))).drop("chunk")
+    both = boxes.unionByName(spread).repartition(max(1, min(groups, 10 * tasks)), "place").sortWithinPartitions("place", F.asc_nulls_first("least"))
+    found = visited(stored(both.mapInArrow(_routed, _BLOCK)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
