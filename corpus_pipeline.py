@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import neardup, packing, pii, substrings, toxicity
+from eventloom.llm import packing, pii, simhash, substrings, toxicity
 from eventloom.llm.textcols import stored
 
 _SCORE = "__toxicity"
@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group linked by a Jaccard similarity of 0.8 and more (five-word shingles)."""
-    return neardup.deduplicated(docs)
+    """One document, that with the smallest id, of each group linked by SimHash (five-word shingles) and a Jaccard similarity of 0.8 and more."""
+    return simhash.deduplicated(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
