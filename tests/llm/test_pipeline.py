@@ -7,9 +7,10 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from eventloom.llm import pii, toxicity
+from eventloom.llm import pii, simhash, toxicity
 
-from .test_texts import WORD, brute_fingerprint, brute_groups, check_packing, reference_encoding
+from .test_near import brute_kept
+from .test_texts import WORD, check_packing, reference_encoding
 
 
 @pytest.fixture(scope="module")
@@ -40,9 +41,10 @@ def test_toxic_documents_go(spark, data, stages):
 
 def test_one_of_each_near_duplicate_group_stays(stages):
     before, after = by_id(stages[1]), by_id(stages[2])
-    ids = sorted(before)
-    groups = brute_groups([brute_fingerprint(before[i].text) for i in ids])
-    assert set(after) == {ids[g] for g in groups} and len(after) < len(before)
+    want, links, similar = brute_kept([(i, r.text) for i, r in before.items()], simhash.WIDE_BUDGET)
+    assert set(after) == want and len(after) < len(before) and all(after[i] == before[i] for i in want)
+    # what brute force over all pairs at the similarity would take out as well
+    assert len(links) >= 0.9 * len(similar)
 
 
 def test_repeated_windows_go(stages):

@@ -4,45 +4,7 @@ import random
 
 import pytest
 
-from eventloom.llm import neardup, pii, secrets, substrings
-
-from .test_texts import WORD
-
-
-def brute_kept(rows):
-    """Ids without a smaller one in their group of links at a 5-word Jaccard similarity of 0.8 and more."""
-    sets = []
-    for _, text in rows:
-        w = WORD.findall((text or "").lower())
-        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)})
-    root = list(range(len(rows)))
-    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
-    for _ in rows:
-        for i, j in pairs:
-            root[i] = root[j] = min(root[i], root[j])
-    least = {}
-    for (i, _), r in zip(rows, root, strict=True):
-        least[r] = min(i, least.get(r, i))
-    return {i for (i, _), r in zip(rows, root, strict=True) if least[r] == i}, len(pairs)
-
-
-def test_near_duplicates_are_all_pairs_at_the_similarity(spark):
-    rng = random.Random(5)
-    vocabulary = [f"w{k}" for k in range(3000)]
-    line = rng.sample(vocabulary, 12)
-    rows = [(900, None), (901, " "), (902, "one two"), (903, "One  two"), (904, "one two three")]
-    for k in range(40):
-        text = rng.choices(vocabulary, k=rng.choice((30, 60, 150))) + line
-        rows.append((k, " ".join(text)))
-        # copies on both sides of the border, and a group larger than NEXT whose members drift apart
-        for c in range(12 if k == 0 else 2):
-            copy = list(text)
-            for at in rng.sample(range(len(copy)), rng.choice((0, 1, 2, 3))):
-                copy[at] = "x"
-            rows.append((1000 + 20 * k + c, " ".join(copy)))
-    want, pairs = brute_kept(rows)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert {r.doc_id for r in neardup.deduplicated(docs).collect()} == want and pairs > 40 and len(want) < len(rows) - 30
+from eventloom.llm import pii, secrets, substrings
 
 
 def test_substring_batches_do_not_depend_on_other_columns(spark):
