@@ -25,12 +25,11 @@ BATCH_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 FREQUENT = 1e-4
 #: A task deals out to this many buckets at a time; more buckets are reached in several levels, so that packed pieces stay large.
 FAN_OUT = 1024
-_ZSTD = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
 
 
-def _pack(table: pa.Table | pa.RecordBatch) -> bytes:
+def _pack(table: pa.Table | pa.RecordBatch, level: int = 3) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=_ZSTD) as writer:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as writer:
         writer.write(table)
     return sink.getvalue().to_pybytes()
 
@@ -99,7 +98,7 @@ def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size, number = [], 0, TaskContext.get().partitionId() << 32
 
     def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([-1], pa.int64()), pa.array([_pack(pa.Table.from_batches(held).combine_chunks())], pa.binary())], ["batch", "part", "packed"])
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([-1], pa.int64()), pa.array([_pack(pa.Table.from_batches(held).combine_chunks(), 6)], pa.binary())], ["batch", "part", "packed"])
 
     for batch in batches:
         ends, at = text_buffer(batch.column("text"))[1], 0
@@ -129,7 +128,7 @@ def _ids(table: pa.Table) -> np.ndarray:
 def _deal(number: int, table: pa.Table, level: int, levels: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Packed rows of a table of pieces by the bucket of their minimiser at this level."""
     mini = table.column("mini").combine_chunks().to_numpy()
-    bucket = ((mini >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    bucket = (mini.astype(np.uint64) * np.uint64(buckets)) >> np.uint64(32)
     bucket = bucket // np.uint64(FAN_OUT ** (levels - 1 - level))
     order = np.argsort(bucket, kind="stable")
     bounds = np.append(np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(1 << 63)) != 0), len(order))
@@ -139,8 +138,12 @@ def _deal(number: int, table: pa.Table, level: int, levels: int, buckets: int) -
 
 
 def _shared_windows(table: pa.Table) -> pa.Table | None:
-    """Of pieces (batch, place, mini, words, least, most): for each whose batch must remove something, the smallest id that has each window."""
-    mini, least, most = (table.column(c).combine_chunks().to_numpy() for c in ("mini", "least", "most"))
+    """Of pieces (batch, place, mini, words, least, more): for each whose batch must remove something, the smallest id that has each window.
+
+    A piece's batch has its words under ids from least to least + more.
+    """
+    mini, least, more = (table.column(c).combine_chunks().to_numpy() for c in ("mini", "least", "more"))
+    most = least + more
     order = np.argsort(mini, kind="stable")
     new = np.flatnonzero(np.append(True, mini[order][1:] != mini[order][:-1]))
     group = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
@@ -249,7 +252,8 @@ def _process(docs: DataFrame, finish, schema: str) -> DataFrame:
             np.minimum.at(least, kind, id_of)
             np.maximum.at(most, kind, id_of)
             mini[kind] = pieces.mini
-            rows = pa.table({"batch": np.full(len(words), number), "place": np.arange(len(words), dtype=np.int32), "mini": mini, "words": words, "least": least, "most": most})
+            # the upper half of a minimiser tells its bucket; pieces that share no more than that only make the bucket compare more of them
+            rows = pa.table({"batch": np.full(len(words), number), "place": np.arange(len(words), dtype=np.int32), "mini": (mini >> np.uint64(32)).astype(np.uint32), "words": words, "least": least, "more": most - least})
             yield from _deal(number, rows, 0, levels, buckets)
 
     def next_level(level):
