@@ -45,23 +45,40 @@ WITH u AS (
     list_filter(string_split(path, '/'), lambda s: s <> '') AS k
   FROM u
 ), s AS (
-  SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS v,
-    coalesce(regexp_replace(k[1], '[0-9]+', '*', 'g'), '') AS s1, coalesce(regexp_replace(k[2], '[0-9]+', '*', 'g'), '') AS s2, coalesce(regexp_replace(k[3], '[0-9]+', '*', 'g'), '') AS s3
+  SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS v,
+    list_transform(k, lambda x: regexp_replace(x, '[0-9]+', '*', 'g')) AS g
   FROM r
-), c0 AS (SELECT host, s1, s2, s3, count(*) AS n, count(*) FILTER (v = 'block') AS b, count(v) AS l, '' AS t FROM s GROUP BY ALL),
+), c0 AS (SELECT host, g, count(*) AS n, count(*) FILTER (v = 'block') AS b, count(v) AS l, '' AS t FROM s GROUP BY ALL),
 """
-for _d in (1, 2, 3):
+#: Levels of the tree; the tables' paths have fewer segments.
+_LEVELS = 5
+_KINDS = ("e", "d", "m", "w")
+
+
+def _apart(x: str, n: str) -> str:
+    share = f"(({x} + a.{x} + 1)::DOUBLE / ({n} + a.{n} + 2))"
+    return f"coalesce(abs({x}::DOUBLE / nullif({n}, 0) - a.{x}::DOUBLE / nullif(a.{n}, 0)) > 2.0 * sqrt({share} * (1 - {share}) * (1.0::DOUBLE / nullif({n}, 0) + 1.0::DOUBLE / nullif(a.{n}, 0))), false)"
+
+
+for _d in range(1, _LEVELS + 1):
+    _kind = f"CASE WHEN len(g) < {_d + 1} THEN 'e' WHEN g[{_d + 1}] = '*' THEN 'd' WHEN contains(g[{_d + 1}], '*') THEN 'm' ELSE 'w' END"
+    _sums = ", ".join(f"sum(CASE WHEN {_kind} = '{k}' THEN n ELSE 0 END) AS {k}" for k in _KINDS)
+    _differ = " OR ".join([_apart("b", "l"), *(_apart(k, "n") for k in _KINDS)])
     URLS += f"""
-k{_d} AS (SELECT host, t, s{_d}, sum(n) AS n, sum(b) AS b, sum(l) AS l FROM c{_d - 1} GROUP BY ALL),
-p{_d} AS (SELECT host, t, count(*) AS kids, sum(n) AS an, sum(b) AS ab, sum(l) AS al FROM k{_d} GROUP BY ALL),
-j{_d} AS (SELECT host, t, s{_d}, CASE WHEN s{_d} = '' THEN '' WHEN kids > 8 AND 2 * kids > an THEN '/*'
-    WHEN abs(b::DOUBLE / nullif(l, 0) - ab::DOUBLE / nullif(al, 0)) <= 1.0 * sqrt((ab + 1)::DOUBLE / (al + 2) * (1 - (ab + 1)::DOUBLE / (al + 2)) / nullif(l, 0)) THEN '/~'
-    ELSE '/' || s{_d} END AS part FROM k{_d} JOIN p{_d} USING (host, t)),
-c{_d} AS (SELECT host, s1, s2, s3, n, b, l, t || part AS t FROM c{_d - 1} JOIN j{_d} USING (host, t, s{_d})),"""
-URLS += """
-q AS (SELECT host, t, (sum(b) + 2.0::DOUBLE) / (sum(l) + 4.0::DOUBLE) AS purity FROM c3 GROUP BY host, t),
-m AS (SELECT host, s1, s2, s3, purity FROM c3 JOIN q USING (host, t))
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict FROM s LEFT JOIN m USING (host, s1, s2, s3)
+o{_d} AS (SELECT *, len(g) >= {_d} AND sum(n) OVER (PARTITION BY host, t) >= 6 AS open FROM c{_d - 1}),
+k{_d} AS (SELECT host, t, g[{_d}] AS x, sum(n) AS n, sum(b) AS b, sum(l) AS l, {_sums} FROM (SELECT * FROM o{_d} WHERE open) GROUP BY ALL),
+v{_d} AS (SELECT *, CASE WHEN count(*) OVER w > 8 AND 2 * count(*) OVER w > sum(n) OVER w THEN '/*' END AS part FROM k{_d} WINDOW w AS (PARTITION BY host, t)),
+a{_d} AS (SELECT host, t, arg_max(struct_pack(n := n, b := b, l := l, e := e, d := d, m := m, w := w), (l, n, x)) AS a FROM v{_d} WHERE part IS NULL AND n >= 6 GROUP BY ALL),
+f{_d} AS (SELECT v.* REPLACE (CASE WHEN part IS NULL AND n >= 6 AND NOT ({_differ}) THEN '/~1' ELSE part END AS part) FROM v{_d} v LEFT JOIN a{_d} USING (host, t)),
+h{_d} AS (SELECT host, t, arg_max(struct_pack(n := n, b := b, l := l, e := e, d := d, m := m, w := w), (l, n, x)) AS a FROM f{_d} WHERE part IS NULL AND n >= 6 GROUP BY ALL),
+j{_d} AS (SELECT f.host, f.t, f.x, coalesce(part, CASE WHEN n >= 6 AND a IS NOT NULL AND NOT ({_differ}) THEN '/~2' END, '/' || x) AS part FROM f{_d} f LEFT JOIN h{_d} USING (host, t)),
+c{_d} AS (SELECT o.host, g, n, b, l, o.t || part AS t FROM o{_d} o JOIN j{_d} j ON o.host = j.host AND o.t = j.t AND o.g[{_d}] = j.x AND open),"""
+_ALL = " UNION ALL ".join(f"SELECT host, g, b, l, t FROM o{_d} WHERE NOT open" for _d in range(1, _LEVELS + 1))
+URLS += f"""
+z AS ({_ALL} UNION ALL SELECT host, g, b, l, t FROM c{_LEVELS}),
+q AS (SELECT host, t, (sum(b) + 2.0::DOUBLE) / (sum(l) + 4.0::DOUBLE) AS purity FROM z GROUP BY host, t),
+m AS (SELECT host, g, purity FROM z JOIN q USING (host, t))
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict FROM s LEFT JOIN m USING (host, g)
 """
 
 ORACLES: dict[str, str] = {"op4_urls": URLS, "op6_topk": TOPK, "op8_substrings": SUBSTRINGS}
