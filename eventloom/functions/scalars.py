@@ -106,6 +106,26 @@ def ratio(a: Column, b: Column, default: float | None = None) -> Column:
     return r if default is None else F.coalesce(r, F.lit(default))
 
 
+def freshness(age: Column, strong: int, weak: int) -> Column:
+    """strong up to one age, weak up to another, stale beyond; missing where there is none."""
+    return F.when(age.isNull(), "missing").when(age <= strong, "strong").when(age <= weak, "weak").otherwise("stale")
+
+
+def mid_price(bid: Column, ask: Column) -> Column:
+    """The middle of both sides; zero when one is missing."""
+    return F.when((F.coalesce(bid, F.lit(0.0)) != 0) & (F.coalesce(ask, F.lit(0.0)) != 0), (bid + ask) / 2).otherwise(0.0)
+
+
+def spread_bp(bid: Column, ask: Column) -> Column:
+    """The spread in basis points of the middle; zero without one."""
+    return F.coalesce(F.try_divide(ask - bid, F.nullif(mid_price(bid, ask), F.lit(0.0))) * 1e4, F.lit(0.0))
+
+
+def divergence(share: Column) -> Column:
+    """How far a share is from one half, from 0 to 1."""
+    return F.abs(share - 0.5) * 2
+
+
 def first_match(rules: list[tuple[str, Column]], default: str) -> Column:
     """Name of the first rule that holds."""
     out = F.lit(default)

@@ -65,6 +65,19 @@ def write_snapshot(df: DataFrame, path: str, keys: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
-def write_results(df: DataFrame, path: str, p: str) -> None:
-    """Results in order of p as JSON lines."""
-    df.orderBy(p).write.mode("overwrite").json(path)
+def append_daily(df: DataFrame, path: str, at: str) -> None:
+    """Rows added as JSON lines to the folder of the UTC day of their time (microseconds)."""
+    day = F.date_format(F.timestamp_micros(at), "yyyy-MM-dd")
+    df.withColumn("dt", day).write.mode("append").partitionBy("dt").json(path)
+
+
+def write_registered(df: DataFrame, path: str, registry: str, helpers: list[str]) -> None:
+    """The table without its helper columns as Parquet, and a registry of its columns (feature, type) as JSON lines beside it."""
+    public = df.drop(*helpers)
+    public.write.mode("overwrite").parquet(path)
+    df.sparkSession.createDataFrame(public.dtypes, "feature string, type string").coalesce(1).write.mode("overwrite").json(registry)
+
+
+def write_results(df: DataFrame, path: str, p: str, kind: str = "json") -> None:
+    """Results in order of p as JSON lines or CSV."""
+    df.orderBy(p).write.mode("overwrite").option("header", True).format(kind).save(path)

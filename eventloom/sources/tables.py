@@ -24,6 +24,13 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     raise ValueError(f"{name} is neither parquet, csv nor json")
 
 
+def optional(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """A table that may be absent, which counts as one without rows, so that joins to it give nulls."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return read(spark, folder, name) if there else spark.createDataFrame([], schema)
+
+
 def micros(column: str | Column) -> Column:
     """Microseconds since the epoch of a timestamp with or without zone, which then counts as UTC."""
     column = F.col(column) if isinstance(column, str) else column
