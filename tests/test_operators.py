@@ -218,3 +218,44 @@ def R_rows(df):
 def test_unknown_suffix(spark, data):
     with pytest.raises(ValueError):
         tables.read(spark, data, "events.xlsx")
+
+
+def plain_tree(rows, depth, least):
+    """Predictions by cell of a tree on (codes, label, weight, n) cells: at each node the split with the largest loss of weighted Gini impurity."""
+
+    def gini(cells):
+        total = sum(w for _, _, w, _ in cells)
+        one = sum(w for _, y, w, _ in cells if y)
+        return 0.0 if not total else total * 2 * (one / total) * (1 - one / total)
+
+    def grow(cells, left):
+        best = None
+        for f in range(len(cells[0][0])):
+            # sets of values are the beginnings of their order by weight of ones, as the library has it
+            rate = {v: sum(c[2] for c in cells if c[0][f] == v and c[1]) for v in {c[0][f] for c in cells}}
+            order = sorted(rate, key=rate.get)
+            for k in range(1, len(order)):
+                low, high = [c for c in cells if c[0][f] in order[:k]], [c for c in cells if c[0][f] in order[k:]]
+                if min(sum(c[3] for c in low), sum(c[3] for c in high)) >= least:
+                    gain = gini(cells) - gini(low) - gini(high)
+                    if gain > 1e-9 and (best is None or gain > best[0] + 1e-9):
+                        best = gain, low, high
+        if best is None or not left:
+            one, total = sum(w for _, y, w, _ in cells if y), sum(w for _, _, w, _ in cells)
+            return {c[0]: float(2 * one > total) for c in cells}
+        return {**grow(best[1], left - 1), **grow(best[2], left - 1)}
+
+    return grow(rows, depth)
+
+
+def test_decision_tree_equals_a_plain_one(spark, data):
+    from eventloom.plans import QUERIES
+    from eventloom.plans.aggregates import features
+
+    x = features(spark, data).toPandas()
+    names, share = ["kind", "tier", "hour"], x.win.mean()
+    codes = {f: {v: i for i, v in enumerate(sorted(x[f].unique(), key=lambda v, f=f: (-(x[f] == v).sum(), v)))} for f in names}
+    cells = [(tuple(codes[f][v] for f, v in zip(names, key[:3], strict=True)), key[3], len(g) * (0.5 / share if key[3] else 0.5 / (1 - share)), len(g)) for key, g in x.groupby([*names, "win"])]
+    want = plain_tree(cells, 4, 10)
+    got = {tuple(codes[f][r[f]] for f in names): r.prediction for r in QUERIES["a50_decision_tree"](spark, data).collect()}
+    assert got == want and len(set(want.values())) == 2
