@@ -24,6 +24,8 @@ SHINGLE, BUDGET, SEED = 3, 3, 42
 WIDE_SHINGLE, WIDE_BUDGET, SIMILARITY = 5, 11, (4, 5)
 #: Rows of a group from which it is dealt out once more by further bits, and from which it is cut into chunks of which all pairs meet.
 GROUP_ROWS, CHUNK_ROWS = 20_000, 100_000
+#: Large groups whose keys are broadcast; were there more, they would be joined by a shuffle.
+BROADCAST_ROWS = 50_000
 #: Node pairs of the trie join that are open at once, and the size product from which a node pair is compared one by one.
 OPEN_PAIRS, LEAF = 1 << 17, 256
 #: Rows behind it that each row is held against first, so that dense groups are connected before the trie is followed down.
@@ -232,8 +234,11 @@ def _keyed(nodes: DataFrame, budget: int) -> DataFrame:
     rest = [c for c in nodes.columns if c != "fp"]
     keyed = nodes.select(*rest, F.explode(own).alias("g")).select(*rest, "g.*")
 
-    def large(df: DataFrame, rows: int) -> DataFrame:
-        return df.groupBy("key").count().where(F.col("count") > rows).withColumnRenamed("count", "rows")
+    def sized(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
+        """df with the rows of its group where those are more than `rows`, and whether there are such groups; if not, nothing is joined."""
+        large = stored(df.groupBy("key").count().where(F.col("count") > rows).withColumnRenamed("count", "rows"))
+        n = large.count()
+        return df.join(F.broadcast(large) if n <= BROADCAST_ROWS else large, "key", "left") if n else df, n > 0
 
     again = F.array("key")
     for k, p in enumerate(parts):
@@ -241,13 +246,14 @@ def _keyed(nodes: DataFrame, budget: int) -> DataFrame:
         edges = [low + (high - low) * j // (errors + 1) for j in range(errors + 2)]
         keys = [(F.col("key") + 1) * (1 << 24) + (j << 16) + F.shiftrightunsigned("fp", 64 - b).bitwiseAND((1 << (b - a)) - 1) for j, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
         again = F.when(F.col("part") == k, F.array(*keys)).otherwise(again)
-    big = large(keyed, GROUP_ROWS)
-    keyed = keyed.join(big, "key", "left").withColumn("key", F.explode(F.when(F.col("rows").isNull(), F.array("key")).otherwise(again))).drop("rows")
+    keyed, some = sized(keyed, GROUP_ROWS)
+    if some:
+        keyed = keyed.withColumn("key", F.explode(F.when(F.col("rows").isNull(), F.array("key")).otherwise(again))).drop("rows")
     chunks = F.ceil(F.col("rows") / CHUNK_ROWS).cast("long")
     own = F.pmod(F.xxhash64("node", "key"), chunks)
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda x: F.xxhash64(F.col("key"), F.least(x, own), F.greatest(x, own)))
-    keyed = keyed.join(large(keyed, 2 * CHUNK_ROWS), "key", "left")
-    return keyed.withColumn("key", F.explode(F.when(F.col("rows").isNull(), F.array("key")).otherwise(pairs))).drop("rows")
+    keyed, some = sized(keyed, 2 * CHUNK_ROWS)
+    return keyed.withColumn("key", F.explode(F.when(F.col("rows").isNull(), F.array("key")).otherwise(pairs))).drop("rows") if some else keyed
 
 
 def _met(budget: int, rows_alike: Callable | None, rooted: bool = False):
