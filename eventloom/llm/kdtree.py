@@ -35,8 +35,9 @@ def _quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = np.repeat(np.arange(len(lists)), np.where(lists.is_valid().to_numpy(zero_copy_only=False), size, 0))
         bad = np.bincount(row[~np.isfinite(value)], minlength=len(lists)) > 0
         good = lists.is_valid().to_numpy(zero_copy_only=False) & ~bad & batch.column("vec_id").is_valid().to_numpy(zero_copy_only=False)
-        scaled = np.floor(SCALE * np.where(np.isfinite(value), value, 0))
-        good &= np.bincount(row, scaled**2, minlength=len(lists)) < NORM
+        with np.errstate(over="ignore"):
+            scaled = np.floor(SCALE * np.where(np.isfinite(value), value, 0))
+            good &= np.bincount(row, scaled**2, minlength=len(lists)) < NORM
         ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(lists))))
         whole = np.where(np.repeat(good, np.diff(ends)), scaled, 0).astype(np.int64)
         at = np.flatnonzero(good)

@@ -123,10 +123,16 @@ def prepare_workers(spark: SparkSession) -> None:
         env.setdefault(name, value)
 
 
+#: Folders that this process has written with stored() and not yet released.
+WRITTEN: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir, which driver and executors share; set here only where it is unset (tests)."""
+    """A new folder name under spark.checkpoint.dir, which driver and executors share; set here only where it is unset and Spark runs locally."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         base = f"file://{tempfile.gettempdir()}/eventloom-checkpoints"
@@ -135,8 +141,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: later jobs don't repeat its work, and a lost executor loses none of it."""
+    """df written to the shared folder and read again: later jobs don't repeat its work, and a lost executor loses none of it.
+
+    The folder stays until release() is called, as what is read may be used at any later time.
+    """
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders that stored() has written; nothing that reads them may be needed any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        WRITTEN.remove(path)

@@ -135,7 +135,11 @@ def held_out(doc_id: Column | None = None) -> Column:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of `docs`; repeated rows are scored alike, extra columns are ignored."""
+    """doc_id, held_out, score and predicted for every row of `docs` (doc_id, text).
+
+    Texts of any length are scored whole, null and empty ones get the bias's score; repeated rows are scored alike, extra columns are ignored, and
+    a row without an id is not held out.
+    """
     weights = fit(docs, labels, ~held_out())
     scored = with_scores(docs.select("doc_id", "text"), weights, "score")
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -10,7 +10,7 @@ import corpus_pipeline
 from eventloom.llm import pii, simhash, toxicity
 
 from .test_near import brute_kept
-from .test_texts import WORD, check_packing, reference_encoding
+from .test_texts import WORD, awkward, check_packing, reference_encoding  # noqa: F401
 
 
 @pytest.fixture(scope="module")
@@ -82,3 +82,17 @@ def test_everything_is_packed(stages):
 def test_run_gives_the_last_stage(spark, data, stages):
     columns = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
     assert corpus_pipeline.run(spark, data).select(*columns).exceptAll(stages[5].select(*columns)).count() == 0
+
+
+@pytest.mark.parametrize("rows", ["all", "none"])
+def test_stages_on_awkward_tables(spark, awkward, tmp_path, rows):  # noqa: F811
+    docs = awkward if rows == "all" else awkward.limit(0)
+    labels = spark.createDataFrame([(1, 1), (4, 0), (None, 1), (7, None)], "doc_id long, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        after = corpus_pipeline.stored(stage(spark, docs, str(tmp_path)))
+        if stage is not corpus_pipeline.STAGES[-1][1]:
+            assert after.columns == docs.columns and after.count() <= docs.count()
+            docs = after
+    tokens = {r.doc_id for r in after.collect()}
+    assert tokens == {r.doc_id for r in docs.collect()} and (rows == "none" or {1, 4, 7, 12, None} <= tokens)
