@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from eventloom.llm import packing, pii, simhash, substrings, toxicity
-from eventloom.llm.textcols import stored
+from eventloom.llm.textcols import WRITTEN, release, stored
 
 _SCORE = "__toxicity"
 
@@ -47,8 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written to the shared folder and read again; what only earlier stages needed is deleted there."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES:
+        before = len(WRITTEN)
         docs = stored(stage(spark, docs, sf_dir))
+        *made, own = WRITTEN[before:]
+        release(spark, [*made, *last])
+        last = [own]
     return docs
