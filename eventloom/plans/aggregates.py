@@ -218,12 +218,14 @@ def a23(spark, d):
 
 @query("a24_trimmed_and_winsorised", f"WITH {P1}, r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY f1, event_id) AS r, floor(count(*) OVER (PARTITION BY day) * 0.05) AS cut, count(*) OVER (PARTITION BY day) AS n FROM p), q AS (SELECT day, quantile_cont(f1, 0.1) AS a, quantile_cont(f1, 0.9) AS b FROM p GROUP BY 1) SELECT day, round(avg(f1) FILTER (r > cut AND r <= n - cut), 6) AS trimmed, round(avg(least(greatest(f1, a), b)), 6) AS winsorised FROM r JOIN q USING (day) GROUP BY 1")
 def a24(spark, d):
-    p = returns(spark, d)
-    w = Window.partitionBy("day")
-    r = p.withColumns({"r": F.row_number().over(w.orderBy("f1", "event_id")), "n": F.count("*").over(w)}).withColumn("cut", F.floor(F.col("n") * 0.05))
-    q = p.groupBy("day").agg(F.percentile("f1", F.array(F.lit(0.1), F.lit(0.9))).alias("q"))
-    keep = (F.col("r") > F.col("cut")) & (F.col("r") <= F.col("n") - F.col("cut"))
-    return rounded(r.join(q, "day").groupBy("day").agg(F.avg(F.when(keep, F.col("f1"))).alias("trimmed"), F.avg(F.least(F.greatest("f1", F.col("q")[0]), F.col("q")[1])).alias("winsorised")))
+    # rows are counted per value, and a value keeps as many as lie between the cuts
+    p = returns(spark, d).select("day", "f1")
+    placed = with_weight_before(p.groupBy("day", "f1").agg(F.count("*").alias("n")), ["day"], "f1", "n")
+    cut = F.floor(F.col("__total") * 0.05)
+    kept = F.greatest(F.least(F.col("__before") + F.col("n"), F.col("__total") - cut) - F.greatest("__before", cut), F.lit(0))
+    x = placed.withColumn("kept", kept).join(quantiles(p, ["day"], "f1", [0.1, 0.9], ["a", "b"]), "day")
+    mean = lambda v, n: F.try_divide(F.sum(v * F.col(n)), F.sum(n))
+    return rounded(x.groupBy("day").agg(mean(F.col("f1"), "kept").alias("trimmed"), mean(F.least(F.greatest("f1", "a"), "b"), "n").alias("winsorised")))
 
 
 _RANKED = P1 + ", k AS (SELECT day, rank() OVER (PARTITION BY day ORDER BY k) + (count(*) OVER (PARTITION BY day, k) - 1) / 2.0 AS a, rank() OVER (PARTITION BY day ORDER BY f1) + (count(*) OVER (PARTITION BY day, f1) - 1) / 2.0 AS b FROM p)"

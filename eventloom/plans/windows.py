@@ -10,7 +10,7 @@ from ..operators import bars as B
 from ..operators import detect as D
 from ..operators import outcomes as O
 from ..operators.asof import asof, first_after
-from ..operators.ranks import quantiles
+from ..operators.ranks import quantiles, with_weight_before
 from ..sources import tables
 from .panels import bars, panel, rounded
 from .registry import BARS, EV, PANEL, query
@@ -118,10 +118,13 @@ def w15(spark, d):
 
 @query("w17_ranks_in_bucket", f"WITH {EV}, p AS (SELECT *, us // 3600000000 AS hour FROM ev) SELECT event_id, round((rank() OVER w + (count(*) OVER t - 1) / 2.0) / count(*) OVER n, 6) AS pct, row_number() OVER (PARTITION BY hour ORDER BY price DESC, event_id) AS place, round(cume_dist() OVER w, 6) AS share FROM p WINDOW w AS (PARTITION BY hour ORDER BY price), t AS (PARTITION BY hour, price), n AS (PARTITION BY hour)")
 def w17(spark, d):
-    p = tables.ticks(spark, d).withColumn("hour", F.floor(F.col("us") / B.HOUR))
-    w = Window.partitionBy("hour").orderBy("price")
-    n, ties = F.count(F.lit(1)).over(Window.partitionBy("hour")), F.count(F.lit(1)).over(Window.partitionBy("hour", "price"))
-    return rounded(p.select("event_id", ((F.rank().over(w) + (ties - 1) / 2.0) / n).alias("pct"), F.row_number().over(Window.partitionBy("hour").orderBy(F.desc("price"), "event_id")).alias("place"), F.cume_dist().over(w).alias("share")))
+    # an hour of all symbols is a large group: its distinct prices are ranked slice by slice, and rows are only numbered among equal prices
+    p = tables.ticks(spark, d).select("event_id", "price", F.floor(F.col("us") / B.HOUR).alias("hour"))
+    placed = with_weight_before(p.groupBy("hour", "price").agg(F.count("*").alias("n")), ["hour"], "price", "n")
+    x = p.join(placed, ["hour", "price"])
+    among = F.row_number().over(Window.partitionBy("hour", "price").orderBy("event_id"))
+    place = (F.col("__total") - F.col("__before") - F.col("n") + among).cast("int")
+    return rounded(x.select("event_id", ((F.col("__before") + (F.col("n") + 1) / 2.0) / F.col("__total")).alias("pct"), place.alias("place"), ((F.col("__before") + F.col("n")) / F.col("__total")).alias("share")))
 
 
 @query("w18_quantile_bins", f"WITH {EV}, b AS (SELECT wt, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.5) AS q2, quantile_cont(price, 0.75) AS q3 FROM ev WHERE us < 1705363200000000 GROUP BY 1) SELECT wt, 1 + (price > q1)::INT + (price > q2)::INT + (price > q3)::INT AS bin, count(*) AS n FROM ev JOIN b USING (wt) GROUP BY ALL")
