@@ -34,7 +34,8 @@ def sides(spark, d):
 @query("j01_asof_backward", f"WITH {SHIP}, f AS (SELECT key, us, max(value) AS value FROM ord GROUP BY ALL) SELECT oid, line, e.us, f.us AS known_at, f.value FROM e ASOF LEFT JOIN f ON e.key = f.key AND e.us >= f.us")
 def j01(spark, d):
     e, o = shipments(spark, d)
-    return asof(e, o.select("key", "us", "value"), "key", "us", ["value"]).select("oid", "line", "us", "known_at", "value")
+    # a key with most of the rows is cut along its time line
+    return asof(e, o.select("key", "us", "value"), "key", "us", ["value"], slices=360 * DAY).select("oid", "line", "us", "known_at", "value")
 
 
 @query("j02_asof_strict", f"WITH {SHIP}, f AS (SELECT key, us, max(value) AS value FROM ord GROUP BY ALL) SELECT oid, line, f.us AS known_at, f.value FROM e ASOF LEFT JOIN f ON e.key = f.key AND e.us > f.us")
