@@ -7,6 +7,7 @@ join proposes against the exact Jaccard similarity of the two texts.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -24,6 +25,8 @@ SHINGLE, BUDGET, SEED = 3, 3, 42
 WIDE_SHINGLE, WIDE_BUDGET, SIMILARITY = 5, 11, (4, 5)
 #: Rows of a group from which it is dealt out once more by further bits, and from which it is cut into chunks of which all pairs meet.
 GROUP_ROWS, CHUNK_ROWS = 20_000, 100_000
+#: Rows that one task of the join gets on average at most, whatever spark.sql.shuffle.partitions says.
+TASK_ROWS = 500_000
 #: Large groups whose keys are broadcast; were there more, they would be joined by a shuffle.
 BROADCAST_ROWS = 50_000
 #: Node pairs of the trie join that are open at once, and the size product from which a node pair is compared one by one.
@@ -283,6 +286,7 @@ def links(nodes: DataFrame, budget: int = BUDGET, alike: Callable | None = None)
     Each group gives a spanning forest, never all of its pairs. With a column root it gives all pairs whose roots differ.
     """
     count = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = max(count, math.ceil(nodes.count() * len(_parts(budget)) / TASK_ROWS))
     met = _met(budget, alike, "root" in nodes.columns)
     return _keyed(nodes, budget).repartition(count, "key").sortWithinPartitions("key").mapInArrow(met, "u long, v long")
 

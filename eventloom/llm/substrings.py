@@ -20,6 +20,8 @@ from .textcols import Words, joined_words, prepare_workers, runs, split_words, s
 WINDOW, SUB = 13, 3
 #: Text that one batch of documents holds, and text of super-k-mers that one bucket is meant to hold.
 BATCH_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+#: Buckets that one task deals with at most, whatever spark.sql.shuffle.partitions says.
+TASK_BUCKETS = 32
 #: A minimiser is frequent if it has this share of all pieces or, with few buckets, a quarter of a bucket's; its windows travel each alone, by a
 #: hash of all their words. So at most 2 / FREQUENT minimisers are broadcast.
 FREQUENT = 1e-4
@@ -238,6 +240,7 @@ def _process(docs: DataFrame, finish, schema: str) -> DataFrame:
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = stored(docs.mapInArrow(_batched, "batch long, part long, packed binary"))
     buckets, frequent = _frequent(docs, tasks)
+    tasks = max(tasks, math.ceil(buckets / TASK_BUCKETS))
     frequent = spark.sparkContext.broadcast(frequent)
     levels = max(1, math.ceil(math.log(buckets, FAN_OUT)))
 
