@@ -29,7 +29,7 @@ FREQUENT = 1e-4
 FAN_OUT = 1024
 
 
-def _pack(table: pa.Table | pa.RecordBatch, level: int = 3) -> bytes:
+def _pack(table: pa.Table | pa.RecordBatch, level: int = 6) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as writer:
         writer.write(table)
@@ -100,7 +100,7 @@ def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size, number = [], 0, TaskContext.get().partitionId() << 32
 
     def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([-1], pa.int64()), pa.array([_pack(pa.Table.from_batches(held).combine_chunks(), 6)], pa.binary())], ["batch", "part", "packed"])
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([-1], pa.int64()), pa.array([_pack(pa.Table.from_batches(held).combine_chunks(), 9)], pa.binary())], ["batch", "part", "packed"])
 
     for batch in batches:
         ends, at = text_buffer(batch.column("text"))[1], 0
