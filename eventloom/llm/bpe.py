@@ -45,7 +45,11 @@ def decoded(encodings: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, encoded and decoded in one pass."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, encoded and decoded in one pass.
+
+    Null and empty texts have no ids, texts of any length are encoded whole, repeated rows each get their row, and other columns are ignored.
+    `pattern` is one of the byte-level kind, whose matches never go on from a sign to white space (see tokens).
+    """
     prepare_workers(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,7 +73,8 @@ def packed(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
 
     A document is its ids and `end_id`; null texts have that one. Full stretches of `length` become sequences at once; the rest goes to the open
     window that it fills best. Where none has room, the fullest is topped up with the head of the piece and closed. What partitions leave open is
-    merged at the end, whole windows at a time. Ids of sequences are unique, not consecutive; repeated rows are packed each.
+    merged at the end, whole windows at a time. Sequences are padded to `length`; that those of a power of two need not be is made no use of. Ids
+    of sequences are unique, not consecutive; texts of any length are encoded whole, repeated rows are packed each, other columns are ignored.
     """
     spark = docs.sparkSession
     prepare_workers(spark)

@@ -23,8 +23,9 @@ from .textcols import passes, prepare_workers
 KINDS = ("email", "ip", "card", "phone")
 #: Fields of a segment, and of an example that weights are learnt from (longer clusters give several; they are decoded whole).
 MAX_FIELDS, CLUSTER_FIELDS = 24, 200
-#: Documents that give examples, and examples that are learnt from: those with the smallest hashes.
-FIT_DOCS, FIT_CLUSTERS = 600, 1500
+#: Documents that give examples, examples that are learnt from (those with the smallest hashes), and characters of an example (longer ones are
+#: not learnt from).
+FIT_DOCS, FIT_CLUSTERS, FIT_CHARS = 600, 1500, 4000
 #: Passes over the examples, step of a feature's first update, and weight decay of a pass.
 EPOCHS, STEP, DECAY = 4, 0.5, 1e-3
 #: A span beyond the base ones is reported if it scores this much above leaving its fields alone.
@@ -292,6 +293,8 @@ def fit(docs: DataFrame, rows: int = FIT_DOCS) -> dict[str, list[float]]:
             for text in batch.column("text").to_pylist():
                 base = base_spans(text or "")
                 for _, fields in clusters(text or "", CLUSTER_FIELDS):
+                    if fields[-1][1] - fields[0][0] > FIT_CHARS:
+                        continue
                     gold = _labels(fields, base)
                     yield pa.RecordBatch.from_arrays([pa.array([fields[0][0]], pa.int64()), pa.array(["".join(f[2] for f in fields)]), pa.array([[x for g in gold for x in g]], pa.list_(pa.int64()))], ["start", "text", "gold"])
 

@@ -129,7 +129,8 @@ def repetition_rules(docs: DataFrame, max_covered: float = MAX_COVERED, max_long
     """doc_id, the measures of each whole text, base_failed and kept for every row of `docs` (doc_id, text).
 
     n_covered: words in repeated substrings of LEAST or more words; longest_repeat: words of the longest; n_maximal: how many there are. A text
-    is kept if it doesn't fail the base rules and stays within both limits. Null texts have no words and fail.
+    is kept if it doesn't fail the base rules and stays within both limits. Null and empty texts have no words and fail; texts of any length are
+    measured whole, repeated rows each get their row, and other columns are ignored.
     """
     prepare_workers(docs.sparkSession)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "longest_repeat", "n_maximal"]

@@ -72,7 +72,8 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
 def secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans (kinds assign, access, hex, and weak for linked candidates) of every row.
 
-    Null and empty texts have none; repeated rows each get their row; columns other than doc_id and text are ignored.
+    Null and empty texts have none, texts of any length are searched whole; repeated rows each get their row; columns other than doc_id and text
+    are ignored.
     """
     without, parts = _placed(docs)
     parts = stored(parts)

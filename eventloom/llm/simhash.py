@@ -428,6 +428,9 @@ def similar_groups(docs: DataFrame, budget: int = WIDE_BUDGET) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """`docs` without the documents that have a linked one with a smaller doc_id; all columns stay, and so do rows without an id."""
+    """`docs` without the documents that have a linked one with a smaller doc_id; all columns stay, and so do rows without an id.
+
+    Rows with one id stay or go together: they go if the text of any has a linked one with a smaller id.
+    """
     gone = similar_groups(docs).where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
