@@ -6,6 +6,9 @@ interval join on pieces of SCOPE characters.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ _PATTERNS = {
     "weak": ("[A-Za-z0-9+/_-]{20,}+", 0, 20),
     "endpoint": ("(?i:https?|ftp|jdbc:[a-z]+|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[^\\x20\\x09-\\x0D\"'<>]+|(?i:host|endpoint|server|region)[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9.-]+", 0, 1),
 }
+#: Signs of which every match of a pattern has one; a text without them is not searched by it.
+_SIGNS = {"assign": (":", "="), "access": ("AKIA",), "ident": (":", "="), "endpoint": (":", "=")}
 _KIND = {name: k for k, name in enumerate(_PATTERNS)}
 
 
@@ -39,7 +44,10 @@ def _parts(text: Column, name: str) -> Column:
         lambda x, i: F.struct(F.lit(_KIND[name]).alias("kind"), i.alias("number"), F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("size"), holds(x["own"]).alias("holds")),
     )
     none = F.array().cast("array<struct<kind:int,number:int,gap:int,size:int,holds:boolean>>")
-    return F.when(text.rlike(pattern), rows).otherwise(none)
+    found = text.rlike(pattern)
+    if signs := _SIGNS.get(name):
+        found = functools.reduce(operator.or_, (text.contains(s) for s in signs)) & found
+    return F.when(found, rows).otherwise(none)
 
 
 def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
