@@ -80,15 +80,15 @@ def ftrl(rows: list[tuple[int, np.ndarray]]) -> dict[int, float]:
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [(p, y, np.asarray(c.values)) for b in batches for p, y, c in zip(b.column("place").to_pylist(), b.column("label").to_pylist(), b.column("coords"), strict=True)]
-    w = ftrl([(y, c) for _, y, c in sorted(rows, key=lambda r: r[0])]) if rows else {}
+    w = ftrl([(y, c) for _, y, c in sorted(rows, key=lambda r: r[0])]) if len({y for _, y, _ in rows}) == 2 else {}
     yield pa.RecordBatch.from_arrays([pa.array(list(w), pa.int32()), pa.array(list(w.values()), pa.float64())], ["coord", "weight"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows: int = FIT_ROWS) -> dict[int, float]:
     """Sparse weights learnt from at most `rows` labelled documents (columns doc_id, toxic of `labels`; `usable` restricts them).
 
-    A document with several labels counts as toxic if one says so; null labels are ignored; without labels there are no weights, and every
-    score is 0.5. `rows` bounds what is broadcast and what the one fitting task reads.
+    A document with several labels counts as toxic if one says so; null labels are ignored; unless there are labels of both kinds, there are no
+    weights, and every score is 0.5. `rows` bounds what is broadcast and what the one fitting task reads.
     """
     prepare_workers(docs.sparkSession)
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())

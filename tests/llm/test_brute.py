@@ -240,6 +240,12 @@ def test_toxicity_of_long_texts_and_many_labels(spark):
     assert out[500].score > out[501].score > 0 and out[500].score > 0.5 and not out[None].held_out and len(out) == 203
 
 
+def test_labels_of_one_kind_teach_nothing(spark):
+    docs = spark.createDataFrame([(i, "some words") for i in range(30)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, toxic int")
+    assert toxicity.fit(docs, marks) == {} and toxicity.toxicity(docs, marks).where("score <> 0.5").count() == 0
+
+
 # -- intermediate folders
 
 

@@ -87,7 +87,7 @@ def test_run_gives_the_last_stage(spark, data, stages):
 @pytest.mark.parametrize("rows", ["all", "none"])
 def test_stages_on_awkward_tables(spark, awkward, tmp_path, rows):  # noqa: F811
     docs = awkward if rows == "all" else awkward.limit(0)
-    labels = spark.createDataFrame([(1, 1), (4, 0), (None, 1), (7, None)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, int(i == 10)) for i in range(1, 15)] + [(None, 1), (7, None)], "doc_id long, toxic int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     for _, stage in corpus_pipeline.STAGES:
         after = corpus_pipeline.stored(stage(spark, docs, str(tmp_path)))
