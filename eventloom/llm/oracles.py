@@ -81,4 +81,20 @@ m AS (SELECT host, g, purity FROM z JOIN q USING (host, t))
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict FROM s LEFT JOIN m USING (host, g)
 """
 
-ORACLES: dict[str, str] = {"op4_urls": URLS, "op6_topk": TOPK, "op8_substrings": SUBSTRINGS}
+MIDDLE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), e AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS x FROM d
+), f AS (
+  SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN x[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM e
+), g AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM g
+"""
+
+ORACLES: dict[str, str] = {"op4_urls": URLS, "op6_topk": TOPK, "op8_substrings": SUBSTRINGS, "op12_middle": MIDDLE}
