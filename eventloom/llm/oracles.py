@@ -97,4 +97,23 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix
 FROM g
 """
 
-ORACLES: dict[str, str] = {"op4_urls": URLS, "op6_topk": TOPK, "op8_substrings": SUBSTRINGS, "op12_middle": MIDDLE}
+_NEAREST = "SELECT vec_id, i, x, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT vec_id, i, x, k, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v CROSS JOIN c{0}) GROUP BY ALL"
+CENTROIDS = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS i, embedding AS e, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, e) - 1 AS k, x AS c FROM v QUALIFY k < 16),
+"""
+for _r in range(3):
+    CENTROIDS += f"""
+n{_r} AS MATERIALIZED ({_NEAREST.format(_r)}),
+s{_r} AS MATERIALIZED (SELECT k, j, CAST(sum(y) AS BIGINT) AS s, count(*) AS n FROM (SELECT k, unnest(x) AS y, unnest(range(64)) AS j FROM n{_r}) GROUP BY ALL),
+c{_r + 1} AS MATERIALIZED (SELECT k, coalesce(m, c) AS c FROM c{_r} LEFT JOIN (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS m FROM s{_r} GROUP BY k) USING (k)),"""
+CENTROIDS += f"""
+z AS MATERIALIZED ({_NEAREST.format(3)})
+SELECT vec_id, CAST(z.k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY z.k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM z JOIN c3 USING (k)
+"""
+
+ORACLES: dict[str, str] = {"op4_urls": URLS, "op6_topk": TOPK, "op8_substrings": SUBSTRINGS, "op11_centroids": CENTROIDS, "op12_middle": MIDDLE}

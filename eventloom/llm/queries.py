@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, kdtree, language, middle, packing, pii, repetition, secrets, simhash, substrings, toxicity, urls
+from . import bpe, cells, kdtree, language, middle, packing, pii, repetition, secrets, simhash, substrings, toxicity, urls
 from .oracles import ORACLES
 
 
@@ -59,6 +59,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op11_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return cells.with_inertia(cells.clustered(_table(spark, folder, "embeddings")))
+
+
 def op12_middle(spark: SparkSession, folder: str) -> DataFrame:
     return middle.cut_digests(_table(spark, folder, "documents"))
 
@@ -76,6 +80,6 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_bpe, op3_secrets, op4_urls, op5_packing, op6_topk, op7_quality, op8_substrings, op9_simhash, op10_toxicity, op12_middle, op13_language, pipeline)
+    f.__name__: f for f in (op1_pii, op2_bpe, op3_secrets, op4_urls, op5_packing, op6_topk, op7_quality, op8_substrings, op9_simhash, op10_toxicity, op11_centroids, op12_middle, op13_language, pipeline)
 }
 ORACLE_SQL: dict[str, str] = ORACLES
