@@ -21,11 +21,10 @@ from pyspark.sql import functions as F
 from .textcols import passes, prepare_workers
 
 KINDS = ("email", "ip", "card", "phone")
-#: Fields of a segment, and of an example that weights are learnt from (longer clusters give several; they are decoded whole).
+#: Fields of a segment, and about how many an example that weights are learnt from has (longer clusters give several; they are decoded whole).
 MAX_FIELDS, CLUSTER_FIELDS = 24, 200
-#: Documents that give examples, examples that are learnt from (those with the smallest hashes), and characters of an example (longer ones are
-#: not learnt from).
-FIT_DOCS, FIT_CLUSTERS, FIT_CHARS = 600, 1500, 4000
+#: Documents that give examples, and examples that are learnt from, those with the smallest hashes.
+FIT_DOCS, FIT_CLUSTERS = 600, 1500
 #: Passes over the examples, step of a feature's first update, and weight decay of a pass.
 EPOCHS, STEP, DECAY = 4, 0.5, 1e-3
 #: A span beyond the base ones is reported if it scores this much above leaving its fields alone.
@@ -68,7 +67,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         s = run.start()
         if s >= ip_free and text[run.end() : run.end() + 1] == "." and (m := _IP.match(text, s)):
             ip_free = m.end()
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split(".")):
                 found.append((s, 1, ip_free))
         if s >= card_free and (m := _CARD.match(text, s)):
             card_free = m.end()
@@ -84,14 +83,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def clusters(text: str, most: int | None = None) -> Iterator[tuple[int, list[tuple[int, int, str]]]]:
-    """(offset, fields) of the stretches that can hold entities, with at most `most` fields each."""
+def clusters(text: str, base: list[tuple[int, int, int]] | None = None) -> Iterator[tuple[int, list[tuple[int, int, str]]]]:
+    """(offset, fields) of the stretches that can hold entities; where base spans are given, as examples to learn from, cut after CLUSTER_FIELDS or
+    more fields outside of them, at spaces where there are any."""
     if not _ANCHOR.search(text):
         return
     for m in _CLUSTER.finditer(text) if len(text) < 1 << 16 else _clusters_of_long(text):
         fields = [(m.start() + f.start(), m.start() + f.end(), f.group()) for f in _FIELD.finditer(m.group())]
-        for a in range(0, len(fields), most or len(fields)):
-            yield fields[a][0], fields[a : a + (most or len(fields))]
+        low, known, reach = 0, 0, 0
+        for i, (start, end, sign) in enumerate(fields if base is not None else ()):
+            while known < len(base) and base[known][0] < end:
+                reach = max(reach, base[known][2])
+                known += 1
+            # no segment is as long as eight times CLUSTER_FIELDS, so the last of these cuts none
+            if i - low >= CLUSTER_FIELDS * (8 if reach > start else 1 if sign == " " else 4):
+                yield fields[low][0], fields[low:i]
+                low = i
+        yield fields[low][0], fields[low:]
 
 
 class _Stretch:
@@ -292,9 +300,7 @@ def fit(docs: DataFrame, rows: int = FIT_DOCS) -> dict[str, list[float]]:
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 base = base_spans(text or "")
-                for _, fields in clusters(text or "", CLUSTER_FIELDS):
-                    if fields[-1][1] - fields[0][0] > FIT_CHARS:
-                        continue
+                for _, fields in clusters(text or "", base):
                     gold = _labels(fields, base)
                     yield pa.RecordBatch.from_arrays([pa.array([fields[0][0]], pa.int64()), pa.array(["".join(f[2] for f in fields)]), pa.array([[x for g in gold for x in g]], pa.list_(pa.int64()))], ["start", "text", "gold"])
 
