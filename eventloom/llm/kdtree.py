@@ -23,37 +23,54 @@ SHARD_ROWS, LEAF_ROWS, BLOCK_ROWS, BOXES = 8192, 256, 512, 512
 #: more shards are dealt out by hash. Vector lengths that get a split of their own, the most frequent; others are dealt out by hash alone.
 SAMPLE, CELL_ROWS, LENGTHS = 8192, 16, 16
 SCALE = 256
-#: Vectors whose squared length reaches this take no part: below it no score exceeds a long.
-NORM = 2.0**62
+#: Scores beyond a long count as the nearest long.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+#: Shards of wide vectors, whose numbers need Python's integers, have numbers from here on.
+WIDE = 1 << 30
+
+
+def usable(df: DataFrame) -> DataFrame:
+    """vec_id and x, the components as doubles, of rows with an id and a vector whose components are all finite, also when scaled."""
+    finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v * SCALE) < F.lit(math.inf)))
+    return df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("x")).where(F.col("vec_id").isNotNull() & finite)
 
 
 def _quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lists = batch.column("embedding").cast(pa.list_(pa.float64()))
-        flat, size = lists.flatten(), np.diff(lists.offsets.to_numpy())
-        value = flat.fill_null(math.nan).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(lists)), np.where(lists.is_valid().to_numpy(zero_copy_only=False), size, 0))
-        bad = np.bincount(row[~np.isfinite(value)], minlength=len(lists)) > 0
-        good = lists.is_valid().to_numpy(zero_copy_only=False) & ~bad & batch.column("vec_id").is_valid().to_numpy(zero_copy_only=False)
-        with np.errstate(over="ignore"):
-            scaled = np.floor(SCALE * np.where(np.isfinite(value), value, 0))
-            good &= np.bincount(row, scaled**2, minlength=len(lists)) < NORM
-        ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(lists))))
-        whole = np.where(np.repeat(good, np.diff(ends)), scaled, 0).astype(np.int64)
-        at = np.flatnonzero(good)
-        vectors = [_bytes(whole[a:b]) for a, b in zip(ends[at].tolist(), ends[at + 1].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)), pa.array((ends[at + 1] - ends[at]).astype(np.int32)), pa.array(vectors, pa.binary())], ["vec_id", "size", "vector"])
+        lists = batch.column("x")
+        ends = lists.offsets.to_numpy()
+        scaled = np.floor(SCALE * lists.values.to_numpy(zero_copy_only=False))
+        vectors = [_bytes(scaled[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(np.diff(ends).astype(np.int32)), pa.array(vectors, pa.binary())], ["vec_id", "size", "vector"])
 
 
 def _bytes(numbers: np.ndarray) -> bytes:
-    """Integers in the narrowest of three widths that holds them."""
-    most = int(np.abs(numbers).max(initial=0))
-    return numbers.astype(np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.int64).tobytes()
+    """Whole numbers in the narrowest of three widths that holds them; the widest, doubles, holds all that come from doubles."""
+    most = np.abs(numbers).max(initial=0)
+    return numbers.astype(np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.float64).tobytes()
 
 
 def _matrix(body: bytes, rows: int, size: int) -> np.ndarray:
-    kind = {2: np.int16, 4: np.int32}.get(len(body) // max(1, rows * size), np.int64)
-    return np.frombuffer(body, kind).astype(np.int64).reshape(rows, size)
+    """Rows of whole numbers: int64, or Python's integers where they are wide."""
+    kind = {2: np.int16, 4: np.int32}.get(len(body) // max(1, rows * size), np.float64)
+    found = np.frombuffer(body, kind).reshape(rows, size)
+    if kind is not np.float64 or not size:
+        return found.astype(np.int64)
+    out = np.empty(found.shape, object)
+    out[:] = [[int(x) for x in row] for row in found.tolist()]
+    return out
+
+
+def _clipped(score: int) -> int:
+    return min(MOST, max(LEAST, score))
+
+
+def _parts(vectors: np.ndarray) -> list[np.ndarray]:
+    """Places of the rows that int64 holds, and of the others, so that a few wide rows don't slow down all."""
+    if vectors.dtype != object:
+        return [np.arange(len(vectors))]
+    wide = np.array([any(abs(x) >= 1 << 31 for x in row) for row in vectors.tolist()], bool)
+    return [p for p in (np.flatnonzero(~wide), np.flatnonzero(wide)) if len(p)]
 
 
 def _exact(points: np.ndarray, queries: np.ndarray) -> type:
@@ -73,9 +90,10 @@ class _Tree:
             node = len(nodes)
             nodes.append([own.min(0), own.max(0), low, high, -1])
             spread = nodes[node][1] - nodes[node][0]
+            ranked = (lambda c, m: np.argsort(c, kind="stable")) if own.dtype == object else np.argpartition
             if high - low > LEAF_ROWS and points.shape[1] and spread.max() > 0:
                 axis, middle = int(spread.argmax()), (low + high) // 2
-                order[low:high] = order[low:high][np.argpartition(own[:, axis], middle - low)]
+                order[low:high] = order[low:high][ranked(own[:, axis], middle - low)]
                 build(low, middle)
                 nodes[node][4] = build(middle, high)
             return node
@@ -88,40 +106,52 @@ class _Tree:
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(query, vec_id, score) of the k best points of each query, nodes with the highest bounds first.
 
-        least: a score that k points are known to reach; only points at or above it count, and it prunes nodes from the start.
+        least: a score that k points are known to reach; only points at or above it count, and it prunes nodes from the start. One point that has
+        the query's id and vector is the query itself and is passed over.
         """
-        kind = _exact(self.points, queries)
-        q, points = queries.astype(kind), self.points.astype(kind)
-        bounds = np.maximum(q, 0) @ self.high.astype(kind).T + np.minimum(q, 0) @ self.low.astype(kind).T
-        for i in range(len(q)):
-            top: list[tuple[int, int]] = []
-            bound, me, limit = bounds[i], query_ids[i], int(least[i])
-            open_nodes = [(-bound[0], 0)]
-            while open_nodes:
-                most, node = heapq.heappop(open_nodes)
-                if -most < limit:
-                    break
-                if self.right[node] >= 0:
-                    for child in (node + 1, self.right[node]):
-                        if bound[child] >= limit:
-                            heapq.heappush(open_nodes, (-bound[child], child))
+        for part in _parts(queries):
+            own = queries[part]
+            own = own if own.dtype != object or self.points.dtype == object or np.abs(own).max() >= 1 << 31 else own.astype(np.int64)
+            kind = _exact(self.points, own)
+            q, points = own.astype(kind), self.points.astype(kind)
+            bounds = np.maximum(q, 0) @ self.high.astype(kind).T + np.minimum(q, 0) @ self.low.astype(kind).T
+            for i, place in enumerate(part.tolist()):
+                yield from self._best(int(query_ids[place]), q[i], points, bounds[i], k, int(least[place]))
+
+    def _best(self, me: int, query: np.ndarray, points: np.ndarray, bound: np.ndarray, k: int, limit: int) -> Iterator[tuple[int, int, int]]:
+        top: list[tuple[int, int]] = []
+        passed = False
+        open_nodes = [(-bound[0], 0)]
+        while open_nodes:
+            most, node = heapq.heappop(open_nodes)
+            if _clipped(int(-most)) < limit:
+                break
+            if self.right[node] >= 0:
+                for child in (node + 1, self.right[node]):
+                    if _clipped(int(bound[child])) >= limit:
+                        heapq.heappush(open_nodes, (-bound[child], child))
+                continue
+            a, b = self.range[node]
+            scores = points[a:b] @ query
+            for x in np.flatnonzero(scores >= limit) if limit > LEAST and limit < MOST else range(b - a):
+                score, other = _clipped(int(scores[x])), int(self.ids[a + x])
+                if score < limit:
+                    continue
+                if other == me and not passed and (points[a + x] == query).all():
+                    passed = True
                     continue
-                a, b = self.range[node]
-                scores = points[a:b] @ q[i]
-                for x in np.flatnonzero(scores >= limit):
-                    if (other := self.ids[a + x]) != me:
-                        entry = (int(scores[x]), -int(other))
-                        if len(top) < k:
-                            heapq.heappush(top, entry)
-                        elif entry > top[0]:
-                            heapq.heapreplace(top, entry)
-                        if len(top) == k:
-                            limit = max(limit, top[0][0])
-            yield from ((int(me), -v, s) for s, v in top)
+                entry = (score, -other)
+                if len(top) < k:
+                    heapq.heappush(top, entry)
+                elif entry > top[0]:
+                    heapq.heapreplace(top, entry)
+                if len(top) == k:
+                    limit = max(limit, top[0][0])
+        yield from ((me, -v, s) for s, v in top)
 
 
 #: Below every score: what a query knows before its first shard.
-NOTHING = -(1 << 62)
+NOTHING = LEAST
 
 
 def _search(k: int):
@@ -222,24 +252,31 @@ def _routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append((ids[0], vectors))
                 continue
             if boxes is None and held:
-                boxes = [h[0] for h in held], np.stack([h[1][0] for h in held]), np.stack([h[1][1] for h in held])
-            if boxes is None:
-                continue
-            shards, low, high = boxes
-            kind = _exact(np.concatenate([low, high]), vectors)
-            q = vectors.astype(kind)
-            reach = (np.maximum(q, 0) @ high.astype(kind).T + np.minimum(q, 0) @ low.astype(kind).T) >= np.array(least, kind)[:, None]
-            for k, shard in enumerate(shards):
-                if len(hit := np.flatnonzero(reach[:, k])):
-                    yield _rows([_block(shard, [ids[i] for i in hit], vectors[hit], [least[i] for i in hit])])
+                boxes = []
+                for part in (True, False):
+                    if some := [h for h in held if (h[1].dtype == object) == part]:
+                        boxes.append(([h[0] for h in some], np.stack([h[1][0] for h in some]), np.stack([h[1][1] for h in some])))
+            for shards, low, high in boxes or ():
+                for part in _parts(vectors):
+                    own = vectors[part]
+                    kind = _exact(np.concatenate([low, high]), own)
+                    q = own.astype(kind)
+                    bound = np.maximum(q, 0) @ high.astype(kind).T + np.minimum(q, 0) @ low.astype(kind).T
+                    known = np.array([least[i] for i in part], object if kind is object else np.int64)[:, None]
+                    # bounds that exceed a long stand for scores that count as the nearest long
+                    reach = (bound >= known) | (known == MOST) & (bound >= MOST) | (known == LEAST)
+                    for k, shard in enumerate(shards):
+                        if len(hit := part[np.flatnonzero(reach[:, k])]):
+                            yield _rows([_block(shard, [ids[i] for i in hit], vectors[hit], [least[i] for i in hit])])
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score: for each id of `queries` the k rows of `vectors` (vec_id, embedding) with the highest integer scores.
 
-    Components x count as floor(256 * x). Vectors that are null, hold null or non-finite components or have no id take no part, nor do those
-    whose squared integer length reaches NORM; only vectors of one length meet. Of rows with one id the one with the smallest vector counts, on
-    both sides, so repeated rows count once. A query's own id is left out; ties go to the smaller vec_id. Other columns are ignored.
+    Components x count as floor(256 * x). Vectors that are null, hold null or non-finite components (also when scaled) or have no id take no part;
+    only vectors of one length meet. Whole numbers of any size count exactly; a score beyond a long is given, and ranked, as the nearest long.
+    Every row but the query's own is a candidate, so repeated rows count each, also those of the query's id; of several query rows with one id the
+    one with the smallest vector asks. Ties go to the smaller vec_id. Other columns are ignored.
 
     A coarse k-d split, cut by a sample, deals candidates into shards; each shard's tree is built in one task, once for each of two rounds. First
     every query visits the shard of its own cell, which gives it a k-th score. With that as bound it is held against the boxes of all shards, in
@@ -250,20 +287,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def quantised(df: DataFrame) -> DataFrame:
-        rows = df.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_quantised, "vec_id long, size int, vector binary")
-        return stored(rows.groupBy("vec_id").agg(F.min(F.struct("size", "vector")).alias("v")).select("vec_id", "v.*"))
-
-    points, asked = quantised(vectors), quantised(queries)
+        return df.select("vec_id", "x").mapInArrow(_quantised, "vec_id long, size int, vector binary")
+
+    # of equal rows no more than k + 1 can matter
+    copies = F.explode(F.array_repeat(F.lit(0), F.least("count", F.lit(k + 1)).cast("int")))
+    points = stored(quantised(usable(vectors)).groupBy("vec_id", "size", "vector").count().select("vec_id", "size", "vector", copies.alias("_")).drop("_"))
+    asked = stored(quantised(usable(queries).groupBy("vec_id").agg(F.min(F.struct(F.size("x"), "x")).alias("v")).select("vec_id", "v.x")))
+    points_wide = (F.col("size") > 0) & (F.length("vector") == 8 * F.col("size"))
+    wide = math.ceil(points.where(points_wide).count() / SHARD_ROWS)
     lengths = points.groupBy("size").count().orderBy(F.desc("count"), "size").limit(LENGTHS).collect()
     total = points.count()
     splits, most = {}, max(1, math.ceil((total - sum(r["count"] for r in lengths)) / SHARD_ROWS))
     rest = most
     for r in lengths:
         shards = math.ceil(r["count"] / SHARD_ROWS)
-        sample = points.where(F.col("size") == r["size"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect() if shards > 1 else []
+        sample = points.where((F.col("size") == r["size"]) & ~points_wide).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect() if shards > 1 else []
         split = _Split(np.stack([_matrix(x.vector, 1, r["size"])[0] for x in sample]) if sample else np.zeros((0, r["size"]), np.int64), shards)
         splits[r["size"]] = split, max(1, math.ceil(shards / split.cells))
-        most = max(most, split.cells * splits[r["size"]][1])
+        most = max(most, split.cells * splits[r["size"]][1] + wide)
     sent = spark.sparkContext.broadcast(splits)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,11 +314,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             for n in np.unique(size).tolist():
                 own = np.flatnonzero(size == n)
                 split, ways = sent.value.get(n, (None, rest))
-                if split is not None and n:
-                    body = batch.column("vector").take(pa.array(own)).to_pylist()
-                    shard[own] = split.cell(np.stack([_matrix(v, 1, n)[0] for v in body])) * ways
-                mixed = ids[own].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
-                shard[own] += ((mixed >> np.uint64(32)) % np.uint64(ways)).astype(np.int64)
+                body = batch.column("vector").take(pa.array(own)).to_pylist()
+                big = np.array([len(v) == 8 * n > 0 for v in body], bool)
+                mixed = ids[own].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) >> np.uint64(32)
+                shard[own] = np.where(big, WIDE + (mixed % np.uint64(max(1, wide))).astype(np.int64), (mixed % np.uint64(ways)).astype(np.int64))
+                if split is not None and n and not big.all():
+                    shard[own[~big]] += split.cell(np.stack([_matrix(v, 1, n)[0] for v, b in zip(body, big.tolist(), strict=True) if not b])) * ways
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((size.astype(np.int64) << 32) + shard)], [*batch.schema.names, "place"])
 
     def gathered(df: DataFrame, queries: bool) -> DataFrame:

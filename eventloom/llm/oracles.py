@@ -5,17 +5,18 @@ from __future__ import annotations
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 TOPK = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x, len(embedding) AS n
+WITH v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS i, embedding AS e, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT)) AS x, len(embedding) AS n
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), q AS (SELECT * FROM v WHERE vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY n, e) = 1
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.n = c.n AND q.vec_id <> c.vec_id
-  WHERE q.vec_id % 50 = 0
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS s
+  FROM q JOIN v c ON q.n = c.n AND q.i <> c.i
 )
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r
+  FROM (SELECT query_id, vec_id, CAST(greatest(least(coalesce(s, 0), 9223372036854775807), -9223372036854775808) AS BIGINT) AS score FROM s)) WHERE r <= 5
 """
 
 SUBSTRINGS = f"""

@@ -111,21 +111,32 @@ def test_top_k_of_awkward_vectors(spark, monkeypatch):
     vectors = [(i, [float(x) for x in r.normal(size=4)]) for i in range(0, 400)] + [(i, [float(x) for x in r.normal(size=3)]) for i in range(400, 500)]
     vectors += [(i, [float(x) for x in r.normal(size=n)]) for n in (0, 1, 2, 5) for i in range(500 + 10 * n, 506 + 10 * n)]
     vectors += [(8, vectors[8][1]), (50, vectors[50][1]), (8, vectors[8][1]), (600, [1e30, 1.0, 1.0, 1.0]), (650, [-3e6, 2e6, 1.0, 0.5]), (651, [1e306] * 4), (700, []), (None, [1.0] * 4), (None, None)]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("size", "vector", "place", "least", "query_id", "rank", "score", "chunk")})
+    vectors += [(9, [1e8, 2.0, 1.0, 0.0]), (10, [3e8, -1e16, 0.0, 1.0]), (11, [7e17] * 4), (12, [-7e17] * 4), (9, [1e8, 3.0, 1.0, 0.0]), (100, [9.0] * 4), (150, [-9.0] * 4), (652, [1e308] * 4), *[(13, [5.0, 5.0, 5.0])] * 30, *[(400, [6.0, 6.0, 6.0])] * 9]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("size", "vector", "place", "least", "query_id", "rank", "score", "chunk", "x", "v", "count")})
+    check_top_k(vectors, kdtree.top_k(df, df.where("vec_id % 50 = 0")).collect())
+
+
+def check_top_k(vectors, rows, every=50, k=5):
     got = {}
-    for x in kdtree.top_k(df, df.where("vec_id % 50 = 0")).collect():
+    for x in rows:
         got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
-    good = {}
-    for i, v in vectors:
-        if i is not None and v is not None:
-            if all(abs(x) < 1e300 for x in v):
-                scaled = [int(np.floor(256 * x)) for x in v]
-                if sum(x * x for x in scaled) < kdtree.NORM:
-                    good[i] = scaled
-    for q in [i for i in good if i % 50 == 0]:
-        scores = sorted((-sum(a * b for a, b in zip(v, good[q], strict=True)), i) for i, v in good.items() if i != q and len(v) == len(good[q]))[:5]
-        assert sorted(got.get(q, [])) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
-    assert set(got) <= set(good) and 600 not in got
+    good = [(i, v, [int(np.floor(256 * x)) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) and np.isfinite(256 * x) for x in v)]
+    asked = {}
+    for n, (i, v, _) in enumerate(good):
+        if i % every == 0 and (i not in asked or (len(v), v) < (len(good[asked[i]][1]), good[asked[i]][1])):
+            asked[i] = n
+    for i, n in asked.items():
+        own = good[n][2]
+        scores = sorted((-min(2**63 - 1, max(-(2**63), sum(a * b for a, b in zip(v, own, strict=True)))), c) for m, (c, _, v) in enumerate(good) if m != n and len(v) == len(own))[:k]
+        assert sorted(got.get(i, [])) == [(r + 1, c, -s) for r, (s, c) in enumerate(scores)], i
+    assert set(got) <= set(asked)
+
+
+def test_top_k_of_large_and_repeated_rows(spark):
+    rows = [(50, [1.0]), (1, [1e8]), (2, [2.0]), (2, [5.0]), (50, [1.0]), (50, [7.0]), (3, [1e300]), (4, [-1e300])]
+    got = kdtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame(rows[:1], "vec_id long, embedding array<double>")).collect()
+    check_top_k(rows, got)
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(3, 2**63 - 1), (1, 256 * 256 * 10**8), (50, 7 * 65536), (2, 5 * 65536), (2, 2 * 65536)]
 
 
 # -- op7: the verdict and its limits
