@@ -11,14 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textcols import Words, passes, prepare_workers, split_words, text_buffer
+from .textcols import WRITTEN, Words, passes, prepare_workers, release, split_words, stored, text_buffer
 
 #: Hashed feature space: 2 ** BITS coordinates, so weights never exceed 2 MB.
 BITS = 18
 #: Documents are called toxic from this score on.
 THRESHOLD = 0.7
-#: The classifier is fitted on at most this many labelled rows, those with the smallest hash of doc_id.
-FIT_ROWS = 16_000
+#: The classifier is fitted on at most this many labelled documents, those with the smallest hash of doc_id, and of these in that order on as
+#: many as have this many coordinates together.
+FIT_ROWS, FIT_COORDS = 16_000, 32_000_000
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 2.0, 1.0, 10.0, 0.2
 
 #: A-Z to lower case; ASCII signs separate words.
@@ -87,16 +88,30 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows: int = FIT_ROWS) -> dict[int, float]:
     """Sparse weights learnt from at most `rows` labelled documents (columns doc_id, toxic of `labels`; `usable` restricts them).
 
-    A document with several labels counts as toxic if one says so; null labels are ignored; unless there are labels of both kinds, there are no
-    weights, and every score is 0.5. `rows` bounds what is broadcast and what the one fitting task reads.
+    A document with several labels counts as toxic if one says so, and of several texts with one id the one with the smallest hash is learnt from,
+    so repeated rows change nothing; null labels are ignored; unless there are labels of both kinds, there are no weights, and every score is 0.5.
+    `rows` bounds what is broadcast, and FIT_COORDS with it what the one fitting task holds.
     """
     prepare_workers(docs.sparkSession)
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     chosen = chosen if usable is None else chosen.where(usable)
-    chosen = chosen.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label")).withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("place", "label", "text")
-    coords = texts.mapInArrow(_fit_rows, "place long, label int, coords array<int>")
-    return {r.coord: r.weight for r in coords.repartition(1).mapInArrow(_fit, "coord int, weight double").collect()}
+    chosen = chosen.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label")).withColumn("hash", F.xxhash64("doc_id")).orderBy("hash", "doc_id").limit(rows)
+    # places without ties, in the order that is learnt in
+    placed = [(r.doc_id, r.label, k) for k, r in enumerate(sorted(chosen.collect(), key=lambda r: (r["hash"], r.doc_id)))]
+    id_type = labels.schema["doc_id"].dataType.simpleString()
+    chosen = docs.sparkSession.createDataFrame(placed, f"doc_id {id_type}, label int, place long")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("place", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    coords = stored(texts.mapInArrow(_fit_rows, "place long, label int, coords array<int>"))
+    total, last = 0, -1
+    for r in sorted(coords.select("place", F.size("coords").alias("n")).collect()):  # at most `rows` numbers
+        total += r.n
+        if total > FIT_COORDS:
+            break
+        last = r.place
+    weights = {r.coord: r.weight for r in coords.where(F.col("place") <= last).repartition(1).mapInArrow(_fit, "coord int, weight double").collect()}
+    release(docs.sparkSession, WRITTEN[-1:])
+    return weights
 
 
 def scorer(spark: SparkSession, weights: dict[int, float]) -> Callable[[pa.Array], np.ndarray]:
