@@ -11,15 +11,13 @@ from ..functions import scalars as S
 from ..functions import stats
 from ..operators import bars as B
 from ..operators.asof import asof
-from ..operators.detect import cooled_down
 from ..sources import merge, tables
 from ..streaming import runs as R
 from .aggregates import _CELLS, P1, cells, returns
 from .joins import _SIDES, sides
 from .panels import bars, panel, rounded
 from .registry import BARS, EV, PANEL, query
-from .streams import _CLOSED, _ladder_change, stream
-from .windows import RUNGS
+from .streams import _CLOSED, stream
 
 _BY = "WINDOW w AS (PARTITION BY symbol ORDER BY slot)"
 
@@ -215,21 +213,6 @@ def w28(spark, d):
     return g.select("symbol", "day", F.lag("c").over(w).alias("before"), F.round(S.ret("o", F.lag("c").over(w)), 6).alias("overnight"), (F.col("day") - F.lag("day").over(w)).alias("gap_days"))
 
 
-def _kept(times: str, gap: int) -> str:
-    return f"list_reduce(list_transform({times}, lambda x: [x]), lambda acc, x: CASE WHEN x[1] - acc[-1] >= {gap} THEN list_concat(acc, x) ELSE acc END)"
-
-
-@query("t02_store_and_push_cooldowns", f"""WITH {EV}, c AS (SELECT *, {_ladder_change(6 * B.HOUR)} AS a, {_ladder_change(B.DAY)} AS b, {_ladder_change(3 * B.DAY)} AS e FROM ev),
-l AS (SELECT event_id, symbol, us, 'h6' AS rung FROM c WHERE abs(a) >= 50 UNION ALL SELECT event_id, symbol, us, 'd1' FROM c WHERE abs(b) >= 100 UNION ALL SELECT event_id, symbol, us, 'd3' FROM c WHERE abs(e) >= 200),
-g AS (SELECT symbol, rung, {_kept('list_sort(list(us))', 6 * B.HOUR)} AS kept FROM l GROUP BY symbol, rung), p AS (SELECT symbol, rung, unnest(kept) AS us, {_kept('kept', 2 * B.DAY)} AS pushes FROM g)
-SELECT event_id, rung, list_contains(pushes, us) AS pushed FROM l JOIN p USING (symbol, rung, us)""")
-def t02(spark, d):
-    # what the first cooldown lets through is stored; of that, the second lets less through to be pushed
-    stored = R.drain(R.alerts(stream(spark, d), RUNGS, 6 * B.HOUR))
-    pushed = cooled_down(stored, ["symbol", "rung"], "us", 2 * B.DAY).select("event_id", "rung", F.lit(True).alias("pushed"))
-    return stored.join(pushed, ["event_id", "rung"], "left").select("event_id", "rung", F.coalesce("pushed", F.lit(False)).alias("pushed"))
-
-
 @query("t06_close_lag", f"WITH {EV} SELECT symbol, us // 21600000000 * 21600000000 AS start, count(*) AS trades FROM ev GROUP BY symbol, us // 21600000000 HAVING us // 21600000000 * 21600000000 + 21600000000 <= {_CLOSED.replace('7200000000', '43200000000')}")
 def t06(spark, d):
     # a bar counts as closed once the newest tick is twelve hours past its end

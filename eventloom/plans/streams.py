@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import ret
 from ..operators.bars import DAY, HOUR
 from ..sources import tables
+from ..streaming import ladder as L
 from ..streaming import runs as R
+from ..streaming.progress import heartbeat, staleness
 from .registry import EV, query
 from .windows import RUNGS
 
@@ -17,19 +19,40 @@ _CLOSED = "(SELECT max(us) FROM ev) - 7200000000"
 
 def stream(spark, d):
     # a glob, as a stream source wants files of a folder; replayed in order of time
-    return R.event_stream(spark, R.in_order(spark, f"{d}/events.parque[t]"))
+    return R.event_stream(spark, *R.in_order(spark, f"{d}/events.parque[t]"))
 
 
-def _ladder_change(us):
-    return f"round((price / nullif(arg_max(price, us) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND {us} PRECEDING), 0) - 1) * 100, 4)"
+#: A day and a half at full rate, then a sample for six hours up to five days.
+RING = L.Ring(36 * HOUR, 6 * HOUR, 5 * DAY)
 
 
-@query("t01_streaming_ladder_with_cooldown", f"""WITH {EV}, c AS (SELECT *, {_ladder_change(6 * HOUR)} AS a, {_ladder_change(DAY)} AS b, {_ladder_change(3 * DAY)} AS e FROM ev),
-l AS (SELECT event_id, symbol, us, 'h6' AS rung FROM c WHERE abs(a) >= 50 UNION ALL SELECT event_id, symbol, us, 'd1' FROM c WHERE abs(b) >= 100 UNION ALL SELECT event_id, symbol, us, 'd3' FROM c WHERE abs(e) >= 200),
-g AS (SELECT symbol, rung, list_sort(list(us)) AS t FROM l GROUP BY ALL), k AS (SELECT symbol, rung, unnest(list_reduce(list_transform(t, lambda x: [x]), lambda acc, x: CASE WHEN x[1] - acc[-1] >= 43200000000 THEN list_concat(acc, x) ELSE acc END)) AS us FROM g)
-SELECT event_id, symbol, us, rung FROM l JOIN k USING (symbol, rung, us)""")
+def _kept(times: str, gap: int) -> str:
+    return f"list_reduce(list_transform({times}, lambda x: [x]), lambda acc, x: CASE WHEN x[1] - acc[-1] >= {gap} THEN list_concat(acc, x) ELSE acc END)"
+
+
+def _rung(name, window, least):
+    """Hits of a rung in SQL: the last tick at or before the window if it is in the short ring, else the last thinned one if that is in the long ring."""
+    past = f"CASE WHEN e.us - s.us <= {RING.short} THEN s.price WHEN e.l - g.us <= {RING.long} THEN g.price END"
+    return f"""SELECT e.event_id, e.symbol, e.us, '{name}' AS rung FROM (SELECT *, us - {window} AS t FROM newest) e ASOF LEFT JOIN ev s ON e.symbol = s.symbol AND e.t >= s.us
+  ASOF LEFT JOIN thin g ON e.symbol = g.symbol AND e.t >= g.us WHERE abs(round((e.price / nullif({past}, 0) - 1) * 100, 4)) >= {least}"""
+
+
+LADDER = f"""{EV}, thin AS (SELECT symbol, us, price FROM ev JOIN (SELECT symbol, unnest({_kept("list_sort(list(us))", RING.step)}) AS us FROM ev GROUP BY symbol) USING (symbol, us)),
+newest AS (SELECT e.*, t.us AS l FROM ev e ASOF JOIN thin t ON e.symbol = t.symbol AND e.us >= t.us),
+hits AS ({" UNION ALL ".join(_rung(*r) for r in RUNGS)})"""
+
+
+@query("t01_streaming_ladder_with_cooldown", f"""WITH {LADDER}, k AS (SELECT symbol, rung, unnest({_kept("list_sort(list(us))", 12 * HOUR)}) AS us FROM hits GROUP BY symbol, rung)
+SELECT event_id, symbol, us, rung FROM hits JOIN k USING (symbol, rung, us)""")
 def t01(spark, d):
-    return R.drain(R.alerts(stream(spark, d), RUNGS, 12 * HOUR))
+    return L.drained(L.alerts(stream(spark, d), RUNGS, RING, 12 * HOUR, 12 * HOUR, _LAG)).drop("pushed")
+
+
+@query("t02_store_and_push_cooldowns", f"""WITH {LADDER}, g AS (SELECT symbol, rung, {_kept("list_sort(list(us))", 6 * HOUR)} AS kept FROM hits GROUP BY symbol, rung), p AS (SELECT symbol, rung, unnest(kept) AS us, {_kept("kept", 2 * DAY)} AS pushes FROM g)
+SELECT event_id, rung, list_contains(pushes, us) AS pushed FROM hits JOIN p USING (symbol, rung, us)""")
+def t02(spark, d):
+    # what the first cooldown lets through is stored; of that, the second lets less through to be pushed
+    return L.drained(L.alerts(stream(spark, d), RUNGS, RING, 6 * HOUR, 2 * DAY, _LAG)).select("event_id", "rung", "pushed")
 
 
 @query("t03_stream_static_enrichment", f"WITH {EV} SELECT event_id, symbol, c_mktsegment AS segment FROM ev LEFT JOIN customer ON symbol = c_custkey")
@@ -74,7 +97,12 @@ def t09(spark, d):
 
 @query("t10_heartbeat", f"WITH {EV} SELECT count(*) AS n, max(us) AS newest FROM ev")
 def t10(spark, d):
-    return R.heartbeat(stream(spark, d)).agg(F.sum("n").alias("n"), F.max("newest").alias("newest"))
+    return heartbeat(stream(spark, d), "wt", []).agg(F.sum("n").alias("n"), F.max("newest").alias("newest"))
+
+
+@query("t10_source_staleness", f"WITH {EV} SELECT wt AS source, count(*) AS n, max(us) AS newest, (SELECT max(us) FROM ev) - max(us) AS age FROM ev WHERE wt IN ('view', 'purchase', 'error', 'signup', 'click') GROUP BY wt")
+def t10_sources(spark, d):
+    return staleness(heartbeat(stream(spark, d), "wt", ["view", "purchase", "error", "signup", "click"]))
 
 
 @query("t11_alert_routing", f"WITH {EV} SELECT 'archive' AS sink, count(*) AS n, count(DISTINCT us // 86400000000) AS days FROM ev UNION ALL SELECT 'push', count(*), count(DISTINCT us // 86400000000) FROM ev WHERE k >= 90")

@@ -1,16 +1,12 @@
-"""Running a stream over what is there, and the detectors as streaming queries."""
+"""Running a stream over what is there, and streaming queries without state of their own."""
 
 from __future__ import annotations
 
-import math
 import uuid
-from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.bars import HOUR
 from ..sources import merge
@@ -37,21 +33,41 @@ def event_stream(spark: SparkSession, pattern: str, files_per_batch: int = 1) ->
     return raw.select("event_id", F.col("user_id").alias("symbol"), ts.alias("ts"), F.unix_micros(ts).alias("us"), F.col("value").alias("price"), F.col("event_type").alias("wt"), F.get_json_object("props", "$.k").try_cast("int").alias("k"))
 
 
-def in_order(spark: SparkSession, pattern: str, steps: int = 3) -> str:
-    """A folder with the rows that a path or glob names, in `steps` files of consecutive times that were written in that order.
+#: Bytes of a file of a replay, and files of a micro-batch for each core.
+FILE_BYTES, FILES_PER_CORE = 64 << 20, 4
 
-    A stream reads files by age. Where those of a table overlap in time, the first would move the watermark past rows of later ones.
-    """
-    out = shared_folder(spark)
-    spark.read.parquet(pattern).repartitionByRange(steps, "ts").sortWithinPartitions("ts").write.parquet(f"{out}/parts")
-    for part in sorted(spark.read.parquet(f"{out}/parts").inputFiles(), key=lambda f: f.rpartition("/")[2]):
-        spark.read.parquet(part).coalesce(1).write.mode("append").parquet(f"{out}/replay")
-    return f"{out}/replay"
 
+def in_order(spark: SparkSession, pattern: str, least: int = 3) -> tuple[str, int]:
+    """(folder with the rows that a path or glob names, in files of consecutive times and ages; files that one micro-batch should read).
 
-def drain(stream: DataFrame) -> DataFrame:
-    """All that an append-mode stream gives for the data that is there, written once per row to the shared folder and read back."""
-    spark, out = stream.sparkSession, shared_folder(stream.sparkSession)
+    A stream reads files by age. Where those of a table overlap in time, the first would move the watermark past rows of later ones. There are as
+    many files as FILE_BYTES asks for, at least `least`, written by one job; only their ages are then set one by one, in the order of their times.
+    A store that keeps no ages gets the files written once more, one after the other.
+    """
+    out, table = shared_folder(spark), spark.read.parquet(pattern)
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    files = max(least, -(-size // FILE_BYTES))
+    table.repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(f"{out}/replay")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/replay")
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted((s.getPath() for s in store.listStatus(folder) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    began = store.getFileStatus(folder).getModificationTime() - 1000 * len(parts)
+    for i, part in enumerate(parts):
+        store.setTimes(part, began + 1000 * i, -1)
+    batch = max(1, min(files // least, FILES_PER_CORE * spark.sparkContext.defaultParallelism))
+    if all(store.getFileStatus(p).getModificationTime() == began + 1000 * i for i, p in ((0, parts[0]), (len(parts) - 1, parts[-1])) if parts):
+        return f"{out}/replay", batch
+    for part in parts:
+        spark.read.schema(table.schema).parquet(part.toString()).coalesce(1).write.mode("append").parquet(f"{out}/again")
+    return f"{out}/again", batch
+
+
+def drain(stream: DataFrame, out: str | None = None) -> DataFrame:
+    """All that an append-mode stream gives for the data that is there, written once per row to the shared folder and read back.
+
+    With a folder `out` an earlier run goes on from its checkpoint there.
+    """
+    spark, out = stream.sparkSession, out or shared_folder(stream.sparkSession)
     run = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
@@ -97,47 +113,6 @@ def enriched(stream: DataFrame, static: DataFrame, key: str) -> DataFrame:
     return stream.join(static, key, "left")
 
 
-def detector(rungs: list[tuple[str, int, float]], cooldown: int) -> Callable:
-    """State function of the price ladder with a cooldown per rung, for applyInPandasWithState by symbol.
-
-    State holds the samples of the longest window and one before it, and the time of the last alert of each rung; as that one sample counts
-    however old it is, a symbol's state never runs out. Ticks of a batch are taken in order of time, those without a finite price are passed
-    over; the batch twin is change_over followed by cooled_down.
-    """
-    longest = max(w for _, w, _ in rungs)
-
-    def detect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, px, last = (list(x) for x in state.get) if state.exists else ([], [], [-1] * len(rungs))
-        rows = pd.concat(list(batches)).sort_values("us")
-        out = []
-        for event_id, us, price in zip(rows.event_id, rows.us, rows.price, strict=True):
-            if price is None or not math.isfinite(price):
-                continue
-            at.append(int(us))
-            px.append(float(price))
-            for i, (name, window, least) in enumerate(rungs):
-                j = bisect_right(at, us - window) - 1
-                if j < 0 or px[j] == 0:
-                    continue
-                change = (price / px[j] - 1) * 100
-                if abs(round(change, 4)) >= least and (last[i] < 0 or us - last[i] >= cooldown):
-                    last[i] = int(us)
-                    out.append((int(event_id), key[0], int(us), name))
-        keep = max(0, bisect_right(at, at[-1] - longest) - 1) if at else 0
-        at, px = at[keep:], px[keep:]
-        state.update((at, px, last))
-        yield pd.DataFrame(out, columns=["event_id", "symbol", "us", "rung"])
-
-    return detect
-
-
-def alerts(stream: DataFrame, rungs: list[tuple[str, int, float]], cooldown: int) -> DataFrame:
-    """Alerts (event_id, symbol, us, rung) of a tick stream."""
-    return stream.select("symbol", "event_id", "us", "price").groupBy("symbol").applyInPandasWithState(
-        detector(rungs, cooldown), "event_id long, symbol long, us long, rung string", "at array<long>, px array<double>, last array<long>", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def routed(stream: DataFrame, push: str) -> tuple[DataFrame, DataFrame]:
     """(archive of all rows by day, rows that `push` holds for): two sinks from one pass over each micro-batch.
 
@@ -166,10 +141,3 @@ def repaired(stream: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame
 
     drain_batches(stream.select(target.columns), write)
     return spark.read.parquet(f"{out}/table").drop("batch")
-
-
-def heartbeat(stream: DataFrame) -> DataFrame:
-    """(batch, n, newest): rows and newest time of each micro-batch, a row per batch."""
-    spark, out = stream.sparkSession, shared_folder(stream.sparkSession)
-    drain_batches(stream, lambda batch, number: batch.agg(F.lit(number).alias("batch"), F.count("*").alias("n"), F.max("us").alias("newest")).write.mode("overwrite").parquet(f"{out}/beats/b={number}"))
-    return spark.read.parquet(f"{out}/beats").drop("b")

@@ -13,7 +13,6 @@ from eventloom.operators import detect, outcomes
 from eventloom.operators.asof import asof, first_after, prefix_sum_at
 from eventloom.operators.ranges import nearest, points_in_intervals
 from eventloom.sources import merge, tables
-from eventloom.streaming import runs
 
 
 def values(df, *columns):
@@ -152,18 +151,6 @@ def test_csv_and_json_reads(spark, tmp_path, data):
         tables.column_of(tables.read(spark, data, "nation"), ("x",))
 
 
-def test_stream_in_pieces_equals_batch(spark, tmp_path, data):
-    e = spark.read.parquet(f"{data}/events.parquet")
-    # files of consecutive days, read one by one, in the order in which they were written
-    for i in range(3):
-        e.where(f"(day(ts) - 1) div 10 = {i} OR ({i} = 2 AND day(ts) > 30)").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
-    rungs = [("d1", B.DAY, 100.0)]
-    got = values(runs.drain(runs.alerts(runs.event_stream(spark, f"{tmp_path}/events"), rungs, 12 * B.HOUR)), "event_id")
-    t = tables.ticks(spark, data).select("event_id", "symbol", "us", "price")
-    want = values(detect.cooled_down(detect.ladder(t, "symbol", "us", "price", rungs), ["symbol", "rung"], "us", 12 * B.HOUR), "event_id")
-    assert got == want and got
-
-
 def test_no_python_in_plans(spark, data):
     from eventloom.plans import QUERIES
 
@@ -208,7 +195,7 @@ def test_replay_of_files_out_of_order(spark, tmp_path, data):
     e = spark.read.parquet(f"{data}/events.parquet")
     e.orderBy(F.xxhash64("event_id")).repartition(5).write.parquet(f"{tmp_path}/events.parquet")
     whole = R_rows(streams.t05(spark, data))
-    assert R_rows(streams.R.drain(streams.R.tumbling_bars(streams.R.event_stream(spark, streams.R.in_order(spark, f"{tmp_path}/events.parquet")), "1 day", "2 hours"))) == whole and whole
+    assert R_rows(streams.R.drain(streams.R.tumbling_bars(streams.R.event_stream(spark, *streams.R.in_order(spark, f"{tmp_path}/events.parquet")), "1 day", "2 hours"))) == whole and whole
 
 
 def R_rows(df):
