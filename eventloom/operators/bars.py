@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ret, share
+from .slices import joined_back, running_sum, slice_width
 
 MINUTE, HOUR, DAY = 60_000_000, 3_600_000_000, 86_400_000_000
 
@@ -72,27 +73,27 @@ def with_rsi(bars: DataFrame, key: str, at: str, n: int) -> DataFrame:
     return bars.withColumn("__d", F.col("c") - F.lag("c").over(Window.partitionBy(key).orderBy(at))).withColumn("rsi", value).drop("__d")
 
 
-def with_ema(bars: DataFrame, key: str, at: str, c: str, span: int) -> DataFrame:
+def with_ema(bars: DataFrame, key: str, at: str, c: str, span: int, slices: int | str | None = "auto") -> DataFrame:
     """Recursive exponential mean (weight 2 / (span + 1), the first value as seed).
 
     A weighted running sum gives the recursion in one window: e(n) = q^n (x(0) + a sum x(i) / q^i); the scale q^i is taken in chunks of rows so
-    that it stays within doubles.
+    that it stays within doubles. What a chunk ends with decays by q^rows through each later one, under 1e-55 a chunk, so what the six before it
+    end with is all that a double can tell, and each row meets one number.
     """
     a, chunk = 2.0 / (span + 1), 64 * (span + 1)
-    w = Window.partitionBy(key).orderBy(at)
-    rows = bars.withColumn("__i", F.row_number().over(w) - 1).withColumn("__chunk", F.floor(F.col("__i") / chunk)).withColumn("__j", F.col("__i") % chunk)
+    q = 1 - a
+    width = slice_width(bars.select(key, at), [key], at) if slices == "auto" else slices
+    rows = running_sum(bars.withColumn("__one", F.lit(1)), [key], [at], "__one", "__i", width).drop("__one")
+    rows = rows.withColumn("__i", F.col("__i") - 1).withColumn("__chunk", F.floor(F.col("__i") / chunk)).withColumn("__j", F.col("__i") % chunk)
     own = F.when(F.col("__i") == 0, F.col(c)).otherwise(a * F.col(c))
     within = Window.partitionBy(key, "__chunk").orderBy("__j")
-    rows = rows.withColumn("__s", F.pow(F.lit(1 - a), F.col("__j")) * F.sum(own / F.pow(F.lit(1 - a), F.col("__j"))).over(within))
-    ends = rows.groupBy(key, "__chunk").agg(F.max_by("__s", "__j").alias("__end"), F.max("__j").alias("__n"))
-    # what a chunk ends with decays by q^rows through each later one: a fold over a row per chunk
-    steps = F.transform(F.array_sort(F.collect_list(F.struct("__chunk", "__end", "__n"))), lambda x: x)
-    folded = ends.groupBy(key).agg(steps.alias("__e"))
-    carried = F.aggregate("__e", F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(x["__end"] + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) * F.pow(F.lit(1 - a), x["__n"] + 1))))
-    folded = folded.select(key, carried.alias("__ends"))
-    before = F.when(F.col("__chunk") == 0, 0.0).otherwise(F.get("__ends", F.col("__chunk").cast("int") - 1))
-    out = rows.join(folded, key).withColumn(f"ema_{span}", F.col("__s") + before * F.pow(F.lit(1 - a), F.col("__j") + 1))
-    return out.drop("__i", "__chunk", "__j", "__s", "__ends")
+    rows = rows.withColumn("__s", F.pow(F.lit(q), F.col("__j")) * F.sum(own / F.pow(F.lit(q), F.col("__j"))).over(within))
+    # a row per chunk; every chunk but a key's last has all its rows
+    ends = rows.groupBy(key, "__chunk").agg(F.max_by("__s", "__j").alias("__end"))
+    along = Window.partitionBy(key).orderBy("__chunk")
+    before = sum((F.coalesce(F.lag("__end", n).over(along), F.lit(0.0)) * q ** (chunk * (n - 1)) for n in range(1, 7)), F.lit(0.0))
+    out = joined_back(rows, ends.select(key, "__chunk", before.alias("__e")), [key, "__chunk"])
+    return out.withColumn(f"ema_{span}", F.col("__s") + F.col("__e") * F.pow(F.lit(q), F.col("__j") + 1)).drop("__i", "__chunk", "__j", "__s", "__e")
 
 
 def on_grid(bars: DataFrame, key: str, slot: str, c: str, *, fill: bool) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .slices import same
+
 
 def points_in_intervals(intervals: DataFrame, points: DataFrame, key: str, low: str, high: str, at: str, width: int, *, closed_low: bool = True, closed_high: bool = True, how: str = "inner") -> DataFrame:
     """intervals joined with the points of their key inside them (how: inner, left_semi or left_anti). Choose `width` near the usual length.
@@ -21,7 +23,9 @@ def points_in_intervals(intervals: DataFrame, points: DataFrame, key: str, low:
     if how == "inner":
         return a.join(b, on).select(*(F.col(f"a.{c}") for c in intervals.columns), *(F.col(f"b.{c}") for c in points.columns if c not in (key, "__b")))
     hit = a.join(b, on, "left_semi").select(*(F.col(f"a.{c}") for c in intervals.columns)).distinct()
-    return hit if how == "left_semi" else intervals.join(hit, intervals.columns, "left_anti")
+    # repeated intervals stay as often as they come, and nulls in other columns equal each other
+    names = [F.col(f"a.{c}") for c in intervals.columns]
+    return intervals.alias("a").join(hit.alias("b"), same("a", "b", intervals.columns), "left_semi" if how == "left_semi" else "left_anti").select(*names)
 
 
 def nearest(events: DataFrame, points: DataFrame, event_id: str, key: str, at: str, values: list[str], window: int, width: int) -> DataFrame:

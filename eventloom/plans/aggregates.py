@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..functions.scalars import bucket, ret, share
 from ..operators import bars as B
-from ..operators.ranks import quantiles, with_weight_before
+from ..operators.ranks import quantiles, weighted_quantiles, with_weight_before
+from ..operators.slices import joined_back
 from ..sources import tables
 from .panels import bars, panel, rounded
 from .registry import BARS, EV, PANEL, query
@@ -421,7 +422,7 @@ def a51(spark, d):
 @query("a52_train_test_grid", f"WITH {P1}, c AS (SELECT quantile_disc(us, 0.7) AS cut FROM p), g AS (SELECT thr, us <= cut AS train, count(*) AS n, avg(f1) AS m FROM p, c, (VALUES (20), (50), (80)) t(thr) WHERE k >= thr GROUP BY ALL) SELECT a.thr, a.n AS n_train, b.n AS n_test, round(a.m, 6) AS m_train, round(b.m, 6) AS m_test, sign(a.m) = sign(b.m) AS agrees FROM g a JOIN g b ON a.thr = b.thr AND a.train AND NOT b.train")
 def a52(spark, d):
     p = returns(spark, d)
-    cut = p.agg(F.expr("percentile_disc(0.7) WITHIN GROUP (ORDER BY us)").cast("long").alias("cut"))  # one row
+    cut = quantiles(p, [], "us", [0.7], ["cut"], discrete=True)  # one row
     thr = F.explode(F.filter(F.array(*map(F.lit, (20, 50, 80))), lambda x: x <= F.col("k")))
     x = p.crossJoin(F.broadcast(cut)).select("f1", (F.col("us") <= F.col("cut")).alias("train"), thr.alias("thr"))
     own = lambda t: F.when(F.col("train") == t, F.col("f1"))
@@ -436,7 +437,9 @@ _GATES = "WITH " + P1 + ", c AS (SELECT wt, symbol % 5 AS tier, us < 17053632000
 def a53(spark, d):
     p = returns(spark, d).where("us < 1705968000000000").withColumn("dev", F.col("us") < 1705363200000000)
     own = lambda t: F.when(F.col("dev") == t, F.col("f1"))
-    g = p.groupBy("wt", (F.col("symbol") % 5).alias("tier")).agg(F.count(own(True)).alias("n"), F.avg(own(True)).alias("m"), F.median(own(True)).alias("md"), F.avg(own(False)).alias("vm")).where("vm IS NOT NULL AND n > 0")
+    p = p.withColumn("tier", F.col("symbol") % 5)
+    g = p.groupBy("wt", "tier").agg(F.count(own(True)).alias("n"), F.avg(own(True)).alias("m"), F.avg(own(False)).alias("vm")).where("vm IS NOT NULL AND n > 0")
+    g = g.join(quantiles(p.where("dev"), ["wt", "tier"], "f1", [0.5], ["md"]), ["wt", "tier"])
     return g.select("wt", "tier", F.expr("n >= 100 AND m > 0 AND md > 0").alias("dev_pass"), F.expr("n >= 100 AND m > 0 AND md > 0 AND vm > 0").alias("confirmed"))
 
 
@@ -525,8 +528,12 @@ def a66(spark, d):
 @query("a69_bucket_cube", f"WITH {P1} SELECT coalesce(wt, 'ALL') AS wt, coalesce(CASE WHEN k < 34 THEN '<34' WHEN k < 67 THEN '34-67' ELSE '>=67' END, 'ALL') AS tier, count(*) AS n, round(quantile_cont(f1, 0.1), 5) AS p10, round(quantile_cont(f1, 0.9), 5) AS p90 FROM p GROUP BY CUBE (wt, CASE WHEN k < 34 THEN '<34' WHEN k < 67 THEN '34-67' ELSE '>=67' END)")
 def a69(spark, d):
     x = returns(spark, d).withColumn("tier", bucket(F.col("k"), [34, 67]))
-    g = x.cube("wt", "tier").agg(F.count("*").alias("n"), F.percentile("f1", F.array(F.lit(0.1), F.lit(0.9))).alias("q"))
-    return g.select(F.coalesce("wt", F.lit("ALL")).alias("wt"), F.coalesce("tier", F.lit("ALL")).alias("tier"), "n", F.round(F.col("q")[0], 5).alias("p10"), F.round(F.col("q")[1], 5).alias("p90"))
+    # values are counted once per cell; the cube is taken over those counts
+    counts = x.groupBy("wt", "tier", "f1").agg(F.count("*").alias("c")).cube("wt", "tier", "f1").agg(F.sum("c").alias("c"), F.grouping("f1").alias("g"))
+    n = counts.where("g = 1").select("wt", "tier", F.col("c").alias("n"))
+    q = weighted_quantiles(counts.where("g = 0 AND f1 IS NOT NULL").select("wt", "tier", "f1", "c"), ["wt", "tier"], "f1", "c", [0.1, 0.9], ["p10", "p90"])
+    both = joined_back(n, q, ["wt", "tier"])
+    return both.select(F.coalesce("wt", F.lit("ALL")).alias("wt"), F.coalesce("tier", F.lit("ALL")).alias("tier"), "n", F.round("p10", 5).alias("p10"), F.round("p90", 5).alias("p90"))
 
 
 @query("a70_layer_comparison", f"WITH {P1}, u AS (SELECT 'none' AS layer, f1 AS r FROM p UNION ALL SELECT 'strong', f1 FROM p WHERE k >= 50 UNION ALL SELECT 'fade', -f1 FROM p WHERE k >= 80) SELECT layer, count(*) AS trades, round(sum(r), 4) AS total, round(max(r), 5) AS best, round(min(r), 5) AS worst, count(*) FILTER (r <= -0.5) AS tail FROM u GROUP BY 1")
@@ -566,7 +573,9 @@ def a74(spark, d):
 @query("a77_composite_strategy_score", f"WITH {P1} SELECT symbol, round(avg(f1) + quantile_cont(f1, 0.1) + least(0, avg(f1) / 2), 6) AS score FROM p GROUP BY 1")
 def a77(spark, d):
     m = F.avg("f1")
-    return rounded(returns(spark, d).groupBy("symbol").agg((m + F.percentile("f1", F.lit(0.1)) + F.least(F.lit(0.0), m / 2)).alias("score")))
+    p = returns(spark, d)
+    g = p.groupBy("symbol").agg(m.alias("m")).join(quantiles(p, ["symbol"], "f1", [0.1], ["low"]), "symbol")
+    return rounded(g.select("symbol", (F.col("m") + F.col("low") + F.least(F.lit(0.0), F.col("m") / 2)).alias("score")))
 
 
 @query("a78_scorecard", f"""WITH {P1}, o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY us) AS i, row_number() OVER (PARTITION BY symbol ORDER BY f1 DESC, us) AS top, sum((f1 > 0)::INT) OVER (PARTITION BY symbol ORDER BY us) AS isle FROM p),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ret
 from ..operators import bars as B
+from ..operators.slices import following, slice_width
 from ..sources import tables
 
 STEP = 6 * B.HOUR
@@ -20,8 +21,9 @@ def bars(spark: SparkSession, folder: str, step: int = STEP) -> DataFrame:
 
 def panel(spark: SparkSession, folder: str) -> DataFrame:
     """Ticks as alerts with their day and the returns to the next and third next tick of the symbol."""
-    w = Window.partitionBy("symbol").orderBy("us", "event_id")
-    return tables.ticks(spark, folder).select("*", F.floor(F.col("us") / B.DAY).alias("day"), ret(F.lead("price").over(w), "price").alias("f1"), ret(F.lead("price", 3).over(w), "price").alias("f3"))
+    ticks = tables.ticks(spark, folder)
+    ahead = following(ticks, ["symbol"], ["us", "event_id"], ["price"], [1, 3], slice_width(ticks, ["symbol"], "us"))
+    return ahead.select(*ticks.columns, F.floor(F.col("us") / B.DAY).alias("day"), ret("price_1", "price").alias("f1"), ret("price_3", "price").alias("f3"))
 
 
 def cross_section(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import bars as B
 from ..operators import detect as D
 from ..operators import outcomes as O
 from ..operators.asof import asof, first_after
-from ..operators.ranks import quantiles, with_weight_before
+from ..operators.ranks import quantiles, with_trailing_rank, with_weight_before
 from ..sources import tables
 from .panels import bars, panel, rounded
 from .registry import BARS, EV, PANEL, query
@@ -109,11 +109,12 @@ def w13(spark, d):
 @query("w15_trailing_counts", f"""WITH {EV} SELECT event_id, count(*) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING) AS n24h, us - lag(us) OVER (PARTITION BY symbol ORDER BY us) AS since,
 row_number() OVER (PARTITION BY symbol, us // 86400000000 ORDER BY us) = 1 AS first_of_day, count(*) OVER (PARTITION BY us // 3600000000) AS breadth FROM ev""")
 def w15(spark, d):
-    w = Window.partitionBy("symbol").orderBy("us")
-    return tables.ticks(spark, d).select(
+    # an hour of all symbols is counted by an aggregate, a row per hour, and looked up
+    w, t = Window.partitionBy("symbol").orderBy("us"), tables.ticks(spark, d)
+    return t.select(
         "event_id", F.count(F.lit(1)).over(w.rangeBetween(-B.DAY, -1)).alias("n24h"), (F.col("us") - F.lag("us").over(w)).alias("since"),
-        (F.row_number().over(Window.partitionBy("symbol", F.floor(F.col("us") / B.DAY)).orderBy("us")) == 1).alias("first_of_day"), F.count(F.lit(1)).over(Window.partitionBy(F.floor(F.col("us") / B.HOUR))).alias("breadth"),
-    )
+        (F.row_number().over(Window.partitionBy("symbol", F.floor(F.col("us") / B.DAY)).orderBy("us")) == 1).alias("first_of_day"), F.floor(F.col("us") / B.HOUR).alias("hour"),
+    ).join(t.groupBy(F.floor(F.col("us") / B.HOUR).alias("hour")).agg(F.count("*").alias("breadth")), "hour").drop("hour")
 
 
 @query("w17_ranks_in_bucket", f"WITH {EV}, p AS (SELECT *, us // 3600000000 AS hour FROM ev) SELECT event_id, round((rank() OVER w + (count(*) OVER t - 1) / 2.0) / count(*) OVER n, 6) AS pct, row_number() OVER (PARTITION BY hour ORDER BY price DESC, event_id) AS place, round(cume_dist() OVER w, 6) AS share FROM p WINDOW w AS (PARTITION BY hour ORDER BY price), t AS (PARTITION BY hour, price), n AS (PARTITION BY hour)")
@@ -179,7 +180,7 @@ def w23(spark, d):
 
 @query("w25_capacity", f"WITH {EV} SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY us // 21600000000 ORDER BY us, event_id) AS r FROM ev) WHERE r <= 3")
 def w25(spark, d):
-    return D.first_per(tables.ticks(spark, d).withColumn("slot", F.floor(F.col("us") / (6 * B.HOUR))), ["slot"], [F.col("us"), F.col("event_id")], 3).select("event_id")
+    return D.first_per(tables.ticks(spark, d).select("event_id", "us", F.floor(F.col("us") / (6 * B.HOUR)).alias("slot")), ["slot"], [F.col("us"), F.col("event_id")], 3).select("event_id")
 
 
 @query("w26_grid_fill", f"WITH {BARS}, s AS (SELECT symbol, unnest(range(min(slot), max(slot) + 1)) AS slot FROM bars GROUP BY 1) SELECT symbol, slot, last_value(c IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM s LEFT JOIN bars USING (symbol, slot)")
@@ -199,9 +200,9 @@ def w27(spark, d):
 @query("w29_trailing_percentile", f"WITH {EV} SELECT a.event_id, count(b.us) AS n, round(avg((b.price <= a.price)::INT), 6) AS pct, round((any_value(a.price) - avg(b.price)) / nullif(stddev_samp(b.price), 0), 5) AS z FROM ev a LEFT JOIN ev b ON a.symbol = b.symbol AND b.us >= a.us - 604800000000 AND b.us < a.us GROUP BY 1")
 def w29(spark, d):
     w = Window.partitionBy("symbol").orderBy("us").rangeBetween(-7 * B.DAY, -1)
-    t = tables.ticks(spark, d).select("event_id", "price", F.collect_list("price").over(w).alias("p"), F.count(F.lit(1)).over(w).alias("n"), F.avg("price").over(w).alias("m"), F.stddev_samp("price").over(w).alias("sd"))
-    below = F.size(F.filter("p", lambda x: x <= F.col("price")))
-    return t.select("event_id", "n", F.round(F.try_divide(below, F.col("n")), 6).alias("pct"), F.round((F.col("price") - F.col("m")) / F.nullif("sd", F.lit(0.0)), 5).alias("z"))
+    t = tables.ticks(spark, d).select("event_id", "symbol", "us", "price", F.avg("price").over(w).alias("m"), F.stddev_samp("price").over(w).alias("sd"))
+    x = with_trailing_rank(t, "event_id", "symbol", "us", "price", 7 * B.DAY)
+    return x.select("event_id", "n", F.round(F.try_divide(F.col("below"), F.col("n")), 6).alias("pct"), F.round((F.col("price") - F.col("m")) / F.nullif("sd", F.lit(0.0)), 5).alias("z"))
 
 
 @query("w30_squeeze_breakout", f"""WITH {BARS}, x AS (SELECT *, stddev_pop(c) OVER b / nullif(avg(c) OVER b, 0) AS band, max(h) OVER b AS top, avg(v) OVER b AS mv, count(*) OVER b AS n FROM bars WINDOW b AS (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
@@ -263,7 +264,7 @@ def w36(spark, d):
 @query("w37_median_split", f"WITH {BARS}, m AS (SELECT slot, median(v) AS mid FROM bars GROUP BY 1) SELECT v >= mid AS high, count(*) AS n, round(avg(c/ nullif(o, 0) - 1), 6) AS mean FROM bars JOIN m USING (slot) GROUP BY 1")
 def w37(spark, d):
     b = bars(spark, d)
-    m = b.groupBy("slot").agg(F.median("v").alias("mid"))
+    m = quantiles(b, ["slot"], "v", [0.5], ["mid"])
     return rounded(b.join(m, "slot").groupBy((F.col("v") >= F.col("mid")).alias("high")).agg(F.count("*").alias("n"), F.avg(ret("c", "o")).alias("mean")))
 
 

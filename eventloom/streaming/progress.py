@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from .runs import shared_folder
+from ..sources.shared import shared_folder
 
 
 class Beats(StreamingQueryListener):

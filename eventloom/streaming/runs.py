@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,19 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.bars import HOUR
 from ..sources import merge
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir, which driver and executors share; set here only where it is unset and Spark runs locally."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        base = f"file://{tempfile.gettempdir()}/eventloom-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+from ..sources.shared import shared_folder
 
 
 def event_stream(spark: SparkSession, pattern: str, files_per_batch: int = 1) -> DataFrame:
