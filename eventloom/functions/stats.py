@@ -82,27 +82,46 @@ def bh(cells: DataFrame, p: str, by: list[str], level: float, order: list[str])
     return ranked.withColumn("pass", F.coalesce(F.col("__r") <= last, F.lit(False))).drop("__r", "__m")
 
 
-def cluster_bootstrap(df: DataFrame, cells: list[str], cluster: str, x: str, reps: int, seed: str) -> DataFrame:
-    """Per cell the share of replicates whose mean is not above zero, and the 5 % and 95 % points of the means.
-
-    Clusters, not rows, get Poisson(1) weights from hashed uniforms, so sums per cluster are spread over the replicates, never the rows. A column
-    that is unique per row as cluster gives the plain bootstrap.
-    """
-    per = df.where(F.col(x).isNotNull()).groupBy(*cells, cluster).agg(F.sum(x).alias("__s"), F.count(x).alias("__n"))
-    spread = per.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("__u", uniform(F.lit(seed), F.col("rep"), F.col(cluster)))
-    bounds, p, total = [], 0.36787944117144233, 0.0
+def _poisson(u: Column) -> Column:
+    """A Poisson(1) weight, up to 7, from a uniform."""
+    weight, bounds, p, total = F.lit(7), [], 0.36787944117144233, 0.0
     for k in range(7):
         total += p
         bounds.append(total)
         p /= k + 1
-    weight = F.lit(7)
-    for k in range(6, -1, -1):
-        weight = F.when(F.col("__u") < bounds[k], F.lit(k)).otherwise(weight)
-    spread = spread.withColumn("__w", weight)
+    def chosen(v: Column) -> Column:
+        out = weight
+        for k in range(6, -1, -1):
+            out = F.when(v < bounds[k], F.lit(k)).otherwise(out)
+        return out
+
+    # the uniform is bound to a name, so it is taken once
+    return F.get(F.transform(F.array(u), chosen), F.lit(0))
+
+
+def _replicates(sums: DataFrame, cells: list[str], unit: str, reps: int, seed: str) -> DataFrame:
+    """Means of all replicates and what they say, from a sum __s and a count __n per unit that is drawn; units are weighted where they lie, and only
+    a row per task, cell and replicate is shuffled."""
+    spread = sums.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("__w", _poisson(uniform(F.lit(seed), F.col("rep"), F.col(unit))))
     means = spread.groupBy(*cells, "rep").agg((F.sum(F.col("__s") * F.col("__w")) / F.nullif(F.sum(F.col("__n") * F.col("__w")), F.lit(0))).alias("__m"))
+    # a number per replicate and cell
     return means.groupBy(*cells).agg(F.count("__m").alias("reps"), F.avg((F.col("__m") <= 0).cast("double")).alias("p"), F.percentile("__m", F.lit(0.05)).alias("low"), F.percentile("__m", F.lit(0.95)).alias("high"))
 
 
+def cluster_bootstrap(df: DataFrame, cells: list[str], cluster: str, x: str, reps: int, seed: str) -> DataFrame:
+    """Per cell the share of replicates whose mean is not above zero, and the 5 % and 95 % points of the means.
+
+    Clusters, not rows, get Poisson(1) weights from hashed uniforms: sums per cluster are taken first.
+    """
+    per = df.where(F.col(x).isNotNull()).groupBy(*cells, cluster).agg(F.sum(x).alias("__s"), F.count(x).alias("__n"))
+    return _replicates(per, cells, cluster, reps, seed)
+
+
+def row_bootstrap(df: DataFrame, cells: list[str], row_id: str, x: str, reps: int, seed: str) -> DataFrame:
+    """The same with each row drawn by itself: no rows are shuffled."""
+    return _replicates(df.where(F.col(x).isNotNull()).select(*cells, row_id, F.col(x).alias("__s"), F.lit(1).alias("__n")), cells, row_id, reps, seed)
+
+
 def sign_flips(df: DataFrame, cells: list[str], cluster: str, x: str, reps: int, seed: str) -> DataFrame:
     """(cell, rep, total under flips): one sign per cluster and replicate, shared by all cells; rep 0 is the data."""
     per = df.where(F.col(x).isNotNull()).groupBy(*cells, cluster).agg(F.sum(x).alias("__s"), F.count(x).alias("__n"))

@@ -9,6 +9,7 @@ from ..functions import stats as S
 from ..functions.scalars import bucket, ret, share
 from ..operators import bars as B
 from ..operators.ranks import quantiles, weighted_quantiles, with_weight_before
+from ..operators.shuffles import dealt, dealt_sql
 from ..operators.slices import joined_back
 from ..sources import tables
 from .panels import bars, panel, rounded
@@ -90,7 +91,7 @@ SELECT wt, count(m) AS reps, round(avg((m <= 0)::INT), 6) AS p, round(quantile_c
 
 @query("a08_bootstrap", _bootstrap_sql("event_id", "rows"))
 def a08(spark, d):
-    return S.cluster_bootstrap(returns(spark, d), ["wt"], "event_id", "f1", 100, "rows").select("wt", "reps", F.round("p", 6).alias("p"), F.round("low", 5).alias("low"), F.round("high", 5).alias("high"))
+    return S.row_bootstrap(returns(spark, d), ["wt"], "event_id", "f1", 100, "rows").select("wt", "reps", F.round("p", 6).alias("p"), F.round("low", 5).alias("low"), F.round("high", 5).alias("high"))
 
 
 @query("a09_cluster_bootstrap", _bootstrap_sql("symbol", "symbols"))
@@ -127,17 +128,13 @@ def a11(spark, d):
     return rounded(t.groupBy("wt").agg(((F.count_if(F.abs("total") >= F.col("own") - 1e-9) + 1) / 201.0).alias("p")))
 
 
-@query("a12_label_shuffle_in_group", f"""WITH {P1}, b AS (SELECT *, unnest(range(0, 21)) AS rep FROM (SELECT event_id, day, f1, (k >= 50) AS high FROM p)),
-o AS (SELECT *, row_number() OVER (PARTITION BY rep, day ORDER BY CASE WHEN rep = 0 THEN (NOT high)::INT ELSE {uniform_sql("'shuffle'", 'rep', 'event_id')} END, event_id) AS r, sum(high::INT) OVER (PARTITION BY rep, day) AS n FROM b),
-m AS (SELECT rep, avg(CASE WHEN r <= n THEN f1 END) - avg(CASE WHEN r > n THEN f1 END) AS x FROM o GROUP BY 1) SELECT rep, round(x, 6) AS spread FROM m""")
+@query("a12_label_shuffle_in_group", f"""WITH RECURSIVE {P1}, b AS (SELECT event_id, day, f1, (k >= 50)::INT AS high FROM p), {dealt_sql("b", "day", "event_id", "high", 20, "shuffle")}
+SELECT rep, round(avg(CASE WHEN dealt = 1 THEN f1 END) - avg(CASE WHEN dealt = 0 THEN f1 END), 6) AS spread FROM rows_dealt GROUP BY 1""")
 def a12(spark, d):
-    # scores are dealt out anew inside each day, with as many in each leg as before; a window holds a day of one replicate
-    b = returns(spark, d).select("event_id", "day", "f1", (F.col("k") >= 50).alias("high"), F.explode(F.sequence(F.lit(0), F.lit(20))).alias("rep"))
-    place = F.when(F.col("rep") == 0, (~F.col("high")).cast("double")).otherwise(S.uniform(F.lit("shuffle"), "rep", "event_id"))
-    w = Window.partitionBy("rep", "day")
-    o = b.withColumns({"r": F.row_number().over(w.orderBy(place, "event_id")), "n": F.sum(F.col("high").cast("int")).over(w)})
-    spread = F.avg(F.when(F.col("r") <= F.col("n"), F.col("f1"))) - F.avg(F.when(F.col("r") > F.col("n"), F.col("f1")))
-    return rounded(o.groupBy("rep").agg(spread.alias("spread")))
+    # labels are dealt out anew inside each day, with as many in each leg as before
+    b = returns(spark, d).select("event_id", "day", "f1", (F.col("k") >= 50).cast("int").alias("high"))
+    leg = lambda n: F.avg(F.when(F.col("dealt") == n, F.col("f1")))
+    return rounded(dealt(b, ["day"], "event_id", "high", 20, "shuffle").groupBy("rep").agg((leg(1) - leg(0)).alias("spread")))
 
 
 @query("a13_max_t_over_cells", f"WITH {P1}, {_flips_sql('day', 100, 'maxt', 'wt || (symbol % 3)::VARCHAR')}, z AS (SELECT rep, max(abs(total / nullif(norm, 0))) AS mx FROM t GROUP BY 1) SELECT a.cell, round(a.total / nullif(a.norm, 0), 5) AS t, round((sum((b.mx >= abs(a.total / nullif(a.norm, 0)) - 1e-9)::INT) + 1) / 101.0, 6) AS p FROM t a JOIN z b ON a.rep = 0 AND b.rep > 0 GROUP BY ALL")
@@ -556,11 +553,12 @@ def a72(spark, d):
     return rounded(x.groupBy("word").agg(F.count("*").alias("n"), F.avg("quality").alias("rate")).where("n >= 30"))
 
 
-@query("a73_shuffled_baselines", f"WITH {P1}, r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY event_id) AS i, row_number() OVER (PARTITION BY day ORDER BY {uniform_sql(chr(39) + 'base' + chr(39), 'event_id')}, event_id) AS j FROM p) SELECT a.wt, round(avg(a.f1), 6) AS real, round(avg(b.f1), 6) AS shuffled FROM r a JOIN r b ON a.day = b.day AND a.i = b.j GROUP BY 1")
+@query("a73_shuffled_baselines", f"""WITH RECURSIVE {P1}, b AS (SELECT event_id, day, f1, wt FROM p), {dealt_sql("b", "day", "event_id", "wt", 1, "base")}
+SELECT dealt AS wt, round(avg(f1) FILTER (rep = 0), 6) AS real, round(avg(f1) FILTER (rep = 1), 6) AS shuffled FROM rows_dealt GROUP BY 1""")
 def a73(spark, d):
-    w = Window.partitionBy("day")
-    r = returns(spark, d).select("wt", "day", "f1", F.row_number().over(w.orderBy("event_id")).alias("i"), F.row_number().over(w.orderBy(S.uniform(F.lit("base"), "event_id"), "event_id")).alias("j"))
-    return rounded(r.select("wt", "day", "f1", "i").join(r.select("day", F.col("j").alias("i"), F.col("f1").alias("g")), ["day", "i"]).groupBy("wt").agg(F.avg("f1").alias("real"), F.avg("g").alias("shuffled")))
+    x = dealt(returns(spark, d).select("event_id", "day", "f1", "wt"), ["day"], "event_id", "wt", 1, "base")
+    mean = lambda n: F.avg(F.when(F.col("rep") == n, F.col("f1")))
+    return rounded(x.groupBy(F.col("dealt").alias("wt")).agg(mean(0).alias("real"), mean(1).alias("shuffled")))
 
 
 @query("a74_table_profile", f"WITH {BARS} SELECT symbol, count(*) AS n, arg_min(c, slot) AS first, arg_max(c, slot) AS last, max(h) AS high, arg_max(slot, (h, -slot)) AS high_at, min(l) AS low, arg_min(slot, (l, slot)) AS low_at FROM bars GROUP BY 1")

@@ -9,8 +9,9 @@ from ..functions import scalars as S
 from ..functions import stats
 from ..operators import bars as B
 from ..operators import outcomes as O
+from ..operators.shuffles import dealt, dealt_sql
 from ..sources import tables
-from .aggregates import P1, returns, uniform_sql
+from .aggregates import P1, returns
 from .panels import bars, panel, rounded
 from .registry import BARS, EV, PANEL, query
 
@@ -66,27 +67,25 @@ def p32(spark, d):
     return x.where(F.abs(S.finite(F.log(F.col("price") / 100))) <= 3).select("event_id", F.when((F.col("v") == 0) & (F.col("zeros") > 0.1), F.lit(None)).otherwise(F.col("v")).alias("value"))
 
 
-_SHUFFLE = P1 + f""", b AS (SELECT day, event_id, f1, k, unnest(range(0, 31)) AS rep FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY rep, day ORDER BY event_id) AS i, row_number() OVER (PARTITION BY rep, day ORDER BY CASE WHEN rep = 0 THEN 0 ELSE {uniform_sql("'within'", 'rep', 'event_id')} END, event_id) AS j FROM b),
-s AS (SELECT a.rep, CASE WHEN c.k >= 67 THEN 'high' WHEN c.k >= 34 THEN 'mid' ELSE 'low' END AS cell, a.f1 FROM o a JOIN o c ON a.rep = c.rep AND a.day = c.day AND a.i = c.j), m AS (SELECT rep, cell, avg(f1) / (stddev_samp(f1) / sqrt(count(*))) AS t FROM s GROUP BY ALL)"""
+_TIER = "CASE WHEN k >= 67 THEN 'high' WHEN k >= 34 THEN 'mid' ELSE 'low' END"
 
 
-@query("a14_within_cluster_shuffle", f"WITH {_SHUFFLE}, x AS (SELECT rep, max(abs(t)) AS mx FROM m GROUP BY 1) SELECT rep, round(mx, 5) AS max_t FROM x")
+@query("a14_within_cluster_shuffle", f"""WITH RECURSIVE {P1}, b AS (SELECT event_id, day, f1, {_TIER} AS tier FROM p), {dealt_sql("b", "day", "event_id", "tier", 30, "within")},
+m AS (SELECT rep, dealt, avg(f1) / (stddev_samp(f1) / sqrt(count(*))) AS t FROM rows_dealt GROUP BY ALL) SELECT rep, round(max(abs(t)), 5) AS max_t FROM m GROUP BY 1""")
 def a14(spark, d):
-    # rates are dealt out anew among the events of a day, by two rankings and a join on (replicate, day, place)
-    b = returns(spark, d).select("day", "event_id", "f1", "k", F.explode(F.sequence(F.lit(0), F.lit(30))).alias("rep"))
-    w = Window.partitionBy("rep", "day")
-    place = F.when(F.col("rep") == 0, F.lit(0.0)).otherwise(stats.uniform(F.lit("within"), "rep", "event_id"))
-    o = b.withColumns({"i": F.row_number().over(w.orderBy("event_id")), "j": F.row_number().over(w.orderBy(place, "event_id"))})
-    s = o.select("rep", "day", "i", "f1").join(o.select("rep", "day", F.col("j").alias("i"), "k"), ["rep", "day", "i"])
-    cell = F.when(F.col("k") >= 67, "high").when(F.col("k") >= 34, "mid").otherwise("low")
-    m = s.groupBy("rep", cell.alias("cell")).agg(stats.one_sample_t("f1").alias("t"))
+    # tiers of the rate are dealt out anew among the events of a day
+    s = dealt(returns(spark, d).select("event_id", "day", "f1", F.expr(_TIER).alias("tier")), ["day"], "event_id", "tier", 30, "within")
+    m = s.groupBy("rep", "dealt").agg(stats.one_sample_t("f1").alias("t"))
     return rounded(m.groupBy("rep").agg(F.max(F.abs("t")).alias("max_t")), 5)
 
 
 @query("a39_breadth", f"WITH {EV} SELECT event_id, count(*) OVER (PARTITION BY us // 60000000) AS minute_count, count(*) OVER (PARTITION BY us // 3600000000) AS hour_count FROM ev")
 def a39(spark, d):
-    n = lambda step: F.count("*").over(Window.partitionBy(F.floor(F.col("us") / step)))
-    return tables.ticks(spark, d).select("event_id", n(B.MINUTE).alias("minute_count"), n(B.HOUR).alias("hour_count"))
+    # minutes are counted by an aggregate, hours from minutes, and both looked up
+    t = tables.ticks(spark, d).select("event_id", F.floor(F.col("us") / B.MINUTE).alias("minute"))
+    minutes = t.groupBy("minute").agg(F.count("*").alias("minute_count"))
+    minutes = minutes.withColumn("hour_count", F.sum("minute_count").over(Window.partitionBy(F.floor(F.col("minute") / 60))))
+    return t.join(minutes, "minute").select("event_id", "minute_count", "hour_count")
 
 
 _EXT = f"WITH {BARS}, x AS (SELECT symbol, slot, lead(c, 8) OVER w / nullif(c, 0) - 1 AS f, max(h) OVER a / nullif(c, 0) - 1 AS mfe FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY slot), a AS (PARTITION BY symbol ORDER BY slot ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING))"

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators import asof, bars, detect, ranges, ranks, slices
+from eventloom.operators import asof, bars, detect, ranges, ranks, shuffles, slices
 
 
 @pytest.fixture
@@ -139,3 +139,23 @@ def test_intervals_with_nulls_beside_them(spark):
 def test_few_rows_of_a_group_are_kept_before_the_shuffle(spark):
     plan = detect.first_per(spark.range(100).selectExpr("id % 3 AS g", "id"), ["g"], [F.col("id")], 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_permuted_places_are_a_bijection(spark):
+    sizes = [1, 2, 3, 5, 7, 12, 50, 97, 1000, 4099]
+    df = spark.createDataFrame([(n, i) for n in sizes for i in range(n)], "n long, i long").withColumn("rep", F.explode(F.array(F.lit(1), F.lit(2))))
+    got = {}
+    for r in df.select("n", "rep", "i", shuffles.permuted(F.col("i"), F.col("n"), F.lit("s"), F.col("rep")).alias("p")).collect():
+        got.setdefault((r.n, r.rep), {})[r.i] = r.p
+    for (n, _), places in got.items():
+        assert sorted(places.values()) == list(range(n))
+    assert got[1000, 1] != got[1000, 2] and 300 < np.mean(np.abs(np.array([got[1000, 1][i] for i in range(1000)]) - np.arange(1000))) < 370
+
+
+def test_dealt_labels_keep_their_numbers(spark):
+    rng = random.Random(2)
+    rows = [(i, g, rng.choice("xyz"), float(i)) for i, g in enumerate(rng.choices((1, 2, None), (80, 15, 5), k=400))]
+    out = shuffles.dealt(spark.createDataFrame(rows, "id long, g long, label string, v double"), ["g"], "id", "label", 5, "seed")
+    counts = {(r.rep, r.g, r.dealt): r["count"] for r in out.groupBy("rep", "g", "dealt").count().collect()}
+    assert len(counts) == 6 * 9 and all(counts[rep, g, x] == counts[0, g, x] for rep, g, x in counts)
+    assert out.where("rep = 0 AND dealt <> label").count() == 0 and out.where("rep = 1 AND dealt <> label").count() > 100
