@@ -8,17 +8,17 @@ import operator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Quote suffixes that are cut from symbols, and the one that is put back.
-PAIR_SUFFIXES, SUFFIX, LONGEST = ("USDT", "USDC", "USD", "PERP"), "USDT", 12
+#: The suffix of symbols, and the longest name that it is added to.
+SUFFIX, LONGEST = "USDT", 12
 #: Fixed values: (largest ATR percent below which a tier holds, round-trip cost in percent), and the cost above.
 COST_TIERS, COST_TOP = ((1.5, 0.14), (3.0, 0.94)), 1.34
 
 
 def symbol(v: Column) -> Column:
-    """Upper case without a quote suffix or other signs, with the common suffix if short enough."""
-    s = F.regexp_replace(F.upper(F.trim(v)), "[^A-Z0-9]", "")
-    s = F.regexp_replace(s, f"({'|'.join(PAIR_SUFFIXES)})$", "")
-    return F.when(F.length(s) == 0, F.lit(None)).when(F.length(s) <= LONGEST, F.concat(s, F.lit(SUFFIX))).otherwise(s)
+    """Upper case; a pair written with a slash, with or without its settlement, as one word; no other signs; the common suffix where it isn't there
+    already and the name is short enough. Null and empty names are null."""
+    s = F.regexp_replace(F.regexp_replace(F.upper(F.trim(v)), f"/{SUFFIX}(:{SUFFIX})?", SUFFIX), "[^A-Z0-9]", "")
+    return F.when(F.length(s) == 0, F.lit(None)).when(~s.endswith(SUFFIX) & (F.length(s) <= LONGEST), F.concat(s, F.lit(SUFFIX))).otherwise(s)
 
 
 def swap_symbol(v: Column) -> Column:
@@ -50,12 +50,16 @@ def to_utc(local: Column, zone: str = "America/New_York") -> Column:
     return F.to_utc_timestamp(local, zone)
 
 
-def session(at: Column, zone: str = "America/New_York") -> Column:
-    """rth, afterhours, overnight or weekend by the zone's wall clock; the weekend lasts from Friday 20:00 to Sunday 20:00."""
+def session(at: Column, holiday: Column | bool = False, zone: str = "America/New_York") -> Column:
+    """rth (9:30 to 16:00), afterhours (to 22:00), overnight or weekend by the zone's wall clock.
+
+    Holidays and Saturdays and Sundays are weekend whole, Fridays from 22:00 and Mondays before 4:00.
+    """
     local = F.from_utc_timestamp(at, zone)
     minute, day = F.hour(local) * 60 + F.minute(local), F.weekday(local)
-    weekend = (day == 5) | ((day == 4) & (minute >= 1200)) | ((day == 6) & (minute < 1200))
-    return F.when(weekend, "weekend").when(minute.between(570, 959) & (day < 5), "rth").when(minute.between(960, 1199) & (day < 5), "afterhours").otherwise("overnight")
+    edge = ((day == 4) & (minute >= 1320)) | ((day == 0) & (minute < 240))
+    out = F.when(minute.between(570, 959), "rth").when(minute.between(960, 1319), "afterhours").when(edge, "weekend").otherwise("overnight")
+    return F.when((F.lit(holiday) if isinstance(holiday, bool) else holiday) | (day >= 5), "weekend").otherwise(out)
 
 
 def bucket(v: Column, edges: list[float]) -> Column:

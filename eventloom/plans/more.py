@@ -10,7 +10,8 @@ from ..functions import stats
 from ..operators import bars as B
 from ..operators import outcomes as O
 from ..operators.shuffles import dealt, dealt_sql
-from ..sources import tables
+from ..sources import daily, tables
+from ..sources.shared import shared_folder
 from .aggregates import P1, returns
 from .panels import bars, panel, rounded
 from .registry import BARS, EV, PANEL, query
@@ -25,6 +26,17 @@ def s07(spark, d):
     return x.select("r.event_id", "symbol", "day", "r.price")
 
 
+@query("s07_day_document_files", f"WITH {EV} SELECT event_id, symbol, strftime(make_timestamp(us), '%Y-%m-%d') AS day, price FROM ev WHERE us >= 1704844800000000 AND us < 1705708800000000 AND k >= 50")
+def s07_files(spark, d):
+    # documents of a day lie in files that carry its date; days outside the range are not opened
+    t = tables.ticks(spark, d).where("k >= 50").withColumn("day", F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd"))
+    docs = t.groupBy("symbol", "day").agg(F.to_json(F.struct("symbol", F.collect_list(F.struct("event_id", "price")).alias("rows"))).alias("value"))
+    folder = shared_folder(spark)
+    daily.write_day_files(docs.select("value", "day"), folder, "day", "text", ".json")
+    docs = daily.day_files(spark, folder, "2024-01-10", "2024-01-19", "symbol long, rows array<struct<event_id:long,price:double>>")
+    return docs.select("symbol", "day", F.explode("rows").alias("r")).select("r.event_id", "symbol", "day", "r.price")
+
+
 @query("s08_json_map_dimension", "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey < 20")
 def s08(spark, d):
     # the map has a row per nation, 25 at every scale
@@ -39,7 +51,8 @@ def p09(spark, d):
     # rows without a price are skipped one by one; a missing time falls back to that of the poll
     t = tables.ticks(spark, d)
     one = F.struct("event_id", F.col("symbol").cast("string").alias("s"), F.when(F.col("k") % 7 == 0, "bad").otherwise(F.col("price").cast("string")).alias("p"), F.when(F.col("k") % 5 != 0, F.col("us")).alias("E"))
-    polls = t.groupBy("symbol").agg(F.to_json(F.collect_list(one)).alias("payload"))
+    # a poll a symbol and hour
+    polls = t.groupBy("symbol", F.floor(F.col("us") / B.HOUR)).agg(F.to_json(F.collect_list(one)).alias("payload"))
     x = polls.select(F.explode(F.from_json("payload", "array<struct<event_id:long,s:string,p:string,E:long>>")).alias("r")).select("r.*")
     return x.select("event_id", F.col("s").cast("long").alias("symbol"), S.number(F.col("p")).alias("price"), F.coalesce("E", F.lit(1704067200000000)).alias("at")).where("price IS NOT NULL")
 

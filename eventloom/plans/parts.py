@@ -114,11 +114,18 @@ def p13(spark, d):
     return tables.read(spark, d, "orders").select("o_orderkey", F.weekday("o_orderdate").alias("weekday"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), week.alias("iso_week"))
 
 
-@query("p15_session_labels", """WITH e AS (SELECT value, hour(ts - INTERVAL 5 HOUR) * 60 + minute(ts - INTERVAL 5 HOUR) AS m, isodow(ts - INTERVAL 5 HOUR) - 1 AS w FROM events),
-s AS (SELECT value, CASE WHEN w = 5 OR (w = 4 AND m >= 1200) OR (w = 6 AND m < 1200) THEN 'weekend' WHEN m BETWEEN 570 AND 959 AND w < 5 THEN 'rth' WHEN m BETWEEN 960 AND 1199 AND w < 5 THEN 'afterhours' ELSE 'overnight' END AS session FROM e) SELECT session, count(*) AS n, round(avg(value), 6) AS mean FROM s GROUP BY 1""")
+#: New Year's Day and Martin Luther King Day of the tables' month, on which the exchange is closed.
+HOLIDAYS = ("2024-01-01", "2024-01-15")
+
+
+@query("p15_session_labels", f"""WITH e AS (SELECT value, hour(ts - INTERVAL 5 HOUR) * 60 + minute(ts - INTERVAL 5 HOUR) AS m, isodow(ts - INTERVAL 5 HOUR) - 1 AS w, strftime(ts - INTERVAL 5 HOUR, '%Y-%m-%d') IN {HOLIDAYS} AS off FROM events),
+s AS (SELECT value, CASE WHEN off OR w >= 5 THEN 'weekend' WHEN m >= 570 AND m < 960 THEN 'rth' WHEN m >= 960 AND m < 1320 THEN 'afterhours' WHEN w = 4 AND m >= 1320 THEN 'weekend' WHEN w = 0 AND m < 240 THEN 'weekend' ELSE 'overnight' END AS session FROM e) SELECT session, count(*) AS n, round(avg(value), 6) AS mean FROM s GROUP BY 1""")
 def p15(spark, d):
-    # all events lie in January, when New York is five hours behind
-    e = tables.read(spark, d, "events").select("value", S.session(F.col("ts").cast("timestamp")).alias("session"))
+    # all events lie in January, when New York is five hours behind; holidays come as a table, a row per day
+    at = F.col("ts").cast("timestamp")
+    off = spark.createDataFrame([(h,) for h in HOLIDAYS], "day string").select(F.to_date("day").alias("day"), F.lit(True).alias("off"))
+    e = tables.read(spark, d, "events").select("value", at.alias("at"), F.to_date(F.from_utc_timestamp(at, "America/New_York")).alias("day")).join(F.broadcast(off), "day", "left")
+    e = e.select("value", S.session(F.col("at"), F.coalesce("off", F.lit(False))).alias("session"))
     return rounded(e.groupBy("session").agg(F.count("*").alias("n"), F.avg("value").alias("mean")))
 
 

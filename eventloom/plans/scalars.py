@@ -13,10 +13,13 @@ from .panels import bars, panel, rounded
 from .registry import BARS, EV, PANEL, query
 
 
-@query("p01_symbols", """WITH s AS (SELECT p_partkey, regexp_replace(regexp_replace(upper(trim(p_brand)), '[^A-Z0-9]', '', 'g'), '(USDT|USDC|USD|PERP)$', '') AS x, p_brand || '-USDT-SWAP' AS inst FROM part)
-SELECT p_partkey, CASE WHEN length(x) = 0 THEN NULL WHEN length(x) <= 12 THEN x || 'USDT' ELSE x END AS symbol, CASE WHEN regexp_matches(inst, '^[A-Z0-9]+-USDT-SWAP$') THEN string_split(inst, '-')[1] || 'USDT' END AS swap FROM s""")
+_NAMES = "CASE p_partkey % 7 WHEN 0 THEN p_brand WHEN 1 THEN p_brand || '/USDT:USDT' WHEN 2 THEN lower(p_brand) || '/usdt' WHEN 3 THEN p_brand || 'USDC' WHEN 4 THEN p_brand || '-USDT' WHEN 5 THEN p_brand || '-PERPETUAL' ELSE ' / ' END"
+
+
+@query("p01_symbols", f"""WITH s AS (SELECT p_partkey, regexp_replace(replace(replace(upper(trim({_NAMES})), '/USDT:USDT', 'USDT'), '/USDT', 'USDT'), '[^A-Z0-9]', '', 'g') AS x, p_brand || '-USDT-SWAP' AS inst FROM part)
+SELECT p_partkey, CASE WHEN length(x) = 0 THEN NULL WHEN x NOT LIKE '%USDT' AND length(x) <= 12 THEN x || 'USDT' ELSE x END AS symbol, CASE WHEN regexp_matches(inst, '^[A-Z0-9]+-USDT-SWAP$') THEN string_split(inst, '-')[1] || 'USDT' END AS swap FROM s""")
 def p01(spark, d):
-    return tables.read(spark, d, "part").select("p_partkey", S.symbol(F.col("p_brand")).alias("symbol"), S.swap_symbol(F.concat("p_brand", F.lit("-USDT-SWAP"))).alias("swap"))
+    return tables.read(spark, d, "part").select("p_partkey", S.symbol(F.expr(_NAMES)).alias("symbol"), S.swap_symbol(F.concat("p_brand", F.lit("-USDT-SWAP"))).alias("swap"))
 
 
 @query("p03_time_units", f"WITH {EV}, s AS (SELECT event_id, us // 1000000 AS t FROM ev) SELECT event_id, CASE WHEN (SELECT median(t) FROM s) BETWEEN 1e9 AND 2e10 - 1 THEN t * 1000 ELSE t END AS ms FROM s")
@@ -50,7 +53,7 @@ def p08(spark, d):
     t = tables.ticks(spark, d)
     one = t.where("wt = 'error'").select(F.to_json(F.struct(F.struct("symbol", F.lit("SELL").alias("side"), "price", F.col("k").alias("qty")).alias("o"))).alias("j"))
     one = one.select(F.from_json("j", "o struct<symbol:long,side:string,price:double,qty:int>").alias("x")).select("x.o.*", F.lit("one").alias("venue"))
-    two = t.where("wt IN ('purchase', 'signup')").groupBy("symbol").agg(F.to_json(F.struct(F.col("symbol").alias("inst"), F.collect_list(F.struct(F.lit("buy").alias("side"), "price", F.col("k").alias("qty"))).alias("data"))).alias("j"))
+    two = t.where("wt IN ('purchase', 'signup')").groupBy("symbol", F.floor(F.col("us") / B.DAY)).agg(F.to_json(F.struct(F.col("symbol").alias("inst"), F.collect_list(F.struct(F.lit("buy").alias("side"), "price", F.col("k").alias("qty"))).alias("data"))).alias("j"))
     two = two.select(F.from_json("j", "inst long, data array<struct<side:string,price:double,qty:int>>").alias("x")).select(F.col("x.inst").alias("symbol"), F.explode("x.data").alias("e")).select("symbol", F.upper("e.side").alias("side"), "e.price", "e.qty", F.lit("two").alias("venue"))
     rows = one.unionByName(two).where("qty > 0 AND price > 0")
     return rows.groupBy("symbol", "venue", "side").agg(F.round(F.sum(F.col("price") * F.col("qty")), 4).alias("notional"), F.count("*").alias("n"))
@@ -83,7 +86,7 @@ def p12(spark, d):
 
 
 @query("p14_wall_clock_sessions", """WITH e AS (SELECT event_id, ts - INTERVAL 5 HOUR AS l, hour(ts - INTERVAL 5 HOUR) * 60 + minute(ts - INTERVAL 5 HOUR) AS m, isodow(ts - INTERVAL 5 HOUR) - 1 AS w FROM events)
-SELECT event_id, hour(l)::INT AS et_hour, CASE WHEN w = 5 OR (w = 4 AND m >= 1200) OR (w = 6 AND m < 1200) THEN 'weekend' WHEN m BETWEEN 570 AND 959 AND w < 5 THEN 'rth' WHEN m BETWEEN 960 AND 1199 AND w < 5 THEN 'afterhours' ELSE 'overnight' END AS session FROM e""")
+SELECT event_id, hour(l)::INT AS et_hour, CASE WHEN w >= 5 THEN 'weekend' WHEN m BETWEEN 570 AND 959 THEN 'rth' WHEN m BETWEEN 960 AND 1319 THEN 'afterhours' WHEN (w = 4 AND m >= 1320) OR (w = 0 AND m < 240) THEN 'weekend' ELSE 'overnight' END AS session FROM e""")
 def p14(spark, d):
     # all events lie in January, when New York is five hours behind
     ts = F.col("ts").cast("timestamp")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ret
 from ..operators.detect import first_per
-from ..sources import merge, tables
+from ..sources import daily, merge, tables
+from ..sources.shared import shared_folder
 from .panels import bars, rounded
 from .registry import BARS, EV, ORD, query
 
@@ -26,6 +27,29 @@ def s02(spark, d):
     return rows.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("dt")).agg(F.count("*").alias("n"))
 
 
+def _daily_lines(spark, d):
+    """The events as folders of JSON lines by day; every seventh line is cut short, as a torn write leaves it."""
+    e = tables.read(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("dt"), F.to_json(F.struct("event_id", F.col("event_type").alias("kind"), "value", F.get_json_object("props", "$.k").cast("int").alias("k"))).alias("line"))
+    folder = shared_folder(spark)
+    e.select("dt", F.when(F.col("event_id") % 7 == 0, F.expr("substr(line, 1, length(line) - 3)")).otherwise(F.col("line")).alias("value")).write.partitionBy("dt").text(folder)
+    return folder
+
+
+_LINE = "event_id LONG, kind STRING, value DOUBLE, k INT"
+
+
+@query("s01_daily_line_files", "SELECT strftime(ts, '%Y-%m-%d') AS dt, count(*) AS total, count(*) FILTER (event_id % 7 = 0) AS bad, sum(CASE WHEN event_id % 7 <> 0 THEN (props->>'$.k')::INT END)::BIGINT AS k FROM events GROUP BY 1")
+def s01_files(spark, d):
+    rows = daily.day_folders(spark, _daily_lines(spark, d), "2000-01-01", "2099-12-31", _LINE)
+    return daily.audited(rows, ["dt"], F.sum(F.when(F.col("_bad").isNull(), F.col("k"))).alias("k"))
+
+
+@query("s02_pruned_daily_files", "SELECT strftime(ts, '%Y-%m-%d') AS dt, count(*) AS n, round(sum(value), 4) AS value FROM events WHERE ts >= '2024-01-10' AND ts < '2024-01-20' AND event_id % 7 <> 0 GROUP BY 1")
+def s02_files(spark, d):
+    rows = daily.day_folders(spark, _daily_lines(spark, d), "2024-01-10", "2024-01-19", _LINE).where("_bad IS NULL")
+    return rows.groupBy("dt").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"))
+
+
 @query("s05_range_scan_with_missing_columns", f"WITH {ORD} SELECT key, us, value, NULL::DOUBLE AS open_interest FROM ord WHERE us BETWEEN 820454400000000 AND 852076800000000 AND key IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def s05(spark, d):
     keys = tables.read(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("key"))
@@ -46,13 +70,24 @@ def s10(spark, d):
     return merge.last_wins(latest(o.where("id % 2 = 0")), latest(o.where("id % 2 = 1")), ["key"], [F.col("us")]).select("key", "id")
 
 
-@query("s11_upsert_accumulate", "SELECT o_custkey AS key, count(*) AS n, sum(o_orderkey % 5)::BIGINT AS errors FROM orders GROUP BY 1")
-def s11(spark, d):
-    def totals(x):
-        return x.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("id") % 5).alias("errors"))
+@query("s10_upsert_by_partition", "SELECT key, us, id FROM (SELECT o_custkey AS key, epoch_us(o_orderdate) AS us, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1")
+def s10_partitions(spark, d):
+    # the target lies in 64 parts of the keys; a batch rewrites those that it has keys of
+    o = tables.metric(spark, d).select("key", "us", "id", F.pmod(F.xxhash64("key"), F.lit(64)).alias("part"))
+    order, path = [F.col("us"), F.col("id")], shared_folder(spark)
+    merge.write_snapshot(merge.last_wins(o.where("id % 2 = 0"), o.limit(0), ["key"], order), path, ["part"])
+    merge.upsert(spark, path, o.where("id % 2 = 1"), ["key"], order, "part", last=True)
+    return spark.read.parquet(path).select("key", "us", "id")
 
-    o = tables.metric(spark, d)
-    return merge.accumulate(totals(o.where("id % 3 = 0")), totals(o.where("id % 3 <> 0")), ["key"], ["n", "errors"])
+
+@query("s11_upsert_accumulate", """WITH o AS (SELECT o_custkey AS key, o_orderkey AS id, epoch_us(o_orderdate) AS us, o_orderkey % 3 = 0 AS ok FROM orders), s AS (SELECT key, max(us::HUGEINT * 100000000 + id) FILTER (ok) AS last FROM o GROUP BY 1)
+SELECT key, count(*) AS n, sum(id % 5)::BIGINT AS fetched, count(*) FILTER (NOT ok AND (last IS NULL OR us::HUGEINT * 100000000 + id > last)) AS errors FROM o JOIN s USING (key) GROUP BY 1""")
+def s11(spark, d):
+    # a success sets the count of errors to zero, counters only grow; two batches, one after the other in time
+    o = tables.metric(spark, d).select("key", "us", "id", (F.col("id") % 3 == 0).alias("ok"), F.lit(1).alias("n"), (F.col("id") % 5).alias("fetched"))
+    none = spark.createDataFrame([], "key long, n long, fetched long, errors long")
+    step = lambda target, new: merge.record(target, new, ["key"], [F.col("us"), F.col("id")], "ok", ["n", "fetched"])
+    return step(step(none, o.where("us < 852076800000000")), o.where("us >= 852076800000000"))
 
 
 @query("s12_dimension_maintenance", f"WITH {EV}, a AS (SELECT symbol, min(us) AS f FROM ev WHERE us < 1704672000000000 GROUP BY 1), b AS (SELECT symbol, min(us) AS f FROM ev WHERE us >= 1706400000000000 GROUP BY 1) SELECT coalesce(a.symbol, b.symbol) AS symbol, least(a.f, b.f) AS first_seen, CASE WHEN b.f IS NULL THEN 0 ELSE 1 END AS active FROM a FULL JOIN b ON a.symbol = b.symbol")
@@ -75,6 +110,17 @@ def s17(spark, d):
     return merge.unseen(t.where("event_id % 3 = 0"), t.where("us < 1705276800000000"), ["event_id"], [F.col("us")]).select("event_id", "symbol", "price")
 
 
+@query("s17_ledger_by_day", f"WITH {EV} SELECT event_id, symbol, price, strftime(make_timestamp(us), '%Y-%m-%d') AS day FROM ev WHERE us < 1705276800000000 OR event_id % 3 = 0")
+def s17_days(spark, d):
+    # the same batch twice: the second run adds nothing; only days that it has are read, and none is rewritten
+    t = tables.ticks(spark, d).select("event_id", "symbol", "price", "us", F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd").alias("day"))
+    path = shared_folder(spark)
+    t.where("event_id % 3 = 0").write.partitionBy("day").parquet(path)
+    for _ in range(2):
+        merge.append_unseen(spark, path, t.where("us < 1705276800000000"), ["event_id"], [F.col("us")], "day")
+    return spark.read.schema(t.schema).parquet(path).select("event_id", "symbol", "price", "day")
+
+
 @query("s18_gap_list", f"WITH {EV}, s AS (SELECT symbol, min(us // 3600000000) AS a, max(us // 3600000000) + 1 AS b FROM ev GROUP BY 1), g AS (SELECT symbol, 'head' AS gap, 473352 AS start, a AS \"end\" FROM s UNION ALL SELECT symbol, 'tail', b, 474072 FROM s) SELECT * FROM g WHERE start < \"end\"")
 def s18(spark, d):
     hours = tables.ticks(spark, d).withColumn("hour", F.floor(F.col("us") / 3_600_000_000))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import Scratch
+
 
 def _first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
@@ -26,10 +28,46 @@ def last_wins(target: DataFrame, new: DataFrame, keys: list[str], order: list[Co
     return _first(both, keys, [*(c.desc() for c in order), F.desc("__new")]).drop("__new")
 
 
-def accumulate(target: DataFrame, new: DataFrame, keys: list[str], add: list[str]) -> DataFrame:
-    """Counters of both sides added by key; a side without the key counts zero."""
-    both = target.select(*keys, *add).unionByName(new.select(*keys, *add))
-    return both.groupBy(*keys).agg(*(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in add))
+def record(target: DataFrame, new: DataFrame, keys: list[str], order: list[Column], ok: str, add: list[str]) -> DataFrame:
+    """State per key (keys, the counters `add`, errors) after a batch of results: counters grow, and errors counts those since the last success.
+
+    A key's errors before the batch count on unless the batch has a success of it. `order` tells a key's results apart in time.
+    """
+    own = new.select(*keys, *add, F.col(ok).alias("__ok"), F.struct(*order).alias("__at"))
+    last = own.groupBy(*keys).agg(F.max(F.when(F.col("__ok"), F.col("__at"))).alias("__last"))
+    own = own.join(last, keys).withColumn("__error", F.when(~F.col("__ok") & (F.col("__last").isNull() | (F.col("__at") > F.col("__last"))), 1).otherwise(0))
+    batch = own.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in add), F.sum("__error").alias("errors"), F.max(F.col("__last").isNotNull()).alias("__reset"))
+    t, n = target.select(*keys, *(F.col(c).alias(f"__t_{c}") for c in (*add, "errors"))), batch
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    before = F.when(F.coalesce("__reset", F.lit(False)), 0).otherwise(zero("__t_errors"))
+    return t.join(n, keys, "full_outer").select(*keys, *((zero(c) + zero(f"__t_{c}")).alias(c) for c in add), (zero("errors") + before).alias("errors"))
+
+
+def _touched(spark: SparkSession, path: str, new: DataFrame, part: str) -> DataFrame:
+    """The parts of a partitioned table that a batch has rows of; the others are neither listed nor read. Parts are few: days, or ranges of keys."""
+    parts = [r[0] for r in new.select(part).distinct().collect()]
+    schema = spark.read.parquet(path).schema
+    return spark.read.schema(schema).parquet(path).where(F.col(part).isin(parts)).select(new.columns)
+
+
+def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], order: list[Column], part: str, *, last: bool) -> None:
+    """Merges a batch into a table partitioned by `part`, which must follow from the keys, and rewrites only parts that the batch touches.
+
+    The merged rows are written aside first, as a table can't be read while it is replaced, and then put in place by dynamic partition overwrite;
+    a run that is cut short in between leaves the old parts.
+    """
+    target, scratch = _touched(spark, path, new, part), Scratch(spark)
+    merged = scratch.stored((last_wins if last else first_wins)(target, new, [*keys, part], order))
+    write_snapshot(merged, path, [part])
+    scratch.drop(merged)
+
+
+def append_unseen(spark: SparkSession, path: str, new: DataFrame, keys: list[str], order: list[Column], part: str) -> None:
+    """Adds the rows of a batch whose keys the table, partitioned by `part`, doesn't have in the same part; nothing is rewritten."""
+    scratch = Scratch(spark)
+    rows = scratch.stored(unseen(_touched(spark, path, new, part), new, [*keys, part], order).select(new.columns))
+    rows.write.mode("append").partitionBy(part).parquet(path)
+    scratch.drop(rows)
 
 
 def maintain(target: DataFrame, current: DataFrame, key: str) -> DataFrame:

@@ -107,8 +107,9 @@ def test_leave_one_out_identity(spark):
 
 
 def test_symbols_and_buckets(spark):
-    df = spark.createDataFrame([(" btc-usdt ",), ("1000PEPEUSDT",), ("",), (None,)], "s string")
-    assert [r[0] for r in df.select(S.symbol(F.col("s"))).collect()] == ["BTCUSDT", "1000PEPEUSDT", None, None]
+    cases = {" btc-usdt ": "BTCUSDT", "1000PEPEUSDT": "1000PEPEUSDT", "": None, None: None, "BTC/USDT:USDT": "BTCUSDT", "btc/usdt": "BTCUSDT", "ABCDEFGHIJKLMUSDT": "ABCDEFGHIJKLMUSDT", "BTCUSDC": "BTCUSDCUSDT", "eth": "ETHUSDT", "ABCDEFGHIJKL": "ABCDEFGHIJKLUSDT", "ABCDEFGHIJKLM": "ABCDEFGHIJKLM", " / ": None}
+    df = spark.createDataFrame([(s,) for s in cases], "s string")
+    assert {r.s: r.x for r in df.select("s", S.symbol(F.col("s")).alias("x")).collect()} == cases
     assert [r[0] for r in df.limit(1).select(S.bucket(F.lit(10.0), [10, 50])).collect()] == ["10-50"]
 
 
@@ -122,6 +123,15 @@ def test_sessions_follow_daylight_saving(spark):
     assert [r[0] for r in df.select(S.session(F.to_timestamp("t"))).collect()] == ["rth", "rth", "weekend", "overnight", "rth"]
 
 
+def test_session_edges_and_holidays(spark):
+    # New York is five hours behind; 2024-01-05 is a Friday, 2024-01-15 a holiday
+    cases = [("2024-01-05 14:29", "overnight"), ("2024-01-05 14:30", "rth"), ("2024-01-05 20:59", "rth"), ("2024-01-05 21:00", "afterhours"), ("2024-01-06 02:59", "afterhours"), ("2024-01-06 03:00", "weekend"), ("2024-01-07 16:00", "weekend"),
+             ("2024-01-08 08:59", "weekend"), ("2024-01-08 09:00", "overnight"), ("2024-01-10 03:00", "overnight"), ("2024-01-15 15:00", "weekend"), ("2024-01-16 04:30", "weekend"), ("2024-01-16 05:00", "overnight")]
+    df = spark.createDataFrame(cases, "t string, want string").withColumn("at", F.to_timestamp("t"))
+    off = F.to_date(F.from_utc_timestamp("at", "America/New_York")) == F.lit("2024-01-15").cast("date")
+    assert [(r.t, r.got) for r in df.select("t", S.session(F.col("at"), off).alias("got")).collect()] == cases
+
+
 def test_merges(spark):
     old = spark.createDataFrame([(1, 10, "a"), (2, 10, "b")], "k int, at int, v string")
     new = spark.createDataFrame([(2, 10, "c"), (3, 5, "d"), (3, 6, "e")], "k int, at int, v string")
