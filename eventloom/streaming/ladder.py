@@ -39,12 +39,10 @@ class _Samples:
 
     def load(self) -> None:
         self.at, self.px, self.dirty, self.known = [], [], set(), set()
-        if self.state.exists():
-            parts = sorted((key[0], value) for key, value in self.state.iterator())
-            for part, (at, px) in parts:
-                self.known.add(part)
-                self.at += at
-                self.px += px
+        for part, (at, px) in sorted((key[0], tuple(value)) for key, value in self.state.iterator()):
+            self.known.add(part)
+            self.at += at
+            self.px += px
 
     def add(self, us: int, price: float) -> None:
         self.at.append(us)
@@ -73,7 +71,8 @@ class LadderProcessor(StatefulProcessor):
     or before its window, and no alert of the rung was stored within `store`; of stored ones those are pushed that have none pushed within `push`.
 
     Ticks of a micro-batch are taken in order of time; those without a finite price are passed over. A sample enters the long ring when the last one
-    there is `step` back. State is what the rings and cooldowns can still need: a timer at the newest tick plus the longest of them drops it all.
+    there is `step` back. State is what the rings and cooldowns can still need: a timer at a tick plus the longest of them drops it all, or waits
+    on if newer ticks have come.
     """
 
     def __init__(self, rungs: list[tuple[str, int, float]], ring: Ring, store: int, push: int) -> None:
@@ -92,7 +91,7 @@ class LadderProcessor(StatefulProcessor):
         ticks = pd.concat(list(rows)).sort_values(["us", "event_id"])
         self.short.load()
         self.long.load()
-        fired = {k[0]: tuple(v) for k, v in self.fired.iterator()} if self.fired.exists() else {}
+        fired = {k[0]: tuple(v) for k, v in self.fired.iterator()}
         changed, out, last = set(), [], None
         for event_id, us, price in zip(ticks.event_id.tolist(), ticks.us.tolist(), ticks.price.tolist(), strict=True):
             if price is None or not math.isfinite(price):
@@ -117,17 +116,22 @@ class LadderProcessor(StatefulProcessor):
             self.long.save(self.long.at[-1] - self.ring.long)
             for name in changed:
                 self.fired.updateValue((name,), fired[name])
-            self._drop_at((last + self.keep) // 1000 + 1)
+            if self.due.get() is None:
+                self._look_again(last)
         yield pd.DataFrame(out, columns=["event_id", "symbol", "us", "rung", "pushed"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for state in (self.short.state, self.long.state, self.fired, self.due):
-            state.clear()
+        self.short.load()
+        if self.short.at and (self.short.at[-1] + self.keep) // 1000 + 1 > self.due.get()[0]:
+            self._look_again(self.short.at[-1])
+        else:
+            for state in (self.short.state, self.long.state, self.fired, self.due):
+                state.clear()
         yield pd.DataFrame([], columns=["event_id", "symbol", "us", "rung", "pushed"])
 
-    def _drop_at(self, millis: int) -> None:
-        if self.due.exists():
-            self.handle.deleteTimer(self.due.get()[0])
+    def _look_again(self, newest: int) -> None:
+        """A timer for when nothing that came up to `newest` can matter any more; until it fires, newer ticks need none."""
+        millis = (newest + self.keep) // 1000 + 1
         self.handle.registerTimer(millis)
         self.due.update((millis,))
 
