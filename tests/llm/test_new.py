@@ -75,6 +75,20 @@ def test_few_vectors(spark, n):
     assert Counter((r.vec_id, r.cluster, r.distance) for r in got) == want and len(got) == n
 
 
+def test_vectors_are_not_shuffled_after_the_first_write(spark, monkeypatch):
+    plans, real = [], cells.stored
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(cells, "stored", noted)
+    df = spark.range(300).select(F.col("id").alias("vec_id"), F.array(*(F.rand(k) for k in range(64))).alias("embedding"))
+    assert len(cells.clustered(df).fetched) == 2
+    joins = [p for p in plans if "ShuffledHashJoin" in p]
+    assert len(joins) == 3 and all(p.count("Exchange") == 1 and "Bucketed: true" in p for p in joins)
+
+
 def test_many_copies_of_a_row_travel_as_one(spark, monkeypatch):
     monkeypatch.setattr(cells, "COPIES", 100)
     df = spark.range(5000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("vec_id"), F.array_repeat(F.when(F.col("id") < 3000, 0.5).otherwise(F.rand(3)), 64).alias("embedding"))
