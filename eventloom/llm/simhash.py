@@ -21,8 +21,11 @@ from .components import components
 from .textcols import joined_words, passes, prepare_workers, runs, split_words, stored, text_buffer
 
 SHINGLE, BUDGET, SEED = 3, 3, 42
-#: deduplicated(): words of a shingle, bits within which a pair is looked at, and the similarity (a fraction) from which it is a link.
-WIDE_SHINGLE, WIDE_BUDGET, SIMILARITY = 5, 11, (4, 5)
+#: deduplicated(): words of a shingle, bits within which a pair is looked at, and the similarity (a fraction) from which it is a link. Sets of one
+#: size at that similarity have a cosine of 8/9, so a bit differs with a chance of 0.15: 9.7 bits of 64 on average, 13 or fewer in 0.91 of all cases.
+WIDE_SHINGLE, WIDE_BUDGET, SIMILARITY = 5, 13, (4, 5)
+#: Ratio of the sizes of neighbouring bands of sets; sets at the similarity differ by 1.25 at most, so they are in one band or in neighbours.
+BAND = 1.26
 #: Rows of a group from which it is dealt out once more by further bits, and from which it is cut into chunks of which all pairs meet.
 GROUP_ROWS, CHUNK_ROWS = 20_000, 100_000
 #: Rows that one task of the join gets on average at most, whatever spark.sql.shuffle.partitions says.
@@ -105,22 +108,22 @@ class _Forest:
                 self.root = self.root[self.root]
 
 
-def trie_join(group: np.ndarray, fp: np.ndarray, budgets: np.ndarray, alike: Callable | None = None, root: np.ndarray | None = None) -> np.ndarray:
+def trie_join(
+    group: np.ndarray, fp: np.ndarray, budgets: np.ndarray, alike: Callable | None = None, root: np.ndarray | None = None, band: np.ndarray | None = None
+) -> np.ndarray:
     """Pairs (2 x n) of rows of one group whose fingerprints differ in budgets[64] bits at most and that are alike(i, j).
 
-    Without `root` the pairs are a spanning forest of all such pairs; with it they are all of those whose roots differ. `group` and, within it,
-    `fp` (uint64) must be sorted: a trie node is then a range of rows that share their leading bits. Pairs of nodes are followed down together;
-    a bit in which they part adds one to their error, and pairs beyond budgets[d], the budget of the d leading bits, are dropped, as are pairs of
-    nodes that are connected already.
+    Without `root` the pairs are a spanning forest of all such pairs; with it they are all of those whose roots differ. With `band` only rows of
+    one band or of neighbouring bands meet. `group`, within it `band`, and within that `fp` (uint64) must be sorted: a trie node is then a range of
+    rows that share their leading bits. Pairs of nodes are followed down together; a bit in which they part adds one to their error, and pairs
+    beyond budgets[d], the budget of the d leading bits, are dropped, as are pairs of nodes that are connected already.
     """
     n = len(fp)
     forest, found = _Forest(n, root), []
 
     def meet(i: np.ndarray, j: np.ndarray) -> None:
-        near = forest.root[i] != forest.root[j]
-        i, j = i[near], j[near]
-        near = np.bitwise_count(fp[i] ^ fp[j]) <= budgets[64]
-        i, j = i[near], j[near]
+        apart = (np.bitwise_count(fp[i] ^ fp[j]) <= budgets[64]) & (forest.root[i] != forest.root[j])
+        i, j = i[apart], j[apart]
         if alike is not None and len(i):
             near = alike(i, j)
             i, j = i[near], j[near]
@@ -129,16 +132,18 @@ def trie_join(group: np.ndarray, fp: np.ndarray, budgets: np.ndarray, alike: Cal
         elif len(i):
             found.append(np.stack([i, j]))
 
-    low = np.flatnonzero(np.diff(group, prepend=group[0] - 1 if n else 0) != 0)
-    high = np.append(low[1:], n)
+    band = np.zeros(n, np.int64) if band is None else band
+    low = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (band[1:] != band[:-1]))[:n])
+    high = np.append(low[1:], n)[: len(low)]
     if root is None:
         ends = np.repeat(high, high - low)
         for k in range(1, NEXT + 1):
             i = np.flatnonzero(np.arange(n) + k < ends)
             meet(i, i + k)
     many = high - low > 1
-    low, high = low[many], high[many]
-    stack = [(np.stack([low, high, low, high]), np.zeros(len(low), np.int8), 0)]
+    beside = np.flatnonzero((group[low[1:]] == group[low[:-1]]) & (band[low[1:]] == band[low[:-1]] + 1))
+    first = np.concatenate([np.stack([low, high, low, high])[:, many], np.stack([low[beside], high[beside], low[beside + 1], high[beside + 1]])], 1)
+    stack = [(first, np.zeros(first.shape[1], np.int8), 0)]
     while stack:
         pair, error, depth = stack.pop()
         if pair.shape[1] > OPEN_PAIRS:
@@ -152,13 +157,16 @@ def trie_join(group: np.ndarray, fp: np.ndarray, budgets: np.ndarray, alike: Cal
         sizes = (pair[1] - pair[0]) * (pair[3] - pair[2])
         leaf = (sizes <= LEAF) | (depth == 64)
         leaves, total = pair[:, leaf], sizes[leaf]
-        for some in np.array_split(np.arange(leaves.shape[1]), max(1, int(total.sum()) >> 21)) if leaves.shape[1] else []:
-            a_low, _, b_low, b_high = leaves[:, some]
-            count = total[some]
-            which = np.repeat(np.arange(len(some)), count)
-            k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        for some in np.array_split(np.arange(leaves.shape[1]), max(1, int(total.sum()) >> 18)) if leaves.shape[1] else []:
+            a_low, a_high, b_low, b_high = leaves[:, some]
+            rows = a_high - a_low
+            which = np.repeat(np.arange(len(some)), rows)
+            a = np.arange(len(which)) + (a_low - np.cumsum(rows) + rows)[which]
             wide = (b_high - b_low)[which]
-            i, j = a_low[which] + k // wide, b_low[which] + k % wide
+            ends = np.cumsum(wide)
+            j = np.arange(ends[-1]) + np.repeat(b_low[which] - ends + wide, wide)
+            near = np.flatnonzero(np.bitwise_count(np.repeat(fp[a], wide) ^ fp[j]) <= budgets[64])
+            i, j = a[np.searchsorted(ends, near, side="right")], j[near]
             meet(i[i < j], j[i < j])
         pair, error = pair[:, ~leaf], error[~leaf]
         if not pair.shape[1]:
@@ -197,32 +205,35 @@ def _first_set(fp: np.ndarray, low: np.ndarray, high: np.ndarray, mask: np.uint6
 
 
 class _Part(NamedTuple):
-    """A stretch of bits in which any two fingerprints within the budget agree for at least one part: the bits come first in its order."""
+    """A turn of the fingerprint; any two within the budget keep to all of `budgets` in at least one part."""
 
-    order: list[tuple[int, int]]  #: (lowest bit, width) of stretches of the fingerprint, from the top of its order down
+    turn: int  #: bits by which the fingerprint is turned to the left
     exact: int  #: leading bits that agree
-    errors: int  #: bits that may differ within the first 16, all of one block
+    near: int  #: leading bits in which no more than `errors` differ
+    errors: int
+    budgets: np.ndarray  #: how many of the d leading bits may differ, for d from 0 to 64
 
 
 def _parts(budget: int) -> list[_Part]:
-    """Of four blocks of 16 bits one has budget // 4 errors at most, so one of that many and one more stretches of it has none."""
-    errors, out = budget // 4, []
-    for block in range(4):
-        edges = [16 * block + 16 * k // (errors + 1) for k in range(errors + 2)]
-        for low, high in zip(edges[:-1], edges[1:], strict=True):
-            rest = [(high, 16 * block + 16 - high), (16 * block, low - 16 * block), (16 * block + 16, 48 - 16 * block), (0, 16 * block)]
-            out.append(_Part([(low, high - low), *(x for x in rest if x[1])], high - low, errors))
+    """One part for each of the stretches that the 64 bits are cut into, in which the order begins with that stretch.
+
+    Of n stretches in a ring with `budget` errors, one is such that it and those that follow never hold more errors than their share: i of them
+    floor(i * budget / n) at most, whatever i (the cycle lemma). With budget + 1 stretches those are 0, 1, 2, ... errors.
+    """
+    n = max(budget + 1, 4)
+    edges = [64 * k // n for k in range(n + 1)]
+    out = []
+    for k in range(n):
+        widths = [edges[(k + i) % n + 1] - edges[(k + i) % n] for i in range(n)]
+        budgets = np.append(0, np.repeat([(i + 1) * budget // n for i in range(n)], widths))
+        near = 64 if budget <= 3 else sum(widths[:3])
+        out.append(_Part(edges[k], widths[0], near, int(budgets[near]), budgets))
     return out
 
 
 def _arranged(part: _Part) -> Column:
-    """fp with its bits in the order of a part."""
-    out, top = F.lit(0).cast("long"), 64
-    for low, width in part.order:
-        top -= width
-        piece = F.shiftrightunsigned("fp", low) if width == 64 else F.shiftrightunsigned("fp", low).bitwiseAND((1 << width) - 1)
-        out = out.bitwiseOR(F.shiftleft(piece, top))
-    return out
+    """fp as a part turns it."""
+    return F.shiftleft("fp", part.turn).bitwiseOR(F.shiftrightunsigned("fp", 64 - part.turn)) if part.turn else F.col("fp")
 
 
 def _keyed(nodes: DataFrame, budget: int) -> DataFrame:
@@ -245,8 +256,7 @@ def _keyed(nodes: DataFrame, budget: int) -> DataFrame:
 
     again = F.array("key")
     for k, p in enumerate(parts):
-        low, high, errors = (p.exact, 16, p.errors) if p.errors else (16, 64, budget)
-        edges = [low + (high - low) * j // (errors + 1) for j in range(errors + 2)]
+        edges = [p.exact + (p.near - p.exact) * j // (p.errors + 1) for j in range(p.errors + 2)]
         keys = [(F.col("key") + 1) * (1 << 24) + (j << 16) + F.shiftrightunsigned("fp", 64 - b).bitwiseAND((1 << (b - a)) - 1) for j, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
         again = F.when(F.col("part") == k, F.array(*keys)).otherwise(again)
     keyed, some = sized(keyed, GROUP_ROWS)
@@ -259,6 +269,11 @@ def _keyed(nodes: DataFrame, budget: int) -> DataFrame:
     return keyed.withColumn("key", F.explode(F.when(F.col("rows").isNull(), F.array("key")).otherwise(pairs))).drop("rows") if some else keyed
 
 
+def _bands(n: np.ndarray) -> np.ndarray:
+    """Bands of set sizes; sets that are alike are in one band or in neighbouring ones."""
+    return np.floor(np.log(n) / math.log(BAND)).astype(np.int64)
+
+
 def _met(budget: int, rows_alike: Callable | None, rooted: bool = False):
     parts = _parts(budget)
 
@@ -268,13 +283,11 @@ def _met(budget: int, rows_alike: Callable | None, rooted: bool = False):
             fp = fp.view(np.uint64)
             for k in np.unique(part).tolist():
                 own = np.flatnonzero(part == k)
-                own = own[np.lexsort((fp[own], key[own]))]
-                budgets = np.full(65, budget)
-                budgets[:17] = parts[k].errors
-                budgets[: parts[k].exact + 1] = 0
+                band = _bands(table.column("n").to_numpy()) if "n" in table.column_names else np.zeros(len(key), np.int64)
+                own = own[np.lexsort((fp[own], band[own], key[own]))]
                 alike = rows_alike(table.take(pa.array(own))) if rows_alike else None
                 root = np.unique(table.column("root").to_numpy()[own], return_inverse=True)[1] if rooted else None
-                i, j = trie_join(key[own], fp[own], budgets, alike, root)
+                i, j = trie_join(key[own], fp[own], parts[k].budgets, alike, root, band[own])
                 yield pa.RecordBatch.from_arrays([pa.array(node[own[i]]), pa.array(node[own[j]])], ["u", "v"])
 
     return rows
@@ -283,7 +296,8 @@ def _met(budget: int, rows_alike: Callable | None, rooted: bool = False):
 def links(nodes: DataFrame, budget: int = BUDGET, alike: Callable | None = None) -> DataFrame:
     """Edges (u, v) between the nodes of `nodes` (node, fp and what `alike` needs) that connect all fingerprints within `budget` bits of each other.
 
-    Each group gives a spanning forest, never all of its pairs. With a column root it gives all pairs whose roots differ.
+    Each group gives a spanning forest, never all of its pairs. With a column root it gives all pairs whose roots differ. With a column n, the sizes
+    of sets, only sets in one band of sizes or in neighbouring ones meet.
     """
     count = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     count = max(count, math.ceil(nodes.count() * len(_parts(budget)) / TASK_ROWS))
