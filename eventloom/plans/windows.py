@@ -324,7 +324,7 @@ def w45(spark, d):
     return rounded(m.select("off", F.col("m").alias("mean"), F.sum("m").over(Window.orderBy("off")).alias("path")))  # six rows
 
 
-@query("w46_named_anchor_legs", f"WITH {BARS}, g AS (SELECT symbol, slot // 28 AS week, max(c) FILTER (slot % 28 < 4) AS a, max(c) FILTER (slot % 28 BETWEEN 8 AND 11) AS b, max(c) FILTER (slot % 28 BETWEEN 20 AND 23) AS c FROM bars GROUP BY ALL) SELECT symbol, week, round(b / a - 1, 6) AS leg1, round(c/ nullif(b, 0) - 1, 6) AS leg2, round(c/ nullif(a, 0) - 1, 6) AS whole FROM g")
+@query("w46_named_anchor_legs", f"WITH {BARS}, g AS (SELECT symbol, slot // 28 AS week, max(c) FILTER (slot % 28 < 4) AS a, max(c) FILTER (slot % 28 BETWEEN 8 AND 11) AS b, max(c) FILTER (slot % 28 BETWEEN 20 AND 23) AS c FROM bars GROUP BY ALL) SELECT symbol, week, round(b / nullif(a, 0) - 1, 6) AS leg1, round(c/ nullif(b, 0) - 1, 6) AS leg2, round(c/ nullif(a, 0) - 1, 6) AS whole FROM g")
 def w46(spark, d):
     part = F.col("slot") % 28
     anchors = {"a": part < 4, "b": part.between(8, 11), "x": part.between(20, 23)}

@@ -36,3 +36,13 @@ def test_query(spark, data, duck, name):
         want = duck.execute(SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
+
+
+def test_legs_from_a_price_of_zero_are_null_in_both_engines(spark, tmp_path):
+    # week 0 begins at zero, week 1 doesn't: slots 0, 8 and 20 hold the three anchors
+    spark.sql("""SELECT id AS event_id, timestamp_micros((id div 3 * 28 + element_at(array(0, 8, 20), cast(id % 3 + 1 AS int))) * 21600000000) AS ts, 1L AS user_id,
+        'view' AS event_type, if(id = 0, 0.0D, 2.0D + id) AS value, '{"k": 1}' AS props FROM range(6)""").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got, want = (rows(x) for x in (QUERIES["w46_named_anchor_legs"](spark, str(tmp_path)).toPandas(), con.execute(SQL["w46_named_anchor_legs"]).df()))
+    assert got == want and [r[0] for r in got] == ["0.2", "null"] and got[1][1] != "null"
