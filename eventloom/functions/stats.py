@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,27 +84,33 @@ def bh(cells: DataFrame, p: str, by: list[str], level: float, order: list[str])
     return ranked.withColumn("pass", F.coalesce(F.col("__r") <= last, F.lit(False))).drop("__r", "__m")
 
 
-def _poisson(u: Column) -> Column:
-    """A Poisson(1) weight, up to 7, from a uniform."""
-    weight, bounds, p, total = F.lit(7), [], 0.36787944117144233, 0.0
+def _poisson(digest: Column) -> Column:
+    """A Poisson(1) weight, up to 7, from the uniform that `uniform` takes from a hex md5.
+
+    v / 2^32 < bound holds just if v < ceil(bound * 2^32), and numbers of eight hex digits order as their digits do: the text is compared as it is.
+    """
+    bounds, p, total = [], 0.36787944117144233, 0.0
     for k in range(7):
         total += p
-        bounds.append(total)
+        bounds.append(f"{math.ceil(total * 4294967296):08x}")
         p /= k + 1
-    def chosen(v: Column) -> Column:
-        out = weight
-        for k in range(6, -1, -1):
-            out = F.when(v < bounds[k], F.lit(k)).otherwise(out)
-        return out
-
-    # the uniform is bound to a name, so it is taken once
-    return F.get(F.transform(F.array(u), chosen), F.lit(0))
+    out = F.lit(7)
+    for k in range(6, -1, -1):
+        out = F.when(digest < bounds[k], F.lit(k)).otherwise(out)
+    return out
 
 
 def _replicates(sums: DataFrame, cells: list[str], unit: str, reps: int, seed: str) -> DataFrame:
-    """Means of all replicates and what they say, from a sum __s and a count __n per unit that is drawn; units are weighted where they lie, and only
-    a row per task, cell and replicate is shuffled."""
-    spread = sums.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("__w", _poisson(uniform(F.lit(seed), F.col("rep"), F.col(unit))))
+    """Means of all replicates and what they say, from a sum __s and a count __n per unit that is drawn.
+
+    Units are dealt out once to as many tasks as there is work for, as a few bytes of them already mean many hashes; they are weighted where they
+    then lie, and only a row per task, cell and replicate is shuffled.
+    """
+    spark = sums.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    seeds = F.array(*(F.struct(F.lit(r).alias("rep"), F.lit(f"{seed}|{r}").alias("__seed")) for r in range(1, reps + 1)))
+    spread = sums.select(*cells, "__s", "__n", F.col(unit).cast("string").alias("__unit")).repartition(tasks, "__unit").select("*", F.inline(seeds))
+    spread = spread.withColumn("__w", _poisson(F.md5(F.concat_ws("|", "__seed", "__unit"))))
     means = spread.groupBy(*cells, "rep").agg((F.sum(F.col("__s") * F.col("__w")) / F.nullif(F.sum(F.col("__n") * F.col("__w")), F.lit(0))).alias("__m"))
     # a number per replicate and cell
     return means.groupBy(*cells).agg(F.count("__m").alias("reps"), F.avg((F.col("__m") <= 0).cast("double")).alias("p"), F.percentile("__m", F.lit(0.05)).alias("low"), F.percentile("__m", F.lit(0.95)).alias("high"))
@@ -118,7 +126,7 @@ def cluster_bootstrap(df: DataFrame, cells: list[str], cluster: str, x: str, rep
 
 
 def row_bootstrap(df: DataFrame, cells: list[str], row_id: str, x: str, reps: int, seed: str) -> DataFrame:
-    """The same with each row drawn by itself: no rows are shuffled."""
+    """The same with each row drawn by itself."""
     return _replicates(df.where(F.col(x).isNotNull()).select(*cells, row_id, F.col(x).alias("__s"), F.lit(1).alias("__n")), cells, row_id, reps, seed)
 
 

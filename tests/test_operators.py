@@ -256,3 +256,28 @@ def test_decision_tree_equals_a_plain_one(spark, data):
     want = plain_tree(cells, 4, 10)
     got = {tuple(codes[f][r[f]] for f in names): r.prediction for r in QUERIES["a50_decision_tree"](spark, data).collect()}
     assert got == want and len(set(want.values())) == 2
+
+
+def test_bootstrap_weighs_digests_as_uniforms_in_many_tasks(spark):
+    import math
+
+    from eventloom.functions import stats
+
+    bounds, p, total = [], 0.36787944117144233, 0.0
+    for k in range(7):
+        total += p
+        bounds.append(total)
+        p /= k + 1
+    edges = sorted({0, 2**32 - 1} | {math.ceil(b * 2**32) + d for b in bounds for d in (-1, 0, 1)})
+    digests = spark.createDataFrame([(v, f"{v:08x}" + tail) for v in edges for tail in ("0" * 24, "f" * 24)], "v long, digest string")
+    got = digests.select("v", stats._poisson(F.col("digest")).alias("w")).collect()
+    assert all(r.w == sum(r.v / 2**32 >= b for b in bounds) for r in got)
+    # few bytes, much work: a table of one partition is dealt out
+    rows = spark.range(0, 3000, 1, 1).select("id", F.lit("c").alias("c"), (F.col("id") % 7 - 2.5).alias("x"))
+    out = stats.row_bootstrap(rows, ["c"], "id", "x", 5, "s")
+    spread = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("u", stats.uniform(F.lit("s"), "rep", "id"))
+    weight = sum((F.col("u") >= b).cast("int") for b in bounds)
+    means = [r.m for r in spread.withColumn("w", weight).groupBy("rep").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("m")).collect()]
+    r = out.first()
+    assert r.reps == 5 and abs(r.p - sum(m <= 0 for m in means) / 5) < 1e-9 and min(means) - 1e-9 <= r.low <= r.high <= max(means) + 1e-9
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().toString()
