@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textcols import stored
@@ -19,8 +19,8 @@ RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 KIDS = 8
 #: Two branches of a node are similar if their shares of blocked pages, and of kinds of segments that follow, are within so many standard errors.
 SIMILAR = 2.0
-#: Groups of similar branches that a node can have beside branches on their own.
-GROUPS = 2
+#: Branches of a node, largest first, that one round looks through for anchors; rounds go on until each branch is in a group.
+BATCH = 64
 #: A template counts as if half of PRIOR more pages were blocked, so one without labels is not rejected; PURITY and more is.
 PRIOR, PURITY = 4.0, 0.8
 #: With fewer pages nothing is rejected, so branches under it need not be told apart, and the tree ends there.
@@ -64,35 +64,48 @@ def _kind_counts(segments: str, at: Column) -> list[Column]:
     return [*_sum("n", "blocked", "labelled"), *(F.sum(F.when(kind == k, F.col("n")).otherwise(0)).alias(name) for k, name in enumerate(_FOLLOWS))]
 
 
-def _apart(hits: str, of: str, other: str) -> Column:
-    """Whether two branches' shares differ by more than SIMILAR standard errors; where one has no pages to tell, they don't."""
-    x, n, y, m = F.col(hits), F.col(of), F.col(f"{other}.{hits}"), F.col(f"{other}.{of}")
-    share = (x + y + 1) / (n + m + 2)
-    error = F.sqrt(share * (1 - share) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), m)))
-    return F.coalesce(F.abs(F.try_divide(x, n) - F.try_divide(y, m)) > SIMILAR * error, F.lit(False))
+def _apart(a: Column, b: Column) -> Column:
+    """Whether two branches' shares of anything differ by more than SIMILAR standard errors; where one has no pages to tell, they don't."""
+
+    def differ(hits: str, of: str) -> Column:
+        x, n, y, m = a[hits], a[of], b[hits], b[of]
+        share = (x + y + 1) / (n + m + 2)
+        error = F.sqrt(share * (1 - share) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), m)))
+        return F.coalesce(F.abs(F.try_divide(x, n) - F.try_divide(y, m)) > SIMILAR * error, F.lit(False))
+
+    out = differ("blocked", "labelled")
+    for name in _FOLLOWS:
+        out = out | differ(name, "n")
+    return out
 
 
 def _grown(level: DataFrame) -> DataFrame:
     """The parts (host, template, segment, part) that the branches of each open node add to its template.
 
     Variable segments become *. Of other branches, the one with most labels is an anchor, and those similar to it join it; then the same among
-    the rest, GROUPS times; what is left stays on its own, and so do branches of fewer than LEAST pages, of which nothing can be told.
+    the rest, until none is left. Branches of fewer than LEAST pages, of which nothing can be told, stay on their own. A round finds all anchors
+    among the BATCH largest open branches of each node, and every open branch joins the first of them that it is similar to.
     """
     node = ["host", "template"]
     children = stored(level.groupBy(*node, F.get("segments", F.col("depth")).alias("segment")).agg(*_kind_counts("segments", F.col("depth") + 1)))
     totals = children.groupBy(*node).agg(F.count("*").alias("kids"), F.sum("n").alias("all_n"))
     variable = (F.col("kids") > KIDS) & (2 * F.col("kids") > F.col("all_n"))
-    rest = children.join(totals, node).withColumn("part", F.when(variable, F.lit("/*"))).drop("kids", "all_n")
-    fields = ["segment", "n", "blocked", "labelled", *_FOLLOWS]
-    for k in range(GROUPS):
-        best = F.max_by(F.struct(*fields), F.struct("labelled", "n", "segment")).alias("anchor")
-        anchors = rest.where((F.col("part").isNull()) & (F.col("n") >= LEAST)).groupBy(*node).agg(best)
-        apart = _apart("blocked", "labelled", "anchor")
-        for name in _FOLLOWS:
-            apart = apart | _apart(name, "n", "anchor")
-        joins = F.col("part").isNull() & (F.col("n") >= LEAST) & F.col("anchor").isNotNull() & ~apart
-        rest = rest.join(anchors, node, "left").withColumn("part", F.when(joins, F.lit(f"/~{k + 1}")).otherwise(F.col("part"))).drop("anchor")
-    return rest.select(*node, "segment", F.coalesce("part", F.concat(F.lit("/"), "segment")).alias("part"))
+    own = F.when(variable, F.lit("/*")).when(F.col("n") < LEAST, F.concat(F.lit("/"), "segment"))
+    branch = F.struct("labelled", "n", "segment", "blocked", *_FOLLOWS)
+    rest = children.join(totals, node).select(*node, "segment", branch.alias("branch"), own.alias("part"))
+    largest, met = Window.partitionBy(*node).orderBy(F.desc("branch")), 0
+    while True:
+        heads = rest.where("part IS NULL").withColumn("__r", F.row_number().over(largest)).where(F.col("__r") <= BATCH)
+        heads = heads.groupBy(*node).agg(F.reverse(F.array_sort(F.collect_list("branch"))).alias("heads"))
+        none = F.array().cast(heads.schema["heads"].dataType)
+        anchors = F.aggregate("heads", none, lambda acc, x: F.when(F.exists(acc, lambda a: ~_apart(a, x)), acc).otherwise(F.concat(acc, F.array(x))))
+        rest = rest.join(heads.select(*node, anchors.alias("anchors")), node, "left")
+        first = F.array_position(F.transform("anchors", lambda a: ~_apart(a, F.col("branch"))), True)
+        joins = F.col("part").isNull() & (first > 0)
+        rest = stored(rest.withColumn("part", F.when(joins, F.concat(F.lit("/~"), (first + met).cast("string"))).otherwise(F.col("part"))).drop("anchors"))
+        if not rest.where("part IS NULL").head(1):
+            return rest.drop("branch")
+        met += BATCH
 
 
 def _straight(level: DataFrame) -> DataFrame:
