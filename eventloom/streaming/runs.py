@@ -41,7 +41,7 @@ def in_order(spark: SparkSession, pattern: str, least: int = 3) -> tuple[str, in
     began = store.getFileStatus(folder).getModificationTime() - 1000 * len(parts)
     for i, part in enumerate(parts):
         store.setTimes(part, began + 1000 * i, -1)
-    batch = max(1, min(files // least, FILES_PER_CORE * spark.sparkContext.defaultParallelism))
+    batch = max(1, min(-(-files // least), FILES_PER_CORE * spark.sparkContext.defaultParallelism))
     if all(store.getFileStatus(p).getModificationTime() == began + 1000 * i for i, p in ((0, parts[0]), (len(parts) - 1, parts[-1])) if parts):
         return f"{out}/replay", batch
     for part in parts:

@@ -84,6 +84,41 @@ def test_state_of_quiet_symbols_is_dropped(spark, tmp_path):
     assert 0 < parts <= ladder.PARTS + 2
 
 
+class Calls:
+    """State and timers of one symbol in memory, which count what is asked of them."""
+
+    def __init__(self):
+        self.short, self.value, self.timers, self.n = {}, None, set(), 0
+
+    def _did(self, out=None):
+        self.n += 1
+        return out
+
+    getMapState = getValueState = lambda self, *schema: self  # noqa: E731, N815
+    iterator = lambda self: self._did(iter(sorted(self.short.items())))
+    updateValue = lambda self, key, value: self._did(self.short.__setitem__(key, value))  # noqa: E731, N815
+    removeKey = lambda self, key: self._did(self.short.pop(key))  # noqa: E731, N815
+    get = lambda self: self._did(self.value)
+    update = lambda self, value: self._did(setattr(self, "value", value))
+    registerTimer = lambda self, millis: self._did(self.timers.add(millis))  # noqa: E731, N815
+    deleteTimer = lambda self, millis: self._did(self.timers.remove(millis))  # noqa: E731, N815
+
+
+@pytest.mark.parametrize(("n", "batches"), [(60, 3), (4000, 3), (4000, 60)])
+def test_a_batch_of_a_symbol_takes_few_calls(n, batches):
+    ticks = ticks_of(n, [1], n, 30)
+    state, processor, out = Calls(), ladder.LadderProcessor(RUNGS, RING, 6 * HOUR, 2 * DAY), []
+    processor.init(state)
+    rows = [(s, i, us, price, None) for i, s, us, price in ticks]
+    for k in range(batches):
+        before = state.n
+        out += [tuple(r) for r in processor.handleInputRows((1,), iter(rows[n * k // batches : n * (k + 1) // batches]), None)]
+        # a closed part is written once and removed once
+        assert state.n - before <= (6 if n < 256 else 6 + 2 * (ladder.PARTS + 2)) and 0 < len(state.short) <= ladder.PARTS + 2
+        assert len(state.timers) == 1 and min(state.timers) == state.value[0] > state.value[1] // 1000
+    assert sorted(out) == plain_alerts(ticks, RUNGS, RING, 6 * HOUR, 2 * DAY)
+
+
 @pytest.mark.parametrize("n", [1, 5])
 def test_replay_is_ordered_whatever_the_number_of_files(spark, tmp_path, monkeypatch, data, n):
     monkeypatch.setattr(runs, "FILE_BYTES", 4000 // n)
